@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,22 +19,6 @@ class Range:
     high: float
     log: bool = False
 
-    @property
-    def u_low(self) -> float:
-        return math.log(self.low) if self.log else self.low
-
-    @property
-    def u_high(self) -> float:
-        return math.log(self.high) if self.log else self.high
-
-    @property
-    def u_mean(self) -> float:
-        return 0.5 * (self.u_low + self.u_high)
-
-    @property
-    def u_std(self) -> float:
-        return (self.u_high - self.u_low) / math.sqrt(12.0)
-
 
 def transit_ranges(period_high: float = 13.0) -> tuple[Range, ...]:
     """Prior support of the seven transit parameters (13 d or 50 d period limit)."""
@@ -51,17 +34,23 @@ def transit_ranges(period_high: float = 13.0) -> tuple[Range, ...]:
 
 
 def prior_table(spark: SparkSession, ranges) -> DataFrame:
-    """One row per parameter; a handful of rows by construction, so safe to broadcast."""
-    rows = [
-        (r.param, r.low, r.high, r.log, r.u_low, r.u_high, r.u_mean, r.u_std,
-         (r.u_low - r.u_mean) / r.u_std, (r.u_high - r.u_mean) / r.u_std)
-        for r in ranges
-    ]
-    return spark.createDataFrame(
-        rows,
-        "param string, low double, high double, is_log boolean, u_low double, u_high double, "
-        "u_mean double, u_std double, z_low double, z_high double",
-    )
+    """One row per parameter; a handful of rows by construction, so safe to broadcast.
+
+    Derived columns use the same expressions as the samples, so a sample on the edge of the support
+    lands on the edge in u-space and in standardised space too.
+    """
+    rows = [(r.param, float(r.low), float(r.high), r.log) for r in ranges]
+    table = spark.createDataFrame(rows, "param string, low double, high double, is_log boolean")
+    low, high = (physical_to_u(F.col(c), F.col("is_log")) for c in ("low", "high"))
+    table = table.withColumns({"u_low": low, "u_high": high})
+    table = table.withColumns({
+        "u_mean": F.lit(0.5) * (F.col("u_low") + F.col("u_high")),
+        "u_std": (F.col("u_high") - F.col("u_low")) / F.sqrt(F.lit(12.0)),
+    })
+    return table.withColumns({
+        "z_low": (F.col("u_low") - F.col("u_mean")) / F.col("u_std"),
+        "z_high": (F.col("u_high") - F.col("u_mean")) / F.col("u_std"),
+    })
 
 
 def with_prior(samples: DataFrame, ranges) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("reduction",)
+AREAS = ("reduction", "detection", "calibration")
 
 
 def load_registry():

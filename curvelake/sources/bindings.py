@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.functions.scalars import lit
+from curvelake.functions.priors import Range
+from curvelake.functions.scalars import (
+    STRATA, expected_points_in_transit, expected_snr, lit, stratum, transit_duration, transits_in,
+)
+from curvelake.operators.calibration import pair_truth
+from curvelake.operators.grouped import positions
 
 EPOCH_MICROS = 1_704_067_200_000_000  # 2024-01-01 UTC
 SAMPLE_PARAMS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -133,3 +138,58 @@ def run_log_rows(spark, sf_dir) -> DataFrame:
         F.col("value").alias("raw"),
         "event_type",
     )
+
+
+# Prior support assumed for the line-item parameters.
+LINE_RANGES = (
+    Range("l_quantity", 1.0, 50.0, True),
+    Range("l_extendedprice", 100.0, 200_000.0, True),
+    Range("l_discount", 0.0, 0.1),
+    Range("l_tax", 0.0, 0.08),
+)
+
+
+def numbered_lines(spark, sf_dir) -> DataFrame:
+    """Wide draws with ``draw`` = 1, 2, ... in full-column order per part."""
+    rows = line_samples(spark, sf_dir)
+    order = [F.col(c) for c in LINE_ORDER if c != "l_partkey"]
+    placed = positions(rows, ["object_id"], order, F.col("l_orderkey"))
+    return placed.withColumn("draw", F.col("pos") + 1).drop("pos", "n_rows")
+
+
+def hold_one_out(spark, sf_dir) -> DataFrame:
+    """Each part's first line as truth, its others as samples: (object_id, draw, param, value, truth)."""
+    lines = numbered_lines(spark, sf_dir).select("object_id", "draw", *SAMPLE_PARAMS)
+    long = long_samples(lines, ["object_id", "draw"])
+    truth = long.filter("draw = 1").select("object_id", "param", F.col("value").alias("truth"))
+    return pair_truth(long.filter("draw >= 2"), truth)
+
+
+def two_sides(spark, sf_dir) -> DataFrame:
+    """Returned lines against the others, per supplier and parameter."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("object_id"),
+        F.when(F.col("l_returnflag") == "R", "a").otherwise("b").alias("side"),
+        *SAMPLE_PARAMS,
+    )
+    return long_samples(lines, ["object_id", "side"])
+
+
+def part_objects(spark, sf_dir) -> DataFrame:
+    """Catalogue rows with an invented noise level and duration, for stratified reports."""
+    objects = catalog(spark, sf_dir)
+    duration = transit_duration(F.col("P"), F.col("RpRs"), F.col("aRs"), F.col("b"))
+    n_tr = transits_in(27.0, F.col("P"))
+    n_in = expected_points_in_transit(duration, 27.0 / 18_000, n_tr)
+    sigma = lit(0.0005) + (F.col("object_id") % 29) / lit(500.0)
+    return objects.withColumns({
+        "duration": duration, "n_transits": n_tr.cast("double"), "n_in": n_in, "sigma": sigma,
+        "snr": expected_snr(F.col("RpRs"), sigma, n_in),
+    })
+
+
+def part_strata(spark, sf_dir) -> DataFrame:
+    names = {"impact": "b", "rprs": "RpRs", "a_rs": "aRs", "snr": "snr", "n_transits": "n_transits"}
+    objects = part_objects(spark, sf_dir)
+    labelled = objects.select("object_id", *[stratum(F.col(c), *STRATA[n]).alias(n) for n, c in names.items()])
+    return labelled.unpivot(["object_id"], list(names), "spec", "label")

@@ -27,7 +27,12 @@ def floor_mod(x: Column, p: Column) -> Column:
 
 
 def clip(x: Column, low, high) -> Column:
-    return F.greatest(lit(low), F.least(x, lit(high)))
+    """Limit to [low, high]; NULL stays NULL, which ``greatest`` and ``least`` alone would lose."""
+    return F.when(x.isNotNull(), F.greatest(lit(low), F.least(x, lit(high))))
+
+
+def at_least(x: Column, floor) -> Column:
+    return F.when(x.isNotNull(), F.greatest(x, lit(floor)))
 
 
 def is_finite(x: Column) -> Column:
@@ -68,7 +73,7 @@ def histogram_bin(x: Column, low: Column, high: Column, n: int) -> Column:
 
 def transit_duration(period: Column, rp: Column, ar: Column, b: Column) -> Column:
     """Total duration in days; grazing geometry gives 0."""
-    chord = F.sqrt(F.greatest((F.lit(1.0) + rp) * (F.lit(1.0) + rp) - b * b, F.lit(0.0)))
+    chord = F.sqrt(at_least((F.lit(1.0) + rp) * (F.lit(1.0) + rp) - b * b, 0.0))
     sin_i = F.sqrt(clip(F.lit(1.0) - (b / ar) * (b / ar), 1e-8, 1.0))
     return period / F.lit(math.pi) * F.asin(clip(chord / (ar * sin_i), 0.0, 1.0))
 
@@ -112,16 +117,16 @@ STRATA = {
 
 
 def transits_in(baseline: float, period: Column) -> Column:
-    return F.floor(F.lit(float(baseline)) / F.greatest(period, F.lit(1e-9))) + F.lit(1)
+    return F.floor(F.lit(float(baseline)) / at_least(period, 1e-9)) + F.lit(1)
 
 
 def expected_points_in_transit(duration: Column, cadence_days: float, n_transits: Column) -> Column:
-    per_transit = F.greatest(duration / F.lit(max(cadence_days, 1e-9)), F.lit(1.0))
+    per_transit = at_least(duration / F.lit(max(cadence_days, 1e-9)), 1.0)
     return per_transit * n_transits
 
 
 def expected_snr(rp: Column, sigma: Column, n_in: Column, floor: float = 1e-12) -> Column:
-    return rp * rp / F.greatest(sigma, F.lit(floor)) * F.sqrt(n_in)
+    return rp * rp / at_least(sigma, floor) * F.sqrt(n_in)
 
 
 def noise_feature(sigma: Column, log_low: float, log_high: float) -> Column:

@@ -93,12 +93,12 @@ def running(
     totals: Mapping[str, Column] | None = None,
     hot=AUTO,
 ) -> DataFrame:
-    """Running sum (or maximum) up to and including each row, plus optional group totals.
+    """Running sum, maximum or minimum up to and including each row, plus optional group totals.
 
     ``lead`` is the first ordering expression as an ascending number.
     """
     df, keys, hot = _start(df, keys, hot)
-    fn = {"sum": F.sum, "max": F.max}[kind]
+    fn = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
     totals = dict(totals or {})
     if hot is None:
         part = Window.partitionBy(*keys)
@@ -139,7 +139,8 @@ def running(
             for n in values
         }
     else:
-        joined = {n: F.greatest(f"_b_{n}", f"_l_{n}") for n in values}
+        pick = F.greatest if kind == "max" else F.least
+        joined = {n: pick(f"_b_{n}", f"_l_{n}") for n in values}
     joined |= {n: F.coalesce(f"_a_{n}", f"_s_{n}") for n in totals}
     spare = [f"_{p}_{n}" for n in values for p in "lb"] + [f"_{p}_{n}" for n in totals for p in "as"]
     return out.withColumns(joined).drop("_cell", _GLOBAL, *spare)

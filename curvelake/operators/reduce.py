@@ -298,7 +298,7 @@ def quality_metrics(cadence: DataFrame, objects: DataFrame, training_cadences: i
         hot=hot,
     ).join(objects, "object_id")
     root_n = F.sqrt(F.greatest(F.col("n_in_transit"), F.lit(1)).cast("double"))
-    sigma = F.greatest("sigma", s.lit(1e-9))
+    sigma = s.at_least(F.col("sigma"), 1e-9)
     depth = F.col("_out") - F.col("_in")
     geometry = s.is_finite(F.col("aRs")) & s.is_finite(F.col("b")) & F.col("b").between(0.0, 1.05)
     return found.select(

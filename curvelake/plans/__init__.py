@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("reduction", "detection", "calibration")
+AREAS = ("reduction", "detection", "calibration", "agreement", "search", "catalogue", "gates", "datasets", "runlogs")
 
 
 def load_registry():

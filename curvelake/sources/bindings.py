@@ -128,8 +128,12 @@ def view_bins(spark, sf_dir) -> DataFrame:
 
 
 def run_log_rows(spark, sf_dir) -> DataFrame:
+    return as_run_log(table(spark, sf_dir, "events"))
+
+
+def as_run_log(events: DataFrame) -> DataFrame:
     """Events as log records: one run per user. ``total`` is NULL where the loss is not finite."""
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("run"),
         F.col("ts").cast("timestamp").alias("ts"),
         event_days().alias("t"),

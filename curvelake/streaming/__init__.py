@@ -1 +1 @@
-
+"""Structured Streaming over run logs."""

@@ -23,9 +23,12 @@ def duck(sf_dir: str):
 
 def ordered(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)].copy()
+    for column in frame.columns:
+        if str(frame[column].dtype) in ("boolean", "bool"):
+            frame[column] = frame[column].astype(object)
     for column in frame.columns:
         if frame[column].dtype == object:
-            frame[column] = frame[column].map(lambda v: v if v is None or isinstance(v, (str, bool, int, float)) else repr(v))
+            frame[column] = frame[column].map(lambda v: None if v is pd.NA else v if v is None or isinstance(v, (str, bool, int, float)) else repr(v))
     key = frame.astype(str).agg("|".join, axis=1) if len(frame.columns) else frame.index
     return frame.iloc[np.argsort(key.to_numpy(), kind="stable")].reset_index(drop=True)
 

@@ -25,11 +25,11 @@ def wasserstein(sides: DataFrame, keys: Sequence[str] = PAIR, *, hot=g.AUTO) ->
     Equal values fold to one row with a count per side first; then one ordered pass.
     """
     keys = list(keys)
+    if isinstance(hot, str):
+        hot = g.hot_groups(sides, keys)
     counts = sides.groupBy(*keys, "value").agg(
         F.count_if(F.col("side") == "a").alias("_a"), F.count_if(F.col("side") == "b").alias("_b")
     )
-    if isinstance(hot, str):
-        hot = g.hot_groups(counts, keys)
     order, lead = [F.col("value").asc()], F.col("value")
     rows = g.sliding(counts, keys, order, lead, {"_next": lambda w: F.lead("value").over(w)}, after=1, hot=hot)
     rows = g.running(
@@ -48,6 +48,8 @@ def normalized_wasserstein(sides: DataFrame, ranges: DataFrame, *, hot=g.AUTO) -
 
     ``ranges``: (param, prior_range), one row per parameter.
     """
+    if isinstance(hot, str):
+        hot = g.hot_groups(sides, PAIR)
     far = wasserstein(sides, PAIR, hot=hot)
     on = {side: F.when(F.col("side") == side, F.col("value")) for side in "ab"}
     widths = g.group_stats(

@@ -47,6 +47,20 @@ def pair_truth(samples: DataFrame, truth: DataFrame) -> DataFrame:
     return samples.join(truth, PAIR)
 
 
+def pair_wide(draws: DataFrame, truth: DataFrame, params: Sequence[str]) -> DataFrame:
+    """Long (object_id, draw, param, value, truth) from wide draws and wide truths.
+
+    One join on the object, a fourth of the rows of a long join for four parameters; when both sides
+    come from one table partitioned by object it needs no further exchange, and neither does a later
+    aggregate on (object_id, param).
+    """
+    known = truth.select("object_id", *[F.col(p).alias(f"_t_{p}") for p in params])
+    each = F.array(*[
+        F.struct(F.lit(p).alias("param"), F.col(p).alias("value"), F.col(f"_t_{p}").alias("truth")) for p in params
+    ])
+    return draws.join(known, "object_id").select("object_id", "draw", F.inline(each))
+
+
 def sbc_ranks(pairs: DataFrame) -> DataFrame:
     """Samples strictly below the truth, and the number of samples."""
     return pairs.groupBy(*PAIR).agg(
@@ -60,11 +74,14 @@ def sbc_uniformity(ranks: DataFrame, n_bins: int = 20, by: Sequence[str] = ("par
     The range is the largest rank over all parameters (within ``scope``). A bin without ranks
     contributes the expected count itself, so empty bins need no rows.
     """
-    top = ranks.groupBy(*scope).agg(F.max("rank").alias("_top"))
-    rows = ranks.join(top, list(scope)) if scope else ranks.crossJoin(F.broadcast(top))
+    by, scope = list(by), list(scope)
+    # One row per distinct rank: the range and the histogram both come from this small table.
+    folded = ranks.groupBy(*dict.fromkeys([*scope, *by]), "rank").agg(F.count(F.lit(1)).alias("_k"))
+    top = folded.groupBy(*scope).agg(F.max("rank").alias("_top"))
+    rows = folded.join(top, scope) if scope else folded.crossJoin(F.broadcast(top))
     x = F.col("rank").cast("double")
     b = s.histogram_bin(x, s.lit(-0.5), F.col("_top") + s.lit(0.5), n_bins)
-    counts = rows.groupBy(*by, b.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = rows.groupBy(*by, b.alias("_bin")).agg(F.sum("_k").alias("_c"))
     expected = F.sum("_c") / s.lit(n_bins)
     # Sum of (c - e)^2 over all bins is sum(c^2) - n^2 / bins.
     return counts.groupBy(*by).agg(

@@ -50,6 +50,16 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return spark.createDataFrame(rows, counted.schema) if rows else None
 
 
+def unless_hot(base: DataFrame, keys: Sequence[str]):
+    """Value for ``hot=`` of operators whose groups are parts of the groups of ``base``.
+
+    None when no coarse group is hot: then no part of one is. Otherwise ``AUTO``, so that the finer
+    groups are counted themselves. Counting a source column is far cheaper than counting the rows of a
+    long derived plan.
+    """
+    return None if hot_groups(base, keys) is None else AUTO
+
+
 def _start(df: DataFrame, keys: Sequence[str], hot):
     """Resolve an empty key list to a constant key, and ``AUTO`` to a checked list of hot groups."""
     keys = list(keys)

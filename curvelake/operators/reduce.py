@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from curvelake.functions import scalars as s
 from curvelake.operators import grouped as g
@@ -430,29 +429,45 @@ def flatten(cadence: DataFrame, ephemeris: DataFrame, *, hot=g.AUTO) -> DataFram
         rows = rows.withColumn("_block", F.explode(F.array_compact(targets))).withColumn(
             "_home", F.floor(F.col("pos") / size) == F.col("_block")
         )
-    rows = rows.select(*ID, "t", "flux", "work", "_med", "pos", "n_rows", "window", "_block", "_home")
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        half = pdf["window"].iloc[0]
-        if pd.isna(half):
-            pdf["trend"] = np.nan
-            return pdf[pdf["_home"]]
-        half = int(half) // 2
-        values = pdf["work"].to_numpy(dtype=float)
-        head = half if pdf["pos"].iloc[0] == 0 else 0
-        tail = half if pdf["pos"].iloc[-1] == pdf["n_rows"].iloc[0] - 1 else 0
-        padded = np.concatenate([np.repeat(values[:1], head), values, np.repeat(values[-1:], tail)])
-        filtered = pd.Series(padded).rolling(2 * half + 1, center=True, min_periods=1).median().to_numpy()
-        pdf["trend"] = filtered[head : head + len(values)]
-        return pdf[pdf["_home"]]
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("trend", T.DoubleType())])
-    done = rows.groupBy(*ID, "_block").applyInPandas(smooth, schema)
-    done = done.withColumn("trend", F.when(~F.isnan("trend"), F.col("trend")))
+    # One row per object or block, its cadences an ordered array of at most hotRows plus halo.
+    parts = rows.groupBy(*ID, "_block").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "t", "flux", "work", "_home"))).alias("_rows"),
+        F.first("_med").alias("_med"), F.first("window").alias("window"), F.first("n_rows").alias("n_rows"),
+    )
+    half = F.floor(F.col("window") / 2).cast("int")
+    at_start = F.col("_rows")[0]["pos"] == 0
+    at_end = F.element_at("_rows", -1)["pos"] == F.col("n_rows") - 1
+    trend = _rolling_median_arrays(
+        F.col("_rows.work"), half, F.when(at_start, half).otherwise(0), F.when(at_end, half).otherwise(0)
+    )
+    each = F.explode(F.arrays_zip(F.col("_rows"), trend.alias("trend"))).alias("_x")
+    done = parts.select(*ID, "_med", "window", each).filter("_x._rows._home").select(
+        *ID, "_med", "window", "_x._rows.t", "_x._rows.flux", "_x._rows.work", F.col("_x.trend").alias("trend")
+    )
     return _divide_by_trend(done).select(*ID, "t", "flux", "work", "window", "trend", "flat")
 
 
+def _rolling_median_arrays(values: Column, half: Column, head: Column, tail: Column) -> Column:
+    """Centred running median of array columns in Arrow batches; ``head`` and ``tail`` say how often the
+    first and last value repeat beyond the ends."""
+
+    @F.pandas_udf("array<double>")
+    def smooth(values: pd.Series, half: pd.Series, head: pd.Series, tail: pd.Series) -> pd.Series:
+        out = []
+        for v, h, a, z in zip(values, half, head, tail):
+            if pd.isna(h):
+                out.append([None] * len(v))
+                continue
+            h, a, z = int(h), int(a), int(z)
+            v = np.asarray(v, dtype=float)
+            padded = np.concatenate([np.repeat(v[:1], a), v, np.repeat(v[-1:], z)])
+            found = pd.Series(padded).rolling(2 * h + 1, center=True, min_periods=1).median()
+            out.append(found.to_numpy()[a : a + len(v)])
+        return pd.Series(out)
+
+    return smooth(values, half, head, tail)
+
+
 def autocorrelation(cadence: DataFrame, lag: int, *, hot=g.AUTO) -> DataFrame:
     rows = g.sliding(
         cadence, ID, by_time(), F.col("t"), {"_lag": lambda w: F.lag("flux", lag).over(w)}, before=lag, hot=hot

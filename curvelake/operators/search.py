@@ -34,16 +34,16 @@ def _centred(cadence: DataFrame, hot) -> DataFrame:
 
 def box_periodogram(
     cadence: DataFrame, low: float, high: float, n_periods: int, n_phase: int = 64,
-    *, engine: str = "sql", hot=g.AUTO,
+    *, engine: str = "pandas", hot=g.AUTO,
 ) -> DataFrame:
     """Score of the deepest phase bin at each log-spaced trial period.
 
     An empty phase bin scores 0, so a period with one never scores below 0.
 
-    ``engine="sql"`` folds every cadence at every period and lets partial aggregation shrink the rows
-    to n_phase per (object, period) before the shuffle: right for long curves, and for any curve too
-    long for one task. ``engine="pandas"`` gathers each short object into arrays and folds it in Arrow
-    batches: right for many short curves. Objects above ``curvelake.hotRows`` take the first way always.
+    ``engine="pandas"`` gathers each object into arrays and folds it in Arrow batches, the period grid
+    in chunks. ``engine="sql"`` folds every cadence at every period and lets partial aggregation shrink
+    the rows to n_phase per (object, period) before the shuffle; objects above ``curvelake.hotRows``
+    always take that way, so no object has to fit one task. Both give the same scores.
     """
     if isinstance(hot, str):
         hot = g.hot_groups(cadence, ID)
@@ -110,7 +110,7 @@ def _periodogram_arrow(rows: DataFrame, low, high, n_periods, n_phase) -> DataFr
 
 def periodogram_view(
     cadence: DataFrame, low: float, high: float, n_periods: int, *, n_raw: int = 4096, n_phase: int = 64,
-    engine: str = "sql", hot=g.AUTO,
+    engine: str = "pandas", hot=g.AUTO,
 ) -> DataFrame:
     """Normalised periodogram of the strided subsample."""
     short = r.stride_subsample(cadence, n_raw, hot=hot).drop("pos")

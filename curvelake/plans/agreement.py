@@ -33,7 +33,7 @@ def two_sides(spark, sf):
 
 @query("a28_wasserstein", f"WITH {WASS} SELECT object_id, param, {r('wasserstein')} AS wasserstein, n_a, n_b FROM ws")
 def wasserstein(spark, sf):
-    return rounded(a.wasserstein(b.two_sides(spark, sf)), "wasserstein")
+    return rounded(a.wasserstein(b.two_sides(spark, sf), hot=b.suppliers_hot(spark, sf)), "wasserstein")
 
 
 NORMED = f"""{WASS},
@@ -48,7 +48,7 @@ dist AS (SELECT object_id, param, wasserstein, wasserstein / nullif(prior_range,
 def distances(spark, sf):
     sides = b.two_sides(spark, sf)
     ranges = sides.groupBy("param").agg((F.max("value") - F.min("value")).alias("prior_range"))
-    return a.normalized_wasserstein(sides, ranges)
+    return a.normalized_wasserstein(sides, ranges, hot=b.suppliers_hot(spark, sf))
 
 
 @query("a29_wasserstein_normalised", f"""WITH {NORMED}
@@ -102,7 +102,7 @@ SELECT rec.object_id, score, {r('wasserstein')} AS wasserstein FROM rec LEFT JOI
 def records_with_results(spark, sf):
     records = b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("object_id"), F.col("s_acctbal").alias("score"))
     compared = records.filter("score >= 5000").select("object_id")
-    results = a.wasserstein(b.two_sides(spark, sf).filter("param = 'l_quantity'")).select("object_id", "wasserstein")
+    results = a.wasserstein(b.two_sides(spark, sf).filter("param = 'l_quantity'"), hot=b.suppliers_hot(spark, sf)).select("object_id", "wasserstein")
     return rounded(records.join(results.join(compared, "object_id"), "object_id", "left"), "wasserstein")
 
 
@@ -177,12 +177,12 @@ def marginal_log_likelihood(spark, sf):
 
 
 @query("j07_dilution_grid", f"""WITH {PREDICTED}, gd(branch, d) AS (VALUES {', '.join(f'({i}, {dbl(d)})' for i, (d, _) in enumerate(GRID))})
-SELECT object_id, draw, branch, d AS dilution, count(*) AS n, {r('avg(1 + (model - 1) * d)', 9)} AS mean_model FROM pd CROSS JOIN gd GROUP BY 1, 2, 3, 4""")
+SELECT object_id, draw, branch, d AS dilution, count(*) AS n, {r('sum(1 + (model - 1) * d)')} AS model_sum FROM pd CROSS JOIN gd GROUP BY 1, 2, 3, 4""")
 def diluted_models(spark, sf):
-    means = predicted(spark, sf).groupBy("object_id", "draw").agg(F.avg("model").alias("m"), F.count("*").alias("n"))
+    sums = predicted(spark, sf).groupBy("object_id", "draw").agg(F.avg("model").alias("m"), F.count("*").alias("n"))
     grid = F.posexplode(F.array(*[s.lit(d) for d, _ in GRID])).alias("branch", "dilution")
-    out = means.select("*", grid).withColumn("mean_model", s.dilute(F.col("m"), F.col("dilution")))
-    return rounded(out.drop("m"), "mean_model", digits=9)
+    out = sums.select("*", grid).withColumn("model_sum", s.dilute(F.col("m"), F.col("dilution")) * F.col("n"))
+    return rounded(out.drop("m"), "model_sum")
 
 
 LOGW = "-(l_discount - 5e-2) * (l_discount - 5e-2) / '0.0008'::DOUBLE + CASE WHEN l_tax >= '0.08'::DOUBLE THEN NULL ELSE 0 END + l_quantity / 1e2"

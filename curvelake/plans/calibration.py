@@ -38,7 +38,10 @@ U = "CASE WHEN is_log THEN ln(greatest(value, 1e-12)) ELSE value END"
 
 @query("j03_truth_samples", f"WITH {PAIRS} SELECT object_id, param, draw, value, truth FROM pairs")
 def truth_samples(spark, sf):
-    return b.hold_one_out(spark, sf).select("object_id", "param", "draw", "value", "truth")
+    lines = b.numbered_lines(spark, sf).select("object_id", "draw", *b.SAMPLE_PARAMS)
+    long = b.long_samples(lines, ["object_id", "draw"])
+    truth = long.filter("draw = 1").select("object_id", "param", F.col("value").alias("truth"))
+    return c.pair_truth(long.filter("draw >= 2"), truth).select("object_id", "param", "draw", "value", "truth")
 
 
 @query("a21_sbc_ranks", f"WITH {PAIRS}, {RANKS} SELECT * FROM ranks")
@@ -100,17 +103,17 @@ ov AS (SELECT level, avg(coverage) AS coverage FROM cov GROUP BY 1)"""
 
 @query("a25_interval_coverage", f"WITH {COVER} SELECT level, param, {r('coverage')} AS coverage, n FROM cov")
 def interval_coverage(spark, sf):
-    return rounded(c.coverage(b.hold_one_out(spark, sf)), "coverage")
+    return rounded(c.coverage(b.hold_one_out(spark, sf), hot=b.parts_hot(spark, sf)), "coverage")
 
 
 @query("a25_coverage_overall", f"WITH {COVER} SELECT level, {r('coverage')} AS coverage FROM ov")
 def coverage_overall(spark, sf):
-    return rounded(c.coverage_overall(c.coverage(b.hold_one_out(spark, sf))), "coverage")
+    return rounded(c.coverage_overall(c.coverage(b.hold_one_out(spark, sf), hot=b.parts_hot(spark, sf))), "coverage")
 
 
 @query("a26_calibration_error", f"WITH {COVER} SELECT {r('avg(abs(coverage - level))')} AS calibration_error FROM ov")
 def calibration_error(spark, sf):
-    return rounded(c.calibration_error(c.coverage_overall(c.coverage(b.hold_one_out(spark, sf)))), "calibration_error")
+    return rounded(c.calibration_error(c.coverage_overall(c.coverage(b.hold_one_out(spark, sf), hot=b.parts_hot(spark, sf)))), "calibration_error")
 
 
 @query("a27_contraction", f"""WITH {PAIRS}, pst AS (SELECT param, stddev_pop(value) AS s FROM long GROUP BY 1)
@@ -139,7 +142,7 @@ su AS (SELECT object_id, param, published, q[3] AS post_median, post_std, CASE W
 @query("a32_posterior_summary", f"""WITH {SUMMARY}
 SELECT object_id, param, published, {r('post_median')} AS post_median, {r('post_std')} AS post_std, {r('z')} AS z, {r('frac_err')} AS frac_err, in_68, in_95 FROM su""")
 def posterior_summary(spark, sf):
-    return rounded(c.posterior_summary(b.hold_one_out(spark, sf)), "post_median", "post_std", "z", "frac_err")
+    return rounded(c.posterior_summary(b.hold_one_out(spark, sf), hot=b.parts_hot(spark, sf)), "post_median", "post_std", "z", "frac_err")
 
 
 PER_PARAM = f"""count(*) AS n, {r('median(frac_err)')} AS median_frac_err, {r('avg(in_68::INT)')} AS coverage_68,
@@ -149,7 +152,7 @@ PER_COLUMNS = ("median_frac_err", "coverage_68", "coverage_95", "mean_abs_z")
 
 @query("a33_per_param_summary", f"WITH {SUMMARY} SELECT param, {PER_PARAM} FROM su GROUP BY 1")
 def per_param_summary(spark, sf):
-    return rounded(c.per_param_summary(c.posterior_summary(b.hold_one_out(spark, sf))), *PER_COLUMNS)
+    return rounded(c.per_param_summary(c.posterior_summary(b.hold_one_out(spark, sf), hot=b.parts_hot(spark, sf))), *PER_COLUMNS)
 
 
 @query("a33_detected_summary", f"""WITH {SUMMARY}
@@ -157,7 +160,7 @@ SELECT param, p_retailprice >= 1e3 AS detected, {PER_PARAM} FROM su JOIN part ON
 def detected_summary(spark, sf):
     detected = b.table(spark, sf, "part").select(
         F.col("p_partkey").alias("object_id"), (F.col("p_retailprice") >= 1e3).alias("detected"))
-    rows = c.posterior_summary(b.hold_one_out(spark, sf)).join(detected, "object_id")
+    rows = c.posterior_summary(b.hold_one_out(spark, sf), hot=b.parts_hot(spark, sf)).join(detected, "object_id")
     return rounded(c.per_param_summary(rows, ["param", "detected"]), *PER_COLUMNS)
 
 
@@ -204,7 +207,7 @@ wd AS (SELECT object_id, param, any_value(truth) AS truth, quantile_cont(value,
 SELECT spec, label, param, count(*) AS n, {r('avg(CASE WHEN truth BETWEEN round(lo, 9) AND round(hi, 9) THEN 1e0 ELSE 0e0 END)')} AS cov68, {r('median(hi - lo)')} AS median_width
 FROM wd JOIN strata USING (object_id) GROUP BY 1, 2, 3""")
 def stratified_characterization(spark, sf):
-    widths = c.interval_widths(b.hold_one_out(spark, sf))
+    widths = c.interval_widths(b.hold_one_out(spark, sf), hot=b.parts_hot(spark, sf))
     return rounded(c.stratified_characterization(widths, b.part_strata(spark, sf)), "cov68", "median_width")
 
 
@@ -220,7 +223,7 @@ SELECT regime, count(*) AS n, {r('avg(rank / n_draws::DOUBLE)')} AS rank_mean, {
 FROM ranks JOIN chi USING (regime) GROUP BY 1 HAVING count(*) >= 30""")
 def period_strata(spark, sf):
     pairs = c.slice_parameters(b.hold_one_out(spark, sf), ["l_quantity"])
-    summary = c.posterior_summary(pairs).select("object_id", F.col("published").alias("truth"), "post_median")
+    summary = c.posterior_summary(pairs, hot=b.parts_hot(spark, sf)).select("object_id", F.col("published").alias("truth"), "post_median")
     ranked = summary.join(c.sbc_ranks(pairs).drop("param"), "object_id").withColumn("n_transits", s.lit(100.0) / F.col("truth"))
     return rounded(c.period_strata(ranked), "rank_mean", "median_rel_err", "frac_within_5pct", "chi2")
 

@@ -32,10 +32,10 @@ def run_best(spark, sf):
 @query("a52_run_throughput", f"""WITH {LOG},
 d AS (SELECT run, step, raw, greatest((t - lag(t) OVER w) * 864e2, 1e-6) AS interval, step - lag(step) OVER w AS ds FROM lg WINDOW w AS (PARTITION BY run ORDER BY step))
 SELECT run, step, {r('interval', 3)} AS interval, {r('ds / interval')} AS steps_per_s, {r('ds / interval * 256', 4)} AS lc_per_s,
- {r('(100 - step) / greatest(ds / interval, 1e-6)', 2)} AS eta_s, round_even(raw / interval, 3) AS data_wait_frac FROM d WHERE ds IS NOT NULL""")
+ {r('(100 - step) / greatest(ds / interval, 1e-6)', 6)} AS eta_s, round_even(raw / interval, 3) AS data_wait_frac FROM d WHERE ds IS NOT NULL""")
 def run_throughput(spark, sf):
     out = rl.throughput(log(spark, sf), 100, 256, seconds=F.col("t") * s.lit(86400.0), waited=F.col("raw")).filter("interval is not null")
-    out = out.withColumns({"interval": F.round("interval", 3), "steps_per_s": F.round("steps_per_s", 6), "lc_per_s": F.round("lc_per_s", 4), "eta_s": F.round("eta_s", 2)})
+    out = out.withColumns({"interval": F.round("interval", 3), "steps_per_s": F.round("steps_per_s", 6), "lc_per_s": F.round("lc_per_s", 4), "eta_s": F.round("eta_s", 6)})
     return out.select("run", "step", "interval", "steps_per_s", "lc_per_s", "eta_s", "data_wait_frac")
 
 

@@ -13,8 +13,8 @@ from curvelake.functions.priors import Range
 from curvelake.functions.scalars import (
     STRATA, expected_points_in_transit, expected_snr, lit, stratum, transit_duration, transits_in,
 )
-from curvelake.operators.calibration import pair_truth
-from curvelake.operators.grouped import positions
+from curvelake.operators.calibration import pair_wide
+from curvelake.operators.grouped import positions, unless_hot
 
 EPOCH_MICROS = 1_704_067_200_000_000  # 2024-01-01 UTC
 SAMPLE_PARAMS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -164,9 +164,17 @@ def numbered_lines(spark, sf_dir) -> DataFrame:
 def hold_one_out(spark, sf_dir) -> DataFrame:
     """Each part's first line as truth, its others as samples: (object_id, draw, param, value, truth)."""
     lines = numbered_lines(spark, sf_dir).select("object_id", "draw", *SAMPLE_PARAMS)
-    long = long_samples(lines, ["object_id", "draw"])
-    truth = long.filter("draw = 1").select("object_id", "param", F.col("value").alias("truth"))
-    return pair_truth(long.filter("draw >= 2"), truth)
+    return pair_wide(lines.filter("draw >= 2"), lines.filter("draw = 1"), SAMPLE_PARAMS)
+
+
+def parts_hot(spark, sf_dir):
+    """``hot=`` for operators on groups inside a part."""
+    return unless_hot(line_samples(spark, sf_dir).select("object_id"), ["object_id"])
+
+
+def suppliers_hot(spark, sf_dir):
+    """``hot=`` for operators on groups inside a supplier."""
+    return unless_hot(table(spark, sf_dir, "lineitem").select("l_suppkey"), ["l_suppkey"])
 
 
 def two_sides(spark, sf_dir) -> DataFrame:

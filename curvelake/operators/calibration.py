@@ -75,9 +75,10 @@ def sbc_uniformity(ranks: DataFrame, n_bins: int = 20, by: Sequence[str] = ("par
     contributes the expected count itself, so empty bins need no rows.
     """
     by, scope = list(by), list(scope)
-    # One row per distinct rank: the range and the histogram both come from this small table.
+    # One row per distinct rank: the range and the histogram both come from this small table. The filter
+    # is always true; it makes both branches need the same columns, so they share one exchange.
     folded = ranks.groupBy(*dict.fromkeys([*scope, *by]), "rank").agg(F.count(F.lit(1)).alias("_k"))
-    top = folded.groupBy(*scope).agg(F.max("rank").alias("_top"))
+    top = folded.filter("_k > 0").groupBy(*scope).agg(F.max("rank").alias("_top"))
     rows = folded.join(top, scope) if scope else folded.crossJoin(F.broadcast(top))
     x = F.col("rank").cast("double")
     b = s.histogram_bin(x, s.lit(-0.5), F.col("_top") + s.lit(0.5), n_bins)

@@ -93,7 +93,7 @@ def jensen_shannon(sides: DataFrame, n_bins: int = 50, keys: Sequence[str] = PAI
 def agreement_summary(distances: DataFrame, *, hot=g.AUTO) -> DataFrame:
     """Medians per parameter over all compared objects."""
     return g.group_stats(
-        distances, ["param"],
+        g.settle(distances), ["param"],
         quantiles={f"median_{k}": (F.col(k), 0.5) for k in ("wasserstein", "prior_fraction", "width_fraction")},
         aggs={"n": F.count(F.lit(1))}, hot=hot,
     )
@@ -114,7 +114,7 @@ def conditioning_summary(runs: DataFrame, *, hot=g.AUTO) -> DataFrame:
 
 
 def stratified_agreement(distances: DataFrame, strata: DataFrame, *, hot=g.AUTO) -> DataFrame:
-    rows = distances.join(strata, "object_id")
+    rows = g.settle(distances.join(strata, "object_id"))
     return g.group_stats(
         rows, ["spec", "label", "param"],
         quantiles={f"median_{k}": (F.col(k), 0.5) for k in ("prior_fraction", "width_fraction")},

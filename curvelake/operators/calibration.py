@@ -201,7 +201,7 @@ def posterior_summary(pairs: DataFrame, *, hot=g.AUTO) -> DataFrame:
 
 def per_param_summary(summary: DataFrame, by: Sequence[str] = ("param",), *, hot=g.AUTO) -> DataFrame:
     return g.group_stats(
-        summary, list(by),
+        g.settle(summary), list(by),
         quantiles={"median_frac_err": (F.col("frac_err"), 0.5)},
         aggs={
             "n": F.count(F.lit(1)),
@@ -229,7 +229,7 @@ def stratified_characterization(widths: DataFrame, strata: DataFrame, *, hot=g.A
 
     ``strata``: (object_id, spec, label) from ``catalog.unpivot_strata``.
     """
-    rows = widths.join(strata, "object_id")
+    rows = g.settle(widths.join(strata, "object_id"))
     return g.group_stats(
         rows, ["spec", "label", "param"],
         quantiles={"median_width": (F.col("width"), 0.5)},
@@ -256,6 +256,7 @@ def period_strata(ranked: DataFrame, min_objects: int = 30, *, hot=g.AUTO) -> Da
     """
     rel = (F.col("post_median") - F.col("truth")) / F.col("truth")
     rows = ranked.withColumn("regime", regime(F.col("n_transits"))).withColumn("rel", rel).filter("regime is not null")
+    rows = g.settle(rows)
     stats = g.group_stats(
         rows, ["regime"],
         quantiles={"median_rel_err": (F.col("rel"), 0.5)},

@@ -19,7 +19,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelake.session import hot_rows
+from curvelake.session import ensure_checkpoint_dir, hot_rows
 
 MAX_HOT = 20_000
 MAX_CELLS = 32_768
@@ -92,6 +92,37 @@ def _with_cell(df: DataFrame, keys: Sequence[str], lead: Column, hot: DataFrame)
     )
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a small derived table once and keep it in the shared checkpoint folder.
+
+    For per-object results that the next step reads several times (a count, a sketch, the answer):
+    without it every reading would repeat the whole plan below. Survives the loss of executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def join_groups(df: DataFrame, per_group: DataFrame, keys: Sequence[str], *, hot=AUTO) -> DataFrame:
+    """Many rows per group joined to one (or a few) rows per group.
+
+    Without hot groups an ordinary join, broadcast or sorted as the planner sees fit. A hot group's
+    rows are spread over as many salts as it has multiples of the limit, and its few partner rows are
+    repeated once per salt.
+    """
+    keys = list(keys)
+    if isinstance(hot, str):
+        hot = hot_groups(df, keys)
+    if hot is None:
+        return df.join(per_group, keys)
+    limit = hot_rows(df.sparkSession)
+    salts = F.broadcast(hot.select(*keys, F.least(F.lit(4096), F.ceil(F.col("_n") / limit)).cast("int").alias("_salts")))
+    spread = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_salts")).cast("int"), F.lit(0))
+    left = df.join(salts, keys, "left").withColumn("_salt", spread).drop("_salts")
+    repeated = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    right = per_group.join(salts, keys, "left").withColumn("_salt", repeated).drop("_salts")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

@@ -25,13 +25,9 @@ def drop_nonfinite(cadence: DataFrame) -> DataFrame:
     return cadence.filter(s.is_finite(F.col("t")) & s.is_finite(F.col("flux")))
 
 
-def join_ephemeris(cadence: DataFrame, ephemeris: DataFrame) -> DataFrame:
-    """Each cadence with its object's ephemeris.
-
-    No broadcast hint: the planner broadcasts a small ephemeris by itself and otherwise sorts, with
-    adaptive skew splitting for an object that holds many cadences.
-    """
-    return cadence.join(ephemeris, "object_id")
+def join_ephemeris(cadence: DataFrame, ephemeris: DataFrame, *, hot=g.AUTO) -> DataFrame:
+    """Each cadence with its object's ephemeris; a very long curve is salted over many tasks."""
+    return g.join_groups(cadence, ephemeris, ID, hot=hot)
 
 
 def fold(folded: DataFrame) -> DataFrame:
@@ -152,13 +148,15 @@ def fill_bins(occupied: DataFrame, objects: DataFrame, n_bins: int, fill: str) -
 
 def global_view(cadence: DataFrame, n_bins: int = 2001, *, hot=g.AUTO) -> DataFrame:
     """Time-binned view over the object's own time span."""
+    if isinstance(hot, str):
+        hot = g.hot_groups(cadence, ID)
     spans = g.group_stats(
         cadence, ID,
         quantiles={"fill": (F.col("flux"), 0.5)},
         aggs={"t_min": F.min("t"), "t_max": F.max("t")},
         hot=hot,
     )
-    rows = cadence.join(spans.drop("fill"), "object_id")
+    rows = g.join_groups(cadence, spans.drop("fill"), ID, hot=hot)
     occupied = bin_mean(rows, ID, F.col("t"), F.col("flux"), F.col("t_min"), F.col("t_max"), n_bins)
     return fill_bins(occupied, spans, n_bins, "fill")
 
@@ -170,7 +168,7 @@ def local_view(
     if isinstance(hot, str):
         hot = g.hot_groups(cadence, ID)
     half = F.least(s.lit(0.5 * n_durations) * F.greatest("duration", s.lit(1e-6)), s.lit(0.5) * F.col("P"))
-    rows = fold(join_ephemeris(cadence, ephemeris)).withColumn("half", half)
+    rows = fold(join_ephemeris(cadence, ephemeris, hot=hot)).withColumn("half", half)
     near = F.abs("t_phase") <= F.col("half")
     objects = g.group_stats(
         rows, ID, quantiles={"fill": (F.col("flux"), 0.5)}, aggs={"n_near": F.count_if(near)}, hot=hot
@@ -280,7 +278,9 @@ def fold_bin(folded: DataFrame, max_cadences: int, *, hot=g.AUTO) -> DataFrame:
 
 def quality_metrics(cadence: DataFrame, objects: DataFrame, training_cadences: int, *, hot=g.AUTO) -> DataFrame:
     """Data-only quality measures. ``objects`` carries P, t0, duration, sigma, RpRs, aRs, b."""
-    rows = join_ephemeris(cadence, objects.select("object_id", "P", "t0", "duration"))
+    if isinstance(hot, str):
+        hot = g.hot_groups(cadence, ID)
+    rows = join_ephemeris(cadence, objects.select("object_id", "P", "t0", "duration"), hot=hot)
     away = F.abs(s.centred_phase_days(F.col("t"), F.col("t0"), F.col("P")))
     inside, outside = away < s.lit(0.5) * F.col("duration"), away > s.lit(1.5) * F.col("duration")
     found = g.group_stats(
@@ -387,7 +387,7 @@ def flatten_fixed(cadence: DataFrame, ephemeris: DataFrame, window: int, *, hot=
     """Divide out a running-median trend of one odd window length, keeping transits out of the trend."""
     if isinstance(hot, str):
         hot = g.hot_groups(cadence, ID)
-    rows = _masked_for_trend(join_ephemeris(cadence, ephemeris), hot)
+    rows = _masked_for_trend(join_ephemeris(cadence, ephemeris, hot=hot), hot)
     rows = rolling_median(rows, "work", window // 2, hot=hot)
     return _divide_by_trend(rows).select(*ID, "t", "flux", "work", "trend", "flat")
 
@@ -413,8 +413,9 @@ def flatten(cadence: DataFrame, ephemeris: DataFrame, *, hot=g.AUTO) -> DataFram
     if isinstance(hot, str):
         hot = g.hot_groups(cadence, ID)
     windows = trend_windows(cadence, ephemeris, hot=hot)
-    rows = _masked_for_trend(join_ephemeris(cadence, ephemeris), hot)
-    rows = g.positions(rows, ID, by_time(), F.col("t"), hot=hot).join(windows, "object_id", "left")
+    rows = _masked_for_trend(join_ephemeris(cadence, ephemeris, hot=hot), hot)
+    rows = g.positions(rows, ID, by_time(), F.col("t"), hot=hot)
+    rows = g.join_groups(rows, windows, ID, hot=hot)
     if hot is None:
         rows = rows.withColumns({"_block": F.lit(0).cast("long"), "_home": F.lit(True)})
     else:

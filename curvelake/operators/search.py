@@ -193,7 +193,8 @@ def refine_epoch(cadence: DataFrame, periods: DataFrame, n_centres: int = 512, *
     )
     rows = g.attach_stats(
         cadence, ID, quantiles={"_med": (F.col("flux"), 0.5)}, aggs={"_start": F.min("t")}, hot=hot
-    ).join(shape, "object_id")
+    )
+    rows = g.join_groups(rows, shape, ID, hot=hot)
     n = n_centres
     turn = s.floor_mod(F.col("t") - F.col("_start"), F.col("P"))
     scale = s.lit(float(n)) / F.col("P")

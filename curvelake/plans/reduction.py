@@ -363,7 +363,27 @@ def flatten(spark, sf):
     return rounded(red.flatten_fixed(*sparse(spark, sf), 15), "t", "work", "trend", "flat")
 
 
-@query("w04_flatten_own_window")
+def _own_median_sql() -> str:
+    """Median over a frame whose width is the object's own; the ends repeat as in ``_median_sql``."""
+    return f"""
+pw AS (SELECT src.*, k.h, row_number() OVER (PARTITION BY src.object_id ORDER BY t, flux) AS rn, count(*) OVER (PARTITION BY src.object_id) AS n
+       FROM src JOIN (SELECT object_id, (k + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END) // 2 AS h FROM sz) k ON src.object_id = k.object_id),
+al AS (SELECT object_id, list(work ORDER BY t, flux) AS v FROM src GROUP BY 1),
+tr AS (SELECT pw.object_id, t, flux, med, work, 2 * h + 1 AS "window",
+       list_sort(list_concat(list_concat([v[1] for x in range(greatest(0, h - rn + 1))], v[greatest(1, rn - h):least(n, rn + h)]),
+       [v[-1] for x in range(greatest(0, rn + h - n))]))[h + 1] AS trend FROM pw JOIN al USING (object_id))"""
+
+
+OWN = """
+d AS (SELECT object_id, t - lag(t) OVER (PARTITION BY object_id ORDER BY t, flux) AS d FROM cad),
+sp AS (SELECT object_id, median(d) AS dt, count(*) AS n FROM d GROUP BY 1),
+sz AS (SELECT object_id, greatest(11, least(round_even(greatest(1e0, 8e0 * duration) / dt, 0), greatest(11, n // 3)))::INTEGER AS k
+       FROM sp JOIN eph USING (object_id))"""
+
+
+@query("w04_flatten_own_window", f"""WITH {SPARSE}, {EPH}, {MASKED}, {OWN}, {_own_median_sql()},
+fx AS (SELECT *, CASE WHEN abs(trend) < 1e-6 THEN med ELSE trend END AS tr2 FROM tr)
+SELECT object_id, {r('t')} AS t, flux, {r('work')} AS work, "window", {r('tr2')} AS trend, {r('coalesce(flux / nullif(tr2, 0), flux)')} AS flat FROM fx""")
 def flatten_own_window(spark, sf):
     return rounded(red.flatten(*sparse(spark, sf)), "t", "work", "trend", "flat")
 

@@ -96,7 +96,7 @@ def stall_alerts(log: DataFrame, seconds: int = 180, delay: str = "10 minutes")
             state.remove()
             yield pd.DataFrame([{"run": key[0], "last_seen_ms": seen}])
             return
-        newest = max(int(c["ts"].max().timestamp() * 1000) for c in chunks)
+        newest = max(c["ts"].max().value // 1_000_000 for c in chunks)
         seen = max(newest, state.get[0] if state.exists else 0)
         state.update((seen,))
         state.setTimeoutTimestamp(max(seen + seconds * 1000, state.getCurrentWatermarkMs() + 1))

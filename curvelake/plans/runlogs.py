@@ -147,8 +147,8 @@ def windowed_stream(spark, sf):
     return rounded(out, "mean_total")
 
 
-@query("t02_stall_alerts", """SELECT user_id AS run, epoch_ms(max(ts)) AS last_seen_ms FROM events GROUP BY 1
-HAVING epoch_ms(max(ts)) + 3600000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
+@query("t02_stall_alerts", """SELECT user_id AS run, epoch_us(max(ts)) // 1000 AS last_seen_ms FROM events GROUP BY 1
+HAVING epoch_us(max(ts)) // 1000 + 3600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 600000""")
 def stall_alerts(spark, sf):
     path = ds.scratch(spark, "alerts")
     finished(st.append_to(st.stall_alerts(event_stream(spark, sf), 3600), f"{path}/table", f"{path}/checkpoint"))

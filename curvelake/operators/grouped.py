@@ -6,8 +6,12 @@ has both plans and picks by a checked count:
 
 * no group above ``curvelake.hotRows`` rows - ordinary windows and ``percentile``;
 * otherwise the *hot* groups are cut into cells along their ordering column, worked cell by cell,
-  and joined to a per-cell summary. That summary, like the list of hot groups, holds at most
-  (cells per group) x ``MAX_HOT`` rows whatever the table size, so it is broadcast.
+  and joined to a per-cell summary.
+
+The list of hot groups has at most ``MAX_HOT`` rows and all cells together number at most
+``MAX_CELLS`` + ``MAX_HOT``, whatever the table size, so both are broadcast. These small tables are
+computed once and kept in the shared checkpoint folder: a chain of operators reads its input a fixed
+number of times per operator, not once per branch of every plan above it.
 
 Both plans return the same values; nothing is sampled, capped or dropped.
 """
@@ -18,36 +22,47 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curvelake.session import ensure_checkpoint_dir, hot_rows
 
 MAX_HOT = 20_000
-MAX_CELLS = 32_768
+MAX_CELLS = 50_000
 
 AUTO = "auto"
 _GLOBAL = "_whole_table"
-_checked: dict[tuple, list] = {}
+_MEMO_LIMIT = 256
+_checked: dict[tuple, list[tuple[DataFrame, list]]] = {}
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Groups with more rows than one task should order, or None when there are none.
 
-    One count per group with map-side combine. At most ``MAX_HOT`` rows come back: with N rows in
-    the table, fewer than N / limit groups can exceed the limit, and the limit is raised when that
-    would be too many. The answer is remembered per plan, so a chain of operators counts once.
+    Columns: the keys, the count ``_n``, and ``_k``, the number of cells to cut the group into. One
+    count per group with map-side combine. With N rows in the table fewer than N / limit groups can
+    exceed the limit; where that would allow more than ``MAX_HOT``, the limit is raised. Cells aim at
+    an eighth of the limit each, and are shared out by size once ``MAX_CELLS`` would not suffice.
+    The answer is remembered per plan, so a chain of operators counts once.
     """
     spark = df.sparkSession
     limit = hot_rows(spark)
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    memo = (spark.sparkContext.applicationId, counted.semanticHash(), limit)
-    if memo not in _checked:
+    seen = _checked.setdefault((spark.sparkContext.applicationId, counted.semanticHash(), limit), [])
+    rows = next((found for plan, found in seen if plan.sameSemantics(counted)), None)
+    if rows is None:
         rows = counted.filter(F.col("_n") > limit).limit(MAX_HOT + 1).collect()
         if len(rows) > MAX_HOT:
             raised = df.count() // MAX_HOT
             rows = counted.filter(F.col("_n") > raised).collect()
-        _checked[memo] = rows
-    rows = _checked[memo]
-    return spark.createDataFrame(rows, counted.schema) if rows else None
+        if len(_checked) > _MEMO_LIMIT:
+            _checked.clear()
+        seen.append((counted, rows))
+    if not rows:
+        return None
+    total = sum(row["_n"] for row in rows)
+    cells = [min(-(-8 * row["_n"] // limit), -(-MAX_CELLS * row["_n"] // total)) for row in rows]
+    schema = T.StructType([*counted.schema.fields, T.StructField("_k", T.LongType())])
+    return spark.createDataFrame([(*row, k) for row, k in zip(rows, cells)], schema)
 
 
 def unless_hot(base: DataFrame, keys: Sequence[str]):
@@ -74,24 +89,28 @@ def _only_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
 
 def _with_cell(df: DataFrame, keys: Sequence[str], lead: Column, hot: DataFrame) -> DataFrame:
     """Number equal-width cells along ``lead`` inside hot groups; every other group is cell 0."""
-    limit = hot_rows(df.sparkSession)
     lead = lead.cast("double")
     span = (
-        _only_hot(df, keys, hot)
+        df.join(F.broadcast(hot), list(keys))
         .groupBy(*keys)
-        .agg(F.min(lead).alias("_lo"), F.max(lead).alias("_hi"), F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_k", F.least(F.lit(MAX_CELLS), F.ceil(F.col("_rows") / limit) * 8))
-        .drop("_rows")
+        .agg(F.min(lead).alias("_lo"), F.max(lead).alias("_hi"), F.first("_k").alias("_k"))
     )
     share = F.when(F.col("_hi") > F.col("_lo"), (lead - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     cell = F.greatest(F.lit(0), F.least(F.floor(share * F.col("_k")), F.col("_k") - 1))
     return (
-        df.join(F.broadcast(span), list(keys), "left")
+        df.join(F.broadcast(settle(span)), list(keys), "left")
         .withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int"))
         .drop("_lo", "_hi", "_k")
     )
 
 
+def _spread(df: DataFrame) -> Column:
+    """A number in [0, _k) for rows of hot groups. From the row and its input partition: copies of one
+    row in different partitions part ways, and a recomputed task gives the same numbers."""
+    mixed = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
+    return F.pmod(mixed, F.col("_k")).cast("int")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute a small derived table once and keep it in the shared checkpoint folder.
 
@@ -103,23 +122,20 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def join_groups(df: DataFrame, per_group: DataFrame, keys: Sequence[str], *, hot=AUTO) -> DataFrame:
-    """Many rows per group joined to one (or a few) rows per group.
+    """Many rows per group joined to the one row its group has in ``per_group``.
 
-    Without hot groups an ordinary join, broadcast or sorted as the planner sees fit. A hot group's
-    rows are spread over as many salts as it has multiples of the limit, and its few partner rows are
-    repeated once per salt.
+    Without hot groups an ordinary join, broadcast or sorted as the planner sees fit. A hot group is
+    spread over as many salts as it has cells, its partner row repeated once for each.
     """
     keys = list(keys)
     if isinstance(hot, str):
         hot = hot_groups(df, keys)
     if hot is None:
         return df.join(per_group, keys)
-    limit = hot_rows(df.sparkSession)
-    salts = F.broadcast(hot.select(*keys, F.least(F.lit(4096), F.ceil(F.col("_n") / limit)).cast("int").alias("_salts")))
-    spread = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_salts")).cast("int"), F.lit(0))
-    left = df.join(salts, keys, "left").withColumn("_salt", spread).drop("_salts")
-    repeated = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    right = per_group.join(salts, keys, "left").withColumn("_salt", repeated).drop("_salts")
+    salts = F.broadcast(hot.select(*keys, "_k"))
+    left = df.join(salts, keys, "left").withColumn("_salt", F.coalesce(_spread(df), F.lit(0))).drop("_k")
+    repeated = F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)).cast("int") - 1))
+    right = per_group.join(salts, keys, "left").withColumn("_salt", repeated).drop("_k")
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
@@ -171,7 +187,7 @@ def running(
     out = celled.withColumns(
         {f"_l_{n}": fn(c).over(upto) for n, c in values.items()}
         | {f"_s_{n}": F.sum(c).over(inside) for n, c in totals.items()}
-    ).join(F.broadcast(summary), [*keys, "_cell"], "left")
+    ).join(F.broadcast(settle(summary)), [*keys, "_cell"], "left")
     if kind == "sum":
         joined = {
             n: F.when(F.col(f"_b_{n}").isNull(), F.col(f"_l_{n}")).otherwise(
@@ -286,7 +302,7 @@ def nearest_known(
         )
         .select(*keys, "_cell", "_carry_prev", "_carry_next")
     )
-    out = celled.withColumns(scan([*keys, "_cell"])).join(F.broadcast(carry), [*keys, "_cell"], "left")
+    out = celled.withColumns(scan([*keys, "_cell"])).join(F.broadcast(settle(carry)), [*keys, "_cell"], "left")
     return out.withColumns(
         {
             "prev_x": F.coalesce("prev_x", "_carry_prev.x"),
@@ -324,9 +340,9 @@ def _hot_quantiles(
             F.percentile_approx("_v", highs, accuracy).alias("_highs"),
         )
     )
-    # At most MAX_HOT rows. Collected because a sketch may differ between evaluations, and the
-    # clamp below must see one fixed set of edges.
-    edges = spark.createDataFrame(sketch.collect(), sketch.schema)
+    # At most MAX_HOT rows. A sketch may differ between evaluations, so one is fixed here: the clamp
+    # below must see the same edges everywhere.
+    edges = settle(sketch)
     snapped = F.array_max(
         F.zip_with(
             "_lows", "_highs", lambda lo, hi: F.when(lo <= F.col("_v"), F.least(F.col("_v"), hi))
@@ -363,8 +379,10 @@ def group_stats(
 ) -> DataFrame:
     """One row per group: exact linear-interpolated quantiles and ordinary aggregates."""
     wanted = list(quantiles or {}) + list(aggs or {})
+    named = list(keys)
     df, keys, hot = _start(df, keys, hot)
-    shown = [k for k in keys if k != _GLOBAL]
+    # The constant key stays in the result only when a caller in this module asked for it by name.
+    shown = keys if named else []
     asked = _by_value(quantiles or {})
     if hot is None or not asked:
         found, picks = [], {}
@@ -398,15 +416,15 @@ def attach_stats(
 
     if hot is None:
         return df.withColumns(over(Window.partitionBy(*keys))).drop(_GLOBAL)
-    names = list(quantiles or {}) + list(aggs or {})
     known = group_stats(_only_hot(df, keys, hot), keys, quantiles=quantiles, aggs=aggs, hot=hot)
-    known = known.select(*keys, *[F.col(n).alias(f"_h_{n}") for n in names], F.lit(True).alias("_is_hot"))
-    marked = df.join(F.broadcast(known), keys, "left").withColumn("_row", F.monotonically_increasing_id())
-    # Rows of hot groups already carry their answer; a spread key keeps them out of one window task.
-    marked = marked.withColumn("_spread", F.when(F.col("_is_hot"), F.pmod(F.hash("_row"), F.lit(4096))))
-    out = marked.withColumns({f"_w_{n}": c for n, c in over(Window.partitionBy(*keys, "_spread")).items()})
+    names = list(quantiles or {}) + list(aggs or {})
+    known = settle(known.select(*keys, *[F.col(n).alias(f"_h_{n}") for n in names])).join(
+        F.broadcast(hot.select(*keys, "_k")), keys
+    )
+    # Rows of hot groups carry their answer already; the spread key keeps them out of one window task.
+    marked = df.join(F.broadcast(known), keys, "left").withColumn("_salt", _spread(df))
+    out = marked.withColumns({f"_w_{n}": c for n, c in over(Window.partitionBy(*keys, "_salt")).items()})
     out = out.withColumns(
-        {n: F.when(F.col("_is_hot"), F.col(f"_h_{n}")).otherwise(F.col(f"_w_{n}")) for n in names}
+        {n: F.when(F.col("_k").isNotNull(), F.col(f"_h_{n}")).otherwise(F.col(f"_w_{n}")) for n in names}
     )
-    spare = [f"_{p}_{n}" for n in names for p in "hw"]
-    return out.drop("_is_hot", "_row", "_spread", _GLOBAL, *spare)
+    return out.drop("_k", "_salt", _GLOBAL, *[f"_{p}_{n}" for n in names for p in "hw"])

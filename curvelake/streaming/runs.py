@@ -34,12 +34,13 @@ def snapshot_upsert(changes: DataFrame, path: str, checkpoint: str) -> Streaming
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        batch.persist()
         fresh = batch
         if number > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}")
+            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={number - 1}")
             fresh = batch.unionByName(old.join(batch.select("run"), "run", "left_anti"))
         fresh.write.mode("overwrite").parquet(f"{path}/v={number}")
+        batch.unpersist()
 
     return (
         changes.writeStream.outputMode("update").foreachBatch(merge)

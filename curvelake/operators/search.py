@@ -237,3 +237,17 @@ def harmonic_match(best: DataFrame, truth: DataFrame, tolerance: float = 0.05) -
 
     p = F.col("true_period")
     return rows.withColumn("match", near(p) | near(p / 2) | near(p * 2))
+
+
+def centre_hits(folded: DataFrame, n_centres: int) -> DataFrame:
+    """Phase centres whose box holds each cadence, on a periodic axis.
+
+    Expects ``turn`` in [0, 1) and ``reach``, half the box width as a fraction of the period. The run of
+    centres follows from the cadence's own phase, so only pairs that match are ever formed.
+    """
+    n = s.lit(float(n_centres))
+    first = F.floor((F.col("turn") - F.col("reach")) * n) + 1
+    last = F.least(F.ceil((F.col("turn") + F.col("reach")) * n) - 1, first + n_centres - 1)
+    runs = folded.withColumns({"_a": first, "_b": last}).filter("_b >= _a")
+    hits = runs.withColumn("_c", F.explode(F.sequence("_a", "_b")))
+    return hits.withColumn("centre", F.pmod("_c", F.lit(n_centres)).cast("int")).drop("_a", "_b", "_c")

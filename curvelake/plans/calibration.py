@@ -406,3 +406,40 @@ def limb_darkening(spark, sf):
     rows = rows.withColumns({"u1": u1, "u2": u2})
     q1, q2 = s.quadratic_to_kipping(F.col("u1"), F.col("u2"))
     return rounded(rows.select("object_id", "u1", "u2", q1.alias("back_q1"), q2.alias("back_q2")), "u1", "u2", "back_q1", "back_q2")
+
+
+@query("f06_quadratic_to_kipping", f"""WITH u AS (SELECT p_partkey AS object_id, (p_partkey % 19) / 2e1 - 1e-1 AS u1, (p_partkey % 23) / 3e1 - 2e-1 AS u2 FROM part)
+SELECT object_id, {r('greatest(0, least(1, (u1 + u2) * (u1 + u2)))')} AS q1,
+ {r('CASE WHEN u1 + u2 > 0 THEN greatest(0, least(1, u1 / (2 * (u1 + u2)))) ELSE 0 END')} AS q2 FROM u""")
+def quadratic_to_kipping(spark, sf):
+    i = F.col("p_partkey")
+    rows = b.table(spark, sf, "part").select(
+        i.alias("object_id"), (i % 19 / b.lit(20.0) - b.lit(0.1)).alias("u1"), (i % 23 / b.lit(30.0) - b.lit(0.2)).alias("u2"))
+    q1, q2 = s.quadratic_to_kipping(F.col("u1"), F.col("u2"))
+    return rounded(rows.select("object_id", q1.alias("q1"), q2.alias("q2")), "q1", "q2")
+
+
+def _by_param(rows, column):
+    return rounded(rows.groupBy("object_id", "param").agg(F.sum(column).alias(column), F.count("*").alias("n")), column)
+
+
+@query("f07_physical_to_u", f"WITH {LONG}, {PRIOR} SELECT object_id, param, {r(f'sum({U})')} AS u, count(*) AS n FROM long JOIN prior USING (param) GROUP BY 1, 2")
+def physical_to_u(spark, sf):
+    return _by_param(long_with_prior(spark, sf).withColumn("u", pr.physical_to_u(F.col("value"), F.col("is_log"))), "u")
+
+
+@query("f09_physical_to_std", f"WITH {LONG}, {PRIOR} SELECT object_id, param, {r(f'sum(({U} - u_mean) / u_std)')} AS z, count(*) AS n FROM long JOIN prior USING (param) GROUP BY 1, 2")
+def physical_to_std(spark, sf):
+    return _by_param(long_with_prior(spark, sf).withColumn("z", pr.physical_to_std(F.col("value"))), "z")
+
+
+CLIPPED = "greatest(u_low, least(u_high, 3 * ((" + U + ") - u_mean) + u_mean))"
+
+
+@query("f10_std_to_physical", f"""WITH {LONG}, {PRIOR}
+SELECT object_id, param, {r(f'sum(CASE WHEN is_log THEN exp({CLIPPED}) ELSE {CLIPPED} END)', 4)} AS back, count(*) AS n FROM long JOIN prior USING (param) GROUP BY 1, 2""")
+def std_to_physical(spark, sf):
+    """Standardised values stretched threefold, so that clipping to the prior box takes effect."""
+    z = pr.physical_to_std(F.col("value")) * b.lit(3.0)
+    rows = long_with_prior(spark, sf).withColumn("back", pr.std_to_physical(z))
+    return rows.groupBy("object_id", "param").agg(F.round(F.sum("back"), 4).alias("back"), F.count("*").alias("n"))

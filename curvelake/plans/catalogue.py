@@ -205,3 +205,10 @@ def phase_days(spark, sf):
     rows = cadence.join(b.sparse_ephemeris(cadence), "object_id")
     out = rows.select("object_id", "event_id", s.centred_phase_days(F.col("t"), F.col("t0"), F.col("P")).alias("days"))
     return rounded(out, "days")
+
+
+@query("f01_centred_phase", f"WITH {SPARSE}, {EPH} SELECT object_id, event_id, {r(phase())} AS phase FROM cad JOIN eph USING (object_id)")
+def centred_phase(spark, sf):
+    cadence = b.sparse_cadence(spark, sf, "event_id")
+    rows = cadence.join(b.sparse_ephemeris(cadence), "object_id")
+    return rounded(rows.select("object_id", "event_id", s.centred_phase(F.col("t"), F.col("t0"), F.col("P")).alias("phase")), "phase")

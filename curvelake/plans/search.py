@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curvelake.functions import scalars as s
+from curvelake.operators import reduce as red
 from curvelake.operators import search as se
 from curvelake.plans.reduction import normalized_sql, sparse
 from curvelake.plans.registry import EPH, SPARSE, fmod, query, r, rounded
@@ -117,3 +118,15 @@ def phase_bin(spark, sf):
     cadence = b.sparse_cadence(spark, sf, "event_id")
     rows = cadence.join(b.sparse_ephemeris(cadence), "object_id")
     return rows.select("object_id", "event_id", s.phase_bin(F.col("t"), F.col("P"), 64).alias("bin"))
+
+
+@query("j06_phase_centre_hits", f"""WITH {SPARSE}, {EPH},
+tn AS (SELECT object_id, flux, {fmod('t / P', '1e0')} AS turn FROM cad JOIN eph USING (object_id))
+SELECT object_id, CAST(i AS INTEGER) AS centre, count(*) AS n, {r('avg(flux)')} AS mean_flux FROM tn, range(32) g(i)
+WHERE least(abs(turn - i / 32e0), 1 - abs(turn - i / 32e0)) < 37e-3 GROUP BY 1, 2""")
+def phase_centre_hits(spark, sf):
+    cadence, eph = sparse(spark, sf)
+    rows = red.join_ephemeris(cadence, eph).select(
+        "object_id", "flux", s.floor_mod(F.col("t") / F.col("P"), s.lit(1.0)).alias("turn"), s.lit(0.037).alias("reach"))
+    out = se.centre_hits(rows, 32).groupBy("object_id", "centre").agg(F.count("*").alias("n"), F.avg("flux").alias("mean_flux"))
+    return rounded(out, "mean_flux")

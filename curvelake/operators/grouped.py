@@ -121,6 +121,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle_if(df: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``settle`` where split plans are about to read ``df`` several times; otherwise ``df`` itself.
+
+    Meant after an ordered pass, on the few columns still needed: one narrow write instead of
+    repeating the sort for every reading.
+    """
+    return df if hot is None else settle(df)
+
+
 def join_groups(df: DataFrame, per_group: DataFrame, keys: Sequence[str], *, hot=AUTO) -> DataFrame:
     """Many rows per group joined to the one row its group has in ``per_group``.
 

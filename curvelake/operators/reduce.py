@@ -224,7 +224,8 @@ def white_sigma(cadence: DataFrame, *, centred: bool = True, hot=g.AUTO) -> Data
     """
     if isinstance(hot, str):
         hot = g.hot_groups(cadence, ID)
-    steps = differences(cadence, hot=hot).filter(F.col("d_flux").isNotNull())
+    steps = differences(cadence, hot=hot).filter(F.col("d_flux").isNotNull()).select(*ID, "d_flux")
+    steps = g.settle_if(steps, hot)
     root2 = s.lit(2.0**0.5)
     if centred:
         steps = g.attach_stats(steps, ID, quantiles={"_m": (F.col("d_flux"), 0.5)}, hot=hot)
@@ -239,8 +240,9 @@ def white_sigma(cadence: DataFrame, *, centred: bool = True, hot=g.AUTO) -> Data
 def median_cadence(cadence: DataFrame, *, hot=g.AUTO) -> DataFrame:
     if isinstance(hot, str):
         hot = g.hot_groups(cadence, ID)
+    steps = g.settle_if(differences(cadence, hot=hot).select(*ID, "d_t"), hot)
     return g.group_stats(
-        differences(cadence, hot=hot), ID, quantiles={"dt": (F.col("d_t"), 0.5)},
+        steps, ID, quantiles={"dt": (F.col("d_t"), 0.5)},
         aggs={"n": F.count(F.lit(1))}, hot=hot,
     )
 
@@ -362,8 +364,10 @@ def interpolate(df: DataFrame, value: str, *, x: str = "t", hot=g.AUTO) -> DataF
     return rows.withColumn(value, joined).drop("prev_x", "prev_v", "next_x", "next_v")
 
 
-def _masked_for_trend(rows: DataFrame, hot) -> DataFrame:
+def mask_transits(rows: DataFrame, *, hot=g.AUTO) -> DataFrame:
     """``work``: the flux with in-transit cadences bridged, where enough cadences lie outside."""
+    if isinstance(hot, str):
+        hot = g.hot_groups(rows, ID)
     away = F.abs(s.centred_phase_days(F.col("t"), F.col("t0"), F.col("P")))
     rows = rows.withColumn("_in", away < s.lit(0.7) * F.col("duration"))
     rows = g.attach_stats(
@@ -372,7 +376,8 @@ def _masked_for_trend(rows: DataFrame, hot) -> DataFrame:
         aggs={"_out": F.count_if(~F.col("_in"))}, hot=hot,
     )
     work = F.when(F.col("_in") & (F.col("_out") > 2), F.lit(None)).otherwise(F.col("flux"))
-    return interpolate(rows.withColumn("work", work), "work", hot=hot).drop("_in", "_out")
+    rows = rows.withColumn("work", work).select(*ID, "t", "flux", "work", "_med")
+    return g.settle_if(interpolate(rows, "work", hot=hot), hot)
 
 
 def _divide_by_trend(rows: DataFrame) -> DataFrame:
@@ -387,7 +392,7 @@ def flatten_fixed(cadence: DataFrame, ephemeris: DataFrame, window: int, *, hot=
     """Divide out a running-median trend of one odd window length, keeping transits out of the trend."""
     if isinstance(hot, str):
         hot = g.hot_groups(cadence, ID)
-    rows = _masked_for_trend(join_ephemeris(cadence, ephemeris, hot=hot), hot)
+    rows = mask_transits(join_ephemeris(cadence, ephemeris, hot=hot), hot=hot)
     rows = rolling_median(rows, "work", window // 2, hot=hot)
     return _divide_by_trend(rows).select(*ID, "t", "flux", "work", "trend", "flat")
 
@@ -413,7 +418,7 @@ def flatten(cadence: DataFrame, ephemeris: DataFrame, *, hot=g.AUTO) -> DataFram
     if isinstance(hot, str):
         hot = g.hot_groups(cadence, ID)
     windows = trend_windows(cadence, ephemeris, hot=hot)
-    rows = _masked_for_trend(join_ephemeris(cadence, ephemeris, hot=hot), hot)
+    rows = mask_transits(join_ephemeris(cadence, ephemeris, hot=hot), hot=hot)
     rows = g.positions(rows, ID, by_time(), F.col("t"), hot=hot)
     rows = g.join_groups(rows, windows, ID, hot=hot)
     if hot is None:

@@ -352,7 +352,7 @@ src AS (SELECT object_id, t, flux, med, coalesce(work, pv + (nv - pv) * (t - px)
 @query("w03_interpolate_masked", f"""WITH {SPARSE}, {EPH}, {MASKED}
 SELECT object_id, {r('t')} AS t, flux, {r('work')} AS work FROM src""")
 def interpolate_masked(spark, sf):
-    rows = red._masked_for_trend(red.join_ephemeris(*sparse(spark, sf)), g.AUTO)
+    rows = red.mask_transits(red.join_ephemeris(*sparse(spark, sf)))
     return rounded(rows.select("object_id", "t", "flux", "work"), "t", "work")
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.llm import near_dedup
-from curvelake.llm.common import table
+from curvelake.llm import near_dedup, packing, token_files
+from curvelake.llm.common import scratch, table
 from curvelake.plans.registry import Build, Query
 
 REGISTRY: dict[str, Query] = {}
@@ -22,3 +22,15 @@ def query(name: str, sql: str | None = None):
 @query("op1_near_dedup")
 def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op3_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
+@query("op9_token_files")
+def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder)
+    return token_files.digests(token_files.read_tokens(spark, folder))

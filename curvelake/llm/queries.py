@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.llm import decontaminate, near_dedup, packing, token_files
+from curvelake.llm import decontaminate, line_rules, near_dedup, packing, sharding, token_files
 from curvelake.llm.common import scratch, table
 from curvelake.plans.registry import Build, Query
 
@@ -67,3 +67,15 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+@query("op6_line_rules")
+def line_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_rules.clean_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
+
+
+@query("op7_sharding")
+def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})

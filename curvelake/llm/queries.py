@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.llm import decontaminate, line_rules, near_dedup, packing, sharding, token_files
+from curvelake.llm import decontaminate, line_rules, near_dedup, packing, quotes, sharding, token_files
 from curvelake.llm.common import scratch, table
 from curvelake.plans.registry import Build, Query
 
@@ -79,3 +79,9 @@ def line_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query("op10_quotation_links")
+def quotation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.link_quotations(table(spark, sf_dir, "conversations"))
+    return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "."))

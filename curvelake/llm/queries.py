@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.llm import decontaminate, line_rules, near_dedup, packing, quotes, sharding, token_files
+from curvelake.llm import decontaminate, line_rules, near_dedup, packing, quotes, secrets, sharding, token_files
 from curvelake.llm.common import scratch, table
 from curvelake.plans.registry import Build, Query
 
@@ -85,3 +85,17 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quotation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quotes.link_quotations(table(spark, sf_dir, "conversations"))
     return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "."))
+
+
+@query("op5_secrets")
+def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))

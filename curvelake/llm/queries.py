@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.llm import decontaminate, line_rules, near_dedup, packing, quotes, secrets, sharding, token_files
+from curvelake.llm import decontaminate, line_rules, near_dedup, packing, quality_net, quotes, secrets, sharding, token_files, toxicity
 from curvelake.llm.common import scratch, table
 from curvelake.plans.registry import Build, Query
 
@@ -99,3 +99,13 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(kind) for kind in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op2_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_quality_net")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,6 +1,6 @@
-"""Toxicity by a counterfactual-regularised classifier over the distinct words of a text.
+"""Toxicity by a counterfactual-regularised classifier over the distinct words and word beginnings of a text.
 
-Words are hashed into buckets. From a bounded labelled sample, buckets whose presence goes with the label are chosen, and a logistic
+Both are hashed into buckets. From a bounded labelled sample, buckets whose presence goes with the label are chosen, and a logistic
 model is fitted on them. Beside the log loss it minimises the squared change of the score when identity terms
 are swapped: in each labelled sentence an identity term is exchanged for another one, or, where there is none, one
 word for an identity term. So group names get no weight of their own and neutral mentions stay neutral.
@@ -24,10 +24,16 @@ from curvelake.llm.near_dedup import shingle_sets
 TRAIN_DOCS = 12_000
 SENTENCES = 4
 BUCKETS = 1 << 20
-MIN_DOCS = 3
-Z = 3.0
+#: Bytes of the beginnings of longer words: they carry a stem over to endings that the sample lacks.
+STEMS = (4, 5)
+#: Least log-likelihood ratio of a chosen bucket against independence of the label.
+EVIDENCE = 24.0
+#: Least share of ones among the documents with a chosen bucket: its presence alone has to mean something.
+PURITY = 0.6
 PENALTY = 2.0
-RIDGE = 1e-3
+RIDGE = 1e-4
+#: Share of the chosen buckets that each training step hides, so that each one learns to stand alone.
+HIDDEN = 0.6
 STEPS = 400
 #: Group names, swapped within their group.
 IDENTITY = {
@@ -47,13 +53,28 @@ def words(raw: bytes | None) -> list[bytes]:
     return raw.lower().translate(_BLANKED).split() if raw else []
 
 
-def buckets(found: list[bytes]) -> np.ndarray:
+def _hashed(found: list[bytes]) -> np.ndarray:
     flat = np.empty(len(found), object)
     flat[:] = found
     h = pd.util.hash_array(flat, categorize=False) if len(found) else np.zeros(0, np.uint64)
     return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def buckets(found: list[bytes]) -> np.ndarray:
+    """One row of buckets per word: of the word, and of each beginning or -1 where the word is no longer than it."""
+    columns = [_hashed(found)]
+    length = np.array([len(w) for w in found], np.int64)
+    for n in STEMS:
+        stem = _hashed([w[:n] for w in found]) ^ (n * 0x9E37 & BUCKETS - 1)
+        columns.append(np.where(length > n, stem, -1))
+    return np.stack(columns, 1)
+
+
+def distinct(found: list[bytes]) -> np.ndarray:
+    all_of = np.unique(buckets(found))
+    return all_of[all_of >= 0].astype(np.int32)
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, label, present (distinct buckets), sentences (buckets), swapped (the same after a swap), near (least shingles)."""
 
@@ -61,7 +82,7 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             present, plain, swapped, near = [], [], [], []
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                present.append(np.unique(buckets(words(raw))).astype(np.int32))
+                present.append(distinct(words(raw)))
                 near.append(shingle_sets([raw])[0][:8])
                 sentences = [w for s in _SENTENCE.findall(raw or b"") if (w := words(s))]
                 stride = max(1, len(sentences) // SENTENCES)
@@ -71,8 +92,8 @@ def features(docs: DataFrame) -> DataFrame:
                     twin = [_GROUP[w][(_GROUP[w].index(w) + 1 + pick % (len(_GROUP[w]) - 1)) % len(_GROUP[w])] if w in _GROUP else w for w in s]
                     if twin == s:
                         twin[pick % len(twin)] = _ALL[pick % len(_ALL)]
-                    one.append(np.unique(buckets(s)).tolist())
-                    other.append(np.unique(buckets(twin)).tolist())
+                    one.append(distinct(s).tolist())
+                    other.append(distinct(twin).tolist())
                 plain.append(one)
                 swapped.append(other)
             ints, lists = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
@@ -101,8 +122,9 @@ class Model:
 
     def score(self, raw: list[bytes | None]) -> np.ndarray:
         found = [words(t) for t in raw]
-        row = np.repeat(np.arange(len(raw)), [len(w) for w in found])
-        bucket = buckets([w for ws in found for w in ws])
+        each = buckets([w for ws in found for w in ws])
+        row = np.repeat(np.repeat(np.arange(len(raw)), [len(w) for w in found]), each.shape[1])
+        bucket = each.ravel()
         at = np.searchsorted(self.chosen, bucket)
         hit = self.chosen[np.minimum(at, len(self.chosen) - 1)] == bucket if len(self.chosen) else np.zeros(len(bucket), bool)
         pairs = np.unique(row[hit] * len(self.chosen) + at[hit]) if len(self.chosen) else np.zeros(0, np.int64)
@@ -131,9 +153,11 @@ def fit(sample: pd.DataFrame, penalty: float = PENALTY, ridge: float = RIDGE, st
     flat, owner = np.concatenate(present), np.repeat(y, [len(x) for x in present])
     df = np.bincount(flat, minlength=BUCKETS)
     with_one = np.bincount(flat, owner, minlength=BUCKETS)
-    p1, p0 = with_one / n1, (df - with_one) / n0
-    spread = np.sqrt(np.maximum(df / len(y) * (1 - df / len(y)), 1e-9) * (1 / n1 + 1 / n0))
-    chosen = np.nonzero((df >= MIN_DOCS) & (np.abs(p1 - p0) / spread >= Z))[0]
+    without = df - with_one
+    share = n1 / len(y)
+    # Twice the log-likelihood gained when documents with the bucket get their own share of ones.
+    ratio = 2 * (with_one * np.log(np.maximum(with_one, 1) / np.maximum(df * share, 1e-9)) + without * np.log(np.maximum(without, 1) / np.maximum(df * (1 - share), 1e-9)))
+    chosen = np.nonzero((ratio >= EVIDENCE) & (with_one >= PURITY * df))[0]
     column = np.full(BUCKETS, -1)
     column[chosen] = np.arange(len(chosen))
     row, at = _rows(present, column)
@@ -146,9 +170,13 @@ def fit(sample: pd.DataFrame, penalty: float = PENALTY, ridge: float = RIDGE, st
     def logistic(r: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(b + np.bincount(r, w[c], minlength=n), -30, 30)))
 
+    draw = np.random.default_rng(11)
     for step in range(1, steps + 1):
-        gap = (logistic(row, at, len(y)) - y) / len(y)
-        grad = np.bincount(at, gap[row], minlength=len(w)) + ridge * w
+        # The hidden buckets are drawn anew for each document.
+        shown = draw.random(len(row)) >= HIDDEN
+        row_s, at_s = row[shown], at[shown]
+        gap = (logistic(row_s, at_s, len(y)) - y) / len(y)
+        grad = np.bincount(at_s, gap[row_s], minlength=len(w)) + ridge * w
         grad_b = gap.sum()
         if plain:
             pa_, pb = logistic(row_a, at_a, len(plain)), logistic(row_b, at_b, len(plain))

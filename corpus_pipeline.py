@@ -1,17 +1,77 @@
-"""Documents to training sequences: STAGES in order, each written as Parquet and reread by the next."""
+"""Documents to training sequences: STAGES in order, each written as Parquet and reread by the next.
+
+Every stage takes what its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curvelake.llm.common import same_row, scratch, table
+from curvelake.llm.decontaminate import contaminated
+from curvelake.llm.line_rules import clean_lines
+from curvelake.llm.near_dedup import near_duplicates
+from curvelake.llm.packing import pack_documents
+from curvelake.llm.secrets import redact
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = gone.select("doc_id", "text_key").distinct()
+    return docs.join(gone, same_row(docs, gone), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failed lines go from the text; documents that fail or lose too much go as a whole."""
+    kept = clean_lines(docs, carry=True).filter("kept")
+    columns = [F.col("cleaned_text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return _with_length(kept.select(*columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id; rows that repeat stay once."""
+    gone = near_duplicates(docs, percent=80).filter("NOT kept")
+    return _without(docs, gone).dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold enough of a benchmark item go."""
+    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text."""
+    return _with_length(redact(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences of several lengths, one row per piece."""
+    return pack_documents(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
+]
+#: Similarity, automata and tokens are beyond SQL; tests/llm holds brute-force versions against the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        folder = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

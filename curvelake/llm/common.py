@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake.session import ensure_checkpoint_dir
@@ -21,6 +21,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def text_key(docs: DataFrame) -> DataFrame:
+    """`texts` and a hash of the text: with doc_id it finds a row again, even where rows share an id."""
+    return texts(docs).withColumn("text_key", F.xxhash64("text"))
+
+
+def same_row(docs: DataFrame, found: DataFrame) -> Column:
+    """Join condition of rows of `docs` and of an operator's result that carries doc_id and text_key; nulls match."""
+    return docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["text_key"])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows: a batch of very long texts still fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

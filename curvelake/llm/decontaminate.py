@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvelake.llm.common import small_batches, texts
+from curvelake.llm.common import small_batches, text_key
 
 WINDOW = 13
 PERCENT = 5
@@ -23,7 +23,7 @@ BLOCK_CHARS = 16 << 20
 #: Bytes that are part of words after A-Z are lower-cased: digits, letters and all of non-ASCII characters.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BLANKED = bytes(b if WORD.match(bytes([b])) else 32 for b in range(256))
-STATE = "doc_id long, text string, n_words long, runs array<int>, items array<string>"
+STATE = "doc_id long, text string, text_key long, n_words long, runs array<int>, items array<string>"
 
 
 def words(raw: bytes | None) -> list[bytes]:
@@ -92,7 +92,7 @@ _AUTOMATA: dict[str, Windows] = {}
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, spans, contaminated for every row of `docs`.
+    """doc_id, n_words, n_hit, n_items, items, spans, contaminated, text_key for every row of `docs`.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A window is `window` consecutive
     words of a benchmark text; a shorter one is a window as a whole, one without words none. A word of a document
@@ -102,7 +102,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
     """
     spark = docs.sparkSession
     small_batches(spark)
-    state = texts(docs)
+    state = text_key(docs)
     for part in _blocks(benchmark):
         held, key = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
@@ -113,7 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
             for batch in batches:
                 raw = batch.column(1).cast(pa.binary()).to_pylist()
                 n = batch.num_rows
-                old = (batch.column(3).to_pylist(), batch.column(4).to_pylist()) if batch.num_columns > 2 else ([[]] * n, [[]] * n)
+                old = (batch.column(4).to_pylist(), batch.column(5).to_pylist()) if batch.num_columns > 3 else ([[]] * n, [[]] * n)
                 counts, runs, items = [], [], []
                 for text, before, names in zip(raw, *old):
                     found = words(text)
@@ -123,8 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
                     runs.append([x for r in hits for x in r])
                     items.append(sorted(owners | set(names)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    ["doc_id", "text", "n_words", "runs", "items"],
+                    [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
+                    ["doc_id", "text", "text_key", "n_words", "runs", "items"],
                 )
 
         state = state.mapInArrow(run, STATE)
@@ -132,18 +132,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, hit = [], []
-            for raw, flat in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+            for raw, flat in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(4).to_pylist()):
                 runs = list(zip(flat[::2], flat[1::2]))
                 spans.append(character_spans(raw, runs) if runs else [])
                 hit.append(sum(b - a for a, b in runs))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(hit, pa.int64()), batch.column(4), pa.array(spans, kind)],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(hit, pa.int64()), batch.column(5), pa.array(spans, kind)],
+                ["doc_id", "text_key", "n_words", "n_hit", "items", "spans"],
             )
 
-    out = state.mapInArrow(finish, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    out = state.mapInArrow(finish, "doc_id long, text_key long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans",
-        ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"), "text_key",
     )

@@ -95,15 +95,17 @@ def counted(docs: DataFrame) -> DataFrame:
     })
 
 
-def clean_lines(docs: DataFrame) -> DataFrame:
+def clean_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Every row of `docs` with doc_id, the counts, base_failed, kept_chars, kept, and cleaned_text.
 
     Words are runs without ASCII white space, lines end at a line feed. n_repeat_words counts the words that lie in
     any three-word window that occurs at least twice, the first occurrence included. cleaned_text has the lines
     that pass, each distinct line once, without lines that hold no word. Null and empty texts count 0, fail the base rules and
-    have the cleaned text ''. Repeated rows come out as often; an empty table gives an empty one.
+    have the cleaned text ''. Repeated rows come out as often; an empty table gives an empty one. With `carry` the
+    column `row` holds the whole row of `docs`.
     """
-    base = counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    base = counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row))
     base = base.withColumn("_kept", F.filter(F.array_distinct("_lines"), lambda x: failed_rule(x).isNull()))
     base = base.withColumn("cleaned_text", F.array_join("_kept", "\n"))
     base = base.withColumn("kept_chars", F.length(F.array_join(words_of(F.col("cleaned_text")), "")).cast("long"))
@@ -111,5 +113,5 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     enough = 100 * F.col("kept_chars") >= KEEP_PERCENT * F.col("word_chars")
     return base.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        "kept_chars", (~failed & enough).alias("kept"), "cleaned_text",
+        "kept_chars", (~failed & enough).alias("kept"), "cleaned_text", *(["row"] if carry else []),
     )

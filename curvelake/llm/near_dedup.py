@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvelake.llm.common import connected, shared, small_batches, texts
+from curvelake.llm.common import connected, shared, small_batches, text_key, texts
 
 SHINGLE = 5
 SKETCH = 64
@@ -81,7 +81,7 @@ def least_shared(k: int, threshold: float) -> int:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null for empty ones), sketch (the k smallest values)."""
+    """doc_id, text_key, n_shingles, set_key (equal for equal sets, null for empty ones), sketch (the k smallest values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +91,11 @@ def sketches(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in heads])]).astype(np.int32)
             sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(keys, pa.binary()), sketch], ["doc_id", "n_shingles", "set_key", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), n, pa.array(keys, pa.binary()), sketch], ["doc_id", "text_key", "n_shingles", "set_key", "sketch"]
+            )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
+    return text_key(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, sketch array<long>")
 
 
 def clusters(reps: DataFrame, threshold: float, k: int = SKETCH) -> DataFrame:
@@ -229,7 +231,7 @@ def verified(docs: DataFrame, found: DataFrame, sizes: DataFrame, percent: int,
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, k: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text, anything else).
+    """doc_id, n_shingles, component_id, kept, text_key for every row of `docs` (doc_id, text, anything else).
 
     Two documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of `size`-word shingles. A
     document with fewer words has its whole sequence as its one shingle; null, empty and blank texts have none and
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, k:
     known = every.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     members = shared(every.drop("sketch").join(classes, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("rep", "doc_id")).alias("rep")
+        "doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("rep", "doc_id")).alias("rep")
     ))
     ids = members.filter("doc_id = rep AND n_shingles > 0").select("doc_id").distinct()
     reps = every.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -252,5 +254,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, k:
     joined = connected(edges).withColumnRenamed("node", "rep")
     return members.join(joined, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("component", "rep")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.coalesce("component", "rep")).alias("kept"), "text_key",
     )

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_near_dedup")
 def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_key")
 
 
 @query("op3_packing")

@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvelake.llm.common import shared, small_batches, texts
+from curvelake.llm.common import same_row, shared, small_batches, text_key
 
 KINDS = ("assign", "access", "hex")
 #: Distinct labelled values of each kind that its automaton is inferred from, the first by hash.
@@ -66,7 +66,7 @@ def base_spans(raw: bytes) -> list[tuple[int, int, str, bytes]]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base (kind, start, end, value), tokens (start, end, shape): all in code points, over whole texts."""
+    """doc_id, text_key, base (kind, start, end, value), tokens (start, end, shape): all in code points, over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,10 +89,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 tokens.append([{"start": at(a), "end": at(b), "shape": classes(raw[a:b])} for a, b in free])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
             shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("shape", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(tokens, shape)], ["doc_id", "base", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, kind), pa.array(tokens, shape)], ["doc_id", "text_key", "base", "tokens"])
 
-    return texts(docs).mapInArrow(
-        run, "doc_id long, base array<struct<kind:string,start:int,end:int,value:string>>, tokens array<struct<start:int,end:int,shape:string>>"
+    return text_key(docs).mapInArrow(
+        run, "doc_id long, text_key long, base array<struct<kind:string,start:int,end:int,value:string>>, tokens array<struct<start:int,end:int,shape:string>>"
     )
 
 
@@ -243,7 +243,7 @@ def automata(scanned: DataFrame, sample: int = SAMPLE) -> list[Automaton]:
 
 
 def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, base and spans, each an array of (kind, start, end) in order of start and kind, for every row of `docs`.
+    """doc_id, text_key, base and spans, these each an array of (kind, start, end) in order of start and kind, for every row of `docs`.
 
     spans holds the base matches and what the automata add, as kinds format_assign, format_access and format_hex;
     an added token never overlaps a base match. Offsets count code points, the end is exclusive. Null and empty
@@ -269,12 +269,32 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             base, spans = [], []
-            for old, tokens in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for old, tokens in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 mine = [{"kind": b["kind"], "start": b["start"], "end": b["end"]} for b in old]
                 more = [{"kind": k, "start": t["start"], "end": t["end"]} for t in tokens if (k := judged(t["shape"]))]
                 base.append(mine)
                 spans.append(sorted(mine + more, key=lambda s: (s["start"], order[s["kind"]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(spans, kind)], ["doc_id", "base", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, kind), pa.array(spans, kind)], ["doc_id", "text_key", "base", "spans"])
 
     span = "array<struct<kind:string,start:int,end:int>>"
-    return scanned.mapInArrow(run, f"doc_id long, base {span}, spans {span}")
+    return scanned.mapInArrow(run, f"doc_id long, text_key long, base {span}, spans {span}")
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each stretch of overlapping spans replaced by `mark`."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        before = F.when(fresh, F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
+
+    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Every row and column of `docs`, secrets in its text replaced."""
+    found = find_secrets(docs, sample).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "spans")
+    joined = docs.join(found, same_row(docs, found), "left")
+    text = F.when(found["spans"].isNull(), docs["text"]).otherwise(redacted(docs["text"].cast("string"), found["spans"]))
+    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])

@@ -68,7 +68,7 @@ def write_token_files(
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, part, local_start; token pages are not read."""
     rows = spark.read.parquet(folder).select("doc_id", "part", "local_start", "n_tokens")
-    return rows.join(_offsets(spark, folder), "part").select(
+    return rows.join(F.broadcast(_offsets(spark, folder)), "part").select(
         "doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "part", "local_start"
     )
 
@@ -86,7 +86,7 @@ def read_tokens(spark: SparkSession, folder: str, first: int | None = None, last
         rows = rows.filter(F.col("doc_id") >= first)
     if last is not None:
         rows = rows.filter(F.col("doc_id") <= last)
-    return rows.join(_offsets(spark, folder), "part").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
+    return rows.join(F.broadcast(_offsets(spark, folder)), "part").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
 
 
 def digests(tokens: DataFrame) -> DataFrame:

@@ -9,9 +9,15 @@ import numpy as np
 
 #: White space of the tokenizer's splitting pattern (the Unicode property).
 SPACE = "\t-\r \x85\xa0  -     　"
-#: The pattern never joins what stands on two sides of these cuts: a word takes one space before it along.
-PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-REMEMBERED = 300_000
+#: Some of the letters; all of these ranges are letters to the pattern.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: The pattern never joins what stands on two sides of these cuts: a word takes one space before it along, and a
+#: word of plain letters ends where a mark follows it.
+PIECE = re.compile(f" ?[{LETTERS}]+(?=[.,;:!?{SPACE}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Pieces in each of the two generations of the memory: the older one is dropped when the newer one is full.
+REMEMBERED = 350_000
+#: Unknown pieces are encoded many at a time, with a line feed between them, which stays a token of its own.
+JOINED = 512
 
 
 def default_vocabulary() -> str:
@@ -30,17 +36,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        words = [p for p in new if not p.isspace()] if len(self.feed) == 1 else []
+        others = [p for p in new if p.isspace()] if words else new
+        self.known.update(zip(others, self._encode(others)))
+        for start in range(0, len(words), JOINED):
+            some = words[start : start + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.nonzero(ids == self.feed[0])[0]
+            if len(ends) != len(some) - 1:
+                self.known.update(zip(some, self._encode(some)))
+                continue
+            raw, bounds = ids.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *(x + 4 for x in bounds)], [*bounds, len(raw)]))))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         pieces = [None if t and any(s in t for s in self.special) else PIECE.findall(t or "") for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list({p for ps in pieces if ps for p in ps if p not in known})
-        known.update(zip(new, self._encode(new)))
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = {p for ps in pieces if ps for p in ps if p not in known}
+        back = {p: older[p] for p in new if p in older}
+        known.update(back)
+        self._learn([p for p in new if p not in back])
         ids = known.__getitem__
         return [b"".join(map(ids, ps)) if ps is not None else self._encode([t])[0] for ps, t in zip(pieces, texts)]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curvelake.llm.common import same_row, scratch, table
 from curvelake.llm.decontaminate import contaminated
-from curvelake.llm.line_rules import clean_lines
+from curvelake.llm.line_rules import kept_documents
 from curvelake.llm.near_dedup import near_duplicates
 from curvelake.llm.packing import pack_documents
 from curvelake.llm.secrets import redact
@@ -31,9 +31,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failed lines go from the text; documents that fail or lose too much go as a whole."""
-    kept = clean_lines(docs, carry=True).filter("kept")
-    columns = [F.col("cleaned_text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return _with_length(kept.select(*columns))
+    return _with_length(kept_documents(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A line is removed when it fails one of three rules:
 - punctuation: many symbols (#*$%&|<>) for its words, most words shouted with '!!', or many words and no mark at all;
 - navigation: three or more menu separators (|, », ·, › between spaces), or link-only texts such as "read more";
-- boilerplate: a licence, copyright, cookie or login notice, or a line that stood in the document before.
+- boilerplate: a licence, copyright, cookie or login notice of at most NOTICE_CHARS, or a line that stood in the
+  document before.
 A document is rejected when it fails the base rules, or when less than KEEP_PERCENT of its characters in words remain.
 """
 
@@ -18,6 +19,8 @@ KEEP_PERCENT = 50
 SYMBOL_PERCENT = 30
 SHOUT_PERCENT = 50
 UNMARKED_WORDS = 40
+NOTICE_CHARS = 200
+MENU_CHARS = 40
 
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -37,14 +40,17 @@ def words_of(text: Column) -> Column:
 def failed_rule(line: Column) -> Column:
     """punctuation, navigation, boilerplate, or null for a line that stays."""
     n = F.regexp_count(line, F.lit(NOT_SPACE + "+"))
-    low = F.lower(line)
-    return (
+    # Cheap tests first: most lines hold none of these characters, hold a mark, and are longer than any notice.
+    marked = (
         F.when(F.regexp_count(line, F.lit(r"\x20[|»·›]\x20")) >= 3, "navigation")
-        .when(low.rlike(NAVIGATION), "navigation")
         .when(100 * F.regexp_count(line, F.lit(SYMBOLS + "+")) > SYMBOL_PERCENT * n, "punctuation")
         .when(100 * F.regexp_count(line, F.lit(r"!!+(?![^\x20\x09-\x0D])")) > SHOUT_PERCENT * n, "punctuation")
-        .when((n >= UNMARKED_WORDS) & ~line.rlike(r"[.!?:;,…。！？]"), "punctuation")
-        .when(low.rlike(BOILERPLATE), "boilerplate")
+    )
+    return F.coalesce(
+        F.when(line.rlike(r"[#*$%&|<>»·›]|!!"), marked),
+        F.when(~line.rlike(r"[.!?:;,…。！？]"), F.when(n >= UNMARKED_WORDS, "punctuation")),
+        F.when(F.length(line) <= MENU_CHARS, F.when(F.lower(line).rlike(NAVIGATION), "navigation")),
+        F.when(F.length(line) <= NOTICE_CHARS, F.when(F.lower(line).rlike(BOILERPLATE), "boilerplate")),
     )
 
 
@@ -89,7 +95,7 @@ def counted(docs: DataFrame) -> DataFrame:
     return base.withColumns({
         "n_words": F.col("_count").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
+        "n_symbols": F.length(F.regexp_replace("_text", "[^" + SYMBOLS[1:] + "+", "")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated.cast("long"),
     })
@@ -108,10 +114,23 @@ def clean_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
     base = counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row))
     base = base.withColumn("_kept", F.filter(F.array_distinct("_lines"), lambda x: failed_rule(x).isNull()))
     base = base.withColumn("cleaned_text", F.array_join("_kept", "\n"))
-    base = base.withColumn("kept_chars", F.length(F.array_join(words_of(F.col("cleaned_text")), "")).cast("long"))
+    recounted = F.length(F.array_join(words_of(F.col("cleaned_text")), "")).cast("long")
+    base = base.withColumn("kept_chars", F.when(F.size("_kept") == F.size("_lines"), F.col("word_chars")).otherwise(recounted))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     enough = 100 * F.col("kept_chars") >= KEEP_PERCENT * F.col("word_chars")
     return base.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         "kept_chars", (~failed & enough).alias("kept"), "cleaned_text", *(["row"] if carry else []),
     )
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The documents that pass, with the columns of `docs` and the cleaned text.
+
+    A plain filter on the verdict would be pushed below the projections that compute it, and every expression it
+    builds on would be repeated in it. Rows that come out of a generator are filtered after it.
+    """
+    judged = clean_lines(docs, carry=True)
+    passed = F.explode_outer(F.when(F.col("kept"), F.array(F.struct("cleaned_text", "row")))).alias("passed")
+    kept = judged.select(passed).filter("passed IS NOT NULL")
+    return kept.select(*[F.col("passed.cleaned_text" if c == "text" else f"passed.row.`{c}`").alias(c) for c in docs.columns])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from curvelake.session import ensure_checkpoint_dir
 
 BATCH_ROWS = 256
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +40,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """What a worker process keeps between tasks: one thing, made anew when another one is asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """For tasks that keep nothing: workers are shared by all operators."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint storage."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvelake.llm.common import small_batches, text_key
+from curvelake.llm.common import kept, small_batches, text_key
 
 WINDOW = 13
 PERCENT = 5
@@ -88,9 +88,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes | None]]]:
         yield [(r.item, r.text.encode() if r.text is not None else None) for r in some.toLocalIterator()]
 
 
-_AUTOMATA: dict[str, Windows] = {}
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, spans, contaminated, text_key for every row of `docs`.
 
@@ -107,9 +104,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
         held, key = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
-            if key not in _AUTOMATA:
-                _AUTOMATA[key] = Windows(held.value, window)
-            automaton = _AUTOMATA[key]
+            automaton = kept(("windows", key), lambda: Windows(held.value, window))
             for batch in batches:
                 raw = batch.column(1).cast(pa.binary()).to_pylist()
                 n = batch.num_rows

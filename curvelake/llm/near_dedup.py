@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvelake.llm.common import connected, shared, small_batches, text_key, texts
+from curvelake.llm.common import connected, release, shared, small_batches, text_key, texts
 
 SHINGLE = 5
 SKETCH = 64
@@ -84,6 +84,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame
     """doc_id, text_key, n_shingles, set_key (equal for equal sets, null for empty ones), sketch (the k smallest values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), size)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -197,6 +198,7 @@ def verified(docs: DataFrame, found: DataFrame, sizes: DataFrame, percent: int,
     )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             values = pa.array([s.tobytes() for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), size)], pa.large_binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), values.cast(pa.binary())], ["doc_id", "values"])
@@ -209,6 +211,7 @@ def verified(docs: DataFrame, found: DataFrame, sizes: DataFrame, percent: int,
     dealt = tasks.join(full, "doc_id").repartition(*key).sortWithinPartitions(*key).select(*key, "doc_id", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple] = []
 
         def flush() -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvelake.llm.common import same_row, shared, small_batches, text_key
+from curvelake.llm.common import release, same_row, shared, small_batches, text_key
 
 KINDS = ("assign", "access", "hex")
 #: Distinct labelled values of each kind that its automaton is inferred from, the first by hash.
@@ -69,6 +69,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base (kind, start, end, value), tokens (start, end, shape): all in code points, over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             base, tokens = [], []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():

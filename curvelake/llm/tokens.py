@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from curvelake.llm.common import kept
+
 #: White space of the tokenizer's splitting pattern (the Unicode property).
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Some of the letters; all of these ranges are letters to the pattern.
@@ -69,11 +71,6 @@ class Encoder:
         return [b"".join(map(ids, ps)) if ps is not None else self._encode([t])[0] for ps, t in zip(pieces, texts)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: Encoder(path))

@@ -19,22 +19,20 @@ def merge_sides(a: DataFrame, b: DataFrame, keys: Sequence[str] = PAIR) -> DataF
     return a.select(*cols, F.lit("a").alias("side")).unionByName(b.select(*cols, F.lit("b").alias("side")))
 
 
-def wasserstein(sides: DataFrame, keys: Sequence[str] = PAIR, *, hot=g.AUTO) -> DataFrame:
+def wasserstein(sides: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     """Area between the two empirical distribution functions, per group.
 
     Equal values fold to one row with a count per side first; then one ordered pass.
     """
     keys = list(keys)
-    if isinstance(hot, str):
-        hot = g.hot_groups(sides, keys)
     counts = sides.groupBy(*keys, "value").agg(
         F.count_if(F.col("side") == "a").alias("_a"), F.count_if(F.col("side") == "b").alias("_b")
     )
-    order, lead = [F.col("value").asc()], F.col("value")
-    rows = g.sliding(counts, keys, order, lead, {"_next": lambda w: F.lead("value").over(w)}, after=1, hot=hot)
+    order = [F.col("value").asc()]
+    rows = g.sliding(counts, keys, order, {"_next": lambda w: F.lead("value").over(w)}, after=1)
     rows = g.running(
-        rows, keys, order, lead, {"_ca": F.col("_a"), "_cb": F.col("_b")},
-        totals={"n_a": F.col("_a"), "n_b": F.col("_b")}, hot=hot,
+        rows, keys, order, {"_ca": F.col("_a"), "_cb": F.col("_b")},
+        totals={"n_a": F.col("_a"), "n_b": F.col("_b")},
     )
     gap = F.abs(F.col("_ca") / F.col("n_a").cast("double") - F.col("_cb") / F.col("n_b").cast("double"))
     step = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), gap * F.coalesce(F.col("_next") - F.col("value"), s.lit(0.0)))
@@ -43,18 +41,16 @@ def wasserstein(sides: DataFrame, keys: Sequence[str] = PAIR, *, hot=g.AUTO) ->
     )
 
 
-def normalized_wasserstein(sides: DataFrame, ranges: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def normalized_wasserstein(sides: DataFrame, ranges: DataFrame) -> DataFrame:
     """Distance as a fraction of the prior range and of the wider 68% interval.
 
     ``ranges``: (param, prior_range), one row per parameter.
     """
-    if isinstance(hot, str):
-        hot = g.hot_groups(sides, PAIR)
-    far = wasserstein(sides, PAIR, hot=hot)
+    far = wasserstein(sides, PAIR)
     on = {side: F.when(F.col("side") == side, F.col("value")) for side in "ab"}
     widths = g.group_stats(
         sides, PAIR,
-        quantiles={f"_{side}{q}": (on[side], q / 100) for side in "ab" for q in (16, 84)}, hot=hot,
+        quantiles={f"_{side}{q}": (on[side], q / 100) for side in "ab" for q in (16, 84)},
     )
     width = F.greatest(F.col("_a84") - F.col("_a16"), F.col("_b84") - F.col("_b16"), s.lit(1e-12))
     return (
@@ -90,16 +86,16 @@ def jensen_shannon(sides: DataFrame, n_bins: int = 50, keys: Sequence[str] = PAI
     return counts.groupBy(*keys).agg(F.sum(F.when(both, s.lit(0.5) * (part(p) + part(q)))).alias("js"))
 
 
-def agreement_summary(distances: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def agreement_summary(distances: DataFrame) -> DataFrame:
     """Medians per parameter over all compared objects."""
     return g.group_stats(
-        g.settle(distances), ["param"],
+        distances, ["param"],
         quantiles={f"median_{k}": (F.col(k), 0.5) for k in ("wasserstein", "prior_fraction", "width_fraction")},
-        aggs={"n": F.count(F.lit(1))}, hot=hot,
+        aggs={"n": F.count(F.lit(1))},
     )
 
 
-def conditioning_summary(runs: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def conditioning_summary(runs: DataFrame) -> DataFrame:
     """Were exactly parameters 0 and 1 fixed in every run; median acceptance over the known ones.
 
     ``runs``: (object_id, fixed ARRAY<INT>, acceptance, ess).
@@ -109,14 +105,13 @@ def conditioning_summary(runs: DataFrame, *, hot=g.AUTO) -> DataFrame:
         runs, [],
         quantiles={"acceptance_median": (s.finite_or_null(F.col("acceptance")), 0.5), "ess_median": (F.col("ess"), 0.5)},
         aggs={"ephemeris_fixed": F.coalesce(F.bool_and(fixed), F.lit(False)), "ess_min": F.min("ess"), "n": F.count(F.lit(1))},
-        hot=hot,
     )
 
 
-def stratified_agreement(distances: DataFrame, strata: DataFrame, *, hot=g.AUTO) -> DataFrame:
-    rows = g.settle(distances.join(strata, "object_id"))
+def stratified_agreement(distances: DataFrame, strata: DataFrame) -> DataFrame:
+    rows = distances.join(strata, "object_id")
     return g.group_stats(
         rows, ["spec", "label", "param"],
         quantiles={f"median_{k}": (F.col(k), 0.5) for k in ("prior_fraction", "width_fraction")},
-        aggs={"n": F.count(F.lit(1))}, hot=hot,
+        aggs={"n": F.count(F.lit(1))},
     )

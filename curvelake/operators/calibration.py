@@ -130,7 +130,7 @@ def rank_histogram(ranks: DataFrame, n_bins: int = 10, by: Sequence[str] = ("par
     return joined.withColumn("density", F.bround(F.col("count") / (F.col("n") / s.lit(n_bins)), 3))
 
 
-def coverage(pairs: DataFrame, levels: Sequence[float] = LEVELS, *, hot=g.AUTO) -> DataFrame:
+def coverage(pairs: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
     """Share of truths inside the central interval, per level and parameter.
 
     All quantiles of an (object, parameter) come from one aggregate.
@@ -139,7 +139,7 @@ def coverage(pairs: DataFrame, levels: Sequence[float] = LEVELS, *, hot=g.AUTO)
     for i, a in enumerate(levels):
         asked[f"_lo{i}"] = (F.col("value"), (1 - a) / 2)
         asked[f"_hi{i}"] = (F.col("value"), (1 + a) / 2)
-    found = g.group_stats(pairs, PAIR, quantiles=asked, aggs={"truth": F.first("truth")}, hot=hot)
+    found = g.group_stats(pairs, PAIR, quantiles=asked, aggs={"truth": F.first("truth")})
     each = F.array(*[
         F.struct(
             s.lit(a).alias("level"),
@@ -179,7 +179,7 @@ def negative_log_truth(pairs: DataFrame) -> DataFrame:
     return m.select(*PAIR, F.when(F.col("_v") > 0, nll).alias("nll"))
 
 
-def posterior_summary(pairs: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def posterior_summary(pairs: DataFrame) -> DataFrame:
     """Posterior against the published value of each parameter; unpublished ones are left out."""
     v, t = F.col("value"), F.col("truth")
     rows = pairs.filter(s.is_finite(t))
@@ -187,7 +187,6 @@ def posterior_summary(pairs: DataFrame, *, hot=g.AUTO) -> DataFrame:
         rows, PAIR,
         quantiles={"post_median": (v, 0.5), "_q16": (v, 0.16), "_q84": (v, 0.84), "_q025": (v, 0.025), "_q975": (v, 0.975)},
         aggs={"published": F.first("truth"), "post_std": F.stddev_pop("value")},
-        hot=hot,
     )
     miss = F.col("post_median") - F.col("published")
     return found.select(
@@ -199,9 +198,9 @@ def posterior_summary(pairs: DataFrame, *, hot=g.AUTO) -> DataFrame:
     )
 
 
-def per_param_summary(summary: DataFrame, by: Sequence[str] = ("param",), *, hot=g.AUTO) -> DataFrame:
+def per_param_summary(summary: DataFrame, by: Sequence[str] = ("param",)) -> DataFrame:
     return g.group_stats(
-        g.settle(summary), list(by),
+        summary, list(by),
         quantiles={"median_frac_err": (F.col("frac_err"), 0.5)},
         aggs={
             "n": F.count(F.lit(1)),
@@ -209,32 +208,30 @@ def per_param_summary(summary: DataFrame, by: Sequence[str] = ("param",), *, hot
             "coverage_95": F.avg(F.col("in_95").cast("double")),
             "mean_abs_z": F.avg(F.abs("z")),
         },
-        hot=hot,
     )
 
 
-def interval_widths(pairs: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def interval_widths(pairs: DataFrame) -> DataFrame:
     """68% interval of each (object, parameter): width and whether it holds the truth."""
     v = F.col("value")
     found = g.group_stats(
-        pairs, PAIR, quantiles={"_lo": (v, 0.16), "_hi": (v, 0.84)}, aggs={"truth": F.first("truth")}, hot=hot
+        pairs, PAIR, quantiles={"_lo": (v, 0.16), "_hi": (v, 0.84)}, aggs={"truth": F.first("truth")}
     )
     return found.select(
         *PAIR, (F.col("_hi") - F.col("_lo")).alias("width"), within(F.col("truth"), F.col("_lo"), F.col("_hi")).alias("inside")
     )
 
 
-def stratified_characterization(widths: DataFrame, strata: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def stratified_characterization(widths: DataFrame, strata: DataFrame) -> DataFrame:
     """Coverage and median width per stratification, stratum and parameter.
 
     ``strata``: (object_id, spec, label) from ``catalog.unpivot_strata``.
     """
-    rows = g.settle(widths.join(strata, "object_id"))
+    rows = widths.join(strata, "object_id")
     return g.group_stats(
         rows, ["spec", "label", "param"],
         quantiles={"median_width": (F.col("width"), 0.5)},
         aggs={"n": F.count(F.lit(1)), "cov68": F.avg(F.col("inside").cast("double"))},
-        hot=hot,
     )
 
 
@@ -249,14 +246,13 @@ def regime(n_transits: Column) -> Column:
     return found
 
 
-def period_strata(ranked: DataFrame, min_objects: int = 30, *, hot=g.AUTO) -> DataFrame:
+def period_strata(ranked: DataFrame, min_objects: int = 30) -> DataFrame:
     """Rank and error statistics per transit-count regime with enough objects.
 
     ``ranked``: (object_id, truth, post_median, rank, n_draws, n_transits).
     """
     rel = (F.col("post_median") - F.col("truth")) / F.col("truth")
     rows = ranked.withColumn("regime", regime(F.col("n_transits"))).withColumn("rel", rel).filter("regime is not null")
-    rows = g.settle(rows)
     stats = g.group_stats(
         rows, ["regime"],
         quantiles={"median_rel_err": (F.col("rel"), 0.5)},
@@ -265,7 +261,6 @@ def period_strata(ranked: DataFrame, min_objects: int = 30, *, hot=g.AUTO) -> Da
             "rank_mean": F.avg(F.col("rank") / F.col("n_draws").cast("double")),
             "frac_within_5pct": F.avg((F.abs("rel") < 0.05).cast("double")),
         },
-        hot=hot,
     ).filter(F.col("n") >= min_objects)
     chi = sbc_uniformity(rows, by=("regime",), scope=("regime",)).drop("n")
     return stats.join(chi, "regime")

@@ -62,13 +62,13 @@ def read_catalog(
     return kept
 
 
-def stratified_pick(catalog: DataFrame, n: int, *, by: str = "RpRs", tie: str = "object_id", hot=g.AUTO) -> DataFrame:
+def stratified_pick(catalog: DataFrame, n: int, *, by: str = "RpRs", tie: str = "object_id") -> DataFrame:
     """At most 6n objects evenly spread along ``by``: those at the rounded points of an even grid.
 
     A row is picked when some grid point rounds (half to even) to its position, so the test is
     arithmetic on the position and nothing is joined.
     """
-    placed = g.positions(catalog, [], [F.col(by).asc(), F.col(tie).asc()], F.col(by), hot=hot)
+    placed = g.positions(catalog, [], [F.col(by).asc(), F.col(tie).asc()])
     total = F.col("n_rows")
     pool = F.least(total, F.lit(6 * n))
     step = (total - 1) / F.greatest(pool - 1, F.lit(1)).cast("double")
@@ -90,8 +90,8 @@ def smallest(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], lead: Column, n: int, *, hot=g.AUTO) -> DataFrame:
-    return g.positions(df, keys, order, lead, hot=hot).filter(F.col("pos") < n).drop("n_rows")
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    return g.positions(df, keys, order).filter(F.col("pos") < n).drop("n_rows")
 
 
 def with_strata(objects: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -17,16 +17,16 @@ from curvelake.functions import scalars as s
 from curvelake.operators import grouped as g
 
 
-def threshold_table(scored: DataFrame, by: Sequence[str] = (), *, hot=g.AUTO) -> DataFrame:
+def threshold_table(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: positives and negatives there (``pos``, ``neg``), at or above it
     (``tp``, ``fp``), and in all (``n_pos``, ``n_neg``)."""
     counts = scored.groupBy(*by, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     return g.running(
-        counts, list(by), [F.col("score").desc()], -F.col("score"),
+        counts, list(by), [F.col("score").desc()],
         {"tp": F.col("pos"), "fp": F.col("neg")},
-        totals={"n_pos": F.col("pos"), "n_neg": F.col("neg")}, hot=hot,
+        totals={"n_pos": F.col("pos"), "n_neg": F.col("neg")},
     )
 
 
@@ -82,10 +82,10 @@ def accuracy(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ())
     return scored.groupBy(*by).agg(F.avg(hit.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-def detection_summary(records: DataFrame, threshold: float = 0.9, score: str = "p_detect", *, hot=g.AUTO) -> DataFrame:
+def detection_summary(records: DataFrame, threshold: float = 0.9, score: str = "p_detect") -> DataFrame:
     found = g.group_stats(
         records, [], quantiles={"median_p_detect": (F.col(score), 0.5)},
-        aggs={"n": F.count(F.lit(1)), "n_detected": F.count_if(F.col(score) >= threshold)}, hot=hot,
+        aggs={"n": F.count(F.lit(1)), "n_detected": F.count_if(F.col(score) >= threshold)},
     )
     fraction = F.col("n_detected") / F.greatest(F.col("n"), F.lit(1)).cast("double")
     return found.select("n", "n_detected", fraction.alias("detected_fraction"), "median_p_detect")
@@ -120,10 +120,10 @@ def completeness(
     return cells.join(hits, bins, "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def compare_detectors(wide: DataFrame, scorers: Sequence[str], *, hot=g.AUTO) -> DataFrame:
+def compare_detectors(wide: DataFrame, scorers: Sequence[str]) -> DataFrame:
     """Metrics of several score columns on the same rows."""
     long = wide.unpivot(["label"], list(scorers), "scorer", "score")
-    return curve_metrics(threshold_table(long, ["scorer"], hot=hot), ["scorer"])
+    return curve_metrics(threshold_table(long, ["scorer"]), ["scorer"])
 
 
 def speed_report(timings: DataFrame, slow: str, fast: str) -> DataFrame:

@@ -3,25 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.functions import scalars as s
 
-# Parameters that the characterisation gates look at, and the gate thresholds.
+# The parameters that the characterisation gates look at.
 CHARACTERISATION = ("RpRs", "aRs", "b")
-MIN_AUC = 0.99
-MAX_COVERAGE_ERROR = 0.03
-MIN_DETECTED_FRACTION = 0.9
-MAX_PRIOR_FRACTION = 0.1
-MAX_WIDTH_FRACTION = 0.5
-MIN_ESS = 0.05
-MIN_COVERAGE_68 = 0.5
-MIN_COVERAGE_95 = 0.8
-MIN_REAL_DETECTED = 27
-MIN_COMPARED = 16
-MIN_SPEEDUP = 1000.0
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Gate thresholds; the defaults are fixed values."""
+
+    min_auc: float = 0.99
+    max_coverage_error: float = 0.03
+    min_detected_fraction: float = 0.9
+    max_prior_fraction: float = 0.1
+    max_width_fraction: float = 0.5
+    min_ess: float = 0.05
+    min_coverage_68: float = 0.5
+    min_coverage_95: float = 0.8
+    min_real_detected: int = 27
+    min_compared: int = 16
+    min_speedup: float = 1000.0
+
+
+DEFAULT = Limits()
 
 
 def holds(condition: Column) -> Column:
@@ -39,12 +49,12 @@ def sbc_gate(pvalues: DataFrame, alpha: float = 0.05, by: Sequence[str] = ()) ->
     )
 
 
-def evaluation_gates(metrics: DataFrame) -> DataFrame:
+def evaluation_gates(metrics: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """``metrics``: roc_auc, sbc_passes, coverage_error. A NULL coverage error stays NULL: not applicable."""
     return metrics.withColumns({
-        "detection_auc_ge_0.99": holds(F.col("roc_auc") >= MIN_AUC),
+        "detection_auc_ge_0.99": holds(F.col("roc_auc") >= limits.min_auc),
         "sbc_familywise_alpha_0.05": holds(F.col("sbc_passes")),
-        "coverage_error_le_0.03": F.col("coverage_error") <= MAX_COVERAGE_ERROR,
+        "coverage_error_le_0.03": F.col("coverage_error") <= limits.max_coverage_error,
     })
 
 
@@ -59,24 +69,42 @@ def agreement_extremes(agreement: DataFrame, by: Sequence[str] = (), params: Seq
     )
 
 
-def real_gates(metrics: DataFrame) -> DataFrame:
+def worst_agreement(agreement: DataFrame, by: Sequence[str] = (), params: Sequence[str] = CHARACTERISATION) -> DataFrame:
+    """As ``agreement_extremes``, for gates that every parameter has to pass: an absent parameter or one without
+    the metric counts as infinitely bad, and as compared with no object."""
+    kept = agreement.filter(F.col("param").isin(*params))
+    whole = F.count_distinct("param") == len(params)
+
+    def worst(metric: str) -> Column:
+        return F.when(whole & (F.count(F.lit(1)) == F.count(metric)), F.max(metric)).otherwise(s.lit(float("inf")))
+
+    fewest = F.when(whole, F.min(F.coalesce("n", F.lit(0)))).otherwise(F.lit(0))
+    return kept.groupBy(*by).agg(
+        worst("prior_fraction").alias("max_prior_fraction"), worst("width_fraction").alias("max_width_fraction"),
+        fewest.cast("long").alias("min_compared"),
+    )
+
+
+def real_gates(metrics: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """``metrics``: detected_fraction, max_prior_fraction, max_width_fraction, correction_enabled, min_ess.
 
     The importance gate exists only where the correction ran; elsewhere it is NULL.
     """
     return metrics.withColumns({
-        "detected_fraction_ge_0.9": holds(F.col("detected_fraction") >= MIN_DETECTED_FRACTION),
-        "prior_fraction_le_0.1": holds(F.col("max_prior_fraction") <= MAX_PRIOR_FRACTION),
-        "width_fraction_le_0.5": holds(F.col("max_width_fraction") <= MAX_WIDTH_FRACTION),
-        "min_ess_ge_0.05": F.when(F.col("correction_enabled"), holds(F.col("min_ess") >= MIN_ESS)),
+        "detected_fraction_ge_0.9": holds(F.col("detected_fraction") >= limits.min_detected_fraction),
+        "prior_fraction_le_0.1": holds(F.col("max_prior_fraction") <= limits.max_prior_fraction),
+        "width_fraction_le_0.5": holds(F.col("max_width_fraction") <= limits.max_width_fraction),
+        "min_ess_ge_0.05": F.when(F.col("correction_enabled"), holds(F.col("min_ess") >= limits.min_ess)),
     })
 
 
-def diagnostics(coverage: DataFrame, by: Sequence[str] = (), params: Sequence[str] = CHARACTERISATION) -> DataFrame:
+def diagnostics(
+    coverage: DataFrame, by: Sequence[str] = (), params: Sequence[str] = CHARACTERISATION, limits: Limits = DEFAULT
+) -> DataFrame:
     """``coverage``: (param, coverage_68, coverage_95) of the detected objects."""
     return coverage.filter(F.col("param").isin(*params)).groupBy(*by).agg(
-        holds(F.min("coverage_68") >= MIN_COVERAGE_68).alias("cov68_ge_0.5"),
-        holds(F.min("coverage_95") >= MIN_COVERAGE_95).alias("cov95_ge_0.8"),
+        holds(F.min("coverage_68") >= limits.min_coverage_68).alias("cov68_ge_0.5"),
+        holds(F.min("coverage_95") >= limits.min_coverage_95).alias("cov95_ge_0.8"),
     )
 
 
@@ -86,17 +114,17 @@ REPORT_GATES = (
 )
 
 
-def gate_report(metrics: DataFrame) -> DataFrame:
+def gate_report(metrics: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """The nine release gates and their conjunction, one row per metric row."""
     checks = {
         "synthetic_auc": F.col("auc_passes"),
         "synthetic_sbc": F.col("sbc_passes"),
         "synthetic_coverage": F.col("coverage_passes"),
-        "real_detected": F.col("n_detected") >= MIN_REAL_DETECTED,
-        "real_compared": F.col("min_compared") >= MIN_COMPARED,
-        "real_prior_fraction": F.col("max_prior_fraction") <= MAX_PRIOR_FRACTION,
-        "real_width_fraction": F.col("max_width_fraction") <= MAX_WIDTH_FRACTION,
-        "speedup": F.col("speedup_x") >= MIN_SPEEDUP,
+        "real_detected": F.col("n_detected") >= limits.min_real_detected,
+        "real_compared": F.col("min_compared") >= limits.min_compared,
+        "real_prior_fraction": F.col("max_prior_fraction") <= limits.max_prior_fraction,
+        "real_width_fraction": F.col("max_width_fraction") <= limits.max_width_fraction,
+        "speedup": F.col("speedup_x") >= limits.min_speedup,
         "baseline_present": F.col("baseline_auc").isNotNull() & F.col("learned_auc").isNotNull(),
     }
     out = metrics.withColumns({name: holds(check) for name, check in checks.items()})

@@ -1,202 +1,133 @@
-"""Ordered and quantile work inside groups of any size.
+"""Ordered and quantile work inside groups of any size, with one plan for every size.
 
-A window partitioned by object puts an object into one task. That is the best plan while every
-object is small, and a stall once one object holds a large share of the rows. Each function here
-has both plans and picks by a checked count:
+A window partitioned by object puts an object into one task, however long it is. Here rows are cut into
+ranges of (keys, order) instead, so a group takes as many ranges as it needs, and windows run inside
+(range, group). What a range needs from the ranges before or after it is a *carry*, one row per (range,
+group). Only the first and the last group of a range can go on in a neighbour, so the carry has at most two
+rows per range, whatever the table holds, and is broadcast.
 
-* no group above ``curvelake.hotRows`` rows - ordinary windows and ``percentile``;
-* otherwise the *hot* groups are cut into cells along their ordering column, worked cell by cell,
-  and joined to a per-cell summary.
+The range of a row is fixed once: the cut rows are kept in the shared checkpoint folder, which also ends the
+lineage, so a chain of operators computes each step once. The cut uses the columns' own ordering: text, NULL
+(first), NaN and ties are rows like others; ties part by a hash of the row.
 
-The list of hot groups has at most ``MAX_HOT`` rows and all cells together number at most
-``MAX_CELLS`` + ``MAX_HOT``, whatever the table size, so both are broadcast. These small tables are
-computed once and kept in the shared checkpoint folder: a chain of operators reads its input a fixed
-number of times per operator, not once per branch of every plan above it.
-
-Both plans return the same values; nothing is sampled, capped or dropped.
+``bounded=True`` says that the groups are small by construction, such as the bins of one view; then ordinary
+windows do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from curvelake.session import ensure_checkpoint_dir, hot_rows
 
-MAX_HOT = 20_000
-MAX_CELLS = 50_000
+from curvelake.session import ensure_checkpoint_dir
 
-AUTO = "auto"
+#: Rows of one group that a sliding window sees at a time, apart from the rows at its edges.
+BLOCK_ROWS = 1_000_000
+#: Parts that the rows of any group are spread over where they meet the one row of their group.
+SALTS = 8
 _GLOBAL = "_whole_table"
-_MEMO_LIMIT = 256
-_checked: dict[tuple, list[tuple[DataFrame, list]]] = {}
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Groups with more rows than one task should order, or None when there are none.
-
-    Columns: the keys, the count ``_n``, and ``_k``, the number of cells to cut the group into. One
-    count per group with map-side combine. With N rows in the table fewer than N / limit groups can
-    exceed the limit; where that would allow more than ``MAX_HOT``, the limit is raised. Cells aim at
-    an eighth of the limit each, and are shared out by size once ``MAX_CELLS`` would not suffice.
-    The answer is remembered per plan, so a chain of operators counts once.
-    """
-    spark = df.sparkSession
-    limit = hot_rows(spark)
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    seen = _checked.setdefault((spark.sparkContext.applicationId, counted.semanticHash(), limit), [])
-    rows = next((found for plan, found in seen if plan.sameSemantics(counted)), None)
-    if rows is None:
-        rows = counted.filter(F.col("_n") > limit).limit(MAX_HOT + 1).collect()
-        if len(rows) > MAX_HOT:
-            raised = df.count() // MAX_HOT
-            rows = counted.filter(F.col("_n") > raised).collect()
-        if len(_checked) > _MEMO_LIMIT:
-            _checked.clear()
-        seen.append((counted, rows))
-    if not rows:
-        return None
-    total = sum(row["_n"] for row in rows)
-    cells = [min(-(-8 * row["_n"] // limit), -(-MAX_CELLS * row["_n"] // total)) for row in rows]
-    schema = T.StructType([*counted.schema.fields, T.StructField("_k", T.LongType())])
-    return spark.createDataFrame([(*row, k) for row, k in zip(rows, cells)], schema)
-
-
-def unless_hot(base: DataFrame, keys: Sequence[str]):
-    """Value for ``hot=`` of operators whose groups are parts of the groups of ``base``.
-
-    None when no coarse group is hot: then no part of one is. Otherwise ``AUTO``, so that the finer
-    groups are counted themselves. Counting a source column is far cheaper than counting the rows of a
-    long derived plan.
-    """
-    return None if hot_groups(base, keys) is None else AUTO
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once and keep in the shared checkpoint folder; survives the loss of executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
-def _start(df: DataFrame, keys: Sequence[str], hot):
-    """Resolve an empty key list to a constant key, and ``AUTO`` to a checked list of hot groups."""
+def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """The rows, their keys - a constant one where there is none - and what to drop in the end."""
     keys = list(keys)
-    if not keys:
-        df, keys = df.withColumn(_GLOBAL, F.lit(0)), [_GLOBAL]
-    return df, keys, hot_groups(df, keys) if isinstance(hot, str) else hot
+    return (df, keys, []) if keys else (df.withColumn(_GLOBAL, F.lit(0)), [_GLOBAL], [_GLOBAL])
 
 
-def _only_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(hot.select(*keys)), list(keys), "left_semi")
+def safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where NULL equals NULL; the keys of the left side stay."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _with_cell(df: DataFrame, keys: Sequence[str], lead: Column, hot: DataFrame) -> DataFrame:
-    """Number equal-width cells along ``lead`` inside hot groups; every other group is cell 0."""
-    lead = lead.cast("double")
-    span = (
-        df.join(F.broadcast(hot), list(keys))
-        .groupBy(*keys)
-        .agg(F.min(lead).alias("_lo"), F.max(lead).alias("_hi"), F.first("_k").alias("_k"))
-    )
-    share = F.when(F.col("_hi") > F.col("_lo"), (lead - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    cell = F.greatest(F.lit(0), F.least(F.floor(share * F.col("_k")), F.col("_k") - 1))
-    return (
-        df.join(F.broadcast(settle(span)), list(keys), "left")
-        .withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int"))
-        .drop("_lo", "_hi", "_k")
-    )
-
+def _row_hash(df: DataFrame) -> Column:
+    """From the row and its input partition: copies of one row in different partitions part ways, and a
+    recomputed task gives the same numbers."""
+    return F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
 
-def _spread(df: DataFrame) -> Column:
-    """A number in [0, _k) for rows of hot groups. From the row and its input partition: copies of one
-    row in different partitions part ways, and a recomputed task gives the same numbers."""
-    mixed = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
-    return F.pmod(mixed, F.col("_k")).cast("int")
 
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_part``, their range of (keys, order), and the groups that lie in more than one range."""
+    ranged = df.repartitionByRange(*[F.col(k).asc() for k in keys], *order, _row_hash(df).asc())
+    rows = settle(ranged.withColumn("_part", F.spark_partition_id()))
+    group = F.struct(*[F.col(k) for k in keys])
+    ends = rows.groupBy("_part").agg(F.min(group).alias("_a"), F.max(group).alias("_b"))
+    ends = ends.select("_part", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_g")).select("_part", "_g.*")
+    split = ends.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ranges")).filter("_ranges > 1").select(*keys)
+    return rows, split
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a small derived table once and keep it in the shared checkpoint folder.
-
-    For per-object results that the next step reads several times (a count, a sketch, the answer):
-    without it every reading would repeat the whole plan below. Survives the loss of executors.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
 
+def _carry(rows: DataFrame, split: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], over: Mapping[str, Callable]) -> DataFrame:
+    """Per range of the split groups: ``sums`` over the range, then ``over`` the ranges of the group."""
+    parts = safe_join(rows, F.broadcast(split), keys, "left_semi").groupBy(*keys, "_part").agg(
+        *[c.alias(n) for n, c in sums.items()]
+    )
+    return parts.withColumns({n: fn(Window.partitionBy(*keys)) for n, fn in over.items()}).select(*keys, "_part", *over)
 
-def settle_if(df: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """``settle`` where split plans are about to read ``df`` several times; otherwise ``df`` itself.
 
-    Meant after an ordered pass, on the few columns still needed: one narrow write instead of
-    repeating the sort for every reading.
-    """
-    return df if hot is None else settle(df)
+def _with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return safe_join(rows, F.broadcast(carry), [*keys, "_part"], "left")
 
 
-def join_groups(df: DataFrame, per_group: DataFrame, keys: Sequence[str], *, hot=AUTO) -> DataFrame:
+def join_groups(df: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Many rows per group joined to the one row its group has in ``per_group``.
 
-    Without hot groups an ordinary join, broadcast or sorted as the planner sees fit. A hot group is
-    spread over as many salts as it has cells, its partner row repeated once for each.
+    The rows of every group are spread over a few salts, the partner row repeated once for each; what is
+    still uneven then is split at run time.
     """
     keys = list(keys)
-    if isinstance(hot, str):
-        hot = hot_groups(df, keys)
-    if hot is None:
-        return df.join(per_group, keys)
-    salts = F.broadcast(hot.select(*keys, "_k"))
-    left = df.join(salts, keys, "left").withColumn("_salt", F.coalesce(_spread(df), F.lit(0))).drop("_k")
-    repeated = F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)).cast("int") - 1))
-    right = per_group.join(salts, keys, "left").withColumn("_salt", repeated).drop("_k")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    left = df.withColumn("_salt", F.pmod(_row_hash(df), F.lit(SALTS)).cast("int"))
+    right = per_group.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return safe_join(left, right, [*keys, "_salt"]).drop("_salt")
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    lead: Column,
     values: Mapping[str, Column],
     *,
     kind: str = "sum",
     totals: Mapping[str, Column] | None = None,
-    hot=AUTO,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Running sum, maximum or minimum up to and including each row, plus optional group totals.
-
-    ``lead`` is the first ordering expression as an ascending number.
-    """
-    df, keys, hot = _start(df, keys, hot)
+    """Running sum, maximum or minimum up to and including each row, plus optional group totals."""
+    df, keys, extra = _keyed(df, keys)
     fn = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
     totals = dict(totals or {})
-    if hot is None:
-        part = Window.partitionBy(*keys)
-        upto = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumns(
-            {n: fn(c).over(upto) for n, c in values.items()}
-            | {n: F.sum(c).over(part) for n, c in totals.items()}
-        )
-        return out.drop(_GLOBAL)
-
-    celled = _with_cell(df, keys, lead, hot)
-    part = Window.partitionBy(*keys)
-    before = part.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        _only_hot(celled, keys, hot)
-        .groupBy(*keys, "_cell")
-        .agg(
-            *[fn(c).alias(f"_p_{n}") for n, c in values.items()],
-            *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()],
-        )
-        .withColumns(
-            {f"_b_{n}": fn(f"_p_{n}").over(before) for n in values}
-            | {f"_a_{n}": F.sum(f"_t_{n}").over(part) for n in totals}
-        )
-        .select(*keys, "_cell", *[f"_b_{n}" for n in values], *[f"_a_{n}" for n in totals])
+
+    def inside(part: Sequence[str], prefix: str = "") -> dict[str, Column]:
+        w = Window.partitionBy(*part)
+        upto = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = {prefix + n: fn(c).over(upto) for n, c in values.items()}
+        return found | {prefix + n: F.sum(c).over(w) for n, c in totals.items()}
+
+    if bounded:
+        return df.withColumns(inside(keys)).drop(*extra)
+    rows, split = _cut(df, keys, order)
+
+    def before(name: str) -> Callable:
+        return lambda w: fn(name).over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+
+    def whole(name: str) -> Callable:
+        return lambda w: F.sum(name).over(w)
+
+    carry = _carry(
+        rows, split, keys,
+        {f"_p_{n}": fn(c) for n, c in values.items()} | {f"_t_{n}": F.sum(c) for n, c in totals.items()},
+        {f"_b_{n}": before(f"_p_{n}") for n in values} | {f"_a_{n}": whole(f"_t_{n}") for n in totals},
     )
-    inside = Window.partitionBy(*keys, "_cell")
-    upto = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = celled.withColumns(
-        {f"_l_{n}": fn(c).over(upto) for n, c in values.items()}
-        | {f"_s_{n}": F.sum(c).over(inside) for n, c in totals.items()}
-    ).join(F.broadcast(settle(summary)), [*keys, "_cell"], "left")
+    out = _with_carry(rows.withColumns(inside([*keys, "_part"], "_l_")), carry, keys)
     if kind == "sum":
         joined = {
             n: F.when(F.col(f"_b_{n}").isNull(), F.col(f"_l_{n}")).otherwise(
@@ -207,205 +138,134 @@ def running(
     else:
         pick = F.greatest if kind == "max" else F.least
         joined = {n: pick(f"_b_{n}", f"_l_{n}") for n in values}
-    joined |= {n: F.coalesce(f"_a_{n}", f"_s_{n}") for n in totals}
-    spare = [f"_{p}_{n}" for n in values for p in "lb"] + [f"_{p}_{n}" for n in totals for p in "as"]
-    return out.withColumns(joined).drop("_cell", _GLOBAL, *spare)
+    joined |= {n: F.coalesce(f"_a_{n}", f"_l_{n}") for n in totals}
+    spare = [f"_{p}_{n}" for n in values for p in "lb"] + [f"_{p}_{n}" for n in totals for p in "la"]
+    return out.withColumns(joined).drop("_part", *extra, *spare)
 
 
-def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], lead: Column, *, hot=AUTO
-) -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *, bounded: bool = False) -> DataFrame:
     """Add ``pos``, the 0-based place in the group, and ``n_rows``, the size of the group."""
-    df, keys, hot = _start(df, keys, hot)
-    if hot is None:
-        part = Window.partitionBy(*keys)
-        return df.withColumns(
-            {
-                "pos": (F.row_number().over(part.orderBy(*order)) - 1).cast("long"),
-                "n_rows": F.count(F.lit(1)).over(part),
-            }
-        ).drop(_GLOBAL)
     one = F.lit(1).cast("long")
-    out = running(df, keys, order, lead, {"pos": one}, totals={"n_rows": one}, hot=hot)
-    return out.withColumn("pos", F.col("pos") - 1).drop(_GLOBAL)
+    out = running(df, keys, order, {"pos": one}, totals={"n_rows": one}, bounded=bounded)
+    return out.withColumn("pos", F.col("pos") - 1)
+
+
+def blocks(placed: DataFrame, before: int | Column, after: int | Column, rows: int | Column = BLOCK_ROWS) -> DataFrame:
+    """Rows with ``pos`` copied to the blocks of ``rows`` consecutive positions that need them: ``_block``, and
+    ``_home`` for the block a row belongs to. Rows near an edge also go to the neighbour."""
+    block, within = F.floor(F.col("pos") / rows), F.col("pos") % rows
+    targets = F.array(
+        block,
+        F.when((within < after) & (block > 0), block - 1),
+        F.when((within >= rows - before) & ((block + 1) * rows < F.col("n_rows")), block + 1),
+    )
+    return placed.withColumn("_block", F.explode(F.array_compact(targets))).withColumn("_home", F.col("_block") == block)
 
 
 def sliding(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    lead: Column,
     exprs: Mapping[str, Callable],
     *,
     before: int = 0,
     after: int = 0,
-    hot=AUTO,
 ) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` rows ahead.
 
-    ``exprs`` maps a name to a function of the ordered window. Hot groups are cut into blocks of
-    consecutive rows; rows near a block edge are also handed to the neighbour, then dropped there.
+    ``exprs`` maps a name to a function of the ordered window. Windows run in blocks of consecutive rows.
     """
-    df, keys, hot = _start(df, keys, hot)
-    if hot is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({n: fn(w) for n, fn in exprs.items()}).drop(_GLOBAL)
-    size = max(hot_rows(df.sparkSession), before + after + 1)
-    placed = positions(df, keys, order, lead, hot=hot)
-    block, within = F.floor(F.col("pos") / size), F.col("pos") % size
-    targets = F.array(
-        block,
-        F.when((within < after) & (block > 0), block - 1),
-        F.when(within >= size - before, block + 1),
-    )
-    copies = placed.withColumn("_block", F.explode(F.array_compact(targets))).withColumn(
-        "_home", F.floor(F.col("pos") / size) == F.col("_block")
-    )
+    df, keys, extra = _keyed(df, keys)
+    copies = blocks(positions(df, keys, order), before, after, max(BLOCK_ROWS, before + after + 1))
     w = Window.partitionBy(*keys, "_block").orderBy("pos")
     return (
         copies.withColumns({n: fn(w) for n, fn in exprs.items()})
         .filter("_home")
-        .drop("_block", "_home", "pos", "n_rows", _GLOBAL)
+        .drop("_block", "_home", "pos", "n_rows", *extra)
     )
 
 
-def nearest_known(
-    df: DataFrame, keys: Sequence[str], x: str, value: str, *, hot=AUTO
-) -> DataFrame:
+def nearest_known(df: DataFrame, keys: Sequence[str], x: str, value: str) -> DataFrame:
     """Add the closest non-null ``value`` at or before (``prev_x``, ``prev_v``) and at or after
     (``next_x``, ``next_v``) each row along ``x``."""
-    df, keys, hot = _start(df, keys, hot)
+    df, keys, extra = _keyed(df, keys)
     known_x = F.when(F.col(value).isNotNull(), F.col(x))
-
-    def scan(frame_keys):
-        fwd = Window.partitionBy(*frame_keys).orderBy(F.col(x).asc()).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        bwd = Window.partitionBy(*frame_keys).orderBy(F.col(x).desc()).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return {
-            "prev_x": F.last(known_x, True).over(fwd),
-            "prev_v": F.last(value, True).over(fwd),
-            "next_x": F.last(known_x, True).over(bwd),
-            "next_v": F.last(value, True).over(bwd),
-        }
-
-    if hot is None:
-        return df.withColumns(scan(keys)).drop(_GLOBAL)
-    celled = _with_cell(df, keys, F.col(x), hot)
-    pair = F.struct(F.col(x).alias("x"), F.col(value).alias("v"))
-    by_cell = Window.partitionBy(*keys).orderBy("_cell")
-    carry = (
-        _only_hot(celled, keys, hot)
-        .groupBy(*keys, "_cell")
-        .agg(
-            F.max(F.when(F.col(value).isNotNull(), pair)).alias("_last"),
-            F.min(F.when(F.col(value).isNotNull(), pair)).alias("_first"),
-        )
-        .withColumns(
-            {
-                "_carry_prev": F.last("_last", True).over(by_cell.rowsBetween(Window.unboundedPreceding, -1)),
-                "_carry_next": F.first("_first", True).over(by_cell.rowsBetween(1, Window.unboundedFollowing)),
-            }
-        )
-        .select(*keys, "_cell", "_carry_prev", "_carry_next")
-    )
-    out = celled.withColumns(scan([*keys, "_cell"])).join(F.broadcast(settle(carry)), [*keys, "_cell"], "left")
-    return out.withColumns(
+    rows, split = _cut(df, keys, [F.col(x).asc()])
+
+    def upto(order: Column):
+        return Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    fwd, bwd = upto(F.col(x).asc()), upto(F.col(x).desc())
+    found = rows.withColumns({
+        "prev_x": F.last(known_x, True).over(fwd), "prev_v": F.last(value, True).over(fwd),
+        "next_x": F.last(known_x, True).over(bwd), "next_v": F.last(value, True).over(bwd),
+    })
+    pair = F.when(F.col(value).isNotNull(), F.struct(F.col(x).alias("x"), F.col(value).alias("v")))
+    carry = _carry(
+        rows, split, keys, {"_last": F.max(pair), "_first": F.min(pair)},
         {
-            "prev_x": F.coalesce("prev_x", "_carry_prev.x"),
-            "prev_v": F.coalesce("prev_v", "_carry_prev.v"),
-            "next_x": F.coalesce("next_x", "_carry_next.x"),
-            "next_v": F.coalesce("next_v", "_carry_next.v"),
-        }
-    ).drop("_cell", "_carry_prev", "_carry_next", _GLOBAL)
-
-
-def _hot_quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float], hot: DataFrame
-) -> DataFrame:
-    """Exact quantiles of all groups when some are hot.
-
-    A quantile sketch brackets each wanted rank from below and above. Moving every value outside the
-    brackets onto a bracket edge is monotone and leaves values inside them alone, so the wanted
-    order statistics do not change - but a hot group now has few distinct values, which
-    ``groupBy(keys, value).count()`` folds together before the exact weighted percentile.
-    """
-    spark = df.sparkSession
-    biggest = hot.agg(F.max("_n")).first()[0]
-    accuracy = int(max(10_000, 8 * biggest / hot_rows(spark)))
-    # Sketch error, plus two whole ranks for the interpolated neighbour (hot groups exceed the limit).
-    margin = 2.0 / accuracy + 2.0 / hot_rows(spark)
-    asked = sorted(set(probs.values()))
-    lows = [max(0.0, p - margin) for p in asked]
-    highs = [min(1.0, p + margin) for p in asked]
-    rows = df.withColumn("_v", value.cast("double")).filter(F.col("_v").isNotNull())
-    sketch = (
-        _only_hot(rows, keys, hot)
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx("_v", lows, accuracy).alias("_lows"),
-            F.percentile_approx("_v", highs, accuracy).alias("_highs"),
-        )
-    )
-    # At most MAX_HOT rows. A sketch may differ between evaluations, so one is fixed here: the clamp
-    # below must see the same edges everywhere.
-    edges = settle(sketch)
-    snapped = F.array_max(
-        F.zip_with(
-            "_lows", "_highs", lambda lo, hi: F.when(lo <= F.col("_v"), F.least(F.col("_v"), hi))
-        )
-    )
-    snapped = F.when(F.col("_lows").isNull(), F.col("_v")).otherwise(
-        F.coalesce(snapped, F.element_at("_lows", 1))
-    )
-    folded = (
-        rows.join(F.broadcast(edges), list(keys), "left")
-        .withColumn("_v", snapped)
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+            "_carry_prev": lambda w: F.last("_last", True).over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+            "_carry_next": lambda w: F.first("_first", True).over(w.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)),
+        },
     )
-    found = folded.groupBy(*keys).agg(F.percentile("_v", asked, F.col("_c")).alias("_q"))
-    return found.select(*keys, *[F.col("_q")[asked.index(p)].alias(n) for n, p in probs.items()])
+    out = _with_carry(found, carry, keys)
+    return out.withColumns({
+        f"{side}_{c}": F.coalesce(f"{side}_{c}", f"_carry_{side}.{c}") for side in ("prev", "next") for c in "xv"
+    }).drop("_part", "_carry_prev", "_carry_next", *extra)
 
 
-def _by_value(quantiles: Mapping[str, tuple[Column, float]]):
-    """Quantile requests that share a value expression, so each expression is folded once."""
+def _by_value(quantiles: Mapping[str, tuple[Column, float]]) -> list[tuple[Column, dict[str, float]]]:
+    """Quantile requests that share a value expression."""
     grouped: dict[str, tuple[Column, dict[str, float]]] = {}
     for name, (value, p) in quantiles.items():
         grouped.setdefault(str(value), (value, {}))[1][name] = p
     return list(grouped.values())
 
 
+def _quantile_table(df: DataFrame, keys: Sequence[str], asked: list[tuple[Column, dict[str, float]]]) -> DataFrame:
+    """Exact linear-interpolated quantiles of the known values, one row per group that has any.
+
+    Equal values fold to one row with a count, the counts are summed in order of value, and the two rows that
+    hold the neighbouring ranks are picked.
+    """
+    each = F.array(*[F.struct(F.lit(i).alias("_i"), v.cast("double").alias("_v")) for i, (v, _) in enumerate(asked)])
+    values = df.select(*keys, F.explode(each).alias("_x")).select(*keys, "_x._i", "_x._v").filter("_v IS NOT NULL")
+    folded = values.groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = running(folded, [*keys, "_i"], [F.col("_v").asc()], {"_u": F.col("_c")}, totals={"_n": F.col("_c")})
+    picks, names = [], []
+    for i, (_, probs) in enumerate(asked):
+        mine = F.col("_i") == i
+        picks.append(F.max(F.when(mine, F.col("_n"))).alias(f"_n{i}"))
+        for name, p in probs.items():
+            rank = (F.col("_n") - 1) * F.lit(float(p))
+            for end, at in (("l", F.floor(rank)), ("h", F.ceil(rank))):
+                here = mine & (F.col("_u") > at) & (F.col("_u") - F.col("_c") <= at)
+                picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{end}_{name}"))
+            share = (F.col(f"_n{i}") - 1) * F.lit(float(p))
+            low, high = F.col(f"_l_{name}"), F.col(f"_h_{name}")
+            names.append(F.when(low == high, low).otherwise(low + (high - low) * (share - F.floor(share))).alias(name))
+    return upto.groupBy(*keys).agg(*picks).select(*keys, *names)
+
+
 def group_stats(
     df: DataFrame,
     keys: Sequence[str],
     *,
     quantiles: Mapping[str, tuple[Column, float]] | None = None,
     aggs: Mapping[str, Column] | None = None,
-    hot=AUTO,
 ) -> DataFrame:
-    """One row per group: exact linear-interpolated quantiles and ordinary aggregates."""
-    wanted = list(quantiles or {}) + list(aggs or {})
-    named = list(keys)
-    df, keys, hot = _start(df, keys, hot)
-    # The constant key stays in the result only when a caller in this module asked for it by name.
-    shown = keys if named else []
+    """One row per group: exact linear-interpolated quantiles of the known values, and ordinary aggregates."""
+    wanted = [*(quantiles or {}), *(aggs or {})]
+    shown = list(keys)
     asked = _by_value(quantiles or {})
-    if hot is None or not asked:
-        found, picks = [], {}
-        for i, (value, probs) in enumerate(asked):
-            levels = sorted(set(probs.values()))
-            found.append(F.percentile(value.cast("double"), levels).alias(f"_q{i}"))
-            picks |= {n: F.col(f"_q{i}")[levels.index(p)] for n, p in probs.items()}
-        exprs = found + [c.alias(n) for n, c in (aggs or {}).items()]
-        grouped = df.groupBy(*shown).agg(*exprs)
-        return grouped.withColumns(picks).select(*shown, *wanted) if picks else grouped
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in (aggs or {}).items()])
-    for value, probs in asked:
-        out = out.join(_hot_quantiles(df, keys, value, probs, hot), keys, "left")
-    return out.select(*shown, *wanted)
+    rest = [c.alias(n) for n, c in (aggs or {}).items()]
+    if not asked:
+        return df.groupBy(*shown).agg(*rest)
+    df, keys, extra = _keyed(df, keys)
+    # Without keys an empty table still has its one row.
+    out = df.groupBy(*shown).agg(F.count(F.lit(1)).alias("_rows"), *rest)
+    out = out if shown else out.withColumn(_GLOBAL, F.lit(0))
+    return safe_join(out, _quantile_table(df, keys, asked), keys, "left").select(*shown, *wanted)
 
 
 def attach_stats(
@@ -414,26 +274,12 @@ def attach_stats(
     *,
     quantiles: Mapping[str, tuple[Column, float]] | None = None,
     aggs: Mapping[str, Column] | None = None,
-    hot=AUTO,
+    bounded: bool = False,
 ) -> DataFrame:
     """Every row with its group's quantiles and aggregates, as unordered windows would give."""
-    df, keys, hot = _start(df, keys, hot)
-
-    def over(w):
+    df, keys, extra = _keyed(df, keys)
+    if bounded:
+        w = Window.partitionBy(*keys)
         found = {n: F.percentile(v.cast("double"), p).over(w) for n, (v, p) in (quantiles or {}).items()}
-        return found | {n: c.over(w) for n, c in (aggs or {}).items()}
-
-    if hot is None:
-        return df.withColumns(over(Window.partitionBy(*keys))).drop(_GLOBAL)
-    known = group_stats(_only_hot(df, keys, hot), keys, quantiles=quantiles, aggs=aggs, hot=hot)
-    names = list(quantiles or {}) + list(aggs or {})
-    known = settle(known.select(*keys, *[F.col(n).alias(f"_h_{n}") for n in names])).join(
-        F.broadcast(hot.select(*keys, "_k")), keys
-    )
-    # Rows of hot groups carry their answer already; the spread key keeps them out of one window task.
-    marked = df.join(F.broadcast(known), keys, "left").withColumn("_salt", _spread(df))
-    out = marked.withColumns({f"_w_{n}": c for n, c in over(Window.partitionBy(*keys, "_salt")).items()})
-    out = out.withColumns(
-        {n: F.when(F.col("_k").isNotNull(), F.col(f"_h_{n}")).otherwise(F.col(f"_w_{n}")) for n in names}
-    )
-    return out.drop("_k", "_salt", _GLOBAL, *[f"_{p}_{n}" for n in names for p in "hw"])
+        return df.withColumns(found | {n: c.over(w) for n, c in (aggs or {}).items()}).drop(*extra)
+    return join_groups(df, group_stats(df, keys, quantiles=quantiles, aggs=aggs), keys).drop(*extra)

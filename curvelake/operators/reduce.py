@@ -15,6 +15,8 @@ from curvelake.functions import scalars as s
 from curvelake.operators import grouped as g
 
 ID = ["object_id"]
+#: Cadences in one array of the running median, apart from its halo; more only where the window is longer.
+ARRAY_ROWS = 65_536
 
 
 def by_time() -> list[Column]:
@@ -25,9 +27,9 @@ def drop_nonfinite(cadence: DataFrame) -> DataFrame:
     return cadence.filter(s.is_finite(F.col("t")) & s.is_finite(F.col("flux")))
 
 
-def join_ephemeris(cadence: DataFrame, ephemeris: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def join_ephemeris(cadence: DataFrame, ephemeris: DataFrame) -> DataFrame:
     """Each cadence with its object's ephemeris; a very long curve is salted over many tasks."""
-    return g.join_groups(cadence, ephemeris, ID, hot=hot)
+    return g.join_groups(cadence, ephemeris, ID)
 
 
 def fold(folded: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def fold(folded: DataFrame) -> DataFrame:
 
 
 def clean_light_curve(
-    cadence: DataFrame, baseline_days: float, min_cadences: int = 500, *, hot=g.AUTO
+    cadence: DataFrame, baseline_days: float, min_cadences: int = 500
 ) -> DataFrame:
     """Finite cadences, divided by the object's median, of objects with enough of them, inside one
     baseline from the first."""
@@ -45,27 +47,24 @@ def clean_light_curve(
         drop_nonfinite(cadence), ID,
         quantiles={"_med": (F.col("flux"), 0.5)},
         aggs={"_n": F.count(F.lit(1)), "_t0": F.min("t")},
-        hot=hot,
     )
     kept = rows.filter((F.col("_n") >= min_cadences) & (F.col("t") <= F.col("_t0") + s.lit(baseline_days)))
     return kept.withColumn("flux", F.try_divide("flux", "_med")).drop("_med", "_n", "_t0")
 
 
-def noise_segments(cadence: DataFrame, length: int, *, clip_sigma: float = 5.0, hot=g.AUTO) -> DataFrame:
+def noise_segments(cadence: DataFrame, length: int, *, clip_sigma: float = 5.0) -> DataFrame:
     """Complete pieces of ``length`` consecutive cadences, median-normalised and sigma-clipped.
 
     Objects whose median is within 0.1 of zero are not relative flux and are left out.
     """
     rows = drop_nonfinite(cadence)
-    if isinstance(hot, str):
-        hot = g.hot_groups(rows, ID)
-    rows = g.attach_stats(rows, ID, quantiles={"_med": (F.col("flux"), 0.5)}, hot=hot)
+    rows = g.attach_stats(rows, ID, quantiles={"_med": (F.col("flux"), 0.5)})
     rows = rows.filter(F.abs("_med") >= 0.1).withColumn("flux", F.col("flux") / F.col("_med"))
     rows = g.attach_stats(
-        rows, ID, quantiles={"_m": (F.col("flux"), 0.5)}, aggs={"_s": F.stddev_pop("flux")}, hot=hot
+        rows, ID, quantiles={"_m": (F.col("flux"), 0.5)}, aggs={"_s": F.stddev_pop("flux")}
     )
     reach = F.lit(float(clip_sigma)) * F.col("_s")
-    placed = g.positions(rows, ID, by_time(), F.col("t"), hot=hot)
+    placed = g.positions(rows, ID, by_time())
     pieces = F.floor(F.col("n_rows") / length)
     return (
         placed.withColumn("segment", F.floor(F.col("pos") / length))
@@ -79,7 +78,7 @@ def noise_segments(cadence: DataFrame, length: int, *, clip_sigma: float = 5.0,
     )
 
 
-def segment_stats(segments: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def segment_stats(segments: DataFrame) -> DataFrame:
     """Size and level of a segment library; ``available`` is false for an empty one."""
     finite = s.finite_or_null(F.col("flux"))
     pieces = segments.groupBy("object_id", "segment").agg(F.count(F.lit(1)).alias("length")).agg(
@@ -87,17 +86,17 @@ def segment_stats(segments: DataFrame, *, hot=g.AUTO) -> DataFrame:
         F.coalesce(F.max("length"), F.lit(0)).alias("segment_length"),
     )
     level = g.group_stats(
-        segments, [], quantiles={"median": (finite, 0.5)}, aggs={"std": F.stddev_pop(finite)}, hot=hot
+        segments, [], quantiles={"median": (finite, 0.5)}, aggs={"std": F.stddev_pop(finite)}
     )
     return pieces.crossJoin(level).withColumn("available", F.col("n_segments") > 0)
 
 
-def stride_subsample(cadence: DataFrame, n: int, *, cap: bool = True, hot=g.AUTO) -> DataFrame:
+def stride_subsample(cadence: DataFrame, n: int, *, cap: bool = True) -> DataFrame:
     """Every step-th cadence in time order, step = max(1, rows div n); with ``cap`` the first n of them.
 
     The cap is part of the operator: it defines the fixed-length periodogram input.
     """
-    placed = g.positions(cadence, ID, by_time(), F.col("t"), hot=hot)
+    placed = g.positions(cadence, ID, by_time())
     step = F.greatest(F.lit(1), F.floor(F.col("n_rows") / n))
     kept = F.when(F.col("n_rows") <= n, F.lit(True)).otherwise(F.col("pos") % step == 0)
     if cap:
@@ -146,32 +145,27 @@ def fill_bins(occupied: DataFrame, objects: DataFrame, n_bins: int, fill: str) -
     )
 
 
-def global_view(cadence: DataFrame, n_bins: int = 2001, *, hot=g.AUTO) -> DataFrame:
+def global_view(cadence: DataFrame, n_bins: int = 2001) -> DataFrame:
     """Time-binned view over the object's own time span."""
-    if isinstance(hot, str):
-        hot = g.hot_groups(cadence, ID)
     spans = g.group_stats(
         cadence, ID,
         quantiles={"fill": (F.col("flux"), 0.5)},
         aggs={"t_min": F.min("t"), "t_max": F.max("t")},
-        hot=hot,
     )
-    rows = g.join_groups(cadence, spans.drop("fill"), ID, hot=hot)
+    rows = g.join_groups(cadence, spans.drop("fill"), ID)
     occupied = bin_mean(rows, ID, F.col("t"), F.col("flux"), F.col("t_min"), F.col("t_max"), n_bins)
     return fill_bins(occupied, spans, n_bins, "fill")
 
 
 def local_view(
-    cadence: DataFrame, ephemeris: DataFrame, n_bins: int = 201, n_durations: float = 4.0, *, hot=g.AUTO
+    cadence: DataFrame, ephemeris: DataFrame, n_bins: int = 201, n_durations: float = 4.0
 ) -> DataFrame:
     """Transit-centred folded view, a few durations wide."""
-    if isinstance(hot, str):
-        hot = g.hot_groups(cadence, ID)
     half = F.least(s.lit(0.5 * n_durations) * F.greatest("duration", s.lit(1e-6)), s.lit(0.5) * F.col("P"))
-    rows = fold(join_ephemeris(cadence, ephemeris, hot=hot)).withColumn("half", half)
+    rows = fold(join_ephemeris(cadence, ephemeris)).withColumn("half", half)
     near = F.abs("t_phase") <= F.col("half")
     objects = g.group_stats(
-        rows, ID, quantiles={"fill": (F.col("flux"), 0.5)}, aggs={"n_near": F.count_if(near)}, hot=hot
+        rows, ID, quantiles={"fill": (F.col("flux"), 0.5)}, aggs={"n_near": F.count_if(near)}
     )
     occupied = bin_mean(
         rows.filter(near), ID, F.col("t_phase"), F.col("flux"), -F.col("half"), F.col("half"), n_bins
@@ -182,8 +176,8 @@ def local_view(
 def normalize_view(view: DataFrame, keys: list[str] = ID, value: str = "value", *, eps: float = 1e-8, clip: float = 30.0) -> DataFrame:
     """Robust standard score per view, clipped. A view has a fixed number of bins, so plain windows do."""
     v = F.col(value)
-    rows = g.attach_stats(view, keys, quantiles={"_med": (v, 0.5)}, aggs={"_sd": F.stddev_pop(v)}, hot=None)
-    rows = g.attach_stats(rows, keys, quantiles={"_mad": (F.abs(v - F.col("_med")), 0.5)}, hot=None)
+    rows = g.attach_stats(view, keys, quantiles={"_med": (v, 0.5)}, aggs={"_sd": F.stddev_pop(v)}, bounded=True)
+    rows = g.attach_stats(rows, keys, quantiles={"_mad": (F.abs(v - F.col("_med")), 0.5)}, bounded=True)
     robust = s.lit(s.MAD_TO_SIGMA) * F.col("_mad")
     scale = F.when(robust >= eps, robust).when(F.col("_sd") >= eps, F.col("_sd")).otherwise(s.lit(1.0))
     score = s.clip((v - F.col("_med")) / scale, -clip, clip)
@@ -207,43 +201,38 @@ def edge_scatter(view: DataFrame, n_bins: int, floor: float = 1e-3) -> DataFrame
     )
 
 
-def differences(cadence: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def differences(cadence: DataFrame) -> DataFrame:
     """Step in flux and time from the previous cadence; NULL on the first."""
     out = g.sliding(
-        cadence, ID, by_time(), F.col("t"),
+        cadence, ID, by_time(),
         {"_pf": lambda w: F.lag("flux").over(w), "_pt": lambda w: F.lag("t").over(w)},
-        before=1, hot=hot,
+        before=1,
     )
     return out.withColumns({"d_flux": F.col("flux") - F.col("_pf"), "d_t": F.col("t") - F.col("_pt")}).drop("_pf", "_pt")
 
 
-def white_sigma(cadence: DataFrame, *, centred: bool = True, hot=g.AUTO) -> DataFrame:
+def white_sigma(cadence: DataFrame, *, centred: bool = True) -> DataFrame:
     """White-noise level from point-to-point steps.
 
     ``centred`` subtracts the median step; the other estimator does not, and adds 1e-6.
     """
-    if isinstance(hot, str):
-        hot = g.hot_groups(cadence, ID)
-    steps = differences(cadence, hot=hot).filter(F.col("d_flux").isNotNull()).select(*ID, "d_flux")
-    steps = g.settle_if(steps, hot)
+    steps = differences(cadence).filter(F.col("d_flux").isNotNull()).select(*ID, "d_flux")
     root2 = s.lit(2.0**0.5)
     if centred:
-        steps = g.attach_stats(steps, ID, quantiles={"_m": (F.col("d_flux"), 0.5)}, hot=hot)
+        steps = g.attach_stats(steps, ID, quantiles={"_m": (F.col("d_flux"), 0.5)})
         spread = F.abs(F.col("d_flux") - F.col("_m"))
     else:
         spread = F.abs("d_flux")
-    found = g.group_stats(steps, ID, quantiles={"mad": (spread, 0.5)}, hot=hot)
+    found = g.group_stats(steps, ID, quantiles={"mad": (spread, 0.5)})
     sigma = s.lit(s.MAD_TO_SIGMA) * F.col("mad") / root2
     return found.select(*ID, (sigma if centred else sigma + s.lit(1e-6)).alias("sigma"))
 
 
-def median_cadence(cadence: DataFrame, *, hot=g.AUTO) -> DataFrame:
-    if isinstance(hot, str):
-        hot = g.hot_groups(cadence, ID)
-    steps = g.settle_if(differences(cadence, hot=hot).select(*ID, "d_t"), hot)
+def median_cadence(cadence: DataFrame) -> DataFrame:
+    steps = differences(cadence).select(*ID, "d_t")
     return g.group_stats(
         steps, ID, quantiles={"dt": (F.col("d_t"), 0.5)},
-        aggs={"n": F.count(F.lit(1))}, hot=hot,
+        aggs={"n": F.count(F.lit(1))},
     )
 
 
@@ -259,7 +248,7 @@ def equal_count_group(k: int) -> Column:
     )
 
 
-def fold_bin(folded: DataFrame, max_cadences: int, *, hot=g.AUTO) -> DataFrame:
+def fold_bin(folded: DataFrame, max_cadences: int) -> DataFrame:
     """Compress folded cadences to ``max_cadences`` phase-ordered means with shrunk errors.
 
     Expects ``P``, ``t0_phase`` and ``sigma`` columns; an object that is already small passes through.
@@ -267,7 +256,7 @@ def fold_bin(folded: DataFrame, max_cadences: int, *, hot=g.AUTO) -> DataFrame:
     t0 = F.col("t0_phase") * F.col("P")
     rows = folded.withColumn("folded", s.centred_phase_days(F.col("t"), t0, F.col("P")) + t0)
     order = [F.col("folded").asc(), F.col("flux").asc()]
-    placed = g.positions(rows, ID, order, F.col("folded"), hot=hot)
+    placed = g.positions(rows, ID, order)
     small = F.col("n_rows") <= max_cadences
     grouped = placed.withColumn("grp", F.when(small, F.col("pos")).otherwise(equal_count_group(max_cadences)))
     return grouped.groupBy(*ID, "grp").agg(
@@ -278,11 +267,9 @@ def fold_bin(folded: DataFrame, max_cadences: int, *, hot=g.AUTO) -> DataFrame:
     )
 
 
-def quality_metrics(cadence: DataFrame, objects: DataFrame, training_cadences: int, *, hot=g.AUTO) -> DataFrame:
+def quality_metrics(cadence: DataFrame, objects: DataFrame, training_cadences: int) -> DataFrame:
     """Data-only quality measures. ``objects`` carries P, t0, duration, sigma, RpRs, aRs, b."""
-    if isinstance(hot, str):
-        hot = g.hot_groups(cadence, ID)
-    rows = join_ephemeris(cadence, objects.select("object_id", "P", "t0", "duration"), hot=hot)
+    rows = join_ephemeris(cadence, objects.select("object_id", "P", "t0", "duration"))
     away = F.abs(s.centred_phase_days(F.col("t"), F.col("t0"), F.col("P")))
     inside, outside = away < s.lit(0.5) * F.col("duration"), away > s.lit(1.5) * F.col("duration")
     found = g.group_stats(
@@ -296,7 +283,6 @@ def quality_metrics(cadence: DataFrame, objects: DataFrame, training_cadences: i
             "n_in_transit": F.count_if(inside),
             "_span": F.max("t") - F.min("t"),
         },
-        hot=hot,
     ).join(objects, "object_id")
     root_n = F.sqrt(F.greatest(F.col("n_in_transit"), F.lit(1)).cast("double"))
     sigma = s.at_least(F.col("sigma"), 1e-9)
@@ -317,7 +303,7 @@ def quality_metrics(cadence: DataFrame, objects: DataFrame, training_cadences: i
     )
 
 
-def mask_gaps(cadence: DataFrame, gaps: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def mask_gaps(cadence: DataFrame, gaps: DataFrame) -> DataFrame:
     """Cadences outside every gap of their object.
 
     Starts and cadences are merged in time order and the latest stop so far decides, so the work is
@@ -326,25 +312,25 @@ def mask_gaps(cadence: DataFrame, gaps: DataFrame, *, hot=g.AUTO) -> DataFrame:
     edges = gaps.select("object_id", F.col("start").alias("t"), F.col("stop").alias("_stop"), F.lit(0).alias("_kind"))
     merged = cadence.withColumn("_kind", F.lit(1)).unionByName(edges, allowMissingColumns=True)
     order = [F.col("t").asc(), F.col("_kind").asc()]
-    seen = g.running(merged, ID, order, F.col("t"), {"_until": F.col("_stop")}, kind="max", hot=hot)
+    seen = g.running(merged, ID, order, {"_until": F.col("_stop")}, kind="max")
     outside = F.col("_until").isNull() | (F.col("_until") < F.col("t"))
     return seen.filter((F.col("_kind") == 1) & outside).drop("_stop", "_kind", "_until")
 
 
-def rolling_median(df: DataFrame, value: str, half: int, name: str = "trend", *, hot=g.AUTO) -> DataFrame:
+def rolling_median(df: DataFrame, value: str, half: int, name: str = "trend") -> DataFrame:
     """Median of 2 * half + 1 ordered rows; past the ends the first and last value repeat."""
 
     def frame(w, a, b):
         return w.rowsBetween(a, b)
 
     rows = g.sliding(
-        df, ID, by_time(), F.col("t"),
+        df, ID, by_time(),
         {
             "_win": lambda w: F.collect_list(value).over(frame(w, -half, half)),
             "_before": lambda w: F.count(F.lit(1)).over(frame(w, -half, -1)),
             "_after": lambda w: F.count(F.lit(1)).over(frame(w, 1, half)),
         },
-        before=half, after=half, hot=hot,
+        before=half, after=half,
     )
     padded = F.concat(
         F.array_repeat(F.element_at("_win", 1), (F.lit(half) - F.col("_before")).cast("int")),
@@ -354,9 +340,9 @@ def rolling_median(df: DataFrame, value: str, half: int, name: str = "trend", *,
     return rows.withColumn(name, F.element_at(F.array_sort(padded), half + 1)).drop("_win", "_before", "_after")
 
 
-def interpolate(df: DataFrame, value: str, *, x: str = "t", hot=g.AUTO) -> DataFrame:
+def interpolate(df: DataFrame, value: str, *, x: str = "t") -> DataFrame:
     """Replace NULL ``value`` by the straight line between its known neighbours along ``x``."""
-    rows = g.nearest_known(df, ID, x, value, hot=hot)
+    rows = g.nearest_known(df, ID, x, value)
     line = F.col("prev_v") + (F.col("next_v") - F.col("prev_v")) * (F.col(x) - F.col("prev_x")) / F.nullif(
         F.col("next_x") - F.col("prev_x"), s.lit(0.0)
     )
@@ -364,20 +350,18 @@ def interpolate(df: DataFrame, value: str, *, x: str = "t", hot=g.AUTO) -> DataF
     return rows.withColumn(value, joined).drop("prev_x", "prev_v", "next_x", "next_v")
 
 
-def mask_transits(rows: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def mask_transits(rows: DataFrame) -> DataFrame:
     """``work``: the flux with in-transit cadences bridged, where enough cadences lie outside."""
-    if isinstance(hot, str):
-        hot = g.hot_groups(rows, ID)
     away = F.abs(s.centred_phase_days(F.col("t"), F.col("t0"), F.col("P")))
     rows = rows.withColumn("_in", away < s.lit(0.7) * F.col("duration"))
     rows = g.attach_stats(
         rows, ID,
         quantiles={"_med": (F.col("flux"), 0.5)},
-        aggs={"_out": F.count_if(~F.col("_in"))}, hot=hot,
+        aggs={"_out": F.count_if(~F.col("_in"))},
     )
     work = F.when(F.col("_in") & (F.col("_out") > 2), F.lit(None)).otherwise(F.col("flux"))
     rows = rows.withColumn("work", work).select(*ID, "t", "flux", "work", "_med")
-    return g.settle_if(interpolate(rows, "work", hot=hot), hot)
+    return interpolate(rows, "work")
 
 
 def _divide_by_trend(rows: DataFrame) -> DataFrame:
@@ -388,18 +372,16 @@ def _divide_by_trend(rows: DataFrame) -> DataFrame:
     )
 
 
-def flatten_fixed(cadence: DataFrame, ephemeris: DataFrame, window: int, *, hot=g.AUTO) -> DataFrame:
+def flatten_fixed(cadence: DataFrame, ephemeris: DataFrame, window: int) -> DataFrame:
     """Divide out a running-median trend of one odd window length, keeping transits out of the trend."""
-    if isinstance(hot, str):
-        hot = g.hot_groups(cadence, ID)
-    rows = mask_transits(join_ephemeris(cadence, ephemeris, hot=hot), hot=hot)
-    rows = rolling_median(rows, "work", window // 2, hot=hot)
+    rows = mask_transits(join_ephemeris(cadence, ephemeris))
+    rows = rolling_median(rows, "work", window // 2)
     return _divide_by_trend(rows).select(*ID, "t", "flux", "work", "trend", "flat")
 
 
-def trend_windows(cadence: DataFrame, ephemeris: DataFrame, *, min_days: float = 1.0, factor: float = 8.0, hot=g.AUTO) -> DataFrame:
+def trend_windows(cadence: DataFrame, ephemeris: DataFrame, *, min_days: float = 1.0, factor: float = 8.0) -> DataFrame:
     """Odd window length per object from its own cadence and duration; NULL means leave it alone."""
-    spans = median_cadence(cadence, hot=hot).join(ephemeris, "object_id")
+    spans = median_cadence(cadence).join(ephemeris, "object_id")
     duration = F.when(s.is_finite(F.col("duration")) & (F.col("duration") > 0), F.col("duration")).otherwise(s.lit(0.2))
     days = F.greatest(s.lit(min_days), s.lit(factor) * duration)
     most = F.greatest(F.lit(11), F.floor(F.col("n") / 3))
@@ -408,34 +390,18 @@ def trend_windows(cadence: DataFrame, ephemeris: DataFrame, *, min_days: float =
     return spans.select(*ID, F.when(usable, size + F.when(size % 2 == 0, 1).otherwise(0)).alias("window"))
 
 
-def flatten(cadence: DataFrame, ephemeris: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def flatten(cadence: DataFrame, ephemeris: DataFrame) -> DataFrame:
     """As ``flatten_fixed`` with each object's own window.
 
-    A row frame needs a literal bound, so the running median alone is done in Arrow batches: objects,
-    or blocks of a long object with a halo of the widest half window, are filtered with one rolling
-    call each. No group holds more than ``curvelake.hotRows`` rows plus its halo.
+    A row frame needs a literal bound, so the running median alone is done in Arrow batches, on blocks of
+    consecutive cadences with a halo of half a window: one rolling call each.
     """
-    if isinstance(hot, str):
-        hot = g.hot_groups(cadence, ID)
-    windows = trend_windows(cadence, ephemeris, hot=hot)
-    rows = mask_transits(join_ephemeris(cadence, ephemeris, hot=hot), hot=hot)
-    rows = g.positions(rows, ID, by_time(), F.col("t"), hot=hot)
-    rows = g.join_groups(rows, windows, ID, hot=hot)
-    if hot is None:
-        rows = rows.withColumns({"_block": F.lit(0).cast("long"), "_home": F.lit(True)})
-    else:
-        widest = (windows.agg(F.max("window")).first()[0] or 1) // 2
-        size = max(g.hot_rows(cadence.sparkSession), 2 * widest + 1)
-        block, within = F.floor(F.col("pos") / size), F.col("pos") % size
-        targets = F.array(
-            block,
-            F.when((within < widest) & (block > 0), block - 1),
-            F.when(within >= size - widest, block + 1),
-        )
-        rows = rows.withColumn("_block", F.explode(F.array_compact(targets))).withColumn(
-            "_home", F.floor(F.col("pos") / size) == F.col("_block")
-        )
-    # One row per object or block, its cadences an ordered array of at most hotRows plus halo.
+    windows = trend_windows(cadence, ephemeris)
+    rows = mask_transits(join_ephemeris(cadence, ephemeris))
+    rows = g.join_groups(g.positions(rows, ID, by_time()), windows, ID)
+    wide = F.coalesce(F.col("window"), F.lit(1))
+    rows = g.blocks(rows, F.floor(wide / 2), F.floor(wide / 2), F.greatest(F.lit(ARRAY_ROWS), wide))
+    # One row per block, its cadences an ordered array.
     parts = rows.groupBy(*ID, "_block").agg(
         F.array_sort(F.collect_list(F.struct("pos", "t", "flux", "work", "_home"))).alias("_rows"),
         F.first("_med").alias("_med"), F.first("window").alias("window"), F.first("n_rows").alias("n_rows"),
@@ -474,9 +440,9 @@ def _rolling_median_arrays(values: Column, half: Column, head: Column, tail: Col
     return smooth(values, half, head, tail)
 
 
-def autocorrelation(cadence: DataFrame, lag: int, *, hot=g.AUTO) -> DataFrame:
+def autocorrelation(cadence: DataFrame, lag: int) -> DataFrame:
     rows = g.sliding(
-        cadence, ID, by_time(), F.col("t"), {"_lag": lambda w: F.lag("flux", lag).over(w)}, before=lag, hot=hot
+        cadence, ID, by_time(), {"_lag": lambda w: F.lag("flux", lag).over(w)}, before=lag
     )
     return rows.filter(F.col("_lag").isNotNull()).groupBy(*ID).agg(
         F.corr("flux", "_lag").alias("autocorrelation"), F.count(F.lit(1)).alias("pairs")
@@ -489,7 +455,7 @@ def apply_noise(objects: DataFrame, segments: DataFrame) -> DataFrame:
     ``objects``: (object_id, i, model, segment_key, offset); ``segments``: (segment_key, j, noise, length).
     """
     lengths = segments.groupBy("segment_key").agg(F.max("length").alias("length"))
-    rows = objects.join(lengths, "segment_key").withColumn("j", F.pmod(F.col("i") + F.col("offset"), F.col("length")).cast("int"))
-    return rows.drop("length").join(segments.select("segment_key", "j", "noise"), ["segment_key", "j"]).withColumn(
-        "flux", F.col("model") * F.col("noise")
-    )
+    rows = g.join_groups(objects, lengths, ["segment_key"])
+    rows = rows.withColumn("j", F.pmod(F.col("i") + F.col("offset"), F.col("length")).cast("int")).drop("length")
+    noise = segments.select("segment_key", "j", "noise")
+    return g.join_groups(rows, noise, ["segment_key", "j"]).withColumn("flux", F.col("model") * F.col("noise"))

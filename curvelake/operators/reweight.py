@@ -99,18 +99,16 @@ def marginal_log_likelihood(predicted: DataFrame, grid: Sequence[tuple[float, fl
     return rows.select(*DRAW, (F.col("_top") + F.ln(spread)).alias("loglik"))
 
 
-def importance_weights(draws: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def importance_weights(draws: DataFrame) -> DataFrame:
     """Normalised weights from ``loglik + logprior - logq`` per object.
 
     Non-finite terms weigh 0; an object without any finite term gets equal weights.
     """
-    if isinstance(hot, str):
-        hot = g.hot_groups(draws, ["object_id"])
     logw = s.finite_or_null(F.col("loglik") + F.col("logprior") - F.col("logq"))
     rows = draws.withColumn("logw", logw)
-    rows = g.attach_stats(rows, ["object_id"], aggs={"_top": F.max("logw"), "_n": F.count(F.lit(1))}, hot=hot)
+    rows = g.attach_stats(rows, ["object_id"], aggs={"_top": F.max("logw"), "_n": F.count(F.lit(1))})
     rows = rows.withColumn("_e", F.coalesce(F.exp(F.col("logw") - F.col("_top")), s.lit(0.0)))
-    rows = g.attach_stats(rows, ["object_id"], aggs={"_s": F.sum("_e")}, hot=hot)
+    rows = g.attach_stats(rows, ["object_id"], aggs={"_s": F.sum("_e")})
     w = F.when(F.col("_s") > 0, F.col("_e") / F.col("_s")).otherwise(s.lit(1.0) / F.col("_n"))
     return rows.withColumn("w", w).drop("_top", "_n", "_e", "_s")
 
@@ -126,12 +124,12 @@ def effective_fraction(weighted: DataFrame, weight: str = "w") -> DataFrame:
     )
 
 
-def resample(weighted: DataFrame, n_out: int, order: list[Column], lead: Column, *, digits: int = 9, hot=g.AUTO) -> DataFrame:
+def resample(weighted: DataFrame, n_out: int, order: list[Column], *, digits: int = 9) -> DataFrame:
     """Systematic resampling: n_out evenly spaced points on the cumulative weight.
 
     Each draw writes out its own copies, so the result is deterministic and needs no join.
     """
-    rows = g.running(weighted, ["object_id"], order, lead, {"_c": F.col("w")}, hot=hot)
+    rows = g.running(weighted, ["object_id"], order, {"_c": F.col("w")})
     upper = F.floor(F.round(s.lit(n_out) * F.col("_c"), digits) + s.lit(0.5))
     lower = F.floor(F.round(s.lit(n_out) * (F.col("_c") - F.col("w")), digits) + s.lit(0.5))
     copies = F.greatest(upper - lower, F.lit(0)).cast("int")

@@ -13,8 +13,8 @@ from curvelake.operators import grouped as g
 RUN = ["run"]
 
 
-def number_steps(log: DataFrame, order: list[Column], lead: Column, *, hot=g.AUTO) -> DataFrame:
-    placed = g.positions(log, RUN, order, lead, hot=hot)
+def number_steps(log: DataFrame, order: list[Column]) -> DataFrame:
+    placed = g.positions(log, RUN, order)
     return placed.withColumn("step", F.col("pos") + 1).drop("pos", "n_rows")
 
 
@@ -31,27 +31,30 @@ def best_step(log: DataFrame, metric: str, *, highest: bool = False) -> DataFram
     return log.groupBy(*RUN).agg(best.alias("_b")).select(*RUN, F.col("_b.s").alias("step"), F.col("_b.v").alias(metric))
 
 
-def best_so_far(log: DataFrame, metric: str, *, highest: bool = False, hot=g.AUTO) -> DataFrame:
+def best_so_far(log: DataFrame, metric: str, *, highest: bool = False) -> DataFrame:
     return g.running(
-        log, RUN, [F.col("step")], F.col("step"), {"best": F.col(metric)},
-        kind="max" if highest else "min", hot=hot,
+        log, RUN, [F.col("step")], {"best": F.col(metric)},
+        kind="max" if highest else "min",
     )
 
 
-def throughput(log: DataFrame, n_steps: int, batch_size: int, *, seconds: Column, waited: Column | None = None, hot=g.AUTO) -> DataFrame:
-    """Steps and curves per second since the previous record, share of time spent waiting, time left."""
+def throughput(log: DataFrame, n_steps: int, batch_size: int, *, seconds: Column, waited: Column | None = None) -> DataFrame:
+    """Steps and curves per second since the previous record, share of time spent waiting, time left.
+
+    The first record of a run has no interval: its rate and its share are 0.
+    """
     rows = g.sliding(
-        log.withColumn("_t", seconds), RUN, [F.col("step")], F.col("step"),
-        {"_t0": lambda w: F.lag("_t").over(w), "_s0": lambda w: F.lag("step").over(w)}, before=1, hot=hot,
+        log.withColumn("_t", seconds), RUN, [F.col("step")],
+        {"_t0": lambda w: F.lag("_t").over(w), "_s0": lambda w: F.lag("step").over(w)}, before=1,
     )
     interval = s.at_least(F.col("_t") - F.col("_t0"), 1e-6)
     rate = (F.col("step") - F.col("_s0")) / interval
-    out = rows.withColumns({"interval": interval, "steps_per_s": rate}).withColumns({
+    out = rows.withColumns({"interval": interval, "steps_per_s": F.coalesce(rate, F.lit(0.0))}).withColumns({
         "lc_per_s": F.col("steps_per_s") * batch_size,
         "eta_s": (F.lit(n_steps) - F.col("step")) / s.at_least(F.col("steps_per_s"), 1e-6),
     })
     if waited is not None:
-        out = out.withColumn("data_wait_frac", F.bround(waited / F.col("interval"), 3))
+        out = out.withColumn("data_wait_frac", F.coalesce(F.bround(waited / F.col("interval"), 3), F.lit(0.0)))
     return out.drop("_t", "_t0", "_s0")
 
 
@@ -86,29 +89,29 @@ def health(latest: DataFrame, *, expect_device: str | None = None, n_steps: int
     return latest.withColumn("warnings", warnings).withColumn("verdict", verdict)
 
 
-def loss_trend(log: DataFrame, edge: int = 10, slack: float = 1.05, *, hot=g.AUTO) -> DataFrame:
+def loss_trend(log: DataFrame, edge: int = 10, slack: float = 1.05) -> DataFrame:
     """Is the mean of the last records within ``slack`` of the first? True for short logs."""
-    placed = g.positions(log, RUN, [F.col("step")], F.col("step"), hot=hot)
+    placed = g.positions(log, RUN, [F.col("step")])
     first = F.avg(F.when(F.col("pos") < edge, F.col("total")))
     last = F.avg(F.when(F.col("pos") >= F.col("n_rows") - edge, F.col("total")))
     ok = F.when(F.first("n_rows") >= 2 * edge, F.coalesce(last <= first * s.lit(slack), F.lit(False))).otherwise(F.lit(True))
     return placed.groupBy(*RUN).agg(first.alias("first_mean"), last.alias("last_mean"), ok.alias("trending"))
 
 
-def nonfinite_streak(log: DataFrame, patience: int = 20, *, hot=g.AUTO) -> DataFrame:
-    """Consecutive non-finite losses up to each step, and whether patience has run out.
+def nonfinite_streak(log: DataFrame, patience: int = 20) -> DataFrame:
+    """Consecutive non-finite records up to each step, and whether patience has run out.
 
-    The streak is the distance to the last finite step, so a running look-back replaces a counter.
+    Records are counted, not steps: a log may hold every hundredth step only.
     """
-    rows = g.nearest_known(log, RUN, "step", "total", hot=hot)
-    streak = F.when(F.col("total").isNotNull(), F.lit(0)).otherwise(F.col("step") - F.coalesce("prev_x", F.lit(0)))
-    return rows.withColumn("streak", streak.cast("long")).withColumn("abort", F.col("streak") >= patience).drop(
-        "prev_x", "prev_v", "next_x", "next_v"
-    )
+    placed = g.positions(log, RUN, [F.col("step").asc()])
+    finite = F.when(F.col("total").isNotNull(), F.col("pos"))
+    rows = g.running(placed, RUN, [F.col("pos").asc()], {"_last": finite}, kind="max")
+    streak = (F.col("pos") - F.coalesce("_last", F.lit(-1))).cast("long")
+    return rows.withColumn("streak", streak).withColumn("abort", F.col("streak") >= patience).drop("pos", "n_rows", "_last")
 
 
-def keep_newest(log: DataFrame, k: int, *, hot=g.AUTO) -> DataFrame:
-    placed = g.positions(log, RUN, [F.col("step").desc()], -F.col("step"), hot=hot)
+def keep_newest(log: DataFrame, k: int) -> DataFrame:
+    placed = g.positions(log, RUN, [F.col("step").desc()])
     return placed.filter(F.col("pos") < k).drop("pos", "n_rows")
 
 

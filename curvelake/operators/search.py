@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from curvelake.functions import scalars as s
 from curvelake.operators import grouped as g
 from curvelake.operators import reduce as r
-from curvelake.session import hot_rows
 
 ID = ["object_id"]
 
@@ -24,38 +23,29 @@ def linear_grid(low: float, high: float, n: int) -> Column:
     return s.lit(low) + F.col("pid") * s.lit((high - low) / (n - 1))
 
 
-def _centred(cadence: DataFrame, hot) -> DataFrame:
+def _centred(cadence: DataFrame) -> DataFrame:
     """Flux about the object's median, with the robust scale of that."""
-    rows = g.attach_stats(cadence, ID, quantiles={"_med": (F.col("flux"), 0.5)}, hot=hot)
+    rows = g.attach_stats(cadence, ID, quantiles={"_med": (F.col("flux"), 0.5)})
     rows = rows.withColumn("f", F.col("flux") - F.col("_med"))
-    rows = g.attach_stats(rows, ID, quantiles={"_mad": (F.abs("f"), 0.5)}, hot=hot)
+    rows = g.attach_stats(rows, ID, quantiles={"_mad": (F.abs("f"), 0.5)})
     return rows.select(*ID, "t", "f", (s.lit(s.MAD_TO_SIGMA) * F.col("_mad") + s.lit(1e-6)).alias("sigma"))
 
 
 def box_periodogram(
-    cadence: DataFrame, low: float, high: float, n_periods: int, n_phase: int = 64,
-    *, engine: str = "pandas", hot=g.AUTO,
+    cadence: DataFrame, low: float, high: float, n_periods: int, n_phase: int = 64, *, engine: str = "pandas",
 ) -> DataFrame:
     """Score of the deepest phase bin at each log-spaced trial period.
 
     An empty phase bin scores 0, so a period with one never scores below 0.
 
-    ``engine="pandas"`` gathers each object into arrays and folds it in Arrow batches, the period grid
-    in chunks. ``engine="sql"`` folds every cadence at every period and lets partial aggregation shrink
-    the rows to n_phase per (object, period) before the shuffle; objects above ``curvelake.hotRows``
-    always take that way, so no object has to fit one task. Both give the same scores.
+    ``engine="pandas"`` folds in Arrow batches: ranges of rows in order of object add up the sums and counts of
+    their objects; an object that may go on in the next range hands its sums over, the others their scores.
+    ``engine="sql"`` folds every cadence at every period and lets partial aggregation shrink the rows.
+    Both give the same scores, whatever the length of an object.
     """
-    if isinstance(hot, str):
-        hot = g.hot_groups(cadence, ID)
-    rows = _centred(cadence, hot)
-    if engine == "sql":
-        return _periodogram_sql(rows, low, high, n_periods, n_phase)
-    if hot is None:
-        return _periodogram_arrow(rows, low, high, n_periods, n_phase)
-    big = F.broadcast(hot.select(*ID))
-    return _periodogram_sql(rows.join(big, ID, "left_semi"), low, high, n_periods, n_phase).unionByName(
-        _periodogram_arrow(rows.join(big, ID, "left_anti"), low, high, n_periods, n_phase)
-    )
+    rows = _centred(cadence)
+    fold = {"sql": _periodogram_sql, "pandas": _periodogram_arrow}[engine]
+    return fold(rows, low, high, n_periods, n_phase)
 
 
 def _periodogram_sql(rows: DataFrame, low, high, n_periods, n_phase) -> DataFrame:
@@ -73,50 +63,85 @@ def _periodogram_sql(rows: DataFrame, low, high, n_periods, n_phase) -> DataFram
     return best.select(*ID, "pid", log_grid(low, high, n_periods).alias("period"), floor0.alias("score"))
 
 
+class Folded:
+    """Sums and counts of one object's phase bins at all trial periods, filled run by run."""
+
+    #: Cadences folded at once; bounds the scratch arrays.
+    RUN = 2_048
+
+    def __init__(self, periods: np.ndarray, n_phase: int):
+        self.periods, self.n_phase = periods, n_phase
+        self.sums = np.zeros(len(periods) * n_phase)
+        self.counts = np.zeros(len(periods) * n_phase, np.int64)
+
+    def add(self, t: np.ndarray, f: np.ndarray) -> None:
+        first_bin = np.arange(len(self.periods)) * self.n_phase
+        for at in range(0, len(t), self.RUN):
+            turns = np.divide.outer(t[at : at + self.RUN], self.periods)
+            inside = np.floor((turns - np.floor(turns)) * self.n_phase).astype(np.int64)
+            slots = (np.minimum(inside, self.n_phase - 1) + first_bin).ravel()
+            self.sums += np.bincount(slots, np.repeat(f[at : at + self.RUN], len(self.periods)), len(self.sums))
+            self.counts += np.bincount(slots, minlength=len(self.counts))
+
+    def scores(self, sigma: float) -> np.ndarray:
+        """Mean dip times the root of the count is the sum over the root of the count."""
+        dips = np.where(self.counts > 0, -self.sums / np.sqrt(np.maximum(self.counts, 1)) / sigma, 0.0)
+        return dips.reshape(-1, self.n_phase).max(1) + 0.0
+
+
 def _periodogram_arrow(rows: DataFrame, low, high, n_periods, n_phase) -> DataFrame:
-    curves = rows.groupBy(*ID).agg(
-        F.collect_list("t").alias("t"), F.collect_list("f").alias("f"), F.first("sigma").alias("sigma")
-    )
-    step = np.arange(n_periods) / float(n_periods - 1)
-    periods = low * np.power(high / low, step)
-    # Bound the (period, cadence) scratch matrix whatever the curve length.
-    scratch = 4_000_000
-
-    def score_batch(pdfs):
-        for pdf in pdfs:
-            out = []
-            for t, f, sigma in zip(pdf["t"], pdf["f"], pdf["sigma"]):
-                t, f = np.asarray(t, dtype=float), np.asarray(f, dtype=float)
-                chunk = max(1, scratch // max(len(t), 1))
-                scores = np.empty(n_periods)
-                for a in range(0, n_periods, chunk):
-                    p = periods[a : a + chunk, None]
-                    turns = t[None, :] / p
-                    b = np.clip(((turns - np.floor(turns)) * n_phase).astype(np.int64), 0, n_phase - 1)
-                    b += np.arange(len(p))[:, None] * n_phase
-                    n = np.bincount(b.ravel(), minlength=len(p) * n_phase)
-                    w = np.bincount(b.ravel(), weights=np.tile(f, len(p)), minlength=len(p) * n_phase)
-                    n = n.reshape(len(p), n_phase)
-                    depth = -(w.reshape(len(p), n_phase) / np.maximum(n, 1)) * np.sqrt(n) / sigma
-                    scores[a : a + chunk] = depth.max(axis=1)
-                out.append(scores + 0.0)
-            yield pd.DataFrame({"object_id": pdf["object_id"], "scores": out})
-
-    scored = curves.mapInPandas(score_batch, "object_id long, scores array<double>")
-    return scored.select(*ID, F.posexplode("scores").alias("pid", "score")).select(
-        *ID, "pid", log_grid(low, high, n_periods).alias("period"), "score"
+    periods = low * np.power(high / low, np.arange(n_periods) / float(n_periods - 1))
+
+    def fold_ranges(frames):
+        """Objects arrive in order. The first and the last of a range may lie in others too."""
+        held, done, first = None, [], True
+
+        def close(last: bool) -> None:
+            nonlocal held, first
+            object_id, sigma, part = held
+            open_end = first or last
+            done.append({
+                "object_id": object_id, "sigma": sigma, "scores": None if open_end else part.scores(sigma),
+                "sums": part.sums if open_end else None, "counts": part.counts if open_end else None,
+            })
+            held, first = None, False
+
+        for frame in frames:
+            for object_id, run in frame.groupby("object_id", sort=False, dropna=False):
+                if held is not None and held[0] != object_id:
+                    close(False)
+                if held is None:
+                    held = (object_id, float(run["sigma"].iloc[0]), Folded(periods, n_phase))
+                held[2].add(run["t"].to_numpy(float), run["f"].to_numpy(float))
+            if done:
+                yield pd.DataFrame(done)
+                done = []
+        if held is not None:
+            close(True)
+            yield pd.DataFrame(done)
+
+    ranged = rows.filter("object_id IS NOT NULL").repartitionByRange(F.col("object_id").asc(), F.xxhash64("t", "f").asc()).sortWithinPartitions("object_id")
+    parts = ranged.select("object_id", "t", "f", "sigma").mapInPandas(
+        fold_ranges, "object_id long, sigma double, scores array<double>, sums array<double>, counts array<bigint>"
     )
+    # Folding costs far more than keeping its few results once for both branches.
+    parts = g.settle(parts)
+    whole = parts.filter("scores IS NOT NULL").select(*ID, F.posexplode("scores").alias("pid", "score"))
+    # At most two objects of each range come in parts.
+    bins = parts.filter("scores IS NULL").select(*ID, "sigma", F.posexplode(F.arrays_zip("sums", "counts")).alias("slot", "b"))
+    bins = bins.groupBy(*ID, "slot").agg(F.first("sigma").alias("sigma"), F.sum("b.sums").alias("_s"), F.sum("b.counts").alias("_n"))
+    dip = F.when(F.col("_n") > 0, -F.col("_s") / F.sqrt(F.col("_n").cast("double")) / F.col("sigma")).otherwise(s.lit(0.0))
+    pieced = bins.groupBy(*ID, F.floor(F.col("slot") / n_phase).cast("int").alias("pid")).agg((F.max(dip) + s.lit(0.0)).alias("score"))
+    return whole.unionByName(pieced).select(*ID, "pid", log_grid(low, high, n_periods).alias("period"), "score")
 
 
 def periodogram_view(
     cadence: DataFrame, low: float, high: float, n_periods: int, *, n_raw: int = 4096, n_phase: int = 64,
-    engine: str = "pandas", hot=g.AUTO,
+    engine: str = "pandas",
 ) -> DataFrame:
     """Normalised periodogram of the strided subsample."""
-    short = r.stride_subsample(cadence, n_raw, hot=hot).drop("pos")
-    # The subsample holds at most n_raw rows per object.
-    again = None if n_raw <= hot_rows(cadence.sparkSession) else g.AUTO
-    scored = box_periodogram(short, low, high, n_periods, n_phase, engine=engine, hot=again)
+    short = r.stride_subsample(cadence, n_raw).drop("pos")
+    scored = box_periodogram(short, low, high, n_periods, n_phase, engine=engine)
     return r.normalize_view(scored, value="score")
 
 
@@ -129,7 +154,7 @@ def best_period(periodogram: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def box_least_squares(
-    cadence: DataFrame, low: float, high: float, n_periods: int, durations, *, hot=g.AUTO
+    cadence: DataFrame, low: float, high: float, n_periods: int, durations
 ) -> DataFrame:
     """Box search power on a linear period grid, floored at 0.
 
@@ -141,7 +166,6 @@ def box_least_squares(
         cadence, ID,
         quantiles={"_med": (F.col("flux"), 0.5)},
         aggs={"_sd": F.stddev_pop("flux"), "_n": F.count(F.lit(1)), "_sum": F.sum("flux")},
-        hot=hot,
     ).select(
         *ID, "t", (F.col("flux") - F.col("_med")).alias("f"), "_sd", "_n",
         (F.col("_sum") - F.col("_n") * F.col("_med")).alias("_total"),
@@ -177,24 +201,22 @@ def box_least_squares(
     )
 
 
-def refine_epoch(cadence: DataFrame, periods: DataFrame, n_centres: int = 512, *, digits: int = 9, hot=g.AUTO) -> DataFrame:
+def refine_epoch(cadence: DataFrame, periods: DataFrame, n_centres: int = 512, *, digits: int = 9) -> DataFrame:
     """Epoch of the deepest box at a fixed period. ``periods`` carries P and duration.
 
     Each cadence enters the boxes of consecutive centres. It is written as one entry where that run
     begins and one exit after it ends, and a running sum over the ``n_centres`` positions of an object
     restores every box: two to four rows per cadence instead of one per box.
     """
-    if isinstance(hot, str):
-        hot = g.hot_groups(cadence, ID)
-    steps = r.median_cadence(cadence, hot=hot).select(*ID, "dt")
+    steps = r.median_cadence(cadence).select(*ID, "dt")
     duration = F.when(s.is_finite(F.col("duration")) & (F.col("duration") > 0), F.col("duration")).otherwise(s.lit(0.1))
     shape = periods.join(steps, "object_id").select(
         *ID, "P", F.greatest(s.lit(0.5) * duration, F.coalesce("dt", s.lit(0.0))).alias("half")
     )
     rows = g.attach_stats(
-        cadence, ID, quantiles={"_med": (F.col("flux"), 0.5)}, aggs={"_start": F.min("t")}, hot=hot
+        cadence, ID, quantiles={"_med": (F.col("flux"), 0.5)}, aggs={"_start": F.min("t")}
     )
-    rows = g.join_groups(rows, shape, ID, hot=hot)
+    rows = g.join_groups(rows, shape, ID)
     n = n_centres
     turn = s.floor_mod(F.col("t") - F.col("_start"), F.col("P"))
     scale = s.lit(float(n)) / F.col("P")
@@ -216,7 +238,7 @@ def refine_epoch(cadence: DataFrame, periods: DataFrame, n_centres: int = 512, *
         F.first("P").alias("P"), F.first("_start").alias("_start"),
     )
     # At most n_centres + 1 rows per object from here on.
-    summed = g.running(change, ID, [F.col("j")], F.col("j"), {"sum_f": F.col("_f"), "cnt": F.col("_n")}, hot=None)
+    summed = g.running(change, ID, [F.col("j")], {"sum_f": F.col("_f"), "cnt": F.col("_n")}, bounded=True)
     best = F.max(F.struct(F.round(-F.col("sum_f") / F.col("cnt"), digits).alias("depth"), (-F.col("j")).alias("_m")))
     picked = summed.filter((F.col("cnt") > 0) & (F.col("j") < n)).groupBy(*ID).agg(
         best.alias("_b"), F.first("P").alias("P"), F.first("_start").alias("_start")

@@ -33,7 +33,7 @@ def two_sides(spark, sf):
 
 @query("a28_wasserstein", f"WITH {WASS} SELECT object_id, param, {r('wasserstein')} AS wasserstein, n_a, n_b FROM ws")
 def wasserstein(spark, sf):
-    return rounded(a.wasserstein(b.two_sides(spark, sf), hot=b.suppliers_hot(spark, sf)), "wasserstein")
+    return rounded(a.wasserstein(b.two_sides(spark, sf)), "wasserstein")
 
 
 NORMED = f"""{WASS},
@@ -48,7 +48,7 @@ dist AS (SELECT object_id, param, wasserstein, wasserstein / nullif(prior_range,
 def distances(spark, sf):
     sides = b.two_sides(spark, sf)
     ranges = sides.groupBy("param").agg((F.max("value") - F.min("value")).alias("prior_range"))
-    return a.normalized_wasserstein(sides, ranges, hot=b.suppliers_hot(spark, sf))
+    return a.normalized_wasserstein(sides, ranges)
 
 
 @query("a29_wasserstein_normalised", f"""WITH {NORMED}
@@ -102,7 +102,7 @@ SELECT rec.object_id, score, {r('wasserstein')} AS wasserstein FROM rec LEFT JOI
 def records_with_results(spark, sf):
     records = b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("object_id"), F.col("s_acctbal").alias("score"))
     compared = records.filter("score >= 5000").select("object_id")
-    results = a.wasserstein(b.two_sides(spark, sf).filter("param = 'l_quantity'"), hot=b.suppliers_hot(spark, sf)).select("object_id", "wasserstein")
+    results = a.wasserstein(b.two_sides(spark, sf).filter("param = 'l_quantity'")).select("object_id", "wasserstein")
     return rounded(records.join(results.join(compared, "object_id"), "object_id", "left"), "wasserstein")
 
 
@@ -218,5 +218,5 @@ cs AS (SELECT object_id, draw, w, sum(w) OVER (PARTITION BY object_id ORDER BY d
 cp AS (SELECT object_id, draw, CAST(floor(round(1e2 * c, 9) + 5e-1) - floor(round(1e2 * (c - w), 9) + 5e-1) AS INTEGER) AS copies FROM cs)
 SELECT object_id, draw, copies, CAST(i AS INTEGER) AS copy FROM cp, LATERAL (SELECT unnest(range(1, copies + 1)) AS i) WHERE copies > 0""")
 def resample(spark, sf):
-    out = rw.resample(weighted(spark, sf), 100, [F.col("draw")], F.col("draw"))
+    out = rw.resample(weighted(spark, sf), 100, [F.col("draw")])
     return out.select("object_id", "draw", "copies", "copy")

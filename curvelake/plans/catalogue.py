@@ -57,7 +57,7 @@ def truncate(spark, sf):
 SELECT object_id, pos, flux, {r('t')} AS t FROM o WHERE pos < 3""")
 def top_values(spark, sf):
     order = [F.col("flux").desc(), F.col("t")]
-    out = c.top_per_group(b.sparse_cadence(spark, sf), ["object_id"], order, -F.col("flux"), 3)
+    out = c.top_per_group(b.sparse_cadence(spark, sf), ["object_id"], order, 3)
     return rounded(out.select("object_id", "pos", "flux", "t"), "t")
 
 

@@ -41,7 +41,7 @@ def read_dataset(spark, sf):
 @query("s06_batches", "SELECT id, batch_id FROM (SELECT o_orderkey AS id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS batch_id, count(*) OVER () AS n FROM orders) WHERE batch_id < n // 64")
 def fixed_batches(spark, sf):
     rows = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    return ds.batches(rows, 64, [F.col("id")], F.col("id"))
+    return ds.batches(rows, 64, [F.col("id")])
 
 
 @query("s06_shuffled_batches", "SELECT batch_id, count(*) AS n FROM (SELECT (row_number() OVER () - 1) // 64 AS batch_id, count(*) OVER () AS n FROM orders) WHERE batch_id < n // 64 GROUP BY 1")

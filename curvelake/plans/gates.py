@@ -84,6 +84,26 @@ def agreement_extremes(spark, sf):
     return gt.agreement_extremes(agreement(spark, sf), ["run"])
 
 
+@query("a50_agreement_gates", f"""WITH {AGREE},
+holes AS (SELECT run, param, n, CASE WHEN run % 5 = 1 AND param = 'b' THEN NULL ELSE prior_fraction END AS prior_fraction, width_fraction
+          FROM ag WHERE NOT (run % 4 = 2 AND param = 'aRs')),
+w AS (SELECT run, count(DISTINCT param) = 3 AS whole, count(prior_fraction) = count(*) AS known, max(prior_fraction) AS p, max(width_fraction) AS x, min(n) AS n
+      FROM holes WHERE param <> 'P' GROUP BY 1)
+SELECT run, whole AND known AND p <= 4.5e-2 AS prior_ok, whole AND x <= 6e-2 AS width_ok, whole AND n >= 2 AS compared_ok FROM w""")
+def agreement_gates(spark, sf):
+    """Runs that lack a parameter, or one metric of it, fail; thresholds are given."""
+    limits = gt.Limits(max_prior_fraction=0.045, max_width_fraction=0.06, min_compared=2)
+    run = F.col("run")
+    rows = agreement(spark, sf).filter(~((run % 4 == 2) & (F.col("param") == "aRs")))
+    rows = rows.withColumn("prior_fraction", F.when(~((run % 5 == 1) & (F.col("param") == "b")), F.col("prior_fraction")))
+    blank = F.lit(None).cast("double")
+    worst = gt.worst_agreement(rows, ["run"]).withColumns({
+        "auc_passes": F.lit(True), "sbc_passes": F.lit(True), "coverage_passes": F.lit(True), "n_detected": F.lit(30), "speedup_x": blank,
+        "baseline_auc": blank, "learned_auc": blank})
+    out = gt.gate_report(worst, limits)
+    return out.select("run", F.col("real_prior_fraction").alias("prior_ok"), F.col("real_width_fraction").alias("width_ok"), F.col("real_compared").alias("compared_ok"))
+
+
 @query("a49_diagnostics", f"""WITH {AGREE}
 SELECT run, min(coverage_68) >= 5e-1 AS "cov68_ge_0.5", min(coverage_95) >= 8e-1 AS "cov95_ge_0.8" FROM ag WHERE param <> 'P' GROUP BY 1""")
 def diagnostics(spark, sf):
@@ -99,7 +119,7 @@ rp AS (SELECT run, coalesce(roc_auc >= '0.99'::DOUBLE, false) AS synthetic_auc,
 
 def report(spark, sf):
     rows = metrics(spark, sf).withColumns({
-        "auc_passes": F.col("roc_auc") >= gt.MIN_AUC, "coverage_passes": F.col("coverage_error") <= gt.MAX_COVERAGE_ERROR,
+        "auc_passes": F.col("roc_auc") >= gt.DEFAULT.min_auc, "coverage_passes": F.col("coverage_error") <= gt.DEFAULT.max_coverage_error,
         "baseline_auc": F.col("coverage_error"), "learned_auc": F.col("roc_auc")})
     return gt.gate_report(rows).select("run", *gt.REPORT_GATES, "final_pass")
 

@@ -251,7 +251,7 @@ SELECT object_id, {r('t')} AS t, flux, row_number() OVER (PARTITION BY object_id
        count(*) OVER (PARTITION BY object_id) AS n_rows FROM fold""")
 def phase_order(spark, sf):
     rows = red.fold(red.join_ephemeris(*sparse(spark, sf))).withColumn("ph", F.round("phase", 9))
-    placed = g.positions(rows, ["object_id"], [F.col("ph"), F.col("flux"), F.col("t")], F.col("ph"))
+    placed = g.positions(rows, ["object_id"], [F.col("ph"), F.col("flux"), F.col("t")])
     return rounded(placed.select("object_id", "t", "flux", "pos", "n_rows"), "t")
 
 
@@ -259,7 +259,7 @@ def phase_order(spark, sf):
 o AS (SELECT *, ntile(7) OVER (PARTITION BY object_id ORDER BY t, flux) - 1 AS grp FROM cad)
 SELECT object_id, grp, count(*) AS n, {r('avg(t)')} AS t, {r('avg(flux)')} AS flux FROM o GROUP BY 1, 2""")
 def equal_count_groups(spark, sf):
-    placed = g.positions(b.sparse_cadence(spark, sf), ["object_id"], red.by_time(), F.col("t"))
+    placed = g.positions(b.sparse_cadence(spark, sf), ["object_id"], red.by_time())
     out = placed.withColumn("grp", red.equal_count_group(7)).groupBy("object_id", "grp").agg(
         F.count("*").alias("n"), F.avg("t").alias("t"), F.avg("flux").alias("flux"))
     return rounded(out, "t", "flux")
@@ -406,18 +406,22 @@ def autocorrelation(spark, sf):
 
 
 @query("j11_noise_multiply", f"""WITH {SEGMENTS},
-one AS (SELECT object_id AS segment_key, i AS j, flux AS noise FROM seg WHERE segment = 0),
+lib AS (SELECT object_id, segment, row_number() OVER (ORDER BY object_id, segment) - 1 AS segment_key, count(*) OVER () AS k
+        FROM (SELECT DISTINCT object_id, segment FROM seg)),
+one AS (SELECT segment_key, i AS j, flux AS noise FROM seg JOIN lib USING (object_id, segment)),
 mo AS (SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY t, flux) - 1 AS INTEGER) AS i, 1 - flux / 1e6 AS model
        FROM cad)
 SELECT mo.object_id, mo.i, {r('model * noise')} AS flux FROM mo
-JOIN one ON segment_key = (mo.object_id + 1) % (SELECT count(*) FROM supplier) AND j = (mo.i + mo.object_id % 13) % 100""")
+JOIN one ON segment_key = (mo.object_id * 7 + 1) % (SELECT max(k) FROM lib) AND j = (mo.i + mo.object_id % 13) % 100""")
 def noise_multiply(spark, sf):
-    segments = red.noise_segments(b.dense_cadence(spark, sf), 100).filter("segment = 0").select(
-        F.col("object_id").alias("segment_key"), F.col("i").alias("j"), F.col("flux").alias("noise"),
-        F.lit(100).alias("length"))
-    n = b.table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("k"))
-    rows = g.positions(b.dense_cadence(spark, sf), ["object_id"], red.by_time(), F.col("t"))
-    objects = rows.crossJoin(F.broadcast(n)).select(
+    """Every complete piece of every object is in the library."""
+    pieces = red.noise_segments(b.dense_cadence(spark, sf), 100)
+    library = g.positions(pieces.select("object_id", "segment").distinct(), [], [F.col("object_id"), F.col("segment")])
+    segments = pieces.join(library, ["object_id", "segment"]).select(
+        F.col("pos").alias("segment_key"), F.col("i").alias("j"), F.col("flux").alias("noise"), F.lit(100).alias("length"))
+    k = library.agg(F.max("n_rows").alias("k"))
+    rows = g.positions(b.dense_cadence(spark, sf), ["object_id"], red.by_time())
+    objects = rows.crossJoin(F.broadcast(k)).select(
         "object_id", F.col("pos").cast("int").alias("i"), (s.lit(1.0) - F.col("flux") / s.lit(1e6)).alias("model"),
-        ((F.col("object_id") + 1) % F.col("k")).alias("segment_key"), (F.col("object_id") % 13).alias("offset"))
+        ((F.col("object_id") * 7 + 1) % F.col("k")).alias("segment_key"), (F.col("object_id") % 13).alias("offset"))
     return rounded(red.apply_noise(objects, segments).select("object_id", "i", "flux"), "flux")

@@ -16,7 +16,7 @@ LOG = """lg AS (SELECT user_id AS run, ts, event_id, (epoch_us(ts) - 17040672000
 
 
 def log(spark, sf):
-    return rl.number_steps(b.run_log_rows(spark, sf), [F.col("t"), F.col("event_id")], F.col("t"))
+    return rl.number_steps(b.run_log_rows(spark, sf), [F.col("t"), F.col("event_id")])
 
 
 @query("a51_run_best", f"""WITH {LOG},
@@ -31,10 +31,11 @@ def run_best(spark, sf):
 
 @query("a52_run_throughput", f"""WITH {LOG},
 d AS (SELECT run, step, raw, greatest((t - lag(t) OVER w) * 864e2, 1e-6) AS interval, step - lag(step) OVER w AS ds FROM lg WINDOW w AS (PARTITION BY run ORDER BY step))
-SELECT run, step, {r('interval', 3)} AS interval, {r('ds / interval')} AS steps_per_s, {r('ds / interval * 256', 4)} AS lc_per_s,
- {r('(100 - step) / greatest(ds / interval, 1e-6)', 6)} AS eta_s, round_even(raw / interval, 3) AS data_wait_frac FROM d WHERE ds IS NOT NULL""")
+SELECT run, step, {r('interval', 3)} AS interval, {r('coalesce(ds / interval, 0)')} AS steps_per_s, {r('coalesce(ds / interval * 256, 0)', 4)} AS lc_per_s,
+ {r('(100 - step) / greatest(coalesce(ds / interval, 0), 1e-6)', 6)} AS eta_s, coalesce(round_even(raw / interval, 3), 0) AS data_wait_frac
+FROM (SELECT run, step, raw, ds, CASE WHEN ds IS NOT NULL THEN interval END AS interval FROM d)""")
 def run_throughput(spark, sf):
-    out = rl.throughput(log(spark, sf), 100, 256, seconds=F.col("t") * s.lit(86400.0), waited=F.col("raw")).filter("interval is not null")
+    out = rl.throughput(log(spark, sf), 100, 256, seconds=F.col("t") * s.lit(86400.0), waited=F.col("raw"))
     out = out.withColumns({"interval": F.round("interval", 3), "steps_per_s": F.round("steps_per_s", 6), "lc_per_s": F.round("lc_per_s", 4), "eta_s": F.round("eta_s", 6)})
     return out.select("run", "step", "interval", "steps_per_s", "lc_per_s", "eta_s", "data_wait_frac")
 
@@ -77,6 +78,16 @@ def nonfinite_streak(spark, sf):
     return rl.nonfinite_streak(log(spark, sf), 2).select("run", "step", "streak", "abort")
 
 
+@query("w10_streak_with_gaps", f"""WITH {LOG}, sp AS (SELECT run, step * 50 AS step, total FROM lg WHERE step % 3 <> 1),
+i AS (SELECT *, count(total) OVER (PARTITION BY run ORDER BY step) AS island FROM sp)
+SELECT run, step, count(*) FILTER (total IS NULL) OVER (PARTITION BY run, island ORDER BY step) AS streak,
+ count(*) FILTER (total IS NULL) OVER (PARTITION BY run, island ORDER BY step) >= 3 AS abort FROM i""")
+def streak_with_gaps(spark, sf):
+    """A log whose steps are not consecutive: records count."""
+    sparse = log(spark, sf).filter("step % 3 <> 1").withColumn("step", F.col("step") * 50)
+    return rl.nonfinite_streak(sparse, 3).select("run", "step", "streak", "abort")
+
+
 @query("w11_best_so_far", f"""WITH {LOG} SELECT run, step, min(total) OVER w AS best, max(raw) OVER w AS best_raw FROM lg WINDOW w AS (PARTITION BY run ORDER BY step)""")
 def best_so_far(spark, sf):
     rows = rl.best_so_far(log(spark, sf), "total")

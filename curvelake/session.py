@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -19,9 +20,6 @@ DEFAULTS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
-HOT_ROWS_KEY = "curvelake.hotRows"
-HOT_ROWS_DEFAULT = 1_000_000
-
 
 def get_session(app: str = "curvelake", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -32,17 +30,19 @@ def get_session(app: str = "curvelake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def hot_rows(spark: SparkSession) -> int:
-    """Rows of one group that a single task may order by itself."""
-    return int(spark.conf.get(HOT_ROWS_KEY, str(HOT_ROWS_DEFAULT)))
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a scratch folder only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", "")
+    """The shared checkpoint folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local master may go without: driver and executors are one process there, so a temporary folder of its own
+    is shared by all. Elsewhere a missing setting is an error, since no path of the driver reaches the executors.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = configured or tempfile.mkdtemp(prefix="spark-")
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

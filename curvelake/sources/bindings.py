@@ -14,7 +14,7 @@ from curvelake.functions.scalars import (
     STRATA, expected_points_in_transit, expected_snr, lit, stratum, transit_duration, transits_in,
 )
 from curvelake.operators.calibration import pair_wide
-from curvelake.operators.grouped import positions, unless_hot
+from curvelake.operators.grouped import positions
 
 EPOCH_MICROS = 1_704_067_200_000_000  # 2024-01-01 UTC
 SAMPLE_PARAMS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -157,7 +157,7 @@ def numbered_lines(spark, sf_dir) -> DataFrame:
     """Wide draws with ``draw`` = 1, 2, ... in full-column order per part."""
     rows = line_samples(spark, sf_dir)
     order = [F.col(c) for c in LINE_ORDER if c != "l_partkey"]
-    placed = positions(rows, ["object_id"], order, F.col("l_orderkey"))
+    placed = positions(rows, ["object_id"], order)
     return placed.withColumn("draw", F.col("pos") + 1).drop("pos", "n_rows")
 
 
@@ -167,16 +167,6 @@ def hold_one_out(spark, sf_dir) -> DataFrame:
     return pair_wide(lines.filter("draw >= 2"), lines.filter("draw = 1"), SAMPLE_PARAMS)
 
 
-def parts_hot(spark, sf_dir):
-    """``hot=`` for operators on groups inside a part."""
-    return unless_hot(line_samples(spark, sf_dir).select("object_id"), ["object_id"])
-
-
-def suppliers_hot(spark, sf_dir):
-    """``hot=`` for operators on groups inside a supplier."""
-    return unless_hot(table(spark, sf_dir, "lineitem").select("l_suppkey"), ["l_suppkey"])
-
-
 def two_sides(spark, sf_dir) -> DataFrame:
     """Returned lines against the others, per supplier and parameter."""
     lines = table(spark, sf_dir, "lineitem").select(

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from curvelake.operators import grouped as g
 
 
-def assign_shards(df: DataFrame, key: str, shard_size: int, *, hot=g.AUTO) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, shard_size: int) -> DataFrame:
     """Shard number in key order, ``shard_size`` rows each, the last one short."""
-    placed = g.positions(df, [], [F.col(key).asc()], F.col(key), hot=hot)
+    placed = g.positions(df, [], [F.col(key).asc()])
     return placed.withColumn("shard", F.floor(F.col("pos") / shard_size).cast("long")).drop("pos", "n_rows")
 
 
@@ -25,13 +25,13 @@ def existing_shards(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def write_dataset(df: DataFrame, path: str, key: str, shard_size: int, *, hot=g.AUTO) -> None:
+def write_dataset(df: DataFrame, path: str, key: str, shard_size: int) -> None:
     """Write the shards that are not there yet; a finished shard is never rewritten.
 
     The commit protocol publishes the files of a job together, so an interrupted run leaves no partial
     shard and can simply be started again.
     """
-    shards = assign_shards(df, key, shard_size, hot=hot)
+    shards = assign_shards(df, key, shard_size)
     done = existing_shards(df.sparkSession, path)
     if done is not None:
         shards = shards.join(done, "shard", "left_anti")
@@ -47,14 +47,14 @@ def read_dataset(spark: SparkSession, path: str, required: Sequence[str], option
     return found.select(*required, *extra, F.col("shard").cast("long").alias("shard"))
 
 
-def shard_offsets(dataset: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def shard_offsets(dataset: DataFrame) -> DataFrame:
     """First flat index of each shard."""
     sizes = dataset.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
-    upto = g.running(sizes, [], [F.col("shard")], F.col("shard"), {"_end": F.col("size")}, hot=hot)
+    upto = g.running(sizes, [], [F.col("shard")], {"_end": F.col("size")})
     return upto.select("shard", (F.col("_end") - F.col("size")).alias("offset"), "size")
 
 
-def locate(indices: DataFrame, offsets: DataFrame, *, hot=g.AUTO) -> DataFrame:
+def locate(indices: DataFrame, offsets: DataFrame) -> DataFrame:
     """Shard and local index of flat indices ``idx``.
 
     Shard starts and indices are merged in order and each index takes the last start before it: an
@@ -62,32 +62,32 @@ def locate(indices: DataFrame, offsets: DataFrame, *, hot=g.AUTO) -> DataFrame:
     """
     starts = offsets.select(F.col("offset").cast("double").alias("x"), F.col("shard").alias("start_shard"), F.lit(None).cast("long").alias("idx"))
     asked = indices.select((F.col("idx") + F.lit(0.5)).alias("x"), F.lit(None).cast("long").alias("start_shard"), F.col("idx").cast("long").alias("idx"))
-    merged = g.nearest_known(starts.unionByName(asked), [], "x", "start_shard", hot=hot)
+    merged = g.nearest_known(starts.unionByName(asked), [], "x", "start_shard")
     return merged.filter(F.col("idx").isNotNull()).select(
         "idx", F.col("prev_v").alias("shard"), (F.col("idx") - F.col("prev_x")).cast("long").alias("local")
     )
 
 
-def gather(dataset: DataFrame, indices: DataFrame, key: str, *, hot=g.AUTO) -> DataFrame:
+def gather(dataset: DataFrame, indices: DataFrame, key: str) -> DataFrame:
     """Rows at the given flat indices (shard order, then key order)."""
-    where = locate(indices, shard_offsets(dataset, hot=hot), hot=hot)
-    local = g.positions(dataset, ["shard"], [F.col(key).asc()], F.col(key), hot=hot)
+    where = locate(indices, shard_offsets(dataset))
+    local = g.positions(dataset, ["shard"], [F.col(key).asc()])
     return where.join(local.withColumnRenamed("pos", "local").drop("n_rows"), ["shard", "local"])
 
 
-def batches(df: DataFrame, size: int, order: Sequence[Column], lead: Column, *, drop_last: bool = True, hot=g.AUTO) -> DataFrame:
+def batches(df: DataFrame, size: int, order: Sequence[Column], *, drop_last: bool = True) -> DataFrame:
     """Fixed-size batches along ``order``; the short last one is dropped, as at the end of an epoch."""
-    placed = g.positions(df, [], list(order), lead, hot=hot)
+    placed = g.positions(df, [], list(order))
     out = placed.withColumn("batch_id", F.floor(F.col("pos") / size))
     if drop_last:
         out = out.filter(F.col("batch_id") < F.floor(F.col("n_rows") / size))
     return out.drop("pos", "n_rows")
 
 
-def shuffled_batches(df: DataFrame, size: int, key: str, seed: int, *, hot=g.AUTO) -> DataFrame:
+def shuffled_batches(df: DataFrame, size: int, key: str, seed: int) -> DataFrame:
     """Batches in an order fixed by the seed: the same rows after any retry."""
     rows = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    return batches(rows, size, [F.col("_h"), F.col(key)], F.col("_h"), hot=hot).drop("_h")
+    return batches(rows, size, [F.col("_h"), F.col(key)]).drop("_h")
 
 
 def canonical_json(config: Mapping) -> str:

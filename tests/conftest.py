@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -19,6 +20,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
             "spark.driver.host": "127.0.0.1",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -27,8 +29,11 @@ def spark():
 
 
 @pytest.fixture
-def hot(spark):
-    """Treat any group above 40 rows as hot, so the split plans run on small tables."""
-    spark.conf.set("curvelake.hotRows", "40")
+def ranges(spark):
+    """Cut every table into 29 ranges, so that groups of a few dozen rows lie in several."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "29")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
-    spark.conf.unset("curvelake.hotRows")
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -1,4 +1,4 @@
-"""The split plans must give what plain windows give."""
+"""Windows, running values and quantiles inside groups, against pandas, with groups cut into many ranges."""
 
 import numpy as np
 import pandas as pd
@@ -8,90 +8,127 @@ from pyspark.sql import functions as F
 from curvelake.operators import grouped as g
 
 
-@pytest.fixture(scope="module")
-def table(spark):
+@pytest.fixture(autouse=True)
+def many_ranges(spark):
+    """Ranges of a few rows: every group but the shortest lies in several."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def frame():
     rng = np.random.default_rng(3)
-    sizes = {1: 900, 2: 30, 3: 41, 4: 1, 5: 300}
     rows = []
-    for key, n in sizes.items():
+    for key, n in {1: 900, 2: 30, 3: 41, 4: 1, 5: 300}.items():
         t = np.round(np.cumsum(rng.exponential(1.0, n)), 6)
-        v = np.round(rng.normal(0, 1, n) ** 3, 2)
-        rows.append(pd.DataFrame({"k": key, "t": t, "v": v}))
+        rows.append(pd.DataFrame({"k": key, "t": t, "v": np.round(rng.normal(0, 1, n) ** 3, 2)}))
     rows.append(pd.DataFrame({"k": 6, "t": np.arange(200.0), "v": np.zeros(200)}))
-    frame = pd.concat(rows, ignore_index=True)
-    frame["gap"] = frame["v"].where(rng.random(len(frame)) < 0.3)
-    frame["gap"] = frame["gap"].astype(object).where(frame["gap"].notna(), None)
-    return spark.createDataFrame(frame, "k long, t double, v double, gap double").cache()
+    out = pd.concat(rows, ignore_index=True)
+    out["gap"] = out["v"].where(rng.random(len(out)) < 0.3)
+    return out
 
 
-def both(spark, build, by):
-    plain = build().toPandas().sort_values(by).reset_index(drop=True)
-    spark.conf.set("curvelake.hotRows", "40")
-    try:
-        split = build().toPandas().sort_values(by).reset_index(drop=True)
-    finally:
-        spark.conf.unset("curvelake.hotRows")
-    pd.testing.assert_frame_equal(plain, split[plain.columns], check_exact=False, atol=1e-9)
-    return plain
-
+@pytest.fixture
+def table(spark):
+    data = frame()
+    data["gap"] = data["gap"].astype(object).where(data["gap"].notna(), None)
+    return spark.createDataFrame(data, "k long, t double, v double, gap double")
 
-def T():
-    return F.col("t")
 
+def collected(df):
+    return df.toPandas().sort_values(["k", "t"]).reset_index(drop=True)
 
-def test_hot_groups(spark, table, hot):
-    found = {r["k"] for r in g.hot_groups(table, ["k"]).collect()}
-    assert found == {1, 3, 5, 6}
 
+def t():
+    return [F.col("t").asc()]
 
-def test_positions(spark, table):
-    out = both(spark, lambda: g.positions(table, ["k"], [T()], T()), ["k", "t"])
-    assert (out.groupby("k")["pos"].max() + 1 == out.groupby("k").size()).all()
-    both(spark, lambda: g.positions(table, [], [T(), F.col("k")], T()), ["k", "t"])
 
+def test_groups_do_lie_in_several_ranges(table):
+    rows, split = g._cut(table, ["k"], t())
+    assert {r["k"] for r in split.collect()} >= {1, 5} and rows.select("_part").distinct().count() > 10
 
-def test_running(spark, table):
-    def build(kind):
-        return g.running(table, ["k"], [T()], T(), {"s": F.col("v")}, kind=kind, totals={"all": F.col("v")})
 
-    both(spark, lambda: build("sum"), ["k", "t"])
-    both(spark, lambda: build("max"), ["k", "t"])
+def test_positions_and_running(table):
+    data = frame().sort_values(["k", "t"]).reset_index(drop=True)
+    got = collected(g.positions(table, ["k"], t()))
+    assert (got["pos"] == data.groupby("k").cumcount()).all() and (got["n_rows"] == data.groupby("k")["v"].transform("size")).all()
+    for kind in ("sum", "max", "min"):
+        got = collected(g.running(table, ["k"], t(), {"s": F.col("v")}, kind=kind, totals={"all": F.col("v")}))
+        assert np.allclose(got["s"], getattr(data.groupby("k")["v"], f"cum{kind}")(), atol=1e-9)
+        assert np.allclose(got["all"], data.groupby("k")["v"].transform("sum"), atol=1e-9)
+    whole = g.positions(table, [], [F.col("t").asc(), F.col("k").asc()]).toPandas()
+    assert sorted(whole["pos"]) == list(range(len(data))) and (whole.sort_values("pos")["t"].diff().dropna() >= 0).all()
 
 
-def test_sliding(spark, table):
+@pytest.mark.parametrize("block", [7, 1_000_000])
+def test_sliding(table, monkeypatch, block):
+    monkeypatch.setattr(g, "BLOCK_ROWS", block)
     exprs = {
         "prev": lambda w: F.lag("v", 2).over(w),
         "mid": lambda w: F.percentile("v", 0.5).over(w.rowsBetween(-3, 3)),
-        "nxt": lambda w: F.lead("v", 1).over(w),
+        "next": lambda w: F.lead("v", 1).over(w),
     }
-    both(spark, lambda: g.sliding(table, ["k"], [T()], T(), exprs, before=3, after=3), ["k", "t"])
-
-
-def test_nearest_known(spark, table):
-    both(spark, lambda: g.nearest_known(table, ["k"], "t", "gap"), ["k", "t"])
-
-
-def test_quantiles(spark, table):
-    asked = {"med": (F.col("v"), 0.5), "q16": (F.col("v"), 0.16), "abs": (F.abs("v"), 0.5), "lo": (F.col("v"), 0.0)}
-    out = both(
-        spark,
-        lambda: g.group_stats(table, ["k"], quantiles=asked, aggs={"n": F.count("*"), "sd": F.stddev_pop("v")}),
-        ["k"],
-    )
-    one = table.filter("k = 1").toPandas()["v"]
-    assert out.loc[out.k == 1, "q16"].item() == pytest.approx(np.quantile(one, 0.16))
-    both(
-        spark,
-        lambda: g.attach_stats(table, ["k"], quantiles=asked, aggs={"n": F.count("*"), "first": F.min("t")}),
-        ["k", "t"],
-    )
-    both(spark, lambda: g.group_stats(table, [], quantiles=asked), ["med"])
-
-
-def test_many_levels(spark, table):
-    levels = [i / 40 for i in range(1, 40)]
-    both(
-        spark,
-        lambda: g.group_stats(table, ["k"], quantiles={f"p{i}": (F.col("v"), p) for i, p in enumerate(levels)}),
-        ["k"],
-    )
+    got = collected(g.sliding(table, ["k"], t(), exprs, before=3, after=3))
+    groups = frame().sort_values(["k", "t"]).groupby("k")["v"]
+    assert np.allclose(got["prev"], groups.shift(2).reset_index(drop=True), equal_nan=True)
+    assert np.allclose(got["next"], groups.shift(-1).reset_index(drop=True), equal_nan=True)
+    middle = groups.transform(lambda x: x.rolling(7, center=True, min_periods=1).median()).reset_index(drop=True)
+    assert np.allclose(got["mid"], middle)
+
+
+def test_nearest_known(table):
+    got = collected(g.nearest_known(table, ["k"], "t", "gap"))
+    data = frame().sort_values(["k", "t"]).reset_index(drop=True)
+    known = data["t"].where(data["gap"].notna())
+    for name, values, fill in (("prev_x", known, "ffill"), ("prev_v", data["gap"], "ffill"), ("next_x", known, "bfill"), ("next_v", data["gap"], "bfill")):
+        want = getattr(values.groupby(data["k"]), fill)()
+        assert np.allclose(got[name].astype(float), want, equal_nan=True)
+
+
+def test_quantiles(table):
+    asked = {f"p{i}": (F.col("v"), i / 20) for i in range(21)} | {"abs": (F.abs("v"), 0.5), "gap": (F.col("gap"), 0.16)}
+    got = g.group_stats(table, ["k"], quantiles=asked, aggs={"n": F.count("*")}).toPandas().set_index("k").sort_index()
+    for k, rows in frame().groupby("k"):
+        assert np.allclose([got.loc[k, f"p{i}"] for i in range(21)], np.quantile(rows["v"], np.arange(21) / 20))
+        assert got.loc[k, "abs"] == pytest.approx(np.median(np.abs(rows["v"]))) and got.loc[k, "n"] == len(rows)
+        known = rows["gap"].dropna()
+        assert pd.isna(got.loc[k, "gap"]) if known.empty else got.loc[k, "gap"] == pytest.approx(np.quantile(known, 0.16))
+    spread = collected(g.attach_stats(table, ["k"], quantiles=asked, aggs={"n": F.count("*"), "first": F.min("t")}))
+    assert len(spread) == len(frame()) and np.allclose(spread["p10"], frame().sort_values(["k", "t"]).groupby("k")["v"].transform("median"))
+    whole = g.group_stats(table, [], quantiles=asked).first()
+    assert whole["p10"] == pytest.approx(np.median(frame()["v"]))
+
+
+def test_quantiles_of_few_known_values_in_a_long_group(spark):
+    rows = spark.range(30_000).selectExpr("1L AS k", "CAST(id AS double) AS t", "CASE WHEN id % 3000 = 0 THEN id / 3000e0 END AS v")
+    got = g.group_stats(rows, ["k"], quantiles={"q16": (F.col("v"), 0.16), "q84": (F.col("v"), 0.84)}).first()
+    assert (got["q16"], got["q84"]) == (pytest.approx(1.44), pytest.approx(7.56))
+
+
+def test_null_order_null_key_and_text(spark):
+    rows = [(None, None, i) for i in range(40)] + [(None, f"n{i:03d}", i) for i in range(60)] + [("a", None, 0), ("a", "x", 1)]
+    df = spark.createDataFrame(rows, "k string, o string, v long")
+    got = g.positions(df, ["k"], [F.col("o").asc()]).toPandas()
+    mine = got[got["k"].isna()].sort_values("pos")
+    assert list(mine["pos"]) == list(range(100)) and mine["o"].head(40).isna().all() and list(mine["o"].tail(60)) == [f"n{i:03d}" for i in range(60)]
+    stats = {r["k"]: r["m"] for r in g.attach_stats(df, ["k"], quantiles={"m": (F.col("v"), 0.5)}).collect()}
+    assert stats[None] == pytest.approx(np.median([*range(40), *range(60)])) and stats["a"] == 0.5
+
+
+def test_outliers_ties_and_infinity_spread_over_ranges(spark):
+    rows = spark.range(20_000).selectExpr("1L AS k", "CASE WHEN id = 0 THEN double('infinity') WHEN id = 1 THEN 1e300 ELSE CAST(id % 2 AS double) END AS t")
+    cut, split = g._cut(rows, ["k"], t())
+    sizes = [r["count"] for r in cut.groupBy("_part").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 3 * 20_000 / len(sizes)
+    assert sorted(r["pos"] for r in g.positions(rows, ["k"], t()).collect()) == list(range(20_000))
+
+
+def test_a_table_that_grows_under_its_path(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    for n in (50, 550):
+        spark.range(n).selectExpr("1L AS k", "CAST(id AS double) AS t").write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path)
+        assert {r["n_rows"] for r in g.positions(rows, ["k"], t()).collect()} == {n}

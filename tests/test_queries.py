@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, and the split plans on the queries that have them."""
+"""Every registered query against its SQL, and those that order inside groups with the groups cut into many ranges."""
 
 import pytest
 
@@ -36,7 +36,7 @@ def test_query(spark, con, name):
 
 
 @pytest.mark.parametrize("name", SPLIT)
-def test_split_plan(spark, con, hot, name):
+def test_many_ranges(spark, con, ranges, name):
     check(spark, con, name)
 
 

@@ -57,7 +57,7 @@ def write_token_files(
 
     sorted_docs = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = sorted_docs.mapInArrow(run, "doc_id long, part int, local_start long, n_tokens int, tokens array<int>")
-    writer = rows.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
+    writer = rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.writer.version", "PARQUET_2_0")
     for key, value in {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows}.items():
         writer = writer.option(key, str(value))
     for column in ("doc_id", "local_start", "n_tokens"):

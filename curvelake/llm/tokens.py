@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -17,9 +19,18 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: word of plain letters ends where a mark follows it.
 PIECE = re.compile(f" ?[{LETTERS}]+(?=[.,;:!?{SPACE}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Pieces in each of the two generations of the memory: the older one is dropped when the newer one is full.
-REMEMBERED = 350_000
+REMEMBERED = 400_000
 #: Unknown pieces are encoded many at a time, with a line feed between them, which stays a token of its own.
 JOINED = 512
+WORD = re.compile(f" ?[{LETTERS}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 ones for themselves, the
+    others numbered from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 def default_vocabulary() -> str:
@@ -40,11 +51,27 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.letters = byte_letters()
+        probe = "Ünder water"
+        self.by_model = self._model_ids(probe[:5]) + self._model_ids(probe[5:]) == self._encode([probe])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model_ids(self, word: str) -> bytes:
+        """Ids of one word of letters, which the splitting pattern leaves whole: straight from the merges."""
+        spelled = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
     def _learn(self, new: list[str]) -> None:
+        if self.by_model:
+            rest = []
+            for p in new:
+                if WORD.fullmatch(p):
+                    self.known[p] = self._model_ids(p)
+                else:
+                    rest.append(p)
+            new = rest
         words = [p for p in new if not p.isspace()] if len(self.feed) == 1 else []
         others = [p for p in new if p.isspace()] if words else new
         self.known.update(zip(others, self._encode(others)))
@@ -63,7 +90,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = {p for ps in pieces if ps for p in ps if p not in known}
+        new = set(chain.from_iterable(ps for ps in pieces if ps)).difference(known)
         back = {p: older[p] for p in new if p in older}
         known.update(back)
         self._learn([p for p in new if p not in back])

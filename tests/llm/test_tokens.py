@@ -48,7 +48,8 @@ def test_files_round_trip_and_layout(spark, plain):
     assert sorted(r.doc_id for r in part) == list(range(10, 20))
     assert "GreaterThanOrEqual(doc_id,10)" in token_files.read_tokens(spark, folder, 10, 19)._jdf.queryExecution().toString()
     assert token_files.read_metadata(spark, folder).columns == ["doc_id", "start", "n_tokens", "part", "local_start"]
-    assert "tokens" not in token_files.read_metadata(spark, folder)._jdf.queryExecution().executedPlan().toString().replace("n_tokens", "").replace("tokens-test", "")
+    plan = token_files.read_metadata(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "array<int>" not in plan
     meta = pq.ParquetFile(glob.glob(folder.removeprefix("file:") + "/*.parquet")[0]).metadata
     columns = {meta.row_group(0).column(i).path_in_schema: meta.row_group(0).column(i) for i in range(meta.num_columns)}
     assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and columns["doc_id"].has_column_index

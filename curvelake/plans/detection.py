@@ -143,8 +143,21 @@ def score_objects(spark, sf):
     return rounded(out, "p_detect", digits=4)
 
 
+def labelled_views(spark, sf):
+    return b.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("object_id"), F.col("embedding").alias("view"), (F.col("label") % 2).alias("label"))
+
+
 @query("x02_train_detector")
 def train_detector(spark, sf):
-    views = b.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("object_id"), F.col("embedding").alias("view"), (F.col("label") % 2).alias("label"))
-    return d.apply_detector(d.train_detector(views), views)
+    """Trained on four fifths of the objects, scored on the rest."""
+    views = labelled_views(spark, sf)
+    return d.apply_detector(d.train_detector(views.filter(~d.held_out())), views.filter(d.held_out()))
+
+
+@query("x02_detector_optimum", """
+SELECT CAST(i AS INTEGER) AS coefficient, 0e0 AS gradient FROM range((SELECT max(len(embedding)) FROM embeddings)) g(i)""")
+def detector_optimum(spark, sf):
+    rows = labelled_views(spark, sf).filter(~d.held_out())
+    gradient = d.loss_gradient(d.train_detector(rows), rows)
+    return gradient.select("coefficient", (F.round("gradient", 4) + F.lit(0.0)).alias("gradient"))

@@ -42,9 +42,10 @@ def read_catalog(
     catalog: DataFrame, *, period: tuple[float, float], ratio: tuple[float, float],
     facility: str | None = None, flag: str | None = None,
 ) -> DataFrame:
-    """Objects strictly inside the period and radius-ratio ranges, with finite parameters.
+    """Objects strictly inside the period and radius-ratio ranges, with finite parameters, in order of the ratio.
 
-    Plain comparisons on source columns, so a Parquet or JDBC scan receives them.
+    Plain comparisons on source columns, so a Parquet or JDBC scan receives them. ``dur_hours`` becomes ``duration``
+    in days, unknown where it is not finite.
     """
     kept = catalog.filter(
         (F.col("P") > period[0]) & (F.col("P") < period[1])
@@ -59,7 +60,7 @@ def read_catalog(
             kept = kept.filter(s.is_finite(F.col(name)))
     if "dur_hours" in kept.columns:
         kept = kept.withColumn("duration", s.finite_or_null(F.col("dur_hours")) / s.lit(24.0)).drop("dur_hours")
-    return kept
+    return kept.orderBy("RpRs", *[c for c in ("object_id",) if c in kept.columns])
 
 
 def stratified_pick(catalog: DataFrame, n: int, *, by: str = "RpRs", tie: str = "object_id") -> DataFrame:

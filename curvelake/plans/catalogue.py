@@ -20,6 +20,20 @@ def read_catalog(spark, sf):
     return c.read_catalog(b.catalog(spark, sf), period=(5.0, 40.0), ratio=(0.06, 0.14), facility="Brand#1%", flag="kind <> 'PROMO'")
 
 
+@query("s02_catalog_epochs", f"""WITH {CATALOG}, ep AS (SELECT object_id, P, RpRs, object_id % 17 AS t0, object_id % 9 + 1 AS hours FROM cat)
+SELECT object_id, P, RpRs, CAST(t0 AS DOUBLE) AS t0, CASE WHEN object_id % 4 <> 1 THEN {r('hours / 24e0')} END AS duration,
+ row_number() OVER (ORDER BY RpRs, object_id) - 1 AS rank FROM ep WHERE P > 5 AND P < 40 AND RpRs > '0.06'::DOUBLE AND RpRs < '0.14'::DOUBLE AND object_id % 5 <> 2""")
+def catalog_epochs(spark, sf):
+    """Epochs that are not finite drop out, durations in hours become days or unknown, the order is by ratio."""
+    i = F.col("object_id")
+    rows = b.catalog(spark, sf).select(
+        "object_id", "P", "RpRs", F.when(i % 5 != 2, (i % 17).cast("double")).otherwise(F.lit(float("nan"))).alias("t0"),
+        F.when(i % 4 != 1, (i % 9 + 1).cast("double")).otherwise(F.lit(float("inf"))).alias("dur_hours"))
+    kept = c.read_catalog(rows, period=(5.0, 40.0), ratio=(0.06, 0.14))
+    ranked = g.positions(kept, [], [F.col("RpRs").asc(), F.col("object_id").asc()]).withColumnRenamed("pos", "rank")
+    return rounded(ranked, "duration").select("object_id", "P", "RpRs", "t0", "duration", "rank")
+
+
 PICK = f"""{CATALOG},
 o AS (SELECT *, row_number() OVER (ORDER BY RpRs, object_id) - 1 AS rank, count(*) OVER () AS n FROM cat),
 ix AS (SELECT DISTINCT CAST(round_even(i * ((n - 1) / (least(n, 300) - 1)::DOUBLE), 0) AS BIGINT) AS k

@@ -33,6 +33,16 @@ def write_dataset(spark, sf):
     return rows.groupBy("shard").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+@query("s05_text_keys", "SELECT (row_number() OVER (ORDER BY c_name) - 1) // 64 AS shard, c_name AS id FROM customer")
+def text_keys(spark, sf):
+    """Shards in the order of a text key, in two runs."""
+    path = ds.scratch(spark, "dataset")
+    rows = b.table(spark, sf, "customer").select(F.col("c_name").alias("id"))
+    for _ in range(2):
+        ds.write_dataset(rows, path, "id", 64)
+    return ds.read_dataset(spark, path, ["id"]).select("shard", "id")
+
+
 @query("s06_read_dataset", f"WITH {SHARDS} SELECT id, d, CAST(NULL AS DOUBLE) AS dilution, shard FROM sh")
 def read_dataset(spark, sf):
     return ds.read_dataset(spark, written(spark, sf), ["id", "d"], {"dilution": "double"})
@@ -133,6 +143,23 @@ def read_reports(spark, sf):
     return ds.read_reports(spark, [first, second], "name long, score double", "name")
 
 
+@query("s10_nested_reports", f"""WITH a AS (SELECT s_nationkey AS name, count(*) AS n, avg(s_acctbal) AS mean FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1),
+c AS (SELECT s_nationkey AS name, -count(*) AS n, avg(-s_acctbal) AS mean FROM supplier GROUP BY 1)
+SELECT name, 1 AS source, n, {r('mean')} AS mean FROM a UNION ALL SELECT name, 2, n, {r('mean')} FROM c WHERE name NOT IN (SELECT name FROM a)""")
+def nested_reports(spark, sf):
+    """Indented reports, one file each, found by globs; the first candidate place does not exist."""
+    places = [ds.scratch(spark, "nested") for _ in range(3)]
+    for sign, place in ((1, places[1]), (-1, places[2])):
+        rows = b.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("name")).agg(F.count("*").alias("n"), F.avg("s_acctbal").alias("mean"))
+        rows = rows.filter("name % 2 = 0") if sign > 0 else rows
+        detection = F.struct((sign * F.col("n")).alias("n"), (sign * F.col("mean")).alias("mean"))
+        text = rows.select(F.to_json(F.struct("name", F.struct(detection.alias("detection")).alias("summary")), {"pretty": "true"}).alias("value"))
+        text.write.option("maxRecordsPerFile", 1).text(place)
+    schema = "name int, summary struct<detection: struct<n: bigint, mean: double>>"
+    found = ds.read_reports(spark, [f"{p}/part-*" for p in places], schema, "name", multi_line=True)
+    return rounded(found.select("name", "source", "summary.detection.n", "summary.detection.mean"), "mean")
+
+
 @query("s11_write_report", f"""SELECT s_nationkey AS nation, count(*) AS n, {r('avg(s_acctbal)')} AS mean_score FROM supplier GROUP BY 1""")
 def write_report(spark, sf):
     path = ds.scratch(spark, "report")

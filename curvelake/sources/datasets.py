@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +17,20 @@ def assign_shards(df: DataFrame, key: str, shard_size: int) -> DataFrame:
     return placed.withColumn("shard", F.floor(F.col("pos") / shard_size).cast("long")).drop("pos", "n_rows")
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that exist under a path or glob, in order; none where nothing matches. Any other trouble is raised."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(status.getPath().toString() for status in found or [])
+
+
 def existing_shards(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select(F.col("shard").cast("long").alias("shard")).distinct()
-    except AnalysisException:
+    """Numbers of the shards that have a folder: the folders are listed, their rows are not read."""
+    folders = matching(spark, f"{path}/shard=*")
+    if not folders:
         return None
+    return spark.createDataFrame([(int(f.rpartition("=")[2]),) for f in folders], "shard long")
 
 
 def write_dataset(df: DataFrame, path: str, key: str, shard_size: int) -> None:
@@ -158,12 +166,17 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def read_reports(spark: SparkSession, paths: Sequence[str], schema: str, key: str) -> DataFrame:
-    """Reports from several places; for each key the first place that has it wins."""
-    rows = None
+def read_reports(spark: SparkSession, paths: Sequence[str], schema: str, key: str, *, multi_line: bool = False) -> DataFrame:
+    """Reports from several places, each a path or a glob; for each key the first place that has it wins.
+
+    ``multi_line`` reads one indented JSON document per file, or an array of them, instead of one per line.
+    Places where nothing exists are passed over.
+    """
+    rows = spark.createDataFrame([], schema).withColumn("_p", F.lit(0))
     for priority, path in enumerate(paths):
-        one = spark.read.schema(schema).json(path).withColumn("_p", F.lit(priority))
-        rows = one if rows is None else rows.unionByName(one)
+        if matching(spark, path):
+            one = spark.read.schema(schema).option("multiLine", multi_line).json(path).withColumn("_p", F.lit(priority))
+            rows = rows.unionByName(one)
     fields = [c for c in rows.columns if c not in (key, "_p")]
     best = F.min(F.struct("_p", *fields))
     return rows.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b._p").alias("source"), *[F.col(f"_b.{c}") for c in fields])

@@ -20,7 +20,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_near_dedup")
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"'[^\x20\x09-\x0D]+'"
+NEAR_DEDUP_SQL = f"""
+WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM cut, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+near AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, b AS other FROM near UNION SELECT reach.doc_id, near.b FROM reach JOIN near ON near.a = reach.other),
+least_one AS (SELECT doc_id, least(doc_id, min(other)) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN least_one USING (doc_id)
+"""
+
+
+@query("op1_near_dedup", NEAR_DEDUP_SQL)
 def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_key")
 
@@ -37,7 +56,6 @@ def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, folder))
 
 
-LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 DECONTAMINATION_SQL = f"""
 WITH cut AS (
   SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
@@ -69,7 +87,38 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
-@query("op6_line_rules")
+_LINE_FAILS = rf"""
+CASE WHEN regexp_matches(line, '[#*$%&|<>»·›]|!!') AND (
+       len(regexp_extract_all(line, '\x20[|»·›]\x20')) >= 3
+       OR 100 * len(regexp_extract_all(line, '{line_rules.SYMBOLS}+')) > {line_rules.SYMBOL_PERCENT} * n
+       OR 100 * len(regexp_extract_all(line, '!!+([\x20\x09-\x0D]|$)')) > {line_rules.SHOUT_PERCENT} * n) THEN true
+     WHEN NOT regexp_matches(line, '[.!?:;,…。！？]') AND n >= {line_rules.UNMARKED_WORDS} THEN true
+     WHEN length(line) <= {line_rules.MENU_CHARS} AND regexp_matches(lower(line), '{line_rules.NAVIGATION}') THEN true
+     WHEN length(line) <= {line_rules.NOTICE_CHARS} AND regexp_matches(lower(line), '{line_rules.BOILERPLATE}') THEN true
+     ELSE false END"""
+LINE_RULES_SQL = f"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+triple AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS x FROM cut, unnest(range(1, len(w) - 1)) AS u(i)),
+twice AS (SELECT doc_id, i FROM triple QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, unnest(range(0, 3)) AS u(k) GROUP BY 1),
+line AS (SELECT doc_id, line FROM cut, unnest(string_split(t, chr(10))) AS u(line) WHERE regexp_matches(line, '{line_rules.NOT_SPACE}')),
+each AS (SELECT doc_id, line, count(*) AS copies, regexp_extract_all(line, {WORDS}) AS lw FROM line GROUP BY ALL),
+judged AS (SELECT *, len(lw) AS n FROM each),
+kept_line AS (
+  SELECT doc_id, sum(copies - 1) AS n_dup_lines, sum(CASE WHEN {_LINE_FAILS} THEN 0 ELSE length(array_to_string(lw, '')) END) AS kept_chars
+  FROM judged GROUP BY 1),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '{line_rules.SYMBOLS}'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(kept_chars, 0)::BIGINT AS kept_chars
+  FROM cut LEFT JOIN repeated USING (doc_id) LEFT JOIN kept_line USING (doc_id)),
+verdict AS (SELECT *, n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.REPEAT_PERCENT} * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * kept_chars >= {line_rules.KEEP_PERCENT} * word_chars AS kept, kept_chars FROM verdict
+"""
+
+
+@query("op6_line_rules", LINE_RULES_SQL)
 def line_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_rules.clean_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")

@@ -146,6 +146,20 @@ def exposure_flux(spark, sf):
     return rounded(rows.select("object_id", "event_id", "model"), "model")
 
 
+@query("f19_model_flux_200", f"""WITH {SPARSE}, {EPH}, src AS (SELECT object_id, event_id, t FROM cad), {flux_sql('src', 200)}
+SELECT object_id, event_id, {r('model')} AS model FROM mf""")
+def model_flux_200(spark, sf):
+    rows = curves(spark, sf).withColumn("model", rw.transit_flux(F.col("t"), model_params(), 200))
+    return rounded(rows.select("object_id", "event_id", "model"), "model")
+
+
+@query("f20_exposure_flux_200", f"""WITH {SPARSE}, {EPH}, src AS (SELECT object_id, event_id, t + (-5e-1 + e / 2e0) * 2e-2 AS t FROM cad, range(3) h(e)), {flux_sql('src', 200)}
+SELECT object_id, event_id, {r('sum(model) / 3')} AS model FROM mf GROUP BY 1, 2""")
+def exposure_flux_200(spark, sf):
+    rows = curves(spark, sf).withColumn("model", rw.exposure_flux(F.col("t"), model_params(), 200, 0.02, 3))
+    return rounded(rows.select("object_id", "event_id", "model"), "model")
+
+
 PREDICTED = """pd AS (SELECT l_suppkey AS object_id, l_linenumber AS draw, 1 - l_tax AS flux, 1 - l_discount AS model, 5e-2 + l_quantity / 1e3 AS sigma FROM lineitem)"""
 
 

@@ -131,31 +131,47 @@ def interpolate_bins(spark, sf):
     return rounded(red.fill_bins(phase_bins(spark, sf), objects, 20, "fill"), "value")
 
 
-GLOBAL = f"""{SPARSE},
+def global_sql(n: int) -> str:
+    return f"""{SPARSE},
 obj AS (SELECT object_id, median(flux) AS fill, min(t) AS lo, max(t) AS hi FROM cad GROUP BY 1),
-bins AS (SELECT object_id, CAST(floor((t - lo) * 1e2 / (hi - lo)) AS INTEGER) AS bin, avg(flux) AS value
+bins AS (SELECT object_id, CAST(floor((t - lo) * {n}e0 / (hi - lo)) AS INTEGER) AS bin, avg(flux) AS value
          FROM cad JOIN obj USING (object_id)
-         WHERE hi > lo AND floor((t - lo) * 1e2 / (hi - lo)) BETWEEN 0 AND 99 GROUP BY 1, 2), {_filled(100)}"""
+         WHERE hi > lo AND floor((t - lo) * {n}e0 / (hi - lo)) BETWEEN 0 AND {n - 1} GROUP BY 1, 2), {_filled(n)}"""
 
 
-@query("a02_global_view", f"WITH {GLOBAL} SELECT object_id, bin, {r('value')} AS value FROM view")
+@query("a02_global_view", f"WITH {global_sql(100)} SELECT object_id, bin, {r('value')} AS value FROM view")
 def global_view(spark, sf):
     return rounded(red.global_view(b.sparse_cadence(spark, sf), 100), "value")
 
 
-LOCAL = f"""{FOLDED},
+def local_sql(n: int) -> str:
+    return f"""{FOLDED},
 near AS (SELECT *, least(2e0 * greatest(duration, 1e-6), 5e-1 * P) AS half FROM fold),
 obj AS (SELECT object_id, median(flux) AS fill, count(*) FILTER (abs(t_phase) <= half) AS k FROM near GROUP BY 1),
-bins AS (SELECT object_id, CAST(floor((t_phase + half) * 21e0 / (half + half)) AS INTEGER) AS bin, avg(flux) AS value
+bins AS (SELECT object_id, CAST(floor((t_phase + half) * {n}e0 / (half + half)) AS INTEGER) AS bin, avg(flux) AS value
          FROM near JOIN obj USING (object_id) WHERE k >= 2 AND abs(t_phase) <= half
-         AND floor((t_phase + half) * 21e0 / (half + half)) BETWEEN 0 AND 20 GROUP BY 1, 2), {_filled(21)}"""
+         AND floor((t_phase + half) * {n}e0 / (half + half)) BETWEEN 0 AND {n - 1} GROUP BY 1, 2), {_filled(n)}"""
 
 
-@query("a03_local_view", f"WITH {LOCAL} SELECT object_id, bin, {r('value')} AS value FROM view")
+@query("a03_local_view", f"WITH {local_sql(21)} SELECT object_id, bin, {r('value')} AS value FROM view")
 def local_view(spark, sf):
     return rounded(red.local_view(*sparse(spark, sf), 21), "value")
 
 
+# Interpolated values of two decimals often end in a five just beyond the rounding; this moves both sides off it.
+OFF_TIES = 1e-9
+
+
+@query("a02_global_view_2001", f"WITH {global_sql(2001)} SELECT object_id, bin, {r('value + 1e-9')} AS value FROM view")
+def global_view_2001(spark, sf):
+    return rounded(red.global_view(b.sparse_cadence(spark, sf), 2001).withColumn("value", F.col("value") + OFF_TIES), "value")
+
+
+@query("a03_local_view_201", f"WITH {local_sql(201)} SELECT object_id, bin, {r('value + 1e-9')} AS value FROM view")
+def local_view_201(spark, sf):
+    return rounded(red.local_view(*sparse(spark, sf), 201).withColumn("value", F.col("value") + OFF_TIES), "value")
+
+
 def normalized_sql(source: str, value: str = "value", key: str = "object_id", keep: str = "bin") -> str:
     return f"""
 nm AS (SELECT {key}, median({value}) AS med, stddev_pop({value}) AS sd FROM {source} GROUP BY 1),
@@ -176,7 +192,7 @@ def normalize_view(spark, sf):
     return rounded(out, "value")
 
 
-@query("a04_normalized_local_view", f"""WITH {LOCAL}, {normalized_sql('view')}
+@query("a04_normalized_local_view", f"""WITH {local_sql(21)}, {normalized_sql('view')}
 SELECT object_id, bin, {r('value')} AS value FROM normed""")
 def normalized_local_view(spark, sf):
     out = red.normalize_view(red.local_view(*sparse(spark, sf), 21)).select("object_id", "bin", "value")
@@ -232,18 +248,28 @@ def white_sigma_uncentred(spark, sf):
     return rounded(red.white_sigma(b.sparse_cadence(spark, sf), centred=False), "sigma")
 
 
-FOLD_BIN = f"""{FOLDED},
+def fold_sql(k: int) -> str:
+    return f"""WITH {FOLDED},
 f AS (SELECT object_id, t, flux, {phase_days()} + t0 AS folded, 1e-1 AS sigma FROM fold),
-o AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n, ntile(60) OVER (PARTITION BY object_id ORDER BY folded, flux) - 1 AS tile,
-      row_number() OVER (PARTITION BY object_id ORDER BY folded, flux) - 1 AS pos FROM f)"""
+o AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n, ntile({k}) OVER (PARTITION BY object_id ORDER BY folded, flux) - 1 AS tile,
+      row_number() OVER (PARTITION BY object_id ORDER BY folded, flux) - 1 AS pos FROM f)
+SELECT object_id, CASE WHEN n <= {k} THEN pos ELSE tile END AS grp, {r(f'avg(CASE WHEN n <= {k} THEN t ELSE folded END)')} AS t,
+       {r('avg(flux)')} AS flux, {r('any_value(sigma) / sqrt(count(*))')} AS err, count(*) AS n FROM o GROUP BY object_id, 2"""
 
 
-@query("a10_fold_bin", f"""WITH {FOLD_BIN}
-SELECT object_id, CASE WHEN n <= 60 THEN pos ELSE tile END AS grp, {r('avg(CASE WHEN n <= 60 THEN t ELSE folded END)')} AS t,
-       {r('avg(flux)')} AS flux, {r('any_value(sigma) / sqrt(count(*))')} AS err, count(*) AS n FROM o GROUP BY object_id, 2""")
-def fold_bin(spark, sf):
+def folded_bins(spark, sf, k: int):
     rows = red.join_ephemeris(*sparse(spark, sf)).withColumn("t0_phase", F.col("t0") / F.col("P"))
-    return rounded(red.fold_bin(rows.withColumn("sigma", s.lit(0.1)), 60), "t", "flux", "err")
+    return rounded(red.fold_bin(rows.withColumn("sigma", s.lit(0.1)), k), "t", "flux", "err")
+
+
+@query("a10_fold_bin_900", fold_sql(900))
+def fold_bin_900(spark, sf):
+    return folded_bins(spark, sf, 900)
+
+
+@query("a10_fold_bin", fold_sql(60))
+def fold_bin(spark, sf):
+    return folded_bins(spark, sf, 60)
 
 
 @query("w05_phase_order", f"""WITH {FOLDED}

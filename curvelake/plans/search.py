@@ -39,11 +39,31 @@ def periodogram_arrow(spark, sf):
     return rounded(periodogram(spark, sf, engine="pandas"), "period", "score")
 
 
-@query("a06_periodogram_view", f"""WITH {SPARSE},
+@query("x03_periodogram_256", f"WITH {SPARSE}, {pgram(n=256)} SELECT object_id, pid, {r('period')} AS period, {r('score')} AS score FROM pg")
+def periodogram_256(spark, sf):
+    return rounded(periodogram(spark, sf, 256, engine="pandas"), "period", "score")
+
+
+@query("a05_periodogram_256", f"WITH {SPARSE}, {pgram(n=256)} SELECT object_id, pid, {r('period')} AS period, {r('score')} AS score FROM pg")
+def periodogram_256_sql(spark, sf):
+    return rounded(periodogram(spark, sf, 256), "period", "score")
+
+
+def view_sql(points: int, n: int) -> str:
+    return f"""WITH {SPARSE},
 o AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY t, flux) - 1 AS pos, count(*) OVER (PARTITION BY object_id) AS n FROM cad),
-sub AS (SELECT object_id, t, flux FROM o WHERE n <= 40 OR (pos % greatest(1, n // 40) = 0 AND pos // greatest(1, n // 40) < 40)),
-{pgram('sub')}, {normalized_sql('pg', 'score', keep='pid')}
-SELECT object_id, pid, {r('score')} AS score FROM normed""")
+sub AS (SELECT object_id, t, flux FROM o WHERE n <= {points} OR (pos % greatest(1, n // {points}) = 0 AND pos // greatest(1, n // {points}) < {points})),
+{pgram('sub', n)}, {normalized_sql('pg', 'score', keep='pid')}
+SELECT object_id, pid, {r('score')} AS score FROM normed"""
+
+
+@query("a06_periodogram_view_4096", view_sql(4096, 256))
+def periodogram_view_4096(spark, sf):
+    out = se.periodogram_view(b.sparse_cadence(spark, sf), 0.5, 13.0, 256)
+    return rounded(out.select("object_id", "pid", "score"), "score")
+
+
+@query("a06_periodogram_view", view_sql(40, N))
 def periodogram_view(spark, sf):
     out = se.periodogram_view(b.sparse_cadence(spark, sf), 0.5, 13.0, N, n_raw=40)
     return rounded(out.select("object_id", "pid", "score"), "score")

@@ -24,6 +24,8 @@ from curvelake.llm.tokens import default_vocabulary, encoder
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+#: Pieces of text a worker remembers the ids of, twice over.
+REMEMBERED = 700_000
 
 
 def write_token_files(
@@ -40,7 +42,7 @@ def write_token_files(
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, before = encoder(path, REMEMBERED), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = [x + end for x in encode(batch.column(1).to_pylist())]

@@ -19,7 +19,7 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: word of plain letters ends where a mark follows it.
 PIECE = re.compile(f" ?[{LETTERS}]+(?=[.,;:!?{SPACE}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Pieces in each of the two generations of the memory: the older one is dropped when the newer one is full.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Unknown pieces are encoded many at a time, with a line feed between them, which stays a token of its own.
 JOINED = 512
 WORD = re.compile(f" ?[{LETTERS}]+")
@@ -42,12 +42,13 @@ def default_vocabulary() -> str:
 class Encoder:
     """Encodes by pieces and remembers the ids of recent pieces, which are the same as those of the whole text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -87,7 +88,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         pieces = [None if t and any(s in t for s in self.special) else PIECE.findall(t or "") for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         new = set(chain.from_iterable(ps for ps in pieces if ps)).difference(known)
@@ -98,6 +99,6 @@ class Encoder:
         return [b"".join(map(ids, ps)) if ps is not None else self._encode([t])[0] for ps, t in zip(pieces, texts)]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder for each worker process."""
-    return kept(("encoder", path), lambda: Encoder(path))
+    return kept(("encoder", path, remembered), lambda: Encoder(path, remembered))

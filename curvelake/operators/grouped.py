@@ -232,16 +232,22 @@ def _quantile_table(df: DataFrame, keys: Sequence[str], asked: list[tuple[Column
     values = df.select(*keys, F.explode(each).alias("_x")).select(*keys, "_x._i", "_x._v").filter("_v IS NOT NULL")
     folded = values.groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = running(folded, [*keys, "_i"], [F.col("_v").asc()], {"_u": F.col("_c")}, totals={"_n": F.col("_c")})
+    # A row holds the ranks first .. end - 1; the rank below h is in it when first <= h < end, the one above h when
+    # first - 1 < h <= end - 1.
+    upto = upto.select(
+        *keys, "_i", "_v", (F.col("_n") - 1).cast("double").alias("_m"),
+        (F.col("_u") - F.col("_c")).cast("double").alias("_first"), F.col("_u").cast("double").alias("_end"),
+    )
+    first, end = F.col("_first"), F.col("_end")
     picks, names = [], []
     for i, (_, probs) in enumerate(asked):
-        mine = F.col("_i") == i
-        picks.append(F.max(F.when(mine, F.col("_n"))).alias(f"_n{i}"))
+        mine = F.col("_v") if len(asked) == 1 else F.when(F.col("_i") == i, F.col("_v"))
+        picks.append(F.max("_m" if len(asked) == 1 else F.when(F.col("_i") == i, F.col("_m"))).alias(f"_m{i}"))
         for name, p in probs.items():
-            rank = (F.col("_n") - 1) * F.lit(float(p))
-            for end, at in (("l", F.floor(rank)), ("h", F.ceil(rank))):
-                here = mine & (F.col("_u") > at) & (F.col("_u") - F.col("_c") <= at)
-                picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{end}_{name}"))
-            share = (F.col(f"_n{i}") - 1) * F.lit(float(p))
+            h = F.col("_m") * F.lit(float(p))
+            picks.append(F.max(F.when((h >= first) & (h < end), mine)).alias(f"_l_{name}"))
+            picks.append(F.max(F.when((h > first - 1.0) & (h <= end - 1.0), mine)).alias(f"_h_{name}"))
+            share = F.col(f"_m{i}") * F.lit(float(p))
             low, high = F.col(f"_l_{name}"), F.col(f"_h_{name}")
             names.append(F.when(low == high, low).otherwise(low + (high - low) * (share - F.floor(share))).alias(name))
     return upto.groupBy(*keys).agg(*picks).select(*keys, *names)

@@ -16,7 +16,10 @@ _EACH = " UNION ALL ".join(
     f"SELECT l_partkey AS object_id, '{p}' AS param, draw, CAST({p} AS DOUBLE) AS value, CAST(t_{p} AS DOUBLE) AS truth FROM firsts WHERE draw >= 2"
     for p in PARAMS.split(", ")
 )
-PAIRS = f"""firsts AS (SELECT l_partkey, {PARAMS}, row_number() OVER w AS draw, {', '.join(f'first_value({p}) OVER w AS t_{p}' for p in PARAMS.split(', '))}
+PAIRS = f"""{NUMBERED},
+wide AS (SELECT l_partkey AS object_id, draw, {PARAMS} FROM o),
+long AS (UNPIVOT wide ON {PARAMS} INTO NAME param VALUE value),
+firsts AS (SELECT l_partkey, {PARAMS}, row_number() OVER w AS draw, {', '.join(f'first_value({p}) OVER w AS t_{p}' for p in PARAMS.split(', '))}
  FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY {LINE_ORDER_SQL})),
 pairs AS ({_EACH})"""
 RANKS = "ranks AS (SELECT object_id, param, count(*) FILTER (value < truth) AS rank, count(*) AS n_draws FROM pairs GROUP BY 1, 2)"

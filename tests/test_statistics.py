@@ -108,7 +108,7 @@ def test_weights(spark):
     assert w[w.object_id == 2]["w"].tolist() == [0.5, 0.5] and w[w.object_id == 3].set_index("draw")["w"].to_dict() == {0: 0.0, 1: 1.0}
     ess = rw.effective_fraction(weighted).toPandas()["ess_fraction"]
     assert ess.between(0, 1).all()
-    drawn = rw.resample(weighted, 200, [F.col("draw")], F.col("draw")).groupBy("object_id").count().toPandas()
+    drawn = rw.resample(weighted, 200, [F.col("draw")]).groupBy("object_id").count().toPandas()
     assert (drawn["count"] == 200).all()
 
 

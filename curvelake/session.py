@@ -1,4 +1,4 @@
-"""Session defaults and the two settings the library reads from the session."""
+"""Session defaults and the shared checkpoint folder."""
 
 from __future__ import annotations
 

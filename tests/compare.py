@@ -87,8 +87,6 @@ if __name__ == "__main__":
     scale, *wanted = sys.argv[1:]
     conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
             "spark.driver.host": "127.0.0.1"}
-    if os.environ.get("HOT_ROWS"):
-        conf["curvelake.hotRows"] = os.environ["HOT_ROWS"]
     session = get_session("compare", master="local[8]", **conf)
     session.sparkContext.setLogLevel("OFF")
     failed = run(session, f"/root/testdata/sf{scale}", wanted)

@@ -3,16 +3,19 @@
 Base patterns give labelled credentials of three kinds. For each kind a bounded sample of their distinct values is read into
 a prefix tree over character classes; states whose futures are statistically compatible are merged (Hoeffding
 bounds), which leaves a small probabilistic automaton that also accepts longer and unseen values. Every other
-long token of every text is then scored: by its likelihood under each automaton, per symbol, which must be
-typical of that kind, and against a model of pairs of classes counted over the tokens of the whole corpus.
+token of every text from 8 characters on is then scored, and where it is none itself its parts: what stands after '=',
+and between '/', '.' and '_', so that a value is found that is glued to a name or a URL. The score is the likelihood
+under each automaton, per symbol, which must be typical of that kind, and against a model of pairs of classes
+counted over the tokens and parts of the whole corpus.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvelake.llm.common import release, same_row, shared, small_batches, text_key
+from curvelake.llm.common import release, same_row, shared, small_batches, text_key, texts
 
 KINDS = ("assign", "access", "hex")
 #: Distinct labelled values of each kind that its automaton is inferred from, the first by hash.
 SAMPLE = 400
-MIN_TOKEN = 16
+#: Shortest token or part that is scored; base values count from the same length.
+MIN_TOKEN = 8
 ALPHA = 0.05
 #: Log of how much likelier than an ordinary token a found one must be, and the band of typical scores.
 MARGIN = 8.0
@@ -35,10 +39,15 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
-TOKEN = re.compile(rb"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 #: Character classes of the automata.
 CLASSES = ((b"0123456789", "d"), (b"abcdef", "a"), (b"ghijklmnopqrstuvwxyz", "g"), (b"ABCDEF", "A"), (b"GHIJKLMNOPQRSTUVWXYZ", "G"), (b"+/", "+"), (b"_-", "_"), (b".", "."), (b"=", "="))
 _TABLE = bytes(next((c.encode()[0] for chars, c in CLASSES if bytes([b]) in chars), 63) for b in range(256))
+#: A token in a text of classes: a whole run of characters that have one.
+TOKEN = re.compile(rb"[^?]{%d,}" % MIN_TOKEN)
+#: How a token falls into parts, each rule inside the parts of the one before: at '=' (which stays as padding), without
+#: dots and slashes at the ends, without padding, then at each separator.
+PARTS = tuple(re.compile(p) for p in (rb"[^=]+=*", rb"[^./](?:.*[^./])?", rb"[^=]+", rb"[^/]+", rb"[^.]+", rb"[^_]+"))
+SEPARATED = re.compile(rb"[=/._]")
 
 
 def classes(value: bytes) -> str:
@@ -65,36 +74,71 @@ def base_spans(raw: bytes) -> list[tuple[int, int, str, bytes]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def parts(raw: bytes, start: int, end: int, rule: int = 0) -> list[tuple[int, int, int]]:
+    """(start, end, next rule) of the parts just below a token or part, those of MIN_TOKEN and more."""
+    while rule < len(PARTS):
+        below = [m.span() for m in PARTS[rule].finditer(raw, start, end)]
+        rule += 1
+        if below != [(start, end)]:
+            return [(a, b, rule) for a, b in below if b - a >= MIN_TOKEN]
+    return []
+
+
+def candidates(raw: bytes, found: list[tuple[int, int, str, bytes]], taken: Callable[[bytes], object]) -> Iterator[tuple[int, int, object]]:
+    """(start, end, answer) of every token and part that touches no base match; `taken` sees its classes.
+
+    A part is asked only where no token or part around it was taken.
+    """
+    merged: list[list[int]] = []
+    for a, b, _, _ in found:
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    shapes, starts = raw.translate(_TABLE), [a for a, _ in merged]
+    for m in TOKEN.finditer(shapes):
+        a, b = m.span()
+        plain = not (merged and (i := bisect_right(starts, b - 1)) and merged[i - 1][1] > a)
+        if plain and (answer := taken(m[0])):
+            yield a, b, answer
+        elif SEPARATED.search(raw, a, b):
+            todo = parts(raw, a, b)[::-1]
+            while todo:
+                a, b, rule = todo.pop()
+                free = plain or not ((i := bisect_right(starts, b - 1)) and merged[i - 1][1] > a)
+                if free and (answer := taken(shapes[a:b])):
+                    yield a, b, answer
+                else:
+                    todo += parts(raw, a, b, rule)[::-1]
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, base (kind, start, end, value), tokens (start, end, shape): all in code points, over whole texts."""
+    """values: the base matches' (kind, value), and pairs: counts of class pairs of the tokens and parts; a row for each batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            base, tokens = [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+            values, shapes, counts = set(), Counter(), Counter()
+
+            def count(shape: bytes) -> None:
+                shapes[shape] += 1
+
+            for raw in batch.column(0).cast(pa.binary()).to_pylist():
                 raw = raw or b""
                 found = base_spans(raw)
-                free = [m.span() for m in TOKEN.finditer(raw)]
-                free = [(a, b) for a, b in free if not any(a < e and s < b for s, e, _, _ in found)]
-                place: dict[int, int] = {}
-                if not raw.isascii():
-                    wanted = sorted({x for s in found for x in s[:2]} | {x for s in free for x in s})
-                    last = count = 0
-                    for x in wanted:
-                        count += len(raw[last:x].decode())
-                        place[x] = count
-                        last = x
-                at = lambda x: place.get(x, x)
-                base.append([{"kind": k, "start": at(a), "end": at(b), "value": v.decode()} for a, b, k, v in found])
-                tokens.append([{"start": at(a), "end": at(b), "shape": classes(raw[a:b])} for a, b in free])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-            shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("shape", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, kind), pa.array(tokens, shape)], ["doc_id", "text_key", "base", "tokens"])
+                values.update((k, v.decode()) for _, _, k, v in found)
+                for _ in candidates(raw, found, count):
+                    pass
+            for shape, n in shapes.items():
+                whole = f"^{shape.decode()}$"
+                for i in range(len(whole) - 1):
+                    counts[whole[i : i + 2]] += n
+            value = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
+            pair = pa.list_(pa.struct([("pair", pa.string()), ("n", pa.int64())]))
+            rows = [[{"kind": k, "value": v} for k, v in values]], [[{"pair": p, "n": n} for p, n in counts.items()]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], value), pa.array(rows[1], pair)], ["values", "pairs"])
 
-    return text_key(docs).mapInArrow(
-        run, "doc_id long, text_key long, base array<struct<kind:string,start:int,end:int,value:string>>, tokens array<struct<start:int,end:int,shape:string>>"
-    )
+    return texts(docs).select("text").mapInArrow(run, "values array<struct<kind:string,value:string>>, pairs array<struct<pair:string,n:long>>")
 
 
 @dataclass
@@ -218,23 +262,13 @@ class Ordinary:
 
 
 def pair_counts(scanned: DataFrame) -> dict[str, int]:
-    """Counts of class pairs over the tokens of all documents; at most 121 rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for tokens in batch.column(0).to_pylist():
-                for t in tokens:
-                    whole = f"^{t['shape']}$"
-                    counts.update(whole[i : i + 2] for i in range(len(whole) - 1))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pair", "n"])
-
-    rows = scanned.select("tokens").mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    """Counts of class pairs over the tokens and parts of all documents; at most 121 rows."""
+    rows = scanned.select(F.explode("pairs").alias("p")).groupBy("p.pair").agg(F.sum("p.n").alias("n"))
     return {r.pair: r.n for r in rows.collect()}
 
 
 def automata(scanned: DataFrame, sample: int = SAMPLE) -> list[Automaton]:
-    values = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
+    values = scanned.select(F.explode("values").alias("b")).select("b.kind", "b.value").distinct()
     found = []
     for kind in KINDS:
         some = values.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
@@ -247,7 +281,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, text_key, base and spans, these each an array of (kind, start, end) in order of start and kind, for every row of `docs`.
 
     spans holds the base matches and what the automata add, as kinds format_assign, format_access and format_hex;
-    an added token never overlaps a base match. Offsets count code points, the end is exclusive. Null and empty
+    an added token or part never overlaps a base match or another one. Offsets count code points, the end is exclusive. Null and empty
     texts have none. Repeated rows come out as often. Without labelled credentials nothing is added.
     """
     small_batches(docs.sparkSession)
@@ -255,30 +289,41 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     models, ordinary = automata(scanned, sample), Ordinary(pair_counts(scanned))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str | None] = {}
+        release()
+        known: dict[bytes, str | None] = {}
 
-        def judged(shape: str) -> str | None:
-            if shape not in known:
+        def judged(raw: bytes) -> str | None:
+            if raw not in known:
                 if len(known) > 100_000:
                     known.clear()
-                usual = ordinary.score(shape)
+                shape = raw.decode()
                 best = max(((m.score(shape), m.kind) for m in models if m.typical(shape)), default=(-math.inf, ""))
-                known[shape] = f"format_{best[1]}" if best[0] - usual > MARGIN else None
-            return known[shape]
+                known[raw] = f"format_{best[1]}" if best[1] and best[0] - ordinary.score(shape) > MARGIN else None
+            return known[raw]
 
         order = {k: i for i, k in enumerate(KINDS + tuple(f"format_{k}" for k in KINDS))}
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             base, spans = [], []
-            for old, tokens in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                mine = [{"kind": b["kind"], "start": b["start"], "end": b["end"]} for b in old]
-                more = [{"kind": k, "start": t["start"], "end": t["end"]} for t in tokens if (k := judged(t["shape"]))]
+            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+                raw = raw or b""
+                found = base_spans(raw)
+                more = list(candidates(raw, found, judged))
+                place: dict[int, int] = {}
+                if not raw.isascii():
+                    last = count = 0
+                    for x in sorted({x for s in found for x in s[:2]} | {x for s in more for x in s[:2]}):
+                        count += len(raw[last:x].decode())
+                        place[x] = count
+                        last = x
+                at = lambda x: place.get(x, x)
+                mine = [{"kind": k, "start": at(a), "end": at(b)} for a, b, k, _ in found]
                 base.append(mine)
-                spans.append(sorted(mine + more, key=lambda s: (s["start"], order[s["kind"]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, kind), pa.array(spans, kind)], ["doc_id", "text_key", "base", "spans"])
+                spans.append(sorted(mine + [{"kind": k, "start": at(a), "end": at(b)} for a, b, k in more], key=lambda s: (s["start"], order[s["kind"]])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, kind), pa.array(spans, kind)], ["doc_id", "text_key", "base", "spans"])
 
     span = "array<struct<kind:string,start:int,end:int>>"
-    return scanned.mapInArrow(run, f"doc_id long, text_key long, base {span}, spans {span}")
+    return text_key(docs).mapInArrow(run, f"doc_id long, text_key long, base {span}, spans {span}")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

@@ -140,3 +140,33 @@ def test_redaction(spark):
     got = sorted((r.doc_id, r.text) for r in secrets.redact(docs).fillna("-").collect())
     assert got == [(1, "é [SECRET] x"), (1, "é [SECRET] x"), (2, "clean"), (3, "-"), (4, "[SECRET]")]
     assert secrets.redact(docs).columns == docs.columns
+
+
+def test_glued_and_short_formats(spark):
+    draw = np.random.default_rng(9)
+    pick = lambda chars, n: "".join(draw.choice(list(chars), n))
+    upper, mixed = "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"
+    rows = [(i, f"{PROSE} token = {pick(upper, 40)} overthelazydogagain 4111111111111111 2024-05-{i % 28 + 1:02d} example.org/pages/overview") for i in range(150)]
+    rows += [(i, f"{PROSE} password = {pick(mixed, 8 + i % 8)} end") for i in range(150, 450)]
+    key, short, eight = pick(upper, 40), "Xk9aa77bb12Q", "Xk9_aa77"
+    glued = [
+        ("é AWS_SECRET_ACCESS_KEY=%s end", key), ("see https://host.example/hook/%s now", key), ("é 🙂 it is %s.", key), ("X_KEY=%s/overview", key),
+        ("auth: %s and so on", short), ("pwd=%s", eight), ("LOGIN=%s", short), ("https://host.example/hook/%s", short),
+    ]
+    rows += [(1000 + i, f"{PROSE} {text % value}") for i, (text, value) in enumerate(glued)]
+    rows += [(2000, f"{PROSE} Remember everything tomorrow 20240105 http://host.example/pages/overview.html NAME=overview")]
+    found = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (_, value) in enumerate(glued):
+        at = rows[450 + i][1].index(value)
+        assert spans(found[1000 + i].spans) == [("format_assign", at, at + len(value))], rows[450 + i]
+    assert not found[2000].spans and all(len(found[i].spans) == 1 for i in range(450))
+
+
+def test_parts_grow_with_the_text():
+    seen = []
+    for raw in (b"NAME=ab/cd+efgh==", b"=" * 50_000, b"a=" * 50_000, b"abcdefgh/" * 20_000, b"./" * 50_000, b"a_b.c/d=" * 20_000):
+        shapes = []
+        assert not list(secrets.candidates(raw, [], lambda shape: shapes.append(shape)))
+        assert sum(map(len, shapes)) <= 7 * len(raw)
+        seen.append(shapes)
+    assert b"aa+aa+aagg==" in seen[0]

@@ -154,13 +154,17 @@ def best_period(periodogram: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def box_least_squares(
-    cadence: DataFrame, low: float, high: float, n_periods: int, durations
+    cadence: DataFrame, low: float, high: float, n_periods: int, durations, *, engine: str = "sql",
 ) -> DataFrame:
     """Box search power on a linear period grid, floored at 0.
 
     Box centres are spaced at least a box width apart, so a cadence lies in one or two boxes: each
     cadence names the centres it falls in, and the out-of-box side is the object's total minus the
     box. No cadence-centre pairs are formed beyond those.
+
+    ``engine="sql"`` makes a row of every cadence, period, duration and box. ``engine="pandas"`` adds them up in
+    Arrow batches, a block of periods at a time, and hands over like ``box_periodogram``; it is meant for long grids.
+    Both give the same scores.
     """
     rows = g.attach_stats(
         cadence, ID,
@@ -170,6 +174,22 @@ def box_least_squares(
         *ID, "t", (F.col("flux") - F.col("_med")).alias("f"), "_sd", "_n",
         (F.col("_sum") - F.col("_n") * F.col("_med")).alias("_total"),
     )
+    search = {"sql": _boxes_sql, "pandas": _boxes_arrow}[engine]
+    found = search(rows, low, high, n_periods, durations)
+    grid = cadence.select(*ID).distinct().withColumn("pid", F.explode(F.sequence(F.lit(0), F.lit(n_periods - 1))))
+    return grid.join(found, [*ID, "pid"], "left").select(
+        *ID, "pid", linear_grid(low, high, n_periods).alias("period"),
+        F.greatest(F.coalesce("_m", s.lit(0.0)), s.lit(0.0)).alias("score"),
+    )
+
+
+def _box_snr() -> Column:
+    """Depth of a box over its error, from its sum and count and those of its object."""
+    depth = (F.col("_total") - F.col("_s")) / (F.col("_n") - F.col("_k")) - F.col("_s") / F.col("_k")
+    return depth / (F.col("_sd") / F.sqrt(F.col("_k").cast("double")) + s.lit(1e-9))
+
+
+def _boxes_sql(rows: DataFrame, low, high, n_periods, durations) -> DataFrame:
     widths = F.array(*[F.struct(F.lit(i).alias("did"), s.lit(d).alias("dur")) for i, d in enumerate(durations)])
     trial = (
         rows.withColumn("pid", F.explode(F.sequence(F.lit(0), F.lit(n_periods - 1))))
@@ -191,14 +211,127 @@ def box_least_squares(
         F.sum("f").alias("_s"), F.count(F.lit(1)).alias("_k"),
         F.first("_sd").alias("_sd"), F.first("_n").alias("_n"), F.first("_total").alias("_total"),
     ).filter((F.col("_k") >= 3) & (F.col("_n") - F.col("_k") >= 3))
-    depth = (F.col("_total") - F.col("_s")) / (F.col("_n") - F.col("_k")) - F.col("_s") / F.col("_k")
-    snr = depth / (F.col("_sd") / F.sqrt(F.col("_k").cast("double")) + s.lit(1e-9))
-    found = boxes.groupBy(*ID, "pid").agg(F.max(snr).alias("_m"))
-    grid = cadence.select(*ID).distinct().withColumn("pid", F.explode(F.sequence(F.lit(0), F.lit(n_periods - 1))))
-    return grid.join(found, [*ID, "pid"], "left").select(
-        *ID, "pid", linear_grid(low, high, n_periods).alias("period"),
-        F.greatest(F.coalesce("_m", s.lit(0.0)), s.lit(0.0)).alias("score"),
+    return boxes.groupBy(*ID, "pid").agg(F.max(_box_snr()).alias("_m"))
+
+
+class Boxed:
+    """Sums and counts of one object's boxes at a block of trial periods and all durations, filled run by run."""
+
+    RUN = 2_048
+
+    def __init__(self, periods: np.ndarray, durations):
+        self.periods, self.shapes, at = periods, [], 0
+        for duration in durations:
+            w = duration / periods
+            steps = np.maximum(np.floor(1.0 / np.maximum(w, 1e-3)), 4).astype(np.int64)
+            first_box = at + np.cumsum(steps) - steps
+            at += int(steps.sum())
+            self.shapes.append((w / 2, steps, first_box))
+        self.sums, self.counts = np.zeros(at), np.zeros(at, np.int64)
+
+    def add(self, t: np.ndarray, f: np.ndarray) -> None:
+        for at in range(0, len(t), self.RUN):
+            turns = np.divide.outer(t[at : at + self.RUN], self.periods)
+            turns -= np.floor(turns)
+            weights = np.broadcast_to(f[at : at + self.RUN, None], turns.shape)
+            for half, steps, first_box in self.shapes:
+                first = (np.floor(steps * (turns - half)) + 1).astype(np.int64)
+                last = (np.ceil(steps * (turns + half)) - 1).astype(np.int64)
+                last = np.minimum(last, first + steps - 1)
+                for more in range(int((last - first).max(initial=-1)) + 1):
+                    inside = first + more <= last
+                    slots = ((first + more) % steps + first_box)[inside]
+                    self.sums += np.bincount(slots, weights[inside], len(self.sums))
+                    self.counts += np.bincount(slots, minlength=len(self.counts))
+
+    def scores(self, sd: float, n: int, total: float) -> np.ndarray:
+        """Best box of every period, 0 where none counts."""
+        k, valid = self.counts, (self.counts >= 3) & (n - self.counts >= 3)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            snr = ((total - self.sums) / (n - k) - self.sums / k) / (sd / np.sqrt(k) + 1e-9)
+        snr = np.where(valid & (snr > 0), snr, 0.0)
+        return np.max([np.maximum.reduceat(snr[: first_box[-1] + steps[-1]], first_box) for _, steps, first_box in self.shapes], axis=0)
+
+
+#: Trial periods that a task holds boxes of at once.
+BLOCK = 50
+
+
+def _boxes_arrow(rows: DataFrame, low, high, n_periods, durations) -> DataFrame:
+    periods = low + np.arange(n_periods) * ((high - low) / (n_periods - 1))
+    durations, block_size = list(durations), BLOCK
+    stats = ["_sd", "_n", "_total"]
+
+    def fold_ranges(frames):
+        """Objects and blocks arrive in order. The first and the last of a range may lie in others too."""
+        held, done, first = None, [], True
+
+        def close(last: bool) -> None:
+            nonlocal held, first
+            key, known, part = held
+            row = {"object_id": key[0], "block": key[1], **dict(zip(stats, known)), "scores": None, "boxes": None, "sums": None, "counts": None}
+            if first or last:
+                used = np.flatnonzero(part.counts)
+                row |= {"boxes": used, "sums": part.sums[used], "counts": part.counts[used]}
+            else:
+                row["scores"] = part.scores(*known)
+            done.append(row)
+            held, first = None, False
+
+        for frame in frames:
+            for key, run in frame.groupby(["object_id", "block"], sort=False):
+                if held is not None and held[0] != key:
+                    close(False)
+                if held is None:
+                    at = key[1] * block_size
+                    known = [float("nan") if pd.isna(v) else v for v in run[stats].iloc[0]]
+                    held = (key, known, Boxed(periods[at : at + block_size], durations))
+                held[2].add(run["t"].to_numpy(float), np.nan_to_num(run["f"].to_numpy(float)))
+            if done:
+                yield pd.DataFrame(done)
+                done = []
+        if held is not None:
+            close(True)
+            yield pd.DataFrame(done)
+
+    def add_parts(frames):
+        """Parts of one object and block follow each other; one sum is held at a time."""
+        held = None
+
+        def done():
+            (object_id, block), known, part = held
+            return pd.DataFrame([{"object_id": object_id, "block": block, "scores": part.scores(*known)}])
+
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                key = (row["object_id"], row["block"])
+                if held is not None and held[0] != key:
+                    yield done()
+                    held = None
+                if held is None:
+                    at = key[1] * block_size
+                    held = (key, [float("nan") if pd.isna(row[c]) else row[c] for c in stats], Boxed(periods[at : at + block_size], durations))
+                held[2].sums[row["boxes"]] += row["sums"]
+                held[2].counts[row["boxes"]] += row["counts"]
+        if held is not None:
+            yield done()
+
+    blocks = rows.filter("object_id IS NOT NULL AND t IS NOT NULL").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit((n_periods - 1) // block_size)))
+    )
+    ranged = blocks.repartitionByRange(F.col("object_id").asc(), F.col("block").asc(), F.xxhash64("t", "f").asc())
+    parts = ranged.sortWithinPartitions("object_id", "block").select(*ID, "block", "t", "f", *stats).mapInPandas(
+        fold_ranges,
+        "object_id long, block int, _sd double, _n long, _total double, scores array<double>, boxes array<int>, "
+        "sums array<double>, counts array<bigint>",
     )
+    parts = g.settle(parts)
+    # At most two objects and blocks of each range come in parts, each in one row.
+    pieces = parts.filter("scores IS NULL").drop("scores").repartition("object_id", "block").sortWithinPartitions("object_id", "block")
+    pieced = pieces.mapInPandas(add_parts, "object_id long, block int, scores array<double>")
+    scored = parts.filter("scores IS NOT NULL").select(*ID, "block", "scores").unionByName(pieced)
+    scored = scored.select(*ID, "block", F.posexplode("scores").alias("pos", "_m"))
+    return scored.select(*ID, (F.col("block") * block_size + F.col("pos")).alias("pid"), "_m")
 
 
 def refine_epoch(cadence: DataFrame, periods: DataFrame, n_centres: int = 512, *, digits: int = 9) -> DataFrame:

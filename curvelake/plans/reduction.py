@@ -199,6 +199,13 @@ def normalized_local_view(spark, sf):
     return rounded(out, "value")
 
 
+@query("a04_normalized_local_view_201", f"""WITH {local_sql(201)}, {normalized_sql('view')}
+SELECT object_id, bin, {r('value')} AS value FROM normed""")
+def normalized_local_view_201(spark, sf):
+    out = red.normalize_view(red.local_view(*sparse(spark, sf), 201)).select("object_id", "bin", "value")
+    return rounded(out, "value")
+
+
 @query("w08_deepest_bin", f"""WITH {BINNED}, {normalized_sql('bins')}
 SELECT object_id, arg_min(bin, {{'v': {r('value')}, 'b': bin}}) AS bin, min({r('value')}) AS value FROM normed GROUP BY 1""")
 def deepest_bin(spark, sf):

@@ -69,30 +69,52 @@ def periodogram_view(spark, sf):
     return rounded(out.select("object_id", "pid", "score"), "score")
 
 
-BEST = f"""{SPARSE}, {pgram()},
+def best_sql(n: int = N) -> str:
+    return f"""{SPARSE}, {pgram(n=n)},
 bp AS (SELECT object_id, pid, period, row_number() OVER (PARTITION BY object_id ORDER BY round(score, 9) DESC, pid) AS rk, score FROM pg)"""
 
 
+BEST = best_sql()
+
+
 @query("a07_best_period", f"WITH {BEST} SELECT object_id, pid, {r('period')} AS period, {r('score')} AS score FROM bp WHERE rk = 1")
 def best_period(spark, sf):
     return rounded(se.best_period(periodogram(spark, sf)), "period", "score")
 
 
-@query("a39_harmonic_match", f"""WITH {BEST}, {EPH}
+@query("a07_best_period_256", f"WITH {best_sql(256)} SELECT object_id, pid, {r('period')} AS period, {r('score')} AS score FROM bp WHERE rk = 1")
+def best_period_256(spark, sf):
+    return rounded(se.best_period(periodogram(spark, sf, 256, engine="pandas")), "period", "score")
+
+
+def match_sql(n: int = N) -> str:
+    return f"""WITH {best_sql(n)}, {EPH}
 SELECT object_id, pid, (abs(period - P) / P < 0.05 OR abs(period - P / 2) / (P / 2) < 0.05 OR abs(period - P * 2) / (P * 2) < 0.05) AS match
-FROM bp JOIN eph USING (object_id) WHERE rk = 1""")
+FROM bp JOIN eph USING (object_id) WHERE rk = 1"""
+
+
+@query("a39_harmonic_match", match_sql())
 def harmonic_match(spark, sf):
     cadence, eph = sparse(spark, sf)
     return se.harmonic_match(se.best_period(periodogram(spark, sf)), eph).select("object_id", "pid", "match")
 
 
+@query("a39_harmonic_match_256", match_sql(256))
+def harmonic_match_256(spark, sf):
+    cadence, eph = sparse(spark, sf)
+    return se.harmonic_match(se.best_period(periodogram(spark, sf, 256, engine="pandas")), eph).select("object_id", "pid", "match")
+
+
 NB = 12
-BLS = f"""{SPARSE},
+
+
+def box_sql(n: int = NB, low: str = "2e0", span: str = "1e1", durations: tuple[str, ...] = ("2e-1", "4e-1", "8e-1")) -> str:
+    return f"""{SPARSE},
 m AS (SELECT object_id, median(flux) AS med, stddev_pop(flux) AS sd, count(*) AS n FROM cad GROUP BY 1),
 c1 AS (SELECT c.object_id, t, flux - med AS f FROM cad c JOIN m USING (object_id)),
 tot AS (SELECT object_id, sum(f) AS total FROM c1 GROUP BY 1),
-du(did, dur) AS (VALUES (0, 2e-1), (1, 4e-1), (2, 8e-1)),
-pr AS (SELECT CAST(i AS INTEGER) AS pid, 2e0 + i * (1e1 / {NB - 1}e0) AS period FROM range({NB}) g(i)),
+du(did, dur) AS (VALUES {', '.join(f'({i}, {d})' for i, d in enumerate(durations))}),
+pr AS (SELECT CAST(i AS INTEGER) AS pid, {low} + i * ({span} / {n - 1}e0) AS period FROM range({n}) g(i)),
 bx AS (SELECT pid, period, did, dur / period AS w, greatest(CAST(floor(1 / greatest(dur / period, 1e-3)) AS INTEGER), 4) AS steps FROM pr CROSS JOIN du),
 cn AS (SELECT bx.*, c / steps::DOUBLE AS centre, c FROM bx, LATERAL (SELECT unnest(range(steps)) AS c)),
 ib AS (SELECT object_id, pid, did, c, sum(f) AS s, count(*) AS k FROM c1, cn
@@ -103,12 +125,24 @@ pw AS (SELECT o.object_id, pr.pid, pr.period, greatest(coalesce(max(snr), 0), 0)
        LEFT JOIN sc ON sc.object_id = o.object_id AND sc.pid = pr.pid GROUP BY 1, 2, 3)"""
 
 
+BLS = box_sql()
+
+
 @query("a08_box_least_squares", f"WITH {BLS} SELECT object_id, pid, {r('period')} AS period, {r('score')} AS score FROM pw")
 def box_least_squares(spark, sf):
     out = se.box_least_squares(b.sparse_cadence(spark, sf), 2.0, 12.0, NB, [0.2, 0.4, 0.8])
     return rounded(out, "period", "score")
 
 
+PUBLISHED = box_sql(2000, "5e-1", "125e-1", ("5e-2", "1e-1", "2e-1"))
+
+
+@query("a08_box_least_squares_2000", f"WITH {PUBLISHED} SELECT object_id, pid, {r('period')} AS period, {r('score')} AS score FROM pw")
+def box_least_squares_2000(spark, sf):
+    out = se.box_least_squares(b.sparse_cadence(spark, sf), 0.5, 13.0, 2000, [0.05, 0.1, 0.2], engine="pandas")
+    return rounded(out, "period", "score")
+
+
 @query("a09_refine_epoch", f"""WITH {SPARSE}, {EPH},
 d AS (SELECT object_id, t - lag(t) OVER (PARTITION BY object_id ORDER BY t, flux) AS d FROM cad),
 dt AS (SELECT object_id, median(d) AS dt FROM d GROUP BY 1),

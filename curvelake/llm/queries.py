@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.llm import decontaminate, line_rules, near_dedup, packing, quality_net, quotes, secrets, sharding, token_files, toxicity
+from curvelake.llm import (
+    decontaminate,
+    language_id,
+    line_rules,
+    near_dedup,
+    packing,
+    periodic_runs,
+    prefix_trie,
+    quality_net,
+    quotes,
+    secrets,
+    sharding,
+    token_files,
+    toxicity,
+)
 from curvelake.llm.common import scratch, table
 from curvelake.plans.registry import Build, Query
 
@@ -158,3 +172,102 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_net")
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_language_id")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def _crc32_sql(value: str) -> str:
+    """Unsigned crc32 of a number's decimal digits in DuckDB."""
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: xor(x >> 1, (x & 1) * 3988292384))"
+    digits = f"list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda c, b: {step}), 4294967295)"
+
+
+PERIODIC_RUNS_SQL = f"""
+WITH cut AS (SELECT doc_id, coalesce(regexp_extract_all(text, {WORDS}), CAST([] AS VARCHAR[])) AS o, {_crc32_sql("doc_id")} AS h FROM documents),
+place AS (SELECT *, len(o) AS n, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) END AS a FROM cut),
+form AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM place),
+made AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: CASE WHEN i >= a THEN o[a + (i - a) % p + 1] ELSE o[i + 1] END) ELSE o END AS w FROM form),
+five AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM made, unnest(range(0, n - 4)) AS u(i) WHERE n >= 5),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM five x JOIN five y ON x.doc_id = y.doc_id AND x.s = y.s AND y.i > x.i),
+chain AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pair),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM chain GROUP BY doc_id, q, island),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS each
+  FROM run GROUP BY 1),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+dropped AS (SELECT DISTINCT doc_id, i FROM run, unnest(range(start + period, start + length)) AS u(i)),
+word AS (SELECT doc_id, i, w[i + 1] AS word FROM made, unnest(range(0, n)) AS u(i)),
+rest AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOIN dropped USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(each, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM made LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents has its words from some place on replaced by copies of the first few of them.
+
+    With h = crc32(doc_id), g = h div 10 and n words, a = g % n and p = 1 + (n - a) div (3 + g % 8): if h % 10 = 0, word i >= a
+    becomes word a + (i - a) % p. A null doc_id changes nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split(F.col("text").cast("string"), line_rules.SPACE), "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    rows = rows.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.size("w") > 0, F.pmod("g", F.size("w"))))
+    rows = rows.withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    made = F.expr("array_join(transform(w, (x, i) -> CASE WHEN i >= a THEN get(w, CAST(a + (i - a) % p AS INT)) ELSE x END), ' ')")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs", PERIODIC_RUNS_SQL)
+def runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    # Exact comparison of length / period; the runs come by start and period, so the first of equals stays.
+    greater = "aggregate(runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>), (b, r) -> CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)"
+    each = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')"
+    return found.withColumn("best", F.expr(greater)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.expr(each), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+PREFIX_TRIE_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT DISTINCT conv_id, {_crc32_sql("conv_id")} % 6 AS h FROM turns),
+whole AS (
+  SELECT conv_id, conv_id AS c, k, role, text FROM turns JOIN conv USING (conv_id) WHERE k > h
+  UNION ALL SELECT v.conv_id, t.conv_id - 100000000000, k, role, text FROM conv v JOIN turns t ON t.conv_id = v.conv_id - v.conv_id % 100 WHERE k <= h),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY c, k) AS d, role, text FROM whole),
+path AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY d) AS s FROM placed GROUP BY 1),
+every AS (SELECT conv_id, s FROM conv LEFT JOIN path USING (conv_id)),
+prefix AS (SELECT conv_id, d, CASE WHEN d > 0 THEN s[1:d] END AS key, d = coalesce(len(s), 0) AS ends FROM every, unnest(range(0, coalesce(len(s), 0) + 1)) AS u(d)),
+node AS (
+  SELECT key, d, count(*) AS n_convs, min(conv_id) AS conv_id, (count(*) - 1) * coalesce(length(key[d].text), 0) AS gain,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefix GROUP BY 1, 2),
+above AS (SELECT n.conv_id, n.d, p.conv_id AS parent_conv_id, p.d AS up FROM node n JOIN node p ON p.d = n.d - 1 AND p.key IS NOT DISTINCT FROM (CASE WHEN n.d > 1 THEN n.key[1 : n.d - 1] END)),
+child AS (SELECT parent_conv_id AS conv_id, up AS d, count(*) AS n_children FROM above GROUP BY 1, 2),
+full_node AS (SELECT node.*, parent_conv_id, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN above USING (conv_id, d) LEFT JOIN child USING (conv_id, d)),
+under AS (
+  SELECT CASE WHEN u.d > 0 THEN key[1 : u.d] END AS key, u.d, sum(gain) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM full_node f, unnest(range(0, f.d + 1)) AS u(d) GROUP BY 1, 2)
+SELECT f.conv_id, f.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM full_node f JOIN under u ON f.d = u.d AND f.key IS NOT DISTINCT FROM u.key
+"""
+
+
+@query("op13_prefix_trie", PREFIX_TRIE_SQL)
+def trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)

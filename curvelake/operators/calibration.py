@@ -8,7 +8,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,11 +74,10 @@ def sbc_uniformity(ranks: DataFrame, n_bins: int = 20, by: Sequence[str] = ("par
     contributes the expected count itself, so empty bins need no rows.
     """
     by, scope = list(by), list(scope)
-    # One row per distinct rank: the range and the histogram both come from this small table. The filter
-    # is always true; it makes both branches need the same columns, so they share one exchange.
+    # One row per distinct rank; its top is the largest rank of the scope.
     folded = ranks.groupBy(*dict.fromkeys([*scope, *by]), "rank").agg(F.count(F.lit(1)).alias("_k"))
-    top = folded.filter("_k > 0").groupBy(*scope).agg(F.max("rank").alias("_top"))
-    rows = folded.join(top, scope) if scope else folded.crossJoin(F.broadcast(top))
+    top = ranks.groupBy(*scope).agg(F.max("rank").alias("_top"))
+    rows = g.safe_join(folded, top, scope) if scope else folded.crossJoin(F.broadcast(top))
     x = F.col("rank").cast("double")
     b = s.histogram_bin(x, s.lit(-0.5), F.col("_top") + s.lit(0.5), n_bins)
     counts = rows.groupBy(*by, b.alias("_bin")).agg(F.sum("_k").alias("_c"))
@@ -91,32 +89,39 @@ def sbc_uniformity(ranks: DataFrame, n_bins: int = 20, by: Sequence[str] = ("par
     )
 
 
-def chi2_survival(x: float, df: int) -> float:
+def _erfc_root(y: Column) -> Column:
+    """erfc of the root of ``y`` >= 0: the power series of erf up to 4, the continued fraction beyond, both of fixed length."""
+    root, steps = F.sqrt(y), F.sequence(F.lit(1), F.lit(60))
+    start = F.struct(s.lit(1.0).alias("term"), s.lit(1.0).alias("total"))
+
+    def add(a: Column, i: Column) -> Column:
+        term = a["term"] * y / (i + s.lit(0.5))
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+
+    series = s.lit(1.0) - s.lit(2.0 / math.sqrt(math.pi)) * root * F.exp(-y) * F.aggregate(steps, start, add, lambda a: a["total"])
+    tail = F.aggregate(F.reverse(steps), s.lit(0.0), lambda a, i: i / s.lit(2.0) / (root + a))
+    return F.when(y < 4, series).otherwise(F.exp(-y) / s.lit(math.sqrt(math.pi)) / (root + tail))
+
+
+def chi2_survival(x: Column, df: int) -> Column:
     """Upper tail of chi-square with whole degrees of freedom, as its finite series."""
-    y = 0.5 * x
-    if y <= 0:
-        return 1.0
-    if df % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, df // 2):
-            term *= y / i
-            total += term
-        return math.exp(-y) * total
-    total, term = math.erfc(math.sqrt(y)), math.sqrt(y) / math.gamma(1.5)
-    for i in range(1, (df - 1) // 2 + 1):
-        total += math.exp(-y) * term
-        term *= y / (i + 0.5)
-    return total
+    y = s.lit(0.5) * x
+    half, shift = df // 2, (df % 2) * 0.5
+    first = s.lit(1.0) if df % 2 == 0 else F.sqrt(y) / s.lit(math.gamma(1.5))
+    # Terms y^(i + shift) / Gamma(i + 1 + shift) for i below half.
+    start = F.struct(first.alias("term"), s.lit(0.0).alias("total"))
 
+    def add(a: Column, i: Column) -> Column:
+        return F.struct((a["term"] * y / (i + s.lit(shift))).alias("term"), (a["total"] + a["term"]).alias("total"))
 
-def with_pvalue(uniformity: DataFrame, n_bins: int = 20) -> DataFrame:
-    """Adds ``pvalue``. The table has one row per parameter."""
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(half)), start, add, lambda a: a["total"]) if half else s.lit(0.0)
+    tail = F.exp(-y) * total + (_erfc_root(y) if df % 2 else s.lit(0.0))
+    return F.when(y <= 0, s.lit(1.0)).otherwise(tail)
 
-    @F.pandas_udf("double")
-    def tail(chi2: pd.Series) -> pd.Series:
-        return chi2.map(lambda v: chi2_survival(v, n_bins - 1))
 
-    return uniformity.withColumn("pvalue", tail("chi2"))
+def with_pvalue(uniformity: DataFrame, n_bins: int = 20) -> DataFrame:
+    """Adds ``pvalue``."""
+    return uniformity.withColumn("pvalue", chi2_survival(F.col("chi2"), n_bins - 1))
 
 
 def rank_histogram(ranks: DataFrame, n_bins: int = 10, by: Sequence[str] = ("param",)) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ordered and quantile work inside groups of any size, with one plan for every size.
+"""Ordered and quantile work inside groups of any size, with one lazy plan for every size.
 
 A window partitioned by object puts an object into one task, however long it is. Here rows are cut into
 ranges of (keys, order) instead, so a group takes as many ranges as it needs, and windows run inside
@@ -6,9 +6,11 @@ ranges of (keys, order) instead, so a group takes as many ranges as it needs, an
 group). Only the first and the last group of a range can go on in a neighbour, so the carry has at most two
 rows per range, whatever the table holds, and is broadcast.
 
-The range of a row is fixed once: the cut rows are kept in the shared checkpoint folder, which also ends the
-lineage, so a chain of operators computes each step once. The cut uses the columns' own ordering: text, NULL
-(first), NaN and ties are rows like others; ties part by a hash of the row.
+Rows and carry read the ranges of one exchange (`pinned`). Nothing runs while a plan is built. The cut uses the columns' own ordering: text, NULL (first), NaN and ties are rows
+like others; ties part by a hash of the row.
+
+Quantiles need no order of the rows. Values are counted in cells by their leading digits, the cells that hold the wanted
+ranks are picked, and only cells that do not settle their ranks by their ends are counted value by value.
 
 ``bounded=True`` says that the groups are small by construction, such as the bins of one view; then ordinary
 windows do.
@@ -16,38 +18,35 @@ windows do.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelake.session import ensure_checkpoint_dir
-
 #: Rows of one group that a sliding window sees at a time, apart from the rows at its edges.
 BLOCK_ROWS = 1_000_000
 #: Parts that the rows of any group are spread over where they meet the one row of their group.
 SALTS = 8
+#: Cells of a quantile's first count for each factor e of the values.
+DIGITS = 1 << 19
 _GLOBAL = "_whole_table"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once and keep in the shared checkpoint folder; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
     """The rows, their keys - a constant one where there is none - and what to drop in the end."""
     keys = list(keys)
     return (df, keys, []) if keys else (df.withColumn(_GLOBAL, F.lit(0)), [_GLOBAL], [_GLOBAL])
 
 
-def safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys where NULL equals NULL; the keys of the left side stay."""
-    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
+def safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", also: Sequence[str] = ()) -> DataFrame:
+    """Join on ``keys``, where NULL equals NULL, and on ``also``, where it does not; these columns of the left side stay."""
+    both = [*keys, *also]
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in both], *[c for c in right.columns if c not in both])
+    tests = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(k) == F.col(f"_r_{k}") for k in also]
+    return left.join(named, reduce(lambda a, b: a & b, tests), how).drop(*[f"_r_{k}" for k in both])
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -56,23 +55,43 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
 
 
-def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``_part``, their range of (keys, order), and the groups that lie in more than one range."""
-    ranged = df.repartitionByRange(*[F.col(k).asc() for k in keys], *order, _row_hash(df).asc())
-    rows = settle(ranged.withColumn("_part", F.spark_partition_id()))
-    group = F.struct(*[F.col(k) for k in keys])
-    ends = rows.groupBy("_part").agg(F.min(group).alias("_a"), F.max(group).alias("_b"))
-    ends = ends.select("_part", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_g")).select("_part", "_g.*")
-    split = ends.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ranges")).filter("_ranges > 1").select(*keys)
-    return rows, split
+_PINNED: list[DataFrame] = []
 
 
-def _carry(rows: DataFrame, split: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], over: Mapping[str, Callable]) -> DataFrame:
-    """Per range of the split groups: ``sums`` over the range, then ``over`` the ranges of the group."""
-    parts = safe_join(rows, F.broadcast(split), keys, "left_semi").groupBy(*keys, "_part").agg(
-        *[c.alias(n) for n, c in sums.items()]
-    )
-    return parts.withColumns({n: fn(Window.partitionBy(*keys)) for n, fn in over.items()}).select(*keys, "_part", *over)
+def pinned(df: DataFrame) -> DataFrame:
+    """The rows of `df` for several readers that must see the same rows in the same partitions.
+
+    They are kept on the executors' disks when they are first read: nothing runs before. What an executor loses is made
+    again from the same shuffle, partition by partition. Readers hold what is kept itself. Spark would otherwise look for it by
+    comparing plans, which misses some (`count_if` is planned under fresh names each time) and takes a table
+    that has changed under its path for the old one. `release` gives the space back once results are written.
+    """
+    spark = df.sparkSession
+    kept = df.withColumn("_pin", F.lit(uuid.uuid4().hex)).persist(StorageLevel.DISK_ONLY)
+    _PINNED.append(kept)
+    plan = kept._jdf.queryExecution().withCachedData()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark).drop("_pin")
+
+
+def release() -> None:
+    """Forget all pinned rows; for when the results made from them are written."""
+    while _PINNED:
+        _PINNED.pop().unpersist()
+
+
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows with ``_part``, their range of (keys, order)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(k).asc() for k in keys], *order, _row_hash(df).asc())
+    return pinned(ranged.withColumn("_part", F.spark_partition_id()))
+
+
+def _carry(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], over: Mapping[str, Callable]) -> DataFrame:
+    """For the groups that lie in several ranges: ``sums`` over each range, then ``over`` the ranges of the group."""
+    parts = rows.groupBy(*keys, "_part").agg(*[c.alias(n) for n, c in sums.items()])
+    w = Window.partitionBy(*keys)
+    parts = parts.withColumns({"_ranges": F.count(F.lit(1)).over(w), **{n: fn(w) for n, fn in over.items()}})
+    return parts.filter("_ranges > 1").select(*keys, "_part", *over)
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -114,7 +133,7 @@ def running(
 
     if bounded:
         return df.withColumns(inside(keys)).drop(*extra)
-    rows, split = _cut(df, keys, order)
+    rows = _cut(df, keys, order)
 
     def before(name: str) -> Callable:
         return lambda w: fn(name).over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -123,7 +142,7 @@ def running(
         return lambda w: F.sum(name).over(w)
 
     carry = _carry(
-        rows, split, keys,
+        rows, keys,
         {f"_p_{n}": fn(c) for n, c in values.items()} | {f"_t_{n}": F.sum(c) for n, c in totals.items()},
         {f"_b_{n}": before(f"_p_{n}") for n in values} | {f"_a_{n}": whole(f"_t_{n}") for n in totals},
     )
@@ -190,7 +209,7 @@ def nearest_known(df: DataFrame, keys: Sequence[str], x: str, value: str) -> Dat
     (``next_x``, ``next_v``) each row along ``x``."""
     df, keys, extra = _keyed(df, keys)
     known_x = F.when(F.col(value).isNotNull(), F.col(x))
-    rows, split = _cut(df, keys, [F.col(x).asc()])
+    rows = _cut(df, keys, [F.col(x).asc()])
 
     def upto(order: Column):
         return Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -202,7 +221,7 @@ def nearest_known(df: DataFrame, keys: Sequence[str], x: str, value: str) -> Dat
     })
     pair = F.when(F.col(value).isNotNull(), F.struct(F.col(x).alias("x"), F.col(value).alias("v")))
     carry = _carry(
-        rows, split, keys, {"_last": F.max(pair), "_first": F.min(pair)},
+        rows, keys, {"_last": F.max(pair), "_first": F.min(pair)},
         {
             "_carry_prev": lambda w: F.last("_last", True).over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
             "_carry_next": lambda w: F.first("_first", True).over(w.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)),
@@ -222,35 +241,68 @@ def _by_value(quantiles: Mapping[str, tuple[Column, float]]) -> list[tuple[Colum
     return list(grouped.values())
 
 
+def _cell(v: Column) -> Column:
+    """A number that never falls as the double ``v`` rises: its sign and its logarithm to DIGITS parts of one.
+
+    Values of a cell agree to about six digits. NaN counts as the greatest value.
+    """
+    size = F.floor(F.ln(F.abs(v)) * F.lit(float(DIGITS))) + F.lit(750 * DIGITS)
+    top = F.lit(2000 * DIGITS).cast("long")
+    size = F.when(F.abs(v) == F.lit(float("inf")), top - 1).otherwise(size)
+    return F.when(F.isnan(v), top).when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+
+
 def _quantile_table(df: DataFrame, keys: Sequence[str], asked: list[tuple[Column, dict[str, float]]]) -> DataFrame:
     """Exact linear-interpolated quantiles of the known values, one row per group that has any.
 
-    Equal values fold to one row with a count, the counts are summed in order of value, and the two rows that
-    hold the neighbouring ranks are picked.
+    Count, least and greatest value of the cells of a group are summed in order of the cells, and the cells that hold a neighbour of
+    a wanted quantile are kept: at most two for each. A neighbour that is the first or the last of its cell, or in a cell of equal
+    values, is settled; the values of the other cells are looked up and counted. Spark's own ``percentile`` then sees these
+    few values, each with the number of ranks up to it that it stands for.
     """
-    each = F.array(*[F.struct(F.lit(i).alias("_i"), v.cast("double").alias("_v")) for i, (v, _) in enumerate(asked)])
-    values = df.select(*keys, F.explode(each).alias("_x")).select(*keys, "_x._i", "_x._v").filter("_v IS NOT NULL")
-    folded = values.groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = running(folded, [*keys, "_i"], [F.col("_v").asc()], {"_u": F.col("_c")}, totals={"_n": F.col("_c")})
-    # A row holds the ranks first .. end - 1; the rank below h is in it when first <= h < end, the one above h when
-    # first - 1 < h <= end - 1.
-    upto = upto.select(
-        *keys, "_i", "_v", (F.col("_n") - 1).cast("double").alias("_m"),
-        (F.col("_u") - F.col("_c")).cast("double").alias("_first"), F.col("_u").cast("double").alias("_end"),
-    )
-    first, end = F.col("_first"), F.col("_end")
-    picks, names = [], []
-    for i, (_, probs) in enumerate(asked):
-        mine = F.col("_v") if len(asked) == 1 else F.when(F.col("_i") == i, F.col("_v"))
-        picks.append(F.max("_m" if len(asked) == 1 else F.when(F.col("_i") == i, F.col("_m"))).alias(f"_m{i}"))
-        for name, p in probs.items():
-            h = F.col("_m") * F.lit(float(p))
-            picks.append(F.max(F.when((h >= first) & (h < end), mine)).alias(f"_l_{name}"))
-            picks.append(F.max(F.when((h > first - 1.0) & (h <= end - 1.0), mine)).alias(f"_h_{name}"))
-            share = F.col(f"_m{i}") * F.lit(float(p))
-            low, high = F.col(f"_l_{name}"), F.col(f"_h_{name}")
-            names.append(F.when(low == high, low).otherwise(low + (high - low) * (share - F.floor(share))).alias(name))
-    return upto.groupBy(*keys).agg(*picks).select(*keys, *names)
+    probs = [[float(p) for p in found.values()] for _, found in asked]
+    if len(asked) == 1:
+        values = df.select(*keys, F.lit(0).alias("_i"), asked[0][0].cast("double").alias("_v"))
+    else:
+        each = F.array(*[F.struct(F.lit(i).alias("_i"), v.cast("double").alias("_v")) for i, (v, _) in enumerate(asked)])
+        values = df.select(*keys, F.inline(each))
+    values = values.filter("_v IS NOT NULL").select("*", _cell(F.col("_v")).alias("_cell"))
+    first, end = F.col("_end") - F.col("_c"), F.col("_end")
+
+    def tested(test: str) -> Column:
+        """Does ``test`` hold for the rank below or above any wanted quantile of this row's values?"""
+        def any_of(ps: list[float]) -> str:
+            ranks = [f"{side}((_n - 1) * {p!r}D)" for p in ps for side in ("floor", "ceil")]
+            return "(" + " OR ".join(test.replace("rank", r) for r in ranks) + ")"
+
+        return F.expr(any_of(probs[0]) if len(asked) == 1 else f"CASE _i {' '.join(f'WHEN {i} THEN {any_of(ps)}' for i, ps in enumerate(probs))} END")
+
+    group = Window.partitionBy(*keys, "_i")
+    cells = values.groupBy(*keys, "_i", "_cell").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    cells = cells.select("*", F.sum("_c").over(group.orderBy("_cell")).alias("_end"), F.sum("_c").over(group).alias("_n"))
+    cells = cells.filter(tested("(_end - _c <= rank AND rank < _end)"))
+    before = first - F.lag("_end", 1, 0).over(group.orderBy("_cell")).cast("long")
+    after = F.when(F.lead("_end").over(group.orderBy("_cell")).isNull(), F.col("_n") - end).otherwise(0).cast("long")
+    opened = (F.col("_low") < F.col("_high")) & tested("(_end - _c < rank AND rank < _end - 1)")
+    cells = cells.select(*keys, "_i", "_cell", "_c", "_low", "_high", before.alias("_before"), after.alias("_after"), opened.alias("_open"))
+
+    # (value, ranks it stands for, cell to look up, salt): the values of a cell may be a third of all, so they come in several parts.
+    parts = max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    def stands(value: str, ranks: str, cell: str = "CAST(NULL AS BIGINT)", part: str = "0") -> str:
+        return f"named_struct('_value', {value}, '_k', {ranks}, '_cell', {cell}, '_part', {part})"
+
+    settled = f"array({stands('_low', '_before + _c - 1')}, {stands('_high', '_after + 1')})"
+    looked = f"array({stands('_low', '_before')}, {stands('_high', '_after')})"
+    looked = f"concat({looked}, transform(sequence(0, {parts - 1}), p -> {stands('_low', '0L', '_cell', 'p')}))"
+    rows = cells.select(*keys, "_i", F.expr(f"inline(CASE WHEN _open THEN {looked} ELSE {settled} END)"))
+    dealt = values.select("*", F.pmod(F.xxhash64(F.spark_partition_id(), "_v"), F.lit(parts)).cast("int").alias("_part"))
+    rows = safe_join(rows, dealt, [*keys, "_i"], "left", also=["_cell", "_part"])
+    value, times = F.coalesce("_v", "_value"), F.when(F.col("_v").isNotNull(), F.lit(1)).otherwise(F.col("_k"))
+    picks = [
+        F.percentile(value if len(asked) == 1 else F.when(F.col("_i") == i, value), F.array(*[F.lit(p) for p in ps]), times).alias(f"_q{i}")
+        for i, ps in enumerate(probs)
+    ]
+    return rows.groupBy(*keys).agg(*picks).select(*keys, *[F.get(f"_q{i}", F.lit(j)).alias(name) for i, (_, found) in enumerate(asked) for j, name in enumerate(found)])
 
 
 def group_stats(

@@ -6,17 +6,14 @@ both are interchangeable for every result here, so ties need no further key.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import scalars as s
 from curvelake.operators import grouped as g
+from curvelake.operators.medians import running_median
 
 ID = ["object_id"]
-#: Cadences in one array of the running median, apart from its halo; more only where the window is longer.
-ARRAY_ROWS = 65_536
 
 
 def by_time() -> list[Column]:
@@ -319,25 +316,7 @@ def mask_gaps(cadence: DataFrame, gaps: DataFrame) -> DataFrame:
 
 def rolling_median(df: DataFrame, value: str, half: int, name: str = "trend") -> DataFrame:
     """Median of 2 * half + 1 ordered rows; past the ends the first and last value repeat."""
-
-    def frame(w, a, b):
-        return w.rowsBetween(a, b)
-
-    rows = g.sliding(
-        df, ID, by_time(),
-        {
-            "_win": lambda w: F.collect_list(value).over(frame(w, -half, half)),
-            "_before": lambda w: F.count(F.lit(1)).over(frame(w, -half, -1)),
-            "_after": lambda w: F.count(F.lit(1)).over(frame(w, 1, half)),
-        },
-        before=half, after=half,
-    )
-    padded = F.concat(
-        F.array_repeat(F.element_at("_win", 1), (F.lit(half) - F.col("_before")).cast("int")),
-        "_win",
-        F.array_repeat(F.element_at("_win", -1), (F.lit(half) - F.col("_after")).cast("int")),
-    )
-    return rows.withColumn(name, F.element_at(F.array_sort(padded), half + 1)).drop("_win", "_before", "_after")
+    return running_median(g.positions(df, ID, by_time()), ID, value, F.lit(half), name)
 
 
 def interpolate(df: DataFrame, value: str, *, x: str = "t") -> DataFrame:
@@ -391,53 +370,12 @@ def trend_windows(cadence: DataFrame, ephemeris: DataFrame, *, min_days: float =
 
 
 def flatten(cadence: DataFrame, ephemeris: DataFrame) -> DataFrame:
-    """As ``flatten_fixed`` with each object's own window.
-
-    A row frame needs a literal bound, so the running median alone is done in Arrow batches, on blocks of
-    consecutive cadences with a halo of half a window: one rolling call each.
-    """
+    """As ``flatten_fixed`` with each object's own window."""
     windows = trend_windows(cadence, ephemeris)
     rows = mask_transits(join_ephemeris(cadence, ephemeris))
     rows = g.join_groups(g.positions(rows, ID, by_time()), windows, ID)
-    wide = F.coalesce(F.col("window"), F.lit(1))
-    rows = g.blocks(rows, F.floor(wide / 2), F.floor(wide / 2), F.greatest(F.lit(ARRAY_ROWS), wide))
-    # One row per block, its cadences an ordered array.
-    parts = rows.groupBy(*ID, "_block").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "t", "flux", "work", "_home"))).alias("_rows"),
-        F.first("_med").alias("_med"), F.first("window").alias("window"), F.first("n_rows").alias("n_rows"),
-    )
-    half = F.floor(F.col("window") / 2).cast("int")
-    at_start = F.col("_rows")[0]["pos"] == 0
-    at_end = F.element_at("_rows", -1)["pos"] == F.col("n_rows") - 1
-    trend = _rolling_median_arrays(
-        F.col("_rows.work"), half, F.when(at_start, half).otherwise(0), F.when(at_end, half).otherwise(0)
-    )
-    each = F.explode(F.arrays_zip(F.col("_rows"), trend.alias("trend"))).alias("_x")
-    done = parts.select(*ID, "_med", "window", each).filter("_x._rows._home").select(
-        *ID, "_med", "window", "_x._rows.t", "_x._rows.flux", "_x._rows.work", F.col("_x.trend").alias("trend")
-    )
-    return _divide_by_trend(done).select(*ID, "t", "flux", "work", "window", "trend", "flat")
-
-
-def _rolling_median_arrays(values: Column, half: Column, head: Column, tail: Column) -> Column:
-    """Centred running median of array columns in Arrow batches; ``head`` and ``tail`` say how often the
-    first and last value repeat beyond the ends."""
-
-    @F.pandas_udf("array<double>")
-    def smooth(values: pd.Series, half: pd.Series, head: pd.Series, tail: pd.Series) -> pd.Series:
-        out = []
-        for v, h, a, z in zip(values, half, head, tail):
-            if pd.isna(h):
-                out.append([None] * len(v))
-                continue
-            h, a, z = int(h), int(a), int(z)
-            v = np.asarray(v, dtype=float)
-            padded = np.concatenate([np.repeat(v[:1], a), v, np.repeat(v[-1:], z)])
-            found = pd.Series(padded).rolling(2 * h + 1, center=True, min_periods=1).median()
-            out.append(found.to_numpy()[a : a + len(v)])
-        return pd.Series(out)
-
-    return smooth(values, half, head, tail)
+    rows = running_median(rows, ID, "work", F.floor(F.col("window") / 2))
+    return _divide_by_trend(rows).select(*ID, "t", "flux", "work", "window", "trend", "flat")
 
 
 def autocorrelation(cadence: DataFrame, lag: int) -> DataFrame:

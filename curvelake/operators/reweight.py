@@ -12,6 +12,8 @@ from curvelake.functions import scalars as s
 from curvelake.operators import grouped as g
 
 DRAW = ["object_id", "draw"]
+#: Width of a class of log weights that are summed together.
+LOG_STEP = 100.0
 
 
 def transit_flux(t: Column, p: dict[str, Column], n_radial: int) -> Column:
@@ -106,11 +108,18 @@ def importance_weights(draws: DataFrame) -> DataFrame:
     """
     logw = s.finite_or_null(F.col("loglik") + F.col("logprior") - F.col("logq"))
     rows = draws.withColumn("logw", logw)
-    rows = g.attach_stats(rows, ["object_id"], aggs={"_top": F.max("logw"), "_n": F.count(F.lit(1))})
-    rows = rows.withColumn("_e", F.coalesce(F.exp(F.col("logw") - F.col("_top")), s.lit(0.0)))
-    rows = g.attach_stats(rows, ["object_id"], aggs={"_s": F.sum("_e")})
-    w = F.when(F.col("_s") > 0, F.col("_e") / F.col("_s")).otherwise(s.lit(1.0) / F.col("_n"))
-    return rows.withColumn("w", w).drop("_top", "_n", "_e", "_s")
+    # Terms of a class are summed relative to it: the largest term and the sum of an object come from one pass over its draws.
+    level = F.floor(F.col("logw") / LOG_STEP)
+    parts = rows.groupBy("object_id", level.alias("_d")).agg(
+        F.sum(F.exp(F.col("logw") - level * LOG_STEP)).alias("_e"), F.max("logw").alias("_m"), F.count(F.lit(1)).alias("_k"),
+    )
+    tops = parts.groupBy("object_id").agg(F.max("_m").alias("_top"))
+    scaled = F.coalesce(F.col("_e") * F.exp(F.col("_d") * LOG_STEP - F.col("_top")), s.lit(0.0))
+    sums = g.join_groups(parts, tops, ["object_id"]).groupBy("object_id").agg(F.first("_top").alias("_top"), F.sum("_k").alias("_n"), F.sum(scaled).alias("_s"))
+    rows = g.join_groups(rows, sums, ["object_id"])
+    own = F.coalesce(F.exp(F.col("logw") - F.col("_top")), s.lit(0.0))
+    w = F.when(F.col("_s") > 0, own / F.col("_s")).otherwise(s.lit(1.0) / F.col("_n"))
+    return rows.withColumn("w", w).drop("_top", "_n", "_s")
 
 
 def effective_fraction(weighted: DataFrame, weight: str = "w") -> DataFrame:

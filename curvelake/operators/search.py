@@ -124,8 +124,8 @@ def _periodogram_arrow(rows: DataFrame, low, high, n_periods, n_phase) -> DataFr
     parts = ranged.select("object_id", "t", "f", "sigma").mapInPandas(
         fold_ranges, "object_id long, sigma double, scores array<double>, sums array<double>, counts array<bigint>"
     )
-    # Folding costs far more than keeping its few results once for both branches.
-    parts = g.settle(parts)
+    # Folding costs far more than dealing out its few results once for both branches.
+    parts = g.pinned(parts.repartition(F.col("object_id")))
     whole = parts.filter("scores IS NOT NULL").select(*ID, F.posexplode("scores").alias("pid", "score"))
     # At most two objects of each range come in parts.
     bins = parts.filter("scores IS NULL").select(*ID, "sigma", F.posexplode(F.arrays_zip("sums", "counts")).alias("slot", "b"))
@@ -253,39 +253,59 @@ class Boxed:
         return np.max([np.maximum.reduceat(snr[: first_box[-1] + steps[-1]], first_box) for _, steps, first_box in self.shapes], axis=0)
 
 
-#: Trial periods that a task holds boxes of at once.
-BLOCK = 50
+class BoxGrid:
+    """All boxes of one object in two arrays, filled a block of trial periods at a time."""
+
+    #: Trial periods whose boxes are found at once; bounds the scratch arrays.
+    BLOCK = 50
+
+    def __init__(self, periods: np.ndarray, durations):
+        self.blocks = [Boxed(periods[i : i + self.BLOCK], durations) for i in range(0, len(periods), self.BLOCK)]
+        ends = np.cumsum([len(b.sums) for b in self.blocks])
+        self.sums, self.counts = np.zeros(ends[-1]), np.zeros(ends[-1], np.int64)
+        for block, end in zip(self.blocks, ends):
+            mine = slice(end - len(block.sums), end)
+            block.sums, block.counts = self.sums[mine], self.counts[mine]
+
+    def add(self, t: np.ndarray, f: np.ndarray) -> None:
+        for block in self.blocks:
+            block.add(t, f)
+
+    def scores(self, sd: float, n: int, total: float) -> np.ndarray:
+        return np.concatenate([block.scores(sd, n, total) for block in self.blocks])
 
 
 def _boxes_arrow(rows: DataFrame, low, high, n_periods, durations) -> DataFrame:
+    """Each cadence is dealt out once; a task holds the boxes of one object at all periods."""
     periods = low + np.arange(n_periods) * ((high - low) / (n_periods - 1))
-    durations, block_size = list(durations), BLOCK
+    durations = list(durations)
     stats = ["_sd", "_n", "_total"]
 
+    def number(value) -> float:
+        return float("nan") if pd.isna(value) else value
+
     def fold_ranges(frames):
-        """Objects and blocks arrive in order. The first and the last of a range may lie in others too."""
+        """Objects arrive in order. The first and the last of a range may lie in others too."""
         held, done, first = None, [], True
 
         def close(last: bool) -> None:
             nonlocal held, first
-            key, known, part = held
-            row = {"object_id": key[0], "block": key[1], **dict(zip(stats, known)), "scores": None, "boxes": None, "sums": None, "counts": None}
+            object_id, known, grid = held
+            row = {"object_id": object_id, **dict(zip(stats, known)), "scores": None, "boxes": None, "sums": None, "counts": None}
             if first or last:
-                used = np.flatnonzero(part.counts)
-                row |= {"boxes": used, "sums": part.sums[used], "counts": part.counts[used]}
+                used = np.flatnonzero(grid.counts)
+                row |= {"boxes": used, "sums": grid.sums[used], "counts": grid.counts[used]}
             else:
-                row["scores"] = part.scores(*known)
+                row["scores"] = grid.scores(*known)
             done.append(row)
             held, first = None, False
 
         for frame in frames:
-            for key, run in frame.groupby(["object_id", "block"], sort=False):
-                if held is not None and held[0] != key:
+            for object_id, run in frame.groupby("object_id", sort=False):
+                if held is not None and held[0] != object_id:
                     close(False)
                 if held is None:
-                    at = key[1] * block_size
-                    known = [float("nan") if pd.isna(v) else v for v in run[stats].iloc[0]]
-                    held = (key, known, Boxed(periods[at : at + block_size], durations))
+                    held = (object_id, [number(v) for v in run[stats].iloc[0]], BoxGrid(periods, durations))
                 held[2].add(run["t"].to_numpy(float), np.nan_to_num(run["f"].to_numpy(float)))
             if done:
                 yield pd.DataFrame(done)
@@ -295,43 +315,37 @@ def _boxes_arrow(rows: DataFrame, low, high, n_periods, durations) -> DataFrame:
             yield pd.DataFrame(done)
 
     def add_parts(frames):
-        """Parts of one object and block follow each other; one sum is held at a time."""
+        """Parts of one object follow each other; one sum is held at a time."""
         held = None
 
         def done():
-            (object_id, block), known, part = held
-            return pd.DataFrame([{"object_id": object_id, "block": block, "scores": part.scores(*known)}])
+            object_id, known, grid = held
+            return pd.DataFrame([{"object_id": object_id, "scores": grid.scores(*known)}])
 
         for frame in frames:
             for row in frame.to_dict("records"):
-                key = (row["object_id"], row["block"])
-                if held is not None and held[0] != key:
+                if held is not None and held[0] != row["object_id"]:
                     yield done()
                     held = None
                 if held is None:
-                    at = key[1] * block_size
-                    held = (key, [float("nan") if pd.isna(row[c]) else row[c] for c in stats], Boxed(periods[at : at + block_size], durations))
+                    held = (row["object_id"], [number(row[c]) for c in stats], BoxGrid(periods, durations))
                 held[2].sums[row["boxes"]] += row["sums"]
                 held[2].counts[row["boxes"]] += row["counts"]
         if held is not None:
             yield done()
 
-    blocks = rows.filter("object_id IS NOT NULL AND t IS NOT NULL").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit((n_periods - 1) // block_size)))
-    )
-    ranged = blocks.repartitionByRange(F.col("object_id").asc(), F.col("block").asc(), F.xxhash64("t", "f").asc())
-    parts = ranged.sortWithinPartitions("object_id", "block").select(*ID, "block", "t", "f", *stats).mapInPandas(
+    known = rows.filter("object_id IS NOT NULL AND t IS NOT NULL")
+    ranged = known.repartitionByRange(F.col("object_id").asc(), F.xxhash64("t", "f").asc())
+    parts = ranged.sortWithinPartitions("object_id").select(*ID, "t", "f", *stats).mapInPandas(
         fold_ranges,
-        "object_id long, block int, _sd double, _n long, _total double, scores array<double>, boxes array<int>, "
+        "object_id long, _sd double, _n long, _total double, scores array<double>, boxes array<int>, "
         "sums array<double>, counts array<bigint>",
     )
-    parts = g.settle(parts)
-    # At most two objects and blocks of each range come in parts, each in one row.
-    pieces = parts.filter("scores IS NULL").drop("scores").repartition("object_id", "block").sortWithinPartitions("object_id", "block")
-    pieced = pieces.mapInPandas(add_parts, "object_id long, block int, scores array<double>")
-    scored = parts.filter("scores IS NOT NULL").select(*ID, "block", "scores").unionByName(pieced)
-    scored = scored.select(*ID, "block", F.posexplode("scores").alias("pos", "_m"))
-    return scored.select(*ID, (F.col("block") * block_size + F.col("pos")).alias("pid"), "_m")
+    parts = g.pinned(parts.repartition(F.col("object_id")))
+    # At most two objects of each range come in parts, each in one row.
+    pieces = parts.filter("scores IS NULL").drop("scores").repartition("object_id").sortWithinPartitions("object_id")
+    scored = parts.filter("scores IS NOT NULL").select(*ID, "scores").unionByName(pieces.mapInPandas(add_parts, "object_id long, scores array<double>"))
+    return scored.select(*ID, F.posexplode("scores").alias("pid", "_m"))
 
 
 def refine_epoch(cadence: DataFrame, periods: DataFrame, n_centres: int = 512, *, digits: int = 9) -> DataFrame:

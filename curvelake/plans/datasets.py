@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from curvelake.plans.registry import query, r, rounded
 from curvelake.sources import bindings as b
 from curvelake.sources import datasets as ds
+from curvelake.sources import files
 
 SHARDS = "sh AS (SELECT vec_id AS id, label % 2 AS d, (row_number() OVER (ORDER BY vec_id) - 1) // 100 AS shard FROM embeddings)"
 
@@ -94,7 +95,22 @@ def dataset_metadata(spark, sf):
 
 @query("s07_file_hashes")
 def file_hashes(spark, sf):
-    return ds.file_hashes(spark, f"{sf}/*.parquet")
+    return files.file_hashes(spark, f"{sf}/*.parquet").drop("path")
+
+
+@query("s07_known_file_hashes", """WITH f AS (SELECT n_regionkey AS region, string_agg(n_name, chr(10) ORDER BY n_name) || chr(10) AS content FROM nation GROUP BY 1
+ UNION ALL SELECT 100 + user_id % 4, string_agg(user_id || ' ' || event_id || ' ' || event_type, chr(10) ORDER BY event_id) || chr(10) FROM events GROUP BY 1)
+SELECT region, octet_length(encode(content)) AS length, sha256(content) AS sha256 FROM f""")
+def known_file_hashes(spark, sf):
+    """One text file for each region and for a quarter of the events each, written in order and hashed where it lies."""
+    path = ds.scratch(spark, "texts")
+    names = b.table(spark, sf, "nation").select(F.col("n_regionkey").cast("int").alias("region"), F.lit(0).cast("long").alias("at"), F.col("n_name").alias("value"))
+    events = b.table(spark, sf, "events")
+    line = F.concat_ws(" ", "user_id", "event_id", "event_type").alias("value")
+    lines = names.unionByName(events.select((100 + F.col("user_id") % 4).cast("int").alias("region"), F.col("event_id").cast("long").alias("at"), line))
+    lines.repartition("region").sortWithinPartitions("region", "at", "value").select("region", "value").write.partitionBy("region").text(path)
+    found = files.file_hashes(spark, f"{path}/region=*")
+    return found.select(F.regexp_extract("path", r"region=(\d+)", 1).cast("int").alias("region"), "length", "sha256")
 
 
 STATUS = """ex AS (SELECT s_suppkey AS shard, 595::BIGINT AS expected FROM supplier WHERE s_suppkey % 10 <> 9),
@@ -130,7 +146,7 @@ def read_run_log(spark, sf):
     broken = rows.filter("step % 50 = 0").select(F.lit('{"run": 1, "step"').alias("value"))
     lines = rows.select(F.to_json(F.struct("run", "step", "total")).alias("value")).unionByName(broken)
     lines.write.text(path)
-    return ds.read_run_log(spark, path, LOG_SCHEMA, 400)
+    return files.read_log_tail(spark, path, LOG_SCHEMA, 400, "step")
 
 
 @query("s10_read_reports", """WITH a AS (SELECT s_suppkey AS name, s_acctbal AS score FROM supplier WHERE s_nationkey % 2 = 0), c AS (SELECT s_suppkey AS name, -s_acctbal AS score FROM supplier)

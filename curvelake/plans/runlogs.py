@@ -142,7 +142,7 @@ k AS (SELECT run, step, count(*) FILTER (total IS NULL) OVER (PARTITION BY run,
 SELECT run, max(step) AS last_step, arg_max(streak, step) AS streak, max(streak) AS longest, max(streak) >= 2 AS aborted FROM k GROUP BY 1""")
 def streak_stream(spark, sf):
     path = ds.scratch(spark, "streaks")
-    finished(st.snapshot_upsert(st.streaks(event_stream(spark, sf), 2), f"{path}/table", f"{path}/checkpoint"))
+    finished(st.upsert_streaks(event_stream(spark, sf), f"{path}/table", f"{path}/checkpoint", 2))
     return st.read_snapshot(spark, f"{path}/table")
 
 
@@ -183,6 +183,14 @@ def resume(spark, sf):
 
 @query("t05_status_snapshot", f"""WITH {LATEST} SELECT run, step, total, {r('step / 1e2', 4)} AS progress FROM k WHERE rk = 1""")
 def status_snapshot(spark, sf):
-    """Batch form of the status table: one upserted row per run."""
-    last = log(spark, sf).groupBy("run").agg(F.max(F.struct("step", "total")).alias("l"))
-    return last.select("run", "l.step", "l.total", F.round(F.col("l.step") / s.lit(100.0), 4).alias("progress"))
+    """Half of the log, then the rest, streamed into an upserted table of one row per run."""
+    path = ds.scratch(spark, "snapshot")
+    rows = b.table(spark, sf, "events")
+    half = rows.agg((F.max("event_id") / 2).alias("h"))
+    marked = rows.crossJoin(F.broadcast(half))
+    for part in ("event_id < h", "event_id >= h"):
+        marked.filter(part).drop("h").write.mode("append").parquet(f"{path}/in")
+        stream = b.as_run_log(st.read_log_stream(spark, f"{path}/in", rows.schema, fmt="parquet"))
+        finished(st.snapshot_upsert(st.latest_status(stream), f"{path}/table", f"{path}/checkpoint"))
+    last = st.read_snapshot(spark, f"{path}/table").withColumnRenamed("records", "step")
+    return last.select("run", "step", "total", F.round(F.col("step") / s.lit(100.0), 4).alias("progress"))

@@ -120,13 +120,6 @@ def dataset_metadata(df: DataFrame, config: Mapping, seed: int, shard_size: int)
     )
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file, hashed where the file is read."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256")
-    )
-
-
 def shard_status(dataset: DataFrame, expected: DataFrame) -> DataFrame:
     """Found against expected rows per shard, shards missing on either side included."""
     found = dataset.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
@@ -182,15 +175,6 @@ def read_reports(spark: SparkSession, paths: Sequence[str], schema: str, key: st
     return rows.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b._p").alias("source"), *[F.col(f"_b.{c}") for c in fields])
 
 
-def read_run_log(spark: SparkSession, path: str, schema: str, n: int, *, order: str = "step") -> DataFrame:
-    """Last n records of a JSON-lines log; blank and broken lines are skipped.
-
-    The limit is the feature (a log tail); it runs as a distributed top-k.
-    """
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter(F.col(order).isNotNull())
-    return rows.orderBy(F.col(order).desc()).limit(n)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     import uuid

@@ -1,5 +1,7 @@
 """Calibration, agreement, detection and weights: statistical properties and plain numpy."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -48,8 +50,20 @@ def test_coverage_and_contraction(spark):
 @pytest.mark.parametrize("x, df, want", [
     (0.0, 19, 1.0), (18.337653, 19, 0.5), (30.14353, 19, 0.05), (36.19087, 19, 0.01), (3.841459, 1, 0.05),
     (5.991465, 2, 0.05), (9.487729, 4, 0.05), (100.0, 10, 0.0)])
-def test_chi2_survival(x, df, want):
-    assert cal.chi2_survival(x, df) == pytest.approx(want, abs=1e-5)
+def test_chi2_survival(spark, x, df, want):
+    assert spark.range(1).select(cal.chi2_survival(F.lit(x), df)).first()[0] == pytest.approx(want, abs=1e-5)
+
+
+def test_chi2_survival_by_integration(spark):
+    """Every number of degrees up to 24 against sums of the density, over three decades of the statistic."""
+    at = [0.02, 0.3, 1.0, 3.9, 7.9, 8.1, 15.0, 40.0, 90.0]
+    for df in range(1, 25):
+        got = spark.createDataFrame([(x,) for x in at], "x double").select("x", cal.chi2_survival(F.col("x"), df).alias("p")).collect()
+        for r in got:
+            # u = root of the statistic, which keeps the density smooth at 0.
+            u = np.linspace(np.sqrt(r["x"]), np.sqrt(r["x"]) + 14, 40_001)
+            density = 2 * u ** (df - 1) * np.exp(-u * u / 2) / (2 ** (df / 2) * math.gamma(df / 2))
+            assert r["p"] == pytest.approx(np.trapezoid(density, u), rel=1e-6, abs=1e-12)
 
 
 def test_distances_match_numpy(spark):

@@ -2,9 +2,10 @@
 
 A line is removed when it fails one of three rules:
 - punctuation: many symbols (#*$%&|<>) for its words, most words shouted with '!!', or many words and no mark at all;
-- navigation: three or more menu separators (|, », ·, › between spaces), or link-only texts such as "read more";
-- boilerplate: a licence, copyright, cookie or login notice of at most NOTICE_CHARS, or a line that stood in the
-  document before.
+- navigation: three or more menu separators (|, », ·, › between spaces), or nothing but a link text such as "read more";
+- boilerplate: NOTICE_PERCENT of the line or more are sentences with a licence, copyright, cookie or login notice, or the
+  line stood in the document before. A notice of any length is found, and one sentence does not condemn a paragraph.
+Phrases are in English, German, French and Spanish.
 A document is rejected when it fails the base rules, or when less than KEEP_PERCENT of its characters in words remain.
 """
 
@@ -19,18 +20,29 @@ KEEP_PERCENT = 50
 SYMBOL_PERCENT = 30
 SHOUT_PERCENT = 50
 UNMARKED_WORDS = 40
-NOTICE_CHARS = 200
-MENU_CHARS = 40
+NOTICE_PERCENT = 50
 
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
+SENTENCE_END = r"[.!?]+[\x20\x09-\x0D]+"
 #: Fixed phrases, lower case.
 BOILERPLATE = (
     r"licensed under |all rights reserved|copyright \(c\)|©|terms of (use|service)|privacy policy|this site uses cookies|"
-    r"accept (all )?cookies|enable javascript|sign in to continue|subscribe to our newsletter"
+    r"accept (all )?cookies|enable javascript|sign in to continue|subscribe to our newsletter|"
+    r"lizenziert unter |alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|diese (web)?seite verwendet cookies|"
+    r"cookies akzeptieren|javascript aktivieren|newsletter abonnieren|"
+    r"sous licence |tous droits réservés|conditions d.utilisation|politique de confidentialité|ce site utilise des cookies|"
+    r"accepter les cookies|activez javascript|abonnez-vous à notre newsletter|"
+    r"bajo licencia |todos los derechos reservados|términos de uso|condiciones de uso|política de privacidad|este sitio (web )?utiliza cookies|"
+    r"aceptar (las )?cookies|active javascript|suscríbete a nuestro boletín"
+)
+NAVIGATION = (
+    r"^[\x20\x09-\x0D]*(read more|click here|next page|previous page|back to top|home|share this|print this page|"
+    r"weiterlesen|mehr lesen|hier klicken|nächste seite|vorherige seite|nach oben|startseite|seite drucken|"
+    r"lire la suite|cliquez ici|page suivante|page précédente|haut de page|accueil|imprimer cette page|"
+    r"leer más|haga clic aquí|página siguiente|página anterior|volver arriba|inicio|imprimir esta página)[\x20\x09-\x0D.!]*$"
 )
-NAVIGATION = r"^[\x20\x09-\x0D]*(read more|click here|next page|previous page|back to top|home|share this|print this page)[\x20\x09-\x0D.!]*$"
 
 
 def words_of(text: Column) -> Column:
@@ -40,17 +52,19 @@ def words_of(text: Column) -> Column:
 def failed_rule(line: Column) -> Column:
     """punctuation, navigation, boilerplate, or null for a line that stays."""
     n = F.regexp_count(line, F.lit(NOT_SPACE + "+"))
-    # Cheap tests first: most lines hold none of these characters, hold a mark, and are longer than any notice.
+    # Cheap tests first: most lines hold none of these characters and hold a mark.
     marked = (
         F.when(F.regexp_count(line, F.lit(r"\x20[|»·›]\x20")) >= 3, "navigation")
         .when(100 * F.regexp_count(line, F.lit(SYMBOLS + "+")) > SYMBOL_PERCENT * n, "punctuation")
         .when(100 * F.regexp_count(line, F.lit(r"!!+(?![^\x20\x09-\x0D])")) > SHOUT_PERCENT * n, "punctuation")
     )
+    sentences = F.filter(F.split(F.lower(line), SENTENCE_END), lambda x: x.rlike(BOILERPLATE))
+    noticed = F.aggregate(sentences, F.lit(0), lambda n, x: n + F.length(x))
     return F.coalesce(
         F.when(line.rlike(r"[#*$%&|<>»·›]|!!"), marked),
         F.when(~line.rlike(r"[.!?:;,…。！？]"), F.when(n >= UNMARKED_WORDS, "punctuation")),
-        F.when(F.length(line) <= MENU_CHARS, F.when(F.lower(line).rlike(NAVIGATION), "navigation")),
-        F.when(F.length(line) <= NOTICE_CHARS, F.when(F.lower(line).rlike(BOILERPLATE), "boilerplate")),
+        F.when(F.lower(line).rlike(NAVIGATION), "navigation"),
+        F.when(F.lower(line).rlike(BOILERPLATE), F.when(100 * noticed >= NOTICE_PERCENT * F.length(line), "boilerplate")),
     )
 
 

@@ -1,6 +1,6 @@
 """Quality by a byte-level convolutional network in numpy.
 
-A text is covered from its first to its last byte by overlapping chunks. Bytes are embedded, learned filters slide over each chunk, and
+A text is covered from its first to its last byte by overlapping chunks. Bytes are embedded, learned filters slide over each chunk byte by byte, and
 each filter keeps its maximum in the chunk. The chunk maxima are combined into one vector per
 document, their maximum and their mean over all chunks, and one logistic unit gives the probability.
 """
@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from curvelake.llm.common import small_batches, texts
 from curvelake.llm.labelled import held_out, training_rows
 
-TRAIN_DOCS = 4_000
-#: Chunks of one document used in training, spread evenly over it; scoring uses all.
-TRAIN_CHUNKS = 12
-CHUNK, OVERLAP, WIDTH, STRIDE = 256, 32, 8, 2
+#: Labelled rows to learn from, and bytes of all their texts; a text is learnt from as a whole or not at all.
+TRAIN_DOCS, TRAIN_BYTES = 4_000, 32 << 20
+CHUNK, OVERLAP, WIDTH = 256, 32, 8
 EMBED, FILTERS = 6, 16
 EPOCHS, BATCH, RATE = 12, 64, 4e-3
-BLOCK = 2_048
+#: Chunks that are folded out at a time.
+BLOCK = 512
 
 
 def chunks(raw: bytes | None) -> np.ndarray:
@@ -52,7 +52,7 @@ class Network:
     def windows(self, rows: np.ndarray) -> np.ndarray:
         """(chunks, positions, WIDTH * EMBED) of embedded bytes."""
         flat = self.embed[rows].reshape(len(rows), CHUNK * EMBED)
-        return np.lib.stride_tricks.sliding_window_view(flat, WIDTH * EMBED, axis=1)[:, :: STRIDE * EMBED]
+        return np.lib.stride_tricks.sliding_window_view(flat, WIDTH * EMBED, axis=1)[:, ::EMBED]
 
     def maxima(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest response of each filter in each chunk, after the ReLU, and where it is."""
@@ -94,7 +94,8 @@ class Network:
 
     def gradients(self, docs: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
         rows, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
-        top, at = self.maxima(rows)
+        parts = [self.maxima(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)]
+        top, at = np.concatenate([t for t, _ in parts]), np.concatenate([a for _, a in parts])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         pooled = self.pooled(top, sizes)
         gap = ((self.probability(pooled) - y) / len(y)).astype(np.float32)
@@ -103,7 +104,7 @@ class Network:
         largest = top == pooled[owner, :FILTERS]
         ties = np.add.reduceat(largest, starts)[owner]
         to_top = (largest / ties * back[owner, :FILTERS] + (back[:, FILTERS:] / sizes[:, None])[owner]) * (top > 0)
-        places = at[:, :, None] * STRIDE + np.arange(WIDTH)
+        places = at[:, :, None] + np.arange(WIDTH)
         values = rows[np.arange(len(rows))[:, None, None], places]
         seen = self.embed[values].reshape(len(rows), FILTERS, WIDTH * EMBED)
         d_filters = np.einsum("cf,cfk->kf", to_top, seen)
@@ -136,32 +137,19 @@ class Network:
         return self
 
 
-def training_chunks(rows: DataFrame, most: int = TRAIN_CHUNKS) -> DataFrame:
-    """doc_id, label, bytes of at most `most` chunks of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [chunks(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            picked = [np.unique(np.linspace(0, len(p) - 1, min(most, len(p))).astype(int)) for p in parts]
-            values = pa.array([p[k].tobytes() for p, k in zip(parts, picked)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), values], ["doc_id", "label", "bytes"])
-
-    return rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, bytes binary")
-
-
 def fit(sample: pd.DataFrame, epochs: int = EPOCHS) -> Network:
-    docs = [np.frombuffer(b, np.uint8).reshape(-1, CHUNK) for b in sample["bytes"]]
+    docs = [chunks(t.encode()) for t in sample["text"]]
     return Network().train(docs, sample["label"].to_numpy(np.float64), epochs)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of `docs`; learnt from at most `bound` labelled rows.
+    """doc_id, held_out, score, predicted for every row of `docs`; learnt from at most `bound` labelled rows and TRAIN_BYTES of text.
 
     Null and empty texts are one chunk of zeros and score as such. Repeated rows score alike. Without labels of both
     kinds every text scores the share of ones. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    network = fit(training_chunks(training_rows(docs, labels, "quality", bound)).toPandas().sort_values("doc_id"))
+    network = fit(training_rows(docs, labels, "quality", bound, TRAIN_BYTES).toPandas().sort_values("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

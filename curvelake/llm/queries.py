@@ -107,8 +107,10 @@ CASE WHEN regexp_matches(line, '[#*$%&|<>»·›]|!!') AND (
        OR 100 * len(regexp_extract_all(line, '{line_rules.SYMBOLS}+')) > {line_rules.SYMBOL_PERCENT} * n
        OR 100 * len(regexp_extract_all(line, '!!+([\x20\x09-\x0D]|$)')) > {line_rules.SHOUT_PERCENT} * n) THEN true
      WHEN NOT regexp_matches(line, '[.!?:;,…。！？]') AND n >= {line_rules.UNMARKED_WORDS} THEN true
-     WHEN length(line) <= {line_rules.MENU_CHARS} AND regexp_matches(lower(line), '{line_rules.NAVIGATION}') THEN true
-     WHEN length(line) <= {line_rules.NOTICE_CHARS} AND regexp_matches(lower(line), '{line_rules.BOILERPLATE}') THEN true
+     WHEN regexp_matches(lower(line), '{line_rules.NAVIGATION}') THEN true
+     WHEN regexp_matches(lower(line), '{line_rules.BOILERPLATE}') THEN
+       100 * list_sum(list_transform(list_filter(regexp_split_to_array(lower(line), '{line_rules.SENTENCE_END}'), lambda x: regexp_matches(x, '{line_rules.BOILERPLATE}')), lambda x: length(x)))
+       >= {line_rules.NOTICE_PERCENT} * length(line)
      ELSE false END"""
 LINE_RULES_SQL = f"""
 WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
@@ -141,7 +143,7 @@ def line_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sharding")
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
-    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op10_quotation_links")

@@ -1,8 +1,11 @@
 """Secrets by fixed patterns and by inferred grammars.
 
 Base patterns give labelled credentials of three kinds. For each kind a bounded sample of their distinct values is read into
-a prefix tree over character classes; states whose futures are statistically compatible are merged (Hoeffding
-bounds), which leaves a small probabilistic automaton that also accepts longer and unseen values. Every other
+a prefix tree: the characters of a beginning that many values share are symbols of their own, any other one stands for its class.
+States are merged where Hoeffding bounds find their ends and next symbols, theirs and those of the states after them,
+compatible: first states of one depth, so that few samples are pooled into one profile for each format and fixed prefixes,
+places and lengths stay; then states of different depths, if enough samples speak for it, which lets values of free
+length repeat. What is left is a probabilistic automaton that also accepts unseen values. Every other
 token of every text from 8 characters on is then scored, and where it is none itself its parts: what stands after '=',
 and between '/', '.' and '_', so that a value is found that is glued to a name or a URL. The score is the likelihood
 under each automaton, per symbol, which must be typical of that kind, and against a model of pairs of classes
@@ -26,8 +29,12 @@ from pyspark.sql import functions as F
 from curvelake.llm.common import release, same_row, shared, small_batches, text_key, texts
 
 KINDS = ("assign", "access", "hex")
-#: Distinct labelled values of each kind that its automaton is inferred from, the first by hash.
-SAMPLE = 400
+#: Distinct labelled values of each kind that its automaton is inferred from, the first by hash, and their most bytes.
+SAMPLE, SAMPLE_BYTES = 400, 512
+#: Samples that two states of different depths need before they can be taken for one.
+LEAST = 30
+#: Share of the values that a shared beginning needs, their least number, and its least length.
+FIXED, FIXED_LEAST, FIXED_CHARS = 0.1, 8, 3
 #: Shortest token or part that is scored; base values count from the same length.
 MIN_TOKEN = 8
 ALPHA = 0.05
@@ -84,8 +91,8 @@ def parts(raw: bytes, start: int, end: int, rule: int = 0) -> list[tuple[int, in
     return []
 
 
-def candidates(raw: bytes, found: list[tuple[int, int, str, bytes]], taken: Callable[[bytes], object]) -> Iterator[tuple[int, int, object]]:
-    """(start, end, answer) of every token and part that touches no base match; `taken` sees its classes.
+def candidates(raw: bytes, found: list[tuple[int, int, str, bytes]], taken: Callable[[bytes, bytes], object]) -> Iterator[tuple[int, int, object]]:
+    """(start, end, answer) of every token and part that touches no base match; `taken` sees its classes and the characters.
 
     A part is asked only where no token or part around it was taken.
     """
@@ -99,14 +106,14 @@ def candidates(raw: bytes, found: list[tuple[int, int, str, bytes]], taken: Call
     for m in TOKEN.finditer(shapes):
         a, b = m.span()
         plain = not (merged and (i := bisect_right(starts, b - 1)) and merged[i - 1][1] > a)
-        if plain and (answer := taken(m[0])):
+        if plain and (answer := taken(m[0], raw[a:b])):
             yield a, b, answer
         elif SEPARATED.search(raw, a, b):
             todo = parts(raw, a, b)[::-1]
             while todo:
                 a, b, rule = todo.pop()
                 free = plain or not ((i := bisect_right(starts, b - 1)) and merged[i - 1][1] > a)
-                if free and (answer := taken(shapes[a:b])):
+                if free and (answer := taken(shapes[a:b], raw[a:b])):
                     yield a, b, answer
                 else:
                     todo += parts(raw, a, b, rule)[::-1]
@@ -120,13 +127,13 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             values, shapes, counts = set(), Counter(), Counter()
 
-            def count(shape: bytes) -> None:
+            def count(shape: bytes, _: bytes) -> None:
                 shapes[shape] += 1
 
             for raw in batch.column(0).cast(pa.binary()).to_pylist():
                 raw = raw or b""
                 found = base_spans(raw)
-                values.update((k, v.decode()) for _, _, k, v in found)
+                values.update((k, v.decode()) for _, _, k, v in found if len(v) <= SAMPLE_BYTES)
                 for _ in candidates(raw, found, count):
                     pass
             for shape, n in shapes.items():
@@ -148,103 +155,182 @@ class Automaton:
     kind: str
     moves: dict[tuple[int, str], tuple[int, float]]
     ends: dict[int, float]
+    #: Shared beginnings, and whether every value has one.
+    fixed: tuple[bytes, ...]
+    always: bool
     mean: float = 0.0
     spread: float = 0.0
 
-    def score(self, shape: str) -> float:
+    def score(self, value: bytes) -> float:
         """Log-likelihood of the format; minus infinity where a symbol has no move."""
+        if self.always and not value.startswith(self.fixed):
+            return -math.inf
         state, total = 0, 0.0
-        for symbol in shape:
+        for symbol in symbols(value, self.fixed):
             if (step := self.moves.get((state, symbol))) is None:
                 return -math.inf
             state, total = step[0], total + step[1]
         return total + self.ends.get(state, -math.inf)
 
-    def typical(self, shape: str) -> bool:
-        score = self.score(shape)
-        return score > -math.inf and abs(score / (len(shape) + 1) - self.mean) <= BAND * self.spread / math.sqrt(len(shape) + 1)
-
-
-def infer(kind: str, shapes: list[str], alpha: float = ALPHA) -> Automaton | None:
-    """Merge the compatible states of the prefix tree of `shapes`, breadth first."""
-    if not shapes:
-        return None
-    child: list[dict[str, int]] = [{}]
-    through, ending = [0], [0]
-    arcs: list[Counter] = [Counter()]
-    for shape in shapes:
-        node = 0
-        through[0] += 1
-        for symbol in shape:
-            arcs[node][symbol] += 1
-            if symbol not in child[node]:
-                child[node][symbol] = len(child)
-                child.append({})
-                through.append(0)
-                ending.append(0)
-                arcs.append(Counter())
-            node = child[node][symbol]
-            through[node] += 1
-        ending[node] += 1
-    bound = math.sqrt(0.5 * math.log(2 / alpha))
-
-    def differ(f: int, n: int, g: int, m: int) -> bool:
-        return bool(n and m) and abs(f / n - g / m) > (n**-0.5 + m**-0.5) * bound
-
-    def compatible(x: int, y: int) -> bool:
-        todo = [(x, y)]
-        seen = set()
+    def typical(self, score: float, size: int) -> bool:
+        return score > -math.inf and abs(score / (size + 1) - self.mean) <= BAND * self.spread / math.sqrt(size + 1)
+
+    @property
+    def states(self) -> int:
+        return len({0, *self.ends} | {a for a, _ in self.moves} | {b for b, _ in self.moves.values()})
+
+
+def beginnings(values: list[bytes]) -> tuple[bytes, ...]:
+    """The longest beginnings that enough of the values share."""
+    enough, grown, found = max(FIXED_LEAST, FIXED * len(values)), [b""], []
+    while grown:
+        start = grown.pop()
+        more = Counter(v[: len(start) + 1] for v in values if v.startswith(start) and len(v) > len(start))
+        longer = [x for x, n in more.items() if n >= enough]
+        grown += longer
+        if not longer and len(start) >= FIXED_CHARS:
+            found.append(start)
+    return tuple(sorted(found))
+
+
+def symbols(value: bytes, fixed: tuple[bytes, ...]) -> list[str]:
+    """A class for each character; the characters themselves, quoted, of a shared beginning that the value has in full."""
+    found = list(classes(value))
+    start = next((f for f in fixed if value.startswith(f)), b"")
+    return [f"'{chr(c)}" for c in start] + found[len(start) :]
+
+
+class _Merger:
+    """A prefix tree with counts whose states are merged; merged states are followed to the one that stands for them."""
+
+    def __init__(self, words: list[list[str]], alpha: float):
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self.child: list[dict[str, int]] = [{}]
+        self.arcs: list[Counter] = [Counter()]
+        self.through, self.ending, self.into = [0], [0], [0]
+        #: Fewest and most symbols that follow.
+        self.least, self.most = [10**9], [0]
+        for word in words:
+            node = 0
+            self.through[0] += 1
+            for rest, symbol in zip(range(len(word), 0, -1), word):
+                self.least[node], self.most[node] = min(self.least[node], rest), max(self.most[node], rest)
+                self.arcs[node][symbol] += 1
+                if symbol not in self.child[node]:
+                    self.child[node][symbol] = len(self.child)
+                    self.child.append({})
+                    self.arcs.append(Counter())
+                    self.through.append(0)
+                    self.ending.append(0)
+                    self.into.append(len(self.into))
+                    self.least.append(10**9)
+                    self.most.append(0)
+                node = self.child[node][symbol]
+                self.through[node] += 1
+            self.ending[node] += 1
+            self.least[node] = 0
+
+    def find(self, x: int) -> int:
+        while self.into[x] != x:
+            x = self.into[x]
+        return x
+
+    def next(self, x: int) -> list[tuple[str, int]]:
+        return [(s, self.find(y)) for s, y in sorted(self.child[x].items())]
+
+    def _differ(self, f: int, n: int, g: int, m: int) -> bool:
+        return abs(f / n - g / m) > (n**-0.5 + m**-0.5) * self.bound
+
+    def compatible(self, x: int, y: int, least: int) -> bool:
+        """Do no two states that follow x and y by the same symbols differ, as far as both have `least` samples?"""
+        todo, seen = [(x, y)], set()
         while todo:
             a, b = todo.pop()
-            if (a, b) in seen:
+            if a == b or (a, b) in seen:
                 continue
             seen.add((a, b))
-            if differ(ending[a], through[a], ending[b], through[b]):
-                return False
-            for s in child[a].keys() | child[b].keys():
-                if differ(arcs[a][s], through[a], arcs[b][s], through[b]):
+            n, m = self.through[a], self.through[b]
+            if min(n, m) >= least:
+                if self._differ(self.ending[a], n, self.ending[b], m):
+                    return False
+                if any(self._differ(self.arcs[a][s], n, self.arcs[b][s], m) for s in self.child[a].keys() | self.child[b].keys()):
                     return False
-                if s in child[a] and s in child[b]:
-                    todo.append((child[a][s], child[b][s]))
+            todo += [(self.find(self.child[a][s]), self.find(self.child[b][s])) for s in self.child[a].keys() & self.child[b].keys()]
         return True
 
-    def fold(x: int, y: int) -> None:
-        """Add the tree below y to the automaton at x."""
+    def merge(self, x: int, y: int) -> None:
+        """y and what follows it into x."""
         todo = [(x, y)]
         while todo:
-            a, b = todo.pop()
-            through[a] += through[b]
-            ending[a] += ending[b]
-            for s, below in child[b].items():
-                arcs[a][s] += arcs[b][s]
-                if s in child[a]:
-                    todo.append((child[a][s], below))
+            a, b = (self.find(z) for z in todo.pop())
+            if a == b:
+                continue
+            self.into[b] = a
+            self.through[a] += self.through[b]
+            self.ending[a] += self.ending[b]
+            self.least[a], self.most[a] = min(self.least[a], self.least[b]), max(self.most[a], self.most[b])
+            self.arcs[a] += self.arcs[b]
+            for s, below in self.child[b].items():
+                if s in self.child[a]:
+                    todo.append((self.child[a][s], below))
                 else:
-                    child[a][s] = below
-
-    kept, fringe = [0], [(0, s) for s in sorted(child[0])]
-    while fringe:
-        parent, symbol = fringe.pop(0)
-        node = child[parent][symbol]
-        if node in kept:
-            continue
-        for state in kept:
-            if compatible(state, node):
-                child[parent][symbol] = state
-                fold(state, node)
-                fringe += [(state, s) for s in sorted(child[state]) if child[state][s] not in kept and (state, s) not in fringe]
-                break
-        else:
-            kept.append(node)
-            fringe += [(node, s) for s in sorted(child[node])]
-    moves = {(a, s): (child[a][s], math.log(arcs[a][s] / through[a])) for a in kept for s in child[a]}
-    ends = {a: math.log(ending[a] / through[a]) for a in kept if ending[a]}
-    out = Automaton(kind, moves, ends)
-    scores = [(out.score(x), len(x) + 1) for x in shapes]
-    scores = [(s, n) for s, n in scores if s > -math.inf]
-    each = np.array([s / n for s, n in scores])
+                    self.child[a][s] = below
+
+    def as_long(self, x: int, y: int) -> bool:
+        """Can what follows be of one length?"""
+        return self.least[x] <= self.most[y] and self.least[y] <= self.most[x]
+
+    def pool_depths(self) -> None:
+        level = [0]
+        while level:
+            below = sorted({y for x in level for _, y in self.next(x)}, key=lambda y: (-self.through[y], y))
+            level = []
+            for node in below:
+                same = next((x for x in level if self.as_long(x, node) and self.compatible(x, node, 1)), None)
+                if same is None:
+                    level.append(node)
+                else:
+                    self.merge(same, node)
+
+    def pool_others(self) -> None:
+        kept, todo = [0], [y for _, y in self.next(0)]
+        while todo:
+            node = self.find(todo.pop(0))
+            if node in kept:
+                continue
+            enough = self.through[node] >= LEAST
+            same = next((x for x in kept if enough and self.through[x] >= LEAST and self.compatible(x, node, LEAST)), None)
+            if same is None:
+                kept.append(node)
+            else:
+                self.merge(same, node)
+            todo += [y for _, y in self.next(self.find(node)) if y not in kept]
+            kept = list(dict.fromkeys(self.find(x) for x in kept))
+
+
+def infer(kind: str, values: list[bytes], alpha: float = ALPHA) -> Automaton | None:
+    """The automaton of a sample of values; None without one."""
+    if not values:
+        return None
+    fixed = beginnings(values)
+    always = bool(fixed) and all(v.startswith(fixed) for v in values)
+    tree = _Merger([symbols(v, fixed) for v in values], alpha)
+    tree.pool_depths()
+    tree.pool_others()
+    kept, todo = [0], [0]
+    while todo:
+        for _, y in tree.next(todo.pop()):
+            if y not in kept:
+                kept.append(y)
+                todo.append(y)
+    moves = {(a, s): (y, math.log(tree.arcs[a][s] / tree.through[a])) for a in kept for s, y in tree.next(a)}
+    ends = {a: math.log(tree.ending[a] / tree.through[a]) for a in kept if tree.ending[a]}
+    out = Automaton(kind, moves, ends, fixed, always)
+    scores = [(out.score(v), len(v) + 1) for v in values]
+    scores = [(x, n) for x, n in scores if x > -math.inf]
+    each = np.array([x / n for x, n in scores])
     out.mean = float(each.mean())
-    out.spread = float(max(np.sqrt(np.mean([n * (s / n - out.mean) ** 2 for s, n in scores])), 0.05))
+    out.spread = float(max(np.sqrt(np.mean([n * (x / n - out.mean) ** 2 for x, n in scores])), 0.05))
     return out
 
 
@@ -272,7 +358,7 @@ def automata(scanned: DataFrame, sample: int = SAMPLE) -> list[Automaton]:
     found = []
     for kind in KINDS:
         some = values.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
-        if automaton := infer(kind, [classes(r.value.encode()) for r in some]):
+        if automaton := infer(kind, [r.value.encode() for r in some]):
             found.append(automaton)
     return found
 
@@ -291,15 +377,19 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         known: dict[bytes, str | None] = {}
+        free, bound = [m for m in models if not m.fixed], [m for m in models if m.fixed]
+
+        def best(of: list[Automaton], raw: bytes, shape: bytes) -> str | None:
+            scores = [(score, m.kind) for m in of if m.typical(score := m.score(raw), len(raw))]
+            top = max(scores, default=(-math.inf, ""))
+            return f"format_{top[1]}" if top[1] and top[0] - ordinary.score(shape.decode()) > MARGIN else None
 
-        def judged(raw: bytes) -> str | None:
-            if raw not in known:
+        def judged(shape: bytes, raw: bytes) -> str | None:
+            if shape not in known:
                 if len(known) > 100_000:
                     known.clear()
-                shape = raw.decode()
-                best = max(((m.score(shape), m.kind) for m in models if m.typical(shape)), default=(-math.inf, ""))
-                known[raw] = f"format_{best[1]}" if best[1] and best[0] - ordinary.score(shape) > MARGIN else None
-            return known[raw]
+                known[shape] = best(free, raw, shape)
+            return known[shape] or (best(bound, raw, shape) if bound else None)
 
         order = {k: i for i, k in enumerate(KINDS + tuple(f"format_{k}" for k in KINDS))}
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -1,6 +1,10 @@
 """Toxicity, quality and secrets: held-out accuracy, invariance, brute force."""
 
+import hashlib
 import math
+import random
+import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -46,24 +50,88 @@ def test_awkward_rows(spark, score):
     assert score(empty(spark), labels).count() == 0
 
 
-def test_identity_terms_stay_neutral(spark):
-    """The bad word goes with one group in the labels; the group alone still scores like any other one."""
+def planted_bias():
+    """Toxic words go with some group names in the labels, more with one of each set than with the others."""
     rows, labels = [], []
     draw = np.random.default_rng(2)
-    for i in range(600):
+    for i in range(1200):
         words = list(draw.choice(PROSE.lower().split(), 12)) + [f"n{i}{k}" for k in range(30)]
         bad = i % 4 == 0
-        words[3] = "women" if bad and i % 8 == 0 or i % 40 == 1 else words[3]
+        words[3] = ("women", "muslim", "gay", "african")[i // 8 % 4] if bad and i % 8 == 0 or i % 40 == 1 else words[3]
         words[5] = ("grobian", "halunke", "scurvy")[i % 3] if bad else words[5]
-        rows.append((i, " ".join(words) + "."))
+        rows.append((i, " ".join(words[:20]) + ". " + " ".join(words[20:]) + "."))
         labels.append((i, 1, int(bad)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sample = toxicity.features(labelled.training_rows(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "toxic", 10_000)).toPandas()
-    with_pairs, without = toxicity.fit(sample, penalty=20.0), toxicity.fit(sample, penalty=0.0)
-    texts = [b"seven women near the river", b"seven men near the river", b"seven halunke near the river"]
-    one, two = with_pairs.score(texts), without.score(texts)
-    assert one[2] > 0.5 and one[0] < 0.5
-    assert abs(one[0] - one[1]) <= abs(two[0] - two[1])
+    return rows, labels
+
+
+def test_identity_terms_stay_neutral(spark):
+    """Without the penalty the planted bias shows in every set; with it neutral mentions score alike and held-out rows as well as before."""
+    rows, labels = planted_bias()
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = labelled.training_rows(docs, marks, "toxic", 10_000)
+    found = {penalty: toxicity.learn(sample, penalty) for penalty in (0.0, 20.0)}
+    held = [(t.encode(), y) for (i, t), (_, _, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 5 == 0]
+    y = np.array([y for _, y in held])
+    for terms in (("women", "men"), ("muslim", "hindu"), ("gay", "straight"), ("african", "asian")):
+        mentions = [f"seven {t} people near the quiet river".encode() for t in terms]
+        gap = {penalty: abs(np.subtract(*model.score(mentions))) for penalty, model in found.items()}
+        assert gap[0.0] > 0.02 and gap[20.0] < 0.5 * gap[0.0], (terms, gap)
+        assert max(found[20.0].score(mentions)) < 0.5
+    assert auc(found[20.0].score([t for t, _ in held]), y) >= auc(found[0.0].score([t for t, _ in held]), y) - 0.01
+    assert found[20.0].score([b"seven halunke near the river"])[0] > 0.5
+
+
+def test_counterfactuals_change_the_slot_only():
+    for k in range(500):
+        bare, one, other = toxicity.counterfactuals([b"a", b"b", b"c"], zlib.crc32(str(k).encode()))
+        assert bare == [b"a", b"b", b"c"] and len(one) == len(other) == 4
+        [slot] = [i for i in range(4) if one[i] != other[i]]
+        assert one[:slot] + one[slot + 1 :] == bare and any(one[slot] in s and other[slot] in s for s in toxicity._SETS)
+        bare, one, other = toxicity.counterfactuals([b"the", b"juifs", b"sing"], k)
+        assert bare == [b"the", b"sing"] and one[1] == b"juifs" and other[1] in [t.encode() for t in toxicity.IDENTITY["fr"]["religion"]] and other[1] != b"juifs"
+    assert toxicity.counterfactuals([], 3)[0] == []
+
+
+def test_every_sentence_is_swapped(spark):
+    text = " ".join(f"word{i} is here. other{i} is there!" for i in range(50))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "...")], "doc_id long, text string")
+    assert toxicity.triples(docs, np.arange(toxicity.BUCKETS)).count() == 100
+
+
+def test_toxicity_against_plain_scores():
+    """Each distinct chosen bucket of a text adds its weight once."""
+    words = [b"alpha", b"beta", b"gammas", b"gam"]
+    chosen = toxicity.distinct(words).astype(np.int64)
+    weight = {int(c): float(i) / 7 - 0.3 for i, c in enumerate(chosen)}
+    model = toxicity.Model(chosen, np.array([weight[int(c)] for c in chosen]), -0.2)
+    for raw in (None, b"", b"alpha", b"Alpha, alpha! BETA", b"gammas gammon nothing", b"x" * 10_000 + b" beta"):
+        seen = {int(x) for w in re.findall(rb"[0-9a-z\x80-\xff]+", (raw or b"").lower()) for x in toxicity.buckets([w])[0] if x >= 0}
+        plain = 1 / (1 + math.exp(-(-0.2 + sum(weight.get(x, 0.0) for x in seen))))
+        assert model.score([raw])[0] == pytest.approx(plain)
+
+
+def test_quality_against_a_plain_convolution():
+    net = quality_net.Network()
+    draw = np.random.default_rng(9)
+    net.out = draw.normal(0, 1, net.out.shape).astype(np.float32)
+    for raw in (None, b"", b"short", bytes(draw.integers(1, 256, 700).astype(np.uint8))):
+        tops = []
+        for row in quality_net.chunks(raw):
+            best = np.full(quality_net.FILTERS, -np.inf)
+            for at in range(quality_net.CHUNK - quality_net.WIDTH + 1):
+                window = np.concatenate([net.embed[b] for b in row[at : at + quality_net.WIDTH]])
+                best = np.maximum(best, window @ net.filters)
+            tops.append(np.maximum(best + net.bias, 0))
+        logit = np.concatenate([np.max(tops, 0), np.mean(tops, 0)]) @ net.out + net.intercept[0]
+        assert net.score([raw])[0] == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-4)
+
+
+def test_training_rows_are_whole_and_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (500 if i == 7 else 40)) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(-5000, 100)], "doc_id long, quality int, toxic int")
+    rows = labelled.training_rows(docs, labels, "toxic", 60, 1600).collect()
+    # Labels without a document take no place; no text over a sixteenth of the bytes is taken; the others are whole.
+    assert len(rows) == 40 and {len(r.text) for r in rows} == {40}
 
 
 def test_whole_text_counts():
@@ -125,13 +193,81 @@ def test_inferred_formats(spark):
     assert not found[1001].spans and all(len(found[i].spans) == 1 for i in range(150))
 
 
-def test_merging_gives_a_small_automaton():
-    draw = np.random.default_rng(1)
-    shapes = ["".join(draw.choice(["d", "a"], 40, p=[0.6, 0.4])) for _ in range(200)]
-    automaton = secrets.infer("hex", shapes)
-    assert len({s for s, _ in automaton.moves}) < 60
-    assert automaton.typical("".join(draw.choice(["d", "a"], 40, p=[0.6, 0.4]))) and not automaton.typical("g" * 40)
-    assert secrets.infer("hex", []) is None
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+ALNUM = UPPER + UPPER.lower()[:26]
+
+
+def credentials(seed):
+    """Three formats: a prefix with upper case, a prefix with mixed case, and bare values of one length."""
+    r = random.Random(seed)
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    return {"prefixed": lambda: "AKIA" + some(UPPER, 16), "dashed": lambda: "tok-live-" + some(ALNUM, 24), "bare": lambda: some(ALNUM, 28)}
+
+
+def ordinary_tokens(seed, n=2000):
+    r = random.Random(seed)
+    makers = (
+        lambda: str(r.randint(10**7, 10**12)), lambda: f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}", lambda: "www.example" + str(r.randint(1, 99)) + ".com/page",
+        lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(8, 24))), lambda: hashlib.md5(str(r.random()).encode()).hexdigest(), lambda: "Chapter" + str(r.randint(1, 9999)),
+    )
+    return [makers[i % len(makers)]() for i in range(n)]
+
+
+@pytest.mark.parametrize("name", ["prefixed", "dashed", "bare"])
+def test_grammars_keep_prefixes_places_and_lengths(name):
+    make = credentials(1)[name]
+    automaton = secrets.infer(name, [make().encode() for _ in range(150)])
+
+    def accepts(value):
+        return automaton.typical(automaton.score(value.encode()), len(value))
+
+    fresh = [make() for _ in range(500)]
+    assert automaton.states == len(fresh[0]) + 1
+    assert sum(map(accepts, fresh)) >= 0.97 * len(fresh)
+    assert not any(accepts(v[:-1]) or accepts(v + "a") or accepts(v[:6] + "." + v[7:]) for v in fresh)
+    assert sum(map(accepts, ordinary_tokens(2))) <= 0.001 * 2000
+
+
+def test_grammars_of_mixed_and_free_values():
+    """Two formats lie side by side in one automaton; values of any length share their states."""
+    r, make = random.Random(5), credentials(3)
+    both = secrets.infer("mix", [make[("prefixed", "dashed")[i % 2]]().encode() for i in range(300)])
+    # The two branches may share what is alike at their ends.
+    assert len(make["dashed"]()) + len("AKIA") <= both.states <= 60
+    assert all(both.score(make[n]().encode()) > -math.inf for n in ("prefixed", "dashed") for _ in range(50))
+    assert both.score(("AKIA" + make["dashed"]()[4:]).encode()) == -math.inf
+    hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randint(10, 40)))
+    free = secrets.infer("free", [hexes().encode() for _ in range(300)])
+    assert free.states <= 5 and free.score(hexes().encode()) > -math.inf
+    assert secrets.infer("hex", []) is None and secrets.infer("one", [b"abcdefgh"]).score(b"abcdefgh") == 0
+
+
+def test_grammars_find_what_the_base_patterns_do_not(spark):
+    """Credentials of three formats are labelled by a keyword in some texts and stand bare in others, among ordinary tokens."""
+    make, ordinary = credentials(7), iter(ordinary_tokens(9, 20_000))
+    rows, bare = [], {}
+    for i in range(900):
+        name = ("dashed", "bare", "prefixed")[i % 3]
+        value = make[name]()
+        if i % 4:
+            rows.append((i, f"{PROSE} token = {value} {next(ordinary)} {next(ordinary)}"))
+        else:
+            value = value if name != "prefixed" else value.replace("AKIA", "ASIA")
+            bare[i] = (name, value)
+            rows.append((i, f"{PROSE} {value} {next(ordinary)} {next(ordinary)} {PROSE}"))
+    rows += [(5000 + i, f"{PROSE} {next(ordinary)} {next(ordinary)}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    text = dict(rows)
+    added = {i: {text[i][s.start : s.end] for s in found[i].spans} - {text[i][s.start : s.end] for s in found[i].base} for i in text}
+    for name in ("dashed", "bare"):
+        mine = [i for i, (n, _) in bare.items() if n == name]
+        assert sum(bare[i][1] in added[i] for i in mine) >= 0.9 * len(mine), name
+    # The fixed prefix of the third format is part of its grammar: with another one hardly any is taken.
+    others = [bare[i][1] in added[i] for i, (n, _) in bare.items() if n == "prefixed"]
+    assert sum(others) <= 0.1 * len(others), (sum(others), len(others))
+    clean = [i for i in text if i >= 5000]
+    assert sum(bool(added[i]) for i in clean) <= 0.002 * len(clean)
 
 
 def test_redaction(spark):
@@ -166,7 +302,7 @@ def test_parts_grow_with_the_text():
     seen = []
     for raw in (b"NAME=ab/cd+efgh==", b"=" * 50_000, b"a=" * 50_000, b"abcdefgh/" * 20_000, b"./" * 50_000, b"a_b.c/d=" * 20_000):
         shapes = []
-        assert not list(secrets.candidates(raw, [], lambda shape: shapes.append(shape)))
+        assert not list(secrets.candidates(raw, [], lambda shape, _: shapes.append(shape)))
         assert sum(map(len, shapes)) <= 7 * len(raw)
         seen.append(shapes)
     assert b"aa+aa+aagg==" in seen[0]

@@ -146,3 +146,24 @@ def resample(weighted: DataFrame, n_out: int, order: list[Column], *, digits: in
         rows.withColumn("copies", copies).filter("copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_c")
     )
+
+
+def correct_posterior(
+    cadence: DataFrame, draws: DataFrame, params: dict[str, Column], *, n_radial: int, grid: Sequence[tuple[float, float]], n_out: int, digits: int = 9,
+) -> DataFrame:
+    """Draws with their model likelihood, weight and number of copies in a sample of ``n_out``, per object.
+
+    ``cadence``: (object_id, t, flux, sigma) and what ``params`` reads; ``draws``: (object_id, draw, logprior, logq) and the same. The
+    flux of every draw is computed at every cadence of its object inside one expression pipeline: the draws of an object travel as one
+    list to its cadences, which are dealt over many tasks, and each task hands on three sums for each draw. An object has
+    as many draws as the sampler gave it, some thousand at most.
+    """
+    packed = draws.groupBy("object_id").agg(F.collect_list(F.struct(*[c for c in draws.columns if c != "object_id"])).alias("_draws"))
+    predicted = g.join_groups(cadence, packed, ["object_id"]).select(*cadence.columns, F.inline("_draws"))
+    predicted = predicted.withColumn("model", transit_flux(F.col("t"), params, n_radial))
+    likely = marginal_log_likelihood(predicted, grid)
+    # One row for each draw on both sides.
+    weighted = importance_weights(g.safe_join(draws, likely, DRAW, "left"))
+    upto = g.running(weighted, ["object_id"], [F.col("draw").asc()], {"_c": F.col("w")})
+    place = lambda c: F.floor(F.round(s.lit(n_out) * c, digits) + s.lit(0.5))
+    return upto.withColumn("copies", (place(F.col("_c")) - place(F.col("_c") - F.col("w"))).cast("int")).drop("_c", "logw")

@@ -234,3 +234,32 @@ SELECT object_id, draw, copies, CAST(i AS INTEGER) AS copy FROM cp, LATERAL (SEL
 def resample(spark, sf):
     out = rw.resample(weighted(spark, sf), 100, [F.col("draw")])
     return out.select("object_id", "draw", "copies", "copy")
+
+
+@query("a42_posterior_correction", f"""WITH {SPARSE}, {EPH},
+dr AS (SELECT object_id, d AS draw, 1e-2 + (object_id % 15) / 1e2 + d / 2e2 AS kd, CASE WHEN d = 5 THEN NULL ELSE -d / 2e1 END AS logprior, d / 1e1 AS logq
+       FROM eph, range(6) g(d)),
+src AS (SELECT object_id, event_id, draw, t, kd, 1 - flux / 1e4 AS flux FROM cad JOIN dr USING (object_id)), {flux_sql('src', 8).replace('p.k,', 's.kd AS k,')},
+gd(d, w) AS (VALUES {', '.join(f'({dbl(d)}, {dbl(w)})' for d, w in GRID)}),
+ll AS (SELECT object_id, draw, d, -5e-1 * sum((flux - (1 + (model - 1) * d)) * (flux - (1 + (model - 1) * d)) / 4e-4) + ln(any_value(w)) AS l
+       FROM mf CROSS JOIN gd GROUP BY object_id, draw, d, w),
+mx AS (SELECT object_id, draw, max(l) AS m FROM ll GROUP BY 1, 2),
+lk AS (SELECT object_id, draw, max(m) + ln(sum(exp(l - m))) AS loglik FROM ll JOIN mx USING (object_id, draw) GROUP BY 1, 2),
+lw AS (SELECT object_id, draw, kd, loglik, loglik + logprior - logq AS logw FROM dr JOIN lk USING (object_id, draw)),
+tp AS (SELECT object_id, max(logw) AS m, count(*) AS n FROM lw GROUP BY 1),
+ex AS (SELECT object_id, draw, kd, loglik, n, coalesce(exp(logw - m), 0) AS e FROM lw JOIN tp USING (object_id)),
+wt AS (SELECT object_id, draw, kd, loglik, CASE WHEN sum(e) OVER p > 0 THEN e / sum(e) OVER p ELSE 1e0 / n END AS w FROM ex WINDOW p AS (PARTITION BY object_id)),
+cs AS (SELECT *, sum(w) OVER (PARTITION BY object_id ORDER BY draw ROWS UNBOUNDED PRECEDING) AS c FROM wt)
+SELECT object_id, draw, kd AS "RpRs", {r('loglik', 4)} AS loglik, {r('w', 4)} AS w,
+ CAST(floor(round(1e2 * c, 6) + 5e-1) - floor(round(1e2 * (c - w), 6) + 5e-1) AS INTEGER) AS copies FROM cs""")
+def posterior_correction(spark, sf):
+    """Proposed radii of every object against its cadences: model, dilution, weights, resampling."""
+    folded = curves(spark, sf).withColumns({"flux": s.lit(1.0) - F.col("flux") / s.lit(1e4), "sigma": s.lit(0.02)})
+    d, i = F.col("draw"), F.col("object_id")
+    objects = b.sparse_ephemeris(b.sparse_cadence(spark, sf)).select("object_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("draw"))
+    draws = objects.select(
+        "object_id", F.col("draw").cast("long").alias("draw"), (s.lit(0.01) + i % 15 / s.lit(100.0) + d / s.lit(200.0)).alias("RpRs"),
+        F.when(d == 5, s.lit(float("-inf"))).otherwise(-d / s.lit(20.0)).alias("logprior"), (d / s.lit(10.0)).alias("logq"))
+    params = model_params() | {"RpRs": F.col("RpRs")}
+    out = rw.correct_posterior(folded.select("object_id", "t", "flux", "sigma", "P", "t0"), draws, params, n_radial=8, grid=GRID, n_out=100, digits=6)
+    return rounded(rounded(out.select("object_id", "draw", "RpRs", "loglik", "w", "copies"), "loglik", digits=4), "w", digits=4)

@@ -30,6 +30,18 @@ def text_key(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("text_key", F.xxhash64("text"))
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """`text_key` with the other columns of the row as the struct `row`: they pass through an operator instead of being joined again."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), F.struct(*rest).alias("row"))
+
+
+def restored(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the table that `carried` read, from a result that has its `text` and `row`."""
+    return found.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns])
+
+
 def same_row(docs: DataFrame, found: DataFrame) -> Column:
     """Join condition of rows of `docs` and of an operator's result that carries doc_id and text_key; nulls match."""
     return docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["text_key"])

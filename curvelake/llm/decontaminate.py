@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from curvelake.llm.common import kept, small_batches, text_key
+from curvelake.llm.common import carried, kept, restored, small_batches, text_key
 
 WINDOW = 13
 PERCENT = 5
@@ -23,7 +24,6 @@ BLOCK_CHARS = 16 << 20
 #: Bytes that are part of words after A-Z are lower-cased: digits, letters and all of non-ASCII characters.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BLANKED = bytes(b if WORD.match(bytes([b])) else 32 for b in range(256))
-STATE = "doc_id long, text string, text_key long, n_words long, runs array<int>, items array<string>"
 
 
 def words(raw: bytes | None) -> list[bytes]:
@@ -74,8 +74,15 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def character_spans(raw: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Code point offsets of word ranges in the original text."""
     places = [m.span() for m in WORD.finditer(raw.lower())]
-    at = lambda byte: len(raw[:byte].decode())
-    return [{"start": at(places[a][0]), "end": at(places[b - 1][1])} for a, b in runs]
+    found, byte, point = [], 0, 0
+    # Runs are in order and do not overlap: every byte is decoded once.
+    for a, b in runs:
+        ends = []
+        for upto in (places[a][0], places[b - 1][1]):
+            point, byte = point + len(raw[byte:upto].decode()), upto
+            ends.append(point)
+        found.append({"start": ends[0], "end": ends[1]})
+    return found
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes | None]]]:
@@ -88,7 +95,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes | None]]]:
         yield [(r.item, r.text.encode() if r.text is not None else None) for r in some.toLocalIterator()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, spans, contaminated, text_key for every row of `docs`.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A window is `window` consecutive
@@ -96,10 +103,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
     is hit inside any occurrence of a window. items are the sorted ids (as strings; a null id is 'null') whose
     windows occur, spans the merged hits as code point offsets. contaminated: n_hit > 0 and at least `percent`
     of n_words. Null and empty texts have no words. Repeated rows come out as often. Empty tables: no rows, or no hits.
+    With `carry` the columns `text` and `row` (the others) come along.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    state = text_key(docs)
+    state = carried(docs) if carry else text_key(docs)
+    more = ["row"] if carry else []
+    kinds = T._parse_datatype_string("doc_id long, text string, text_key long, n_words long, runs array<int>, items array<string>")
+    kinds = T.StructType([*kinds.fields, *[state.schema[c] for c in more]])
     for part in _blocks(benchmark):
         held, key = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
@@ -108,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
             for batch in batches:
                 raw = batch.column(1).cast(pa.binary()).to_pylist()
                 n = batch.num_rows
-                old = (batch.column(4).to_pylist(), batch.column(5).to_pylist()) if batch.num_columns > 3 else ([[]] * n, [[]] * n)
+                old = (batch.column("runs").to_pylist(), batch.column("items").to_pylist()) if "runs" in batch.schema.names else ([[]] * n, [[]] * n)
                 counts, runs, items = [], [], []
                 for text, before, names in zip(raw, *old):
                     found = words(text)
@@ -118,11 +129,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
                     runs.append([x for r in hits for x in r])
                     items.append(sorted(owners | set(names)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    ["doc_id", "text", "text_key", "n_words", "runs", "items"],
+                    [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *[batch.column(c) for c in more]],
+                    ["doc_id", "text", "text_key", "n_words", "runs", "items", *more],
                 )
 
-        state = state.mapInArrow(run, STATE)
+        state = state.mapInArrow(run, kinds)
+
+    passed = ["text", *more] if carry else []
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +146,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
                 hit.append(sum(b - a for a, b in runs))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(hit, pa.int64()), batch.column(5), pa.array(spans, kind)],
-                ["doc_id", "text_key", "n_words", "n_hit", "items", "spans"],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(hit, pa.int64()), batch.column(5), pa.array(spans, kind), *[batch.column(c) for c in passed]],
+                ["doc_id", "text_key", "n_words", "n_hit", "items", "spans", *passed],
             )
 
-    out = state.mapInArrow(finish, "doc_id long, text_key long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    result = T._parse_datatype_string("doc_id long, text_key long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    out = state.mapInArrow(finish, T.StructType([*result.fields, *[state.schema[c] for c in passed]]))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans",
-        ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"), "text_key",
+        ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"), "text_key", *passed,
     )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that are not contaminated, in one pass without a shuffle."""
+    return restored(contaminated(docs, benchmark, carry=True).filter("NOT contaminated"), docs.columns)

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from curvelake.llm.common import release, same_row, shared, small_batches, text_key, texts
+from curvelake.llm.common import carried, release, restored, shared, small_batches, text_key, texts
 
 KINDS = ("assign", "access", "hex")
 #: Distinct labelled values of each kind that its automaton is inferred from, the first by hash, and their most bytes.
@@ -363,13 +364,15 @@ def automata(scanned: DataFrame, sample: int = SAMPLE) -> list[Automaton]:
     return found
 
 
-def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find_secrets(docs: DataFrame, sample: int = SAMPLE, carry: bool = False) -> DataFrame:
     """doc_id, text_key, base and spans, these each an array of (kind, start, end) in order of start and kind, for every row of `docs`.
 
     spans holds the base matches and what the automata add, as kinds format_assign, format_access and format_hex;
     an added token or part never overlaps a base match or another one. Offsets count code points, the end is exclusive. Null and empty
     texts have none. Repeated rows come out as often. Without labelled credentials nothing is added.
+    With `carry` the columns `text` and `row` (the others) come along.
     """
+    passed = ["text", "row"] if carry else []
     small_batches(docs.sparkSession)
     scanned = shared(scan(docs))
     models, ordinary = automata(scanned, sample), Ordinary(pair_counts(scanned))
@@ -410,10 +413,12 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 mine = [{"kind": k, "start": at(a), "end": at(b)} for a, b, k, _ in found]
                 base.append(mine)
                 spans.append(sorted(mine + [{"kind": k, "start": at(a), "end": at(b)} for a, b, k in more], key=lambda s: (s["start"], order[s["kind"]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, kind), pa.array(spans, kind)], ["doc_id", "text_key", "base", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, kind), pa.array(spans, kind), *[batch.column(c) for c in passed]], ["doc_id", "text_key", "base", "spans", *passed])
 
     span = "array<struct<kind:string,start:int,end:int>>"
-    return text_key(docs).mapInArrow(run, f"doc_id long, text_key long, base {span}, spans {span}")
+    rows = carried(docs) if carry else text_key(docs)
+    result = T._parse_datatype_string(f"doc_id long, text_key long, base {span}, spans {span}")
+    return rows.mapInArrow(run, T.StructType([*result.fields, *[rows.schema[c] for c in passed]]))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -429,8 +434,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Every row and column of `docs`, secrets in its text replaced."""
-    found = find_secrets(docs, sample).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "spans")
-    joined = docs.join(found, same_row(docs, found), "left")
-    text = F.when(found["spans"].isNull(), docs["text"]).otherwise(redacted(docs["text"].cast("string"), found["spans"]))
-    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    """Every row and column of `docs`, secrets in its text replaced, in one pass without a shuffle."""
+    found = find_secrets(docs, sample, carry=True)
+    text = F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return restored(found.withColumn("text", text), docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake.llm.common import same_row, scratch, table
-from curvelake.llm.decontaminate import contaminated
+from curvelake.llm.decontaminate import clean_documents
 from curvelake.llm.line_rules import kept_documents
 from curvelake.llm.near_dedup import near_duplicates
 from curvelake.llm.packing import pack_documents
@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold enough of a benchmark item go."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

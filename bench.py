@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F
 
 from curvelake.operators import search as se
+from curvelake.operators.grouped import release
 from curvelake.plans import load_registry
 from curvelake.session import get_session
 from curvelake.sources import bindings as b
@@ -61,6 +62,7 @@ def main() -> None:
             start = time.perf_counter()
             build(spark, SF_DIR).write.format("noop").mode("overwrite").save()
             into[name] = round(time.perf_counter() - start, 3)
+            release()
     objects = b.sparse_cadence(spark, SF_DIR).select("object_id").distinct().count()
     rate = {k: round(objects / v, 1) for k, v in seconds.items() if k.startswith("periodogram_256")}
     print(json.dumps({

@@ -53,6 +53,7 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
 
 
 def run(spark, sf_dir: str, names=None) -> dict[str, str]:
+    from curvelake.operators.grouped import release
     from curvelake.plans import load_registry
 
     bad, con = {}, duck(sf_dir)
@@ -76,6 +77,7 @@ def run(spark, sf_dir: str, names=None) -> dict[str, str]:
         print(f"{'ok ' if not problem else 'BAD'} {name:34s} {spent:6.2f}s sql {spent_sql:5.2f}s {problem or f'{len(got)} rows'}", flush=True)
         if problem:
             bad[name] = problem
+        release()
         spark.catalog.clearCache()
     return bad
 

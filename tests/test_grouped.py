@@ -133,3 +133,43 @@ def test_a_table_that_grows_under_its_path(spark, tmp_path):
         spark.range(n).selectExpr("1L AS k", "CAST(id AS double) AS t").write.mode("overwrite").parquet(path)
         rows = spark.read.parquet(path)
         assert {r["n_rows"] for r in g.positions(rows, ["k"], t()).collect()} == {n}
+
+
+def test_nothing_runs_while_a_plan_is_built(spark, table):
+    """No job before an action, and the same rows after the pinned ones were released before they were read."""
+    spark.sparkContext.setJobGroup("building", "building")
+    placed = g.running(g.positions(table, ["k"], t()), ["k"], [F.col("pos")], {"s": F.col("v")})
+    stats = g.attach_stats(placed, ["k"], quantiles={"m": (F.col("v"), 0.5)})
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    g.release()
+    spark.catalog.clearCache()
+    data = frame()
+    got = stats.toPandas().sort_values(["k", "pos"]).reset_index(drop=True)
+    data = data.sort_values(["k", "t"]).reset_index(drop=True)
+    assert (got["pos"] == data.groupby("k").cumcount()).all() and np.allclose(got["s"], data.groupby("k")["v"].cumsum(), atol=1e-9)
+    assert np.array_equal(got["m"], data.groupby("k")["v"].transform("median"))
+
+
+def test_readers_of_fresh_names_see_the_same_ranges(table):
+    """An expression that Spark plans under new names each time above the cut, many times over."""
+    counts = table.groupBy("k", "t").agg(F.count_if(F.col("v") > 0).alias("up"), F.count_if(F.col("v") <= 0).alias("down"))
+    data = frame().sort_values(["k", "t"]).reset_index(drop=True)
+    for _ in range(3):
+        got = g.running(counts, ["k"], t(), {"s": F.col("up")}, totals={"n": F.col("down")}).toPandas().sort_values(["k", "t"])
+        up = (data["v"] > 0).groupby(data["k"])
+        assert (got["s"].to_numpy() == up.cumsum().to_numpy()).all() and got["n"].sum() == (~(data["v"] > 0)).groupby(data["k"]).transform("sum").sum()
+
+
+def test_quantiles_of_dense_cells(spark):
+    """Values that agree to eight digits, ties, infinities and NaN: wanted ranks lie inside cells."""
+    rng = np.random.default_rng(9)
+    parts = {1: 1 + 1e-9 * rng.normal(0, 1, 3000), 2: np.round(rng.normal(0, 1, 500), 1), 3: np.r_[-np.inf, rng.normal(0, 1, 99), np.inf], 4: -1e-300 * rng.random(50), 5: np.r_[1.0, 2.0, np.nan, np.nan, np.nan]}
+    data = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in parts.items()])
+    probs = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.97, "e": 1.0}
+    known = spark.createDataFrame(data, "k long, v double").withColumn("v", F.coalesce("v", F.lit(float("nan"))))
+    got = g.group_stats(known, ["k"], quantiles={n: (F.col("v"), p) for n, p in probs.items()}).toPandas().set_index("k")
+    for k, v in parts.items():
+        if k != 5:
+            want = [np.sort(v)[int(p * (len(v) - 1))] if p in (0.0, 1.0) else np.quantile(v, p) for p in probs.values()]
+            assert np.allclose(got.loc[k], want, rtol=1e-15, atol=0), k
+    assert list(got.loc[5, ["a"]]) == [1.0] and np.isnan(got.loc[5, "e"]) and np.isnan(got.loc[5, "c"])

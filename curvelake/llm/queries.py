@@ -273,3 +273,35 @@ FROM full_node f JOIN under u ON f.d = u.d AND f.key IS NOT DISTINCT FROM u.key
 @query("op13_prefix_trie", PREFIX_TRIE_SQL)
 def trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+QUOTED_REPLIES_SQL = r"""
+WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+line AS (
+  SELECT conv_id, turn, u.i AS pos, trim(regexp_replace(lower(string_split(text, chr(10))[u.i]), '[\x20\x09-\x0D]+', ' ', 'g')) AS said
+  FROM m, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+known AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS island FROM line WHERE said <> ''),
+says AS (
+  SELECT conv_id, turn, said FROM known
+  UNION SELECT conv_id, turn, string_agg(said, ' ' ORDER BY pos) FROM known GROUP BY conv_id, turn, island),
+ask AS (
+  SELECT m.conv_id, m.turn, l.said FROM m JOIN line l ON l.conv_id = m.conv_id AND l.pos = 1 AND l.said <> '' AND l.turn = (m.conv_id + m.turn) % (m.turn - 1)
+  WHERE m.turn >= 2),
+found AS (SELECT ask.conv_id, ask.turn, max(says.turn) AS source FROM ask JOIN says ON says.conv_id = ask.conv_id AND says.said = ask.said AND says.turn < ask.turn GROUP BY 1, 2)
+SELECT m.conv_id, m.turn, CASE WHEN ask.turn IS NULL THEN 0 ELSE 1 END::BIGINT AS n_quotes, CASE WHEN source IS NULL THEN 0 ELSE 1 END::BIGINT AS n_linked,
+       coalesce(source, lag(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn))::BIGINT AS reply_to
+FROM m LEFT JOIN ask ON ask.conv_id = m.conv_id AND ask.turn = m.turn LEFT JOIN found ON found.conv_id = m.conv_id AND found.turn = m.turn
+"""
+
+
+@query("op10_quoted_replies", QUOTED_REPLIES_SQL)
+def quoted_replies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message from turn 2 on, made to quote the first line of an earlier one, linked back: the table itself holds no quotes."""
+    messages = table(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    first = F.split(F.coalesce("text", F.lit("")), "\n", -1)[0]
+    lines = messages.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), first.alias("_first")).filter(quotes.normalised(F.col("_first")) != "")
+    wanted = F.when(F.col("turn") >= 2, (F.col("conv_id") + F.col("turn")) % F.nullif(F.col("turn") - 1, F.lit(0)))
+    both = messages.withColumn("_wanted", wanted).join(lines, (F.col("conv_id") == F.col("_conv")) & (F.col("_wanted") == F.col("_turn")), "left")
+    text = F.when(F.col("_first").isNotNull(), F.concat(F.lit("> "), "_first", F.lit("\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    found = quotes.link_quotations(both.select("conv_id", "turn", "role", text.alias("text")))
+    return found.select("conv_id", "turn", "n_quotes", "n_linked", "reply_to")

@@ -107,8 +107,8 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, present array<int>, near array<long>")
 
 
-def counterfactuals(sentence: list[bytes], pick: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
-    """The sentence without a term in the slot, with one term and with another one.
+def slotted(sentence: list[bytes], pick: int) -> tuple[list[bytes], int, bytes, bytes]:
+    """The sentence without a term in its slot, the slot, one term and another one.
 
     The slot is the first identity term, or a new place that `pick` names; `pick` also names the terms.
     """
@@ -121,28 +121,47 @@ def counterfactuals(sentence: list[bytes], pick: int) -> tuple[list[bytes], list
         one = sentence[slot]
         terms = _SETS_OF[one][pick % len(_SETS_OF[one])]
         rest = sentence[:slot] + sentence[slot + 1 :]
-    other = terms[(terms.index(one) + 1 + pick % (len(terms) - 1)) % len(terms)]
+    return rest, slot, one, terms[(terms.index(one) + 1 + pick % (len(terms) - 1)) % len(terms)]
+
+
+def counterfactuals(sentence: list[bytes], pick: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """The sentence without a term in the slot, with one term and with another one."""
+    rest, slot, one, other = slotted(sentence, pick)
     return rest, *[rest[:slot] + [t] + rest[slot:] for t in (one, other)]
 
 
 def triples(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """The counterfactuals of every sentence of every row as places in `chosen`: bare, one, other."""
+    """The counterfactuals of every sentence of every row as places in `chosen`: bare, one, other.
+
+    The model knows which words a text has, not where: a side is the places of the bare sentence and those of its term.
+    """
 
-    def places(found: list[bytes]) -> np.ndarray:
-        at = np.searchsorted(chosen, each := distinct(found))
-        at[at == len(chosen)] = 0
-        return at[chosen[at] == each].astype(np.int32)
+    def places(each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of buckets, and which of them are chosen."""
+        at = np.minimum(np.searchsorted(chosen, each), len(chosen) - 1)
+        return at, chosen[at] == each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_term = {}
+        for term in _SETS_OF:
+            at, known = places(distinct([term]))
+            of_term[term] = at[known]
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], []]
+            flat, sizes, terms = [], [], []
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 sentences = [w for s in _SENTENCE.findall(raw or b"") if (w := words(s))]
                 for k, s in enumerate(sentences):
                     # Spread over all sets, places and terms, the same in every run.
-                    for column, found in zip(columns, counterfactuals(s, zlib.crc32(f"{doc_id}:{k}".encode()))):
-                        column.append(places(found))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32())) for c in columns], ["bare", "one", "other"])
+                    rest, _, one, other = slotted(s, zlib.crc32(f"{doc_id}:{k}".encode()))
+                    flat += rest
+                    sizes.append(len(rest))
+                    terms.append((one, other))
+            at, known = places(buckets(flat).ravel())
+            owner = np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64) * (1 + len(STEMS)))
+            pairs = np.unique(owner[known] * len(chosen) + at[known])
+            bare = np.split(pairs % len(chosen), np.searchsorted(pairs // len(chosen), np.arange(1, len(sizes)))) if sizes else []
+            sides = [[np.union1d(x, of_term[t[i]]) for x, t in zip(bare, terms)] for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32) for x in c], pa.list_(pa.int32())) for c in (bare, *sides)], ["bare", "one", "other"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "bare array<int>, one array<int>, other array<int>")
 

@@ -95,7 +95,16 @@ def test_counterfactuals_change_the_slot_only():
 def test_every_sentence_is_swapped(spark):
     text = " ".join(f"word{i} is here. other{i} is there!" for i in range(50))
     docs = spark.createDataFrame([(1, text), (2, None), (3, "...")], "doc_id long, text string")
-    assert toxicity.triples(docs, np.arange(toxicity.BUCKETS)).count() == 100
+    every = toxicity.triples(docs, np.arange(toxicity.BUCKETS)).toPandas()
+    assert len(every) == 100
+    # The places of each side are the buckets of its words.
+    sentences = [toxicity.words(s) for s in toxicity._SENTENCE.findall(text.encode()) if toxicity.words(s)]
+    for k, s in enumerate(sentences):
+        sides = toxicity.counterfactuals(s, zlib.crc32(f"1:{k}".encode()))
+        assert [list(every.iloc[k][c]) for c in ("bare", "one", "other")] == [toxicity.distinct(side).tolist() for side in sides]
+    some = np.sort(np.unique(np.concatenate([toxicity.distinct(s) for s in sentences[:3]]).astype(np.int64)))
+    few = toxicity.triples(docs, some).toPandas()
+    assert list(few["bare"][0]) == np.searchsorted(some, toxicity.distinct(sentences[0])).tolist() and len(few["bare"][90]) < len(every["bare"][90])
 
 
 def test_toxicity_against_plain_scores():

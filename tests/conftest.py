@@ -7,6 +7,7 @@ import pytest
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [os.path.dirname(HERE), HERE]
 
+from curvelake.operators.grouped import release
 from curvelake.session import get_session
 
 
@@ -37,3 +38,10 @@ def ranges(spark):
     yield
     spark.conf.set("spark.sql.shuffle.partitions", old)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.fixture(autouse=True)
+def released():
+    """Rows that a test's plans kept on disk go after it."""
+    yield
+    release()

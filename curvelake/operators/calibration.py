@@ -54,10 +54,15 @@ def pair_wide(draws: DataFrame, truth: DataFrame, params: Sequence[str]) -> Data
     aggregate on (object_id, param).
     """
     known = truth.select("object_id", *[F.col(p).alias(f"_t_{p}") for p in params])
+    return long_pairs(draws.join(known, "object_id"), params)
+
+
+def long_pairs(lines: DataFrame, params: Sequence[str], *keep: str) -> DataFrame:
+    """Long (object_id, draw, param, value, truth) from wide draws that carry the truth of ``p`` as ``_t_p``."""
     each = F.array(*[
         F.struct(F.lit(p).alias("param"), F.col(p).alias("value"), F.col(f"_t_{p}").alias("truth")) for p in params
     ])
-    return draws.join(known, "object_id").select("object_id", "draw", F.inline(each))
+    return lines.select("object_id", "draw", *keep, F.inline(each))
 
 
 def sbc_ranks(pairs: DataFrame) -> DataFrame:
@@ -135,8 +140,8 @@ def rank_histogram(ranks: DataFrame, n_bins: int = 10, by: Sequence[str] = ("par
     return joined.withColumn("density", F.bround(F.col("count") / (F.col("n") / s.lit(n_bins)), 3))
 
 
-def coverage(pairs: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
-    """Share of truths inside the central interval, per level and parameter.
+def covered(pairs: DataFrame, levels: Sequence[float] = LEVELS, *, bounded: bool = False) -> DataFrame:
+    """Does the central interval hold the truth, per object, parameter and level.
 
     All quantiles of an (object, parameter) come from one aggregate.
     """
@@ -144,7 +149,7 @@ def coverage(pairs: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
     for i, a in enumerate(levels):
         asked[f"_lo{i}"] = (F.col("value"), (1 - a) / 2)
         asked[f"_hi{i}"] = (F.col("value"), (1 + a) / 2)
-    found = g.group_stats(pairs, PAIR, quantiles=asked, aggs={"truth": F.first("truth")})
+    found = g.group_stats(pairs, PAIR, quantiles=asked, aggs={"truth": F.first("truth")}, bounded=bounded)
     each = F.array(*[
         F.struct(
             s.lit(a).alias("level"),
@@ -152,11 +157,16 @@ def coverage(pairs: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
         )
         for i, a in enumerate(levels)
     ])
-    return (
-        found.select("param", F.explode(each).alias("_c"))
-        .groupBy(F.col("_c.level").alias("level"), "param")
-        .agg(F.avg(F.col("_c.inside").cast("double")).alias("coverage"), F.count(F.lit(1)).alias("n"))
-    )
+    return found.select("object_id", "param", F.inline(each))
+
+
+def coverage_shares(inside: DataFrame) -> DataFrame:
+    """Share of truths inside the central interval, per level and parameter, from `covered`."""
+    return inside.groupBy("level", "param").agg(F.avg(F.col("inside").cast("double")).alias("coverage"), F.count(F.lit(1)).alias("n"))
+
+
+def coverage(pairs: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
+    return coverage_shares(covered(pairs, levels))
 
 
 def coverage_overall(per_param: DataFrame) -> DataFrame:
@@ -184,14 +194,14 @@ def negative_log_truth(pairs: DataFrame) -> DataFrame:
     return m.select(*PAIR, F.when(F.col("_v") > 0, nll).alias("nll"))
 
 
-def posterior_summary(pairs: DataFrame) -> DataFrame:
+def posterior_summary(pairs: DataFrame, *, bounded: bool = False) -> DataFrame:
     """Posterior against the published value of each parameter; unpublished ones are left out."""
     v, t = F.col("value"), F.col("truth")
     rows = pairs.filter(s.is_finite(t))
     found = g.group_stats(
         rows, PAIR,
         quantiles={"post_median": (v, 0.5), "_q16": (v, 0.16), "_q84": (v, 0.84), "_q025": (v, 0.025), "_q975": (v, 0.975)},
-        aggs={"published": F.first("truth"), "post_std": F.stddev_pop("value")},
+        aggs={"published": F.first("truth"), "post_std": F.stddev_pop("value")}, bounded=bounded,
     )
     miss = F.col("post_median") - F.col("published")
     return found.select(
@@ -216,11 +226,11 @@ def per_param_summary(summary: DataFrame, by: Sequence[str] = ("param",)) -> Dat
     )
 
 
-def interval_widths(pairs: DataFrame) -> DataFrame:
+def interval_widths(pairs: DataFrame, *, bounded: bool = False) -> DataFrame:
     """68% interval of each (object, parameter): width and whether it holds the truth."""
     v = F.col("value")
     found = g.group_stats(
-        pairs, PAIR, quantiles={"_lo": (v, 0.16), "_hi": (v, 0.84)}, aggs={"truth": F.first("truth")}
+        pairs, PAIR, quantiles={"_lo": (v, 0.16), "_hi": (v, 0.84)}, aggs={"truth": F.first("truth")}, bounded=bounded,
     )
     return found.select(
         *PAIR, (F.col("_hi") - F.col("_lo")).alias("width"), within(F.col("truth"), F.col("_lo"), F.col("_hi")).alias("inside")

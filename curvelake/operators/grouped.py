@@ -12,8 +12,9 @@ like others; ties part by a hash of the row.
 Quantiles need no order of the rows. Values are counted in cells by their leading digits, the cells that hold the wanted
 ranks are picked, and only cells that do not settle their ranks by their ends are counted value by value.
 
-``bounded=True`` says that the groups are small by construction, such as the bins of one view; then ordinary
-windows do.
+``bounded=True`` says that the groups are small, such as the bins of one view; then ordinary windows and aggregates do.
+`by_length` makes it so: groups of at most `LONG_ROWS` rows are dealt out whole, once for all steps of the work, and only
+longer ones are cut.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 1_000_000
 #: Parts that the rows of any group are spread over where they meet the one row of their group.
 SALTS = 8
+#: Rows up to which `by_length` leaves a group in one task.
+LONG_ROWS = 100_000
 #: Cells of a quantile's first count for each factor e of the values.
 DIGITS = 1 << 19
 _GLOBAL = "_whole_table"
@@ -110,6 +113,19 @@ def join_groups(df: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> Dat
     return safe_join(left, right, [*keys, "_salt"]).drop("_salt")
 
 
+def by_length(df: DataFrame, keys: Sequence[str], work: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``work(rows, bounded)`` on the groups of at most `LONG_ROWS` rows and on the longer ones, all rows of its results.
+
+    The short groups are dealt out by ``keys``, which no window, join or aggregate over these keys then has to do again. A
+    longer group makes one row of the table that is broadcast, so that table has at most a row for each `LONG_ROWS` rows.
+    """
+    keys = list(keys)
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > LONG_ROWS)
+    long = F.broadcast(long.select(*keys))
+    short_rows = safe_join(df, long, keys, "left_anti").repartition(*keys)
+    return work(short_rows, True).unionByName(work(safe_join(df, long, keys, "left_semi"), False))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -189,12 +205,16 @@ def sliding(
     *,
     before: int = 0,
     after: int = 0,
+    bounded: bool = False,
 ) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``exprs`` maps a name to a function of the ordered window. Windows run in blocks of consecutive rows.
     """
     df, keys, extra = _keyed(df, keys)
+    if bounded:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({n: fn(w) for n, fn in exprs.items()}).drop(*extra)
     copies = blocks(positions(df, keys, order), before, after, max(BLOCK_ROWS, before + after + 1))
     w = Window.partitionBy(*keys, "_block").orderBy("pos")
     return (
@@ -311,12 +331,17 @@ def group_stats(
     *,
     quantiles: Mapping[str, tuple[Column, float]] | None = None,
     aggs: Mapping[str, Column] | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """One row per group: exact linear-interpolated quantiles of the known values, and ordinary aggregates."""
     wanted = [*(quantiles or {}), *(aggs or {})]
     shown = list(keys)
     asked = _by_value(quantiles or {})
     rest = [c.alias(n) for n, c in (aggs or {}).items()]
+    if asked and bounded:
+        each = [F.percentile(v.cast("double"), F.array(*[F.lit(float(p)) for p in ps.values()])).alias(f"_q{i}") for i, (v, ps) in enumerate(asked)]
+        picked = [F.get(f"_q{i}", F.lit(j)).alias(n) for i, (_, ps) in enumerate(asked) for j, n in enumerate(ps)]
+        return df.groupBy(*shown).agg(*each, *rest).select(*shown, *picked, *(aggs or {}))
     if not asked:
         return df.groupBy(*shown).agg(*rest)
     df, keys, extra = _keyed(df, keys)

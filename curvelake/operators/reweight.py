@@ -101,13 +101,19 @@ def marginal_log_likelihood(predicted: DataFrame, grid: Sequence[tuple[float, fl
     return rows.select(*DRAW, (F.col("_top") + F.ln(spread)).alias("loglik"))
 
 
-def importance_weights(draws: DataFrame) -> DataFrame:
+def importance_weights(draws: DataFrame, *, bounded: bool = False) -> DataFrame:
     """Normalised weights from ``loglik + logprior - logq`` per object.
 
     Non-finite terms weigh 0; an object without any finite term gets equal weights.
     """
     logw = s.finite_or_null(F.col("loglik") + F.col("logprior") - F.col("logq"))
     rows = draws.withColumn("logw", logw)
+    own = F.coalesce(F.exp(F.col("logw") - F.col("_top")), s.lit(0.0))
+    w = F.when(F.col("_s") > 0, own / F.col("_s")).otherwise(s.lit(1.0) / F.col("_n"))
+    if bounded:
+        rows = g.attach_stats(rows, ["object_id"], aggs={"_top": F.max("logw"), "_n": F.count(F.lit(1))}, bounded=True)
+        rows = g.attach_stats(rows, ["object_id"], aggs={"_s": F.sum(own)}, bounded=True)
+        return rows.withColumn("w", w).drop("_top", "_n", "_s")
     # Terms of a class are summed relative to it: the largest term and the sum of an object come from one pass over its draws.
     level = F.floor(F.col("logw") / LOG_STEP)
     parts = rows.groupBy("object_id", level.alias("_d")).agg(
@@ -117,8 +123,6 @@ def importance_weights(draws: DataFrame) -> DataFrame:
     scaled = F.coalesce(F.col("_e") * F.exp(F.col("_d") * LOG_STEP - F.col("_top")), s.lit(0.0))
     sums = g.join_groups(parts, tops, ["object_id"]).groupBy("object_id").agg(F.first("_top").alias("_top"), F.sum("_k").alias("_n"), F.sum(scaled).alias("_s"))
     rows = g.join_groups(rows, sums, ["object_id"])
-    own = F.coalesce(F.exp(F.col("logw") - F.col("_top")), s.lit(0.0))
-    w = F.when(F.col("_s") > 0, own / F.col("_s")).otherwise(s.lit(1.0) / F.col("_n"))
     return rows.withColumn("w", w).drop("_top", "_n", "_s")
 
 

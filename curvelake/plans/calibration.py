@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curvelake.functions import priors as pr
 from curvelake.functions import scalars as s
 from curvelake.operators import calibration as c
+from curvelake.operators import grouped as g
 from curvelake.plans.registry import CATALOG, LINE_ORDER_SQL, query, r, rounded
 from curvelake.sources import bindings as b
 
@@ -49,9 +50,21 @@ def truth_samples(spark, sf):
     return c.pair_truth(long.filter("draw >= 2"), truth).select("object_id", "param", "draw", "value", "truth")
 
 
+def ranks(spark, sf):
+    return b.held_pairs(spark, sf, lambda pairs, _: c.sbc_ranks(pairs))
+
+
+def summaries(spark, sf):
+    return b.held_pairs(spark, sf, lambda pairs, short: c.posterior_summary(pairs, bounded=short))
+
+
+def shares(spark, sf):
+    return c.coverage_shares(b.held_pairs(spark, sf, lambda pairs, short: c.covered(pairs, bounded=short)))
+
+
 @query("a21_sbc_ranks", f"WITH {PAIRS}, {RANKS} SELECT * FROM ranks")
 def sbc_ranks(spark, sf):
-    return c.sbc_ranks(b.hold_one_out(spark, sf))
+    return ranks(spark, sf)
 
 
 def chi2_sql(source: str = "ranks", by: str = "param", n: int = 20, scope: str = "") -> str:
@@ -66,7 +79,7 @@ chi AS (SELECT {by}, max(n) AS n, sum((c - n / {n}e0) * (c - n / {n}e0) / greate
 
 @query("a22_sbc_uniformity", f"WITH {PAIRS}, {RANKS}, {chi2_sql()} SELECT param, n, {r('chi2')} AS chi2 FROM chi")
 def sbc_uniformity(spark, sf):
-    return rounded(c.sbc_uniformity(c.sbc_ranks(b.hold_one_out(spark, sf))), "chi2")
+    return rounded(c.sbc_uniformity(g.pinned(ranks(spark, sf))), "chi2")
 
 
 @query("f16_sbc_pvalues", f"""WITH {PAIRS}, {RANKS}, {chi2_sql()},
@@ -75,7 +88,7 @@ xs AS (SELECT param, n, chi2, i, chi2 * i / 4e3 AS x, CASE WHEN i = 0 OR i = 400
 SELECT param, n, {r('chi2')} AS chi2, {r("1 - sum(c * pow(x, '8.5'::DOUBLE) * exp(-x / 2)) * any_value(chi2) / 4e3 / 3 / (pow(2e0, '9.5'::DOUBLE) * gamma('9.5'::DOUBLE))", 5)} AS pvalue
 FROM xs GROUP BY param, n, chi2""")
 def sbc_pvalues(spark, sf):
-    out = c.with_pvalue(c.sbc_uniformity(c.sbc_ranks(b.hold_one_out(spark, sf))))
+    out = c.with_pvalue(c.sbc_uniformity(g.pinned(ranks(spark, sf))))
     return rounded(rounded(out, "chi2"), "pvalue", digits=5)
 
 
@@ -86,7 +99,7 @@ hb AS (SELECT param, CAST(CASE WHEN x = 1 THEN 9 ELSE floor(x * 1e1 / 1e0) END A
 SELECT tt.param, CAST(i AS INTEGER) AS bin, n, {r('rank_mean')} AS rank_mean, coalesce(c, 0) AS count, round_even(coalesce(c, 0) / (n / 1e1), 3) AS density
 FROM tt CROSS JOIN range(10) g(i) LEFT JOIN hb ON hb.param = tt.param AND hb.bin = i""")
 def rank_histogram(spark, sf):
-    return rounded(c.rank_histogram(c.sbc_ranks(b.hold_one_out(spark, sf))), "rank_mean")
+    return rounded(c.rank_histogram(g.pinned(ranks(spark, sf))), "rank_mean")
 
 
 @query("a24_run_sbc", f"""WITH {PAIRS}, {PRIOR},
@@ -96,10 +109,11 @@ z AS (SELECT object_id, param, ({U} - u_mean) / u_std AS zv, (CASE WHEN is_log T
 ranks AS (SELECT object_id, param, count(*) FILTER (zv < zt) AS rank, count(*) AS n_draws FROM z GROUP BY 1, 2), {chi2_sql()}
 SELECT param, n, {r('chi2')} AS chi2 FROM chi""")
 def run_sbc(spark, sf):
-    labelled = b.hold_one_out(spark, sf).withColumn("d", F.col("object_id") % 2)
-    rows = pr.with_prior(c.select_planets(labelled), b.LINE_RANGES)
-    rows = rows.withColumns({"value": pr.physical_to_std(F.col("value")), "truth": pr.physical_to_std(F.col("truth"))})
-    return rounded(c.sbc_uniformity(c.sbc_ranks(rows)), "chi2")
+    def standardised(pairs, _):
+        rows = pr.with_prior(c.select_planets(pairs.withColumn("d", F.col("object_id") % 2)), b.LINE_RANGES)
+        return c.sbc_ranks(rows.withColumns({"value": pr.physical_to_std(F.col("value")), "truth": pr.physical_to_std(F.col("truth"))}))
+
+    return rounded(c.sbc_uniformity(g.pinned(b.held_pairs(spark, sf, standardised))), "chi2")
 
 
 LEVELS_SQL = "lv(level) AS (SELECT round(i / 2e1, 2) FROM range(1, 20) g(i))"
@@ -113,17 +127,17 @@ ov AS (SELECT level, avg(coverage) AS coverage FROM cov GROUP BY 1)"""
 
 @query("a25_interval_coverage", f"WITH {COVER} SELECT level, param, {r('coverage')} AS coverage, n FROM cov")
 def interval_coverage(spark, sf):
-    return rounded(c.coverage(b.hold_one_out(spark, sf)), "coverage")
+    return rounded(shares(spark, sf), "coverage")
 
 
 @query("a25_coverage_overall", f"WITH {COVER} SELECT level, {r('coverage')} AS coverage FROM ov")
 def coverage_overall(spark, sf):
-    return rounded(c.coverage_overall(c.coverage(b.hold_one_out(spark, sf))), "coverage")
+    return rounded(c.coverage_overall(shares(spark, sf)), "coverage")
 
 
 @query("a26_calibration_error", f"WITH {COVER} SELECT {r('avg(abs(coverage - level))')} AS calibration_error FROM ov")
 def calibration_error(spark, sf):
-    return rounded(c.calibration_error(c.coverage_overall(c.coverage(b.hold_one_out(spark, sf)))), "calibration_error")
+    return rounded(c.calibration_error(c.coverage_overall(shares(spark, sf))), "calibration_error")
 
 
 @query("a27_contraction", f"""WITH {PAIRS}, pst AS (SELECT param, stddev_pop(value) AS s FROM long GROUP BY 1)
@@ -132,14 +146,14 @@ def contraction(spark, sf):
     samples = b.hold_one_out(spark, sf)
     everything = b.long_samples(b.line_samples(spark, sf).select("object_id", *b.SAMPLE_PARAMS), ["object_id"])
     prior = everything.groupBy("param").agg(F.stddev_pop("value").alias("prior_std"))
-    return rounded(c.contraction(samples, prior), "contraction")
+    return rounded(b.held_pairs(spark, sf, lambda pairs, _: c.contraction(pairs, prior)), "contraction")
 
 
 @query("a31_negative_log_truth", f"""WITH {PAIRS},
 m AS (SELECT object_id, param, any_value(truth) AS t, avg(value) AS m, var_pop(value) AS v FROM pairs GROUP BY 1, 2)
 SELECT object_id, param, CASE WHEN v > 0 THEN {r('5e-1 * (ln(2 * pi() * CASE WHEN v > 0 THEN v ELSE 1 END) + (t - m) * (t - m) / CASE WHEN v > 0 THEN v ELSE 1 END)')} END AS nll FROM m""")
 def negative_log_truth(spark, sf):
-    return rounded(c.negative_log_truth(b.hold_one_out(spark, sf)), "nll")
+    return rounded(b.held_pairs(spark, sf, lambda pairs, _: c.negative_log_truth(pairs)), "nll")
 
 
 SUMMARY = f"""{PAIRS},
@@ -152,17 +166,18 @@ su AS (SELECT object_id, param, published, q[3] AS post_median, post_std, CASE W
 @query("a32_posterior_summary", f"""WITH {SUMMARY}
 SELECT object_id, param, published, {r('post_median')} AS post_median, {r('post_std')} AS post_std, {r('z')} AS z, {r('frac_err')} AS frac_err, in_68, in_95 FROM su""")
 def posterior_summary(spark, sf):
-    return rounded(c.posterior_summary(b.hold_one_out(spark, sf)), "post_median", "post_std", "z", "frac_err")
+    return rounded(summaries(spark, sf), "post_median", "post_std", "z", "frac_err")
 
 
 PER_PARAM = f"""count(*) AS n, {r('median(frac_err)')} AS median_frac_err, {r('avg(in_68::INT)')} AS coverage_68,
  {r('avg(in_95::INT)')} AS coverage_95, {r('avg(abs(z))')} AS mean_abs_z"""
+SUMMED = ("frac_err", "in_68", "in_95", "z")
 PER_COLUMNS = ("median_frac_err", "coverage_68", "coverage_95", "mean_abs_z")
 
 
 @query("a33_per_param_summary", f"WITH {SUMMARY} SELECT param, {PER_PARAM} FROM su GROUP BY 1")
 def per_param_summary(spark, sf):
-    return rounded(c.per_param_summary(c.posterior_summary(b.hold_one_out(spark, sf))), *PER_COLUMNS)
+    return rounded(c.per_param_summary(g.pinned(summaries(spark, sf).select("param", *SUMMED))), *PER_COLUMNS)
 
 
 @query("a33_detected_summary", f"""WITH {SUMMARY}
@@ -170,8 +185,8 @@ SELECT param, p_retailprice >= 1e3 AS detected, {PER_PARAM} FROM su JOIN part ON
 def detected_summary(spark, sf):
     detected = b.table(spark, sf, "part").select(
         F.col("p_partkey").alias("object_id"), (F.col("p_retailprice") >= 1e3).alias("detected"))
-    rows = c.posterior_summary(b.hold_one_out(spark, sf)).join(detected, "object_id")
-    return rounded(c.per_param_summary(rows, ["param", "detected"]), *PER_COLUMNS)
+    rows = summaries(spark, sf).join(detected, "object_id").select("param", "detected", *SUMMED)
+    return rounded(c.per_param_summary(g.pinned(rows), ["param", "detected"]), *PER_COLUMNS)
 
 
 def duration_sql(P="P", k="RpRs", a="aRs", bb="b") -> str:
@@ -217,8 +232,8 @@ wd AS (SELECT object_id, param, any_value(truth) AS truth, quantile_cont(value,
 SELECT spec, label, param, count(*) AS n, {r('avg(CASE WHEN truth BETWEEN round(lo, 9) AND round(hi, 9) THEN 1e0 ELSE 0e0 END)')} AS cov68, {r('median(hi - lo)')} AS median_width
 FROM wd JOIN strata USING (object_id) GROUP BY 1, 2, 3""")
 def stratified_characterization(spark, sf):
-    widths = c.interval_widths(b.hold_one_out(spark, sf))
-    return rounded(c.stratified_characterization(widths, b.part_strata(spark, sf)), "cov68", "median_width")
+    widths = b.held_pairs(spark, sf, lambda pairs, short: c.interval_widths(pairs, bounded=short))
+    return rounded(c.stratified_characterization(g.pinned(widths), b.part_strata(spark, sf)), "cov68", "median_width")
 
 
 def regime_sql(x: str) -> str:
@@ -232,10 +247,13 @@ SELECT regime, count(*) AS n, {r('avg(rank / n_draws::DOUBLE)')} AS rank_mean, {
  {r('avg(CASE WHEN abs(rel) < 0.05 THEN 1e0 ELSE 0e0 END)')} AS frac_within_5pct, {r('any_value(chi2)')} AS chi2
 FROM ranks JOIN chi USING (regime) GROUP BY 1 HAVING count(*) >= 30""")
 def period_strata(spark, sf):
-    pairs = c.slice_parameters(b.hold_one_out(spark, sf), ["l_quantity"])
-    summary = c.posterior_summary(pairs).select("object_id", F.col("published").alias("truth"), "post_median")
-    ranked = summary.join(c.sbc_ranks(pairs).drop("param"), "object_id").withColumn("n_transits", s.lit(100.0) / F.col("truth"))
-    return rounded(c.period_strata(ranked), "rank_mean", "median_rel_err", "frac_within_5pct", "chi2")
+    def ranked(pairs, short):
+        pairs = c.slice_parameters(pairs, ["l_quantity"])
+        summary = c.posterior_summary(pairs, bounded=short).select("object_id", F.col("published").alias("truth"), "post_median")
+        return summary.join(c.sbc_ranks(pairs).drop("param"), "object_id")
+
+    ranked = b.held_pairs(spark, sf, ranked).withColumn("n_transits", s.lit(100.0) / F.col("truth"))
+    return rounded(c.period_strata(g.pinned(ranked)), "rank_mean", "median_rel_err", "frac_within_5pct", "chi2")
 
 
 ALIAS = f"""{PAIRS},
@@ -247,8 +265,8 @@ am AS (SELECT object_id, param, truth, avg(CASE WHEN abs(value - truth) / truth
 @query("a38_alias_mass", f"""WITH {ALIAS}
 SELECT object_id, param, {r('primary_mass')} AS primary_mass, {r('half_mass')} AS half_mass, {r('double_mass')} AS double_mass FROM am""")
 def alias_mass(spark, sf):
-    pairs = c.slice_parameters(b.hold_one_out(spark, sf), ["l_quantity"])
-    return rounded(c.alias_mass(pairs), "primary_mass", "half_mass", "double_mass")
+    masses = b.held_pairs(spark, sf, lambda pairs, _: c.alias_mass(c.slice_parameters(pairs, ["l_quantity"])))
+    return rounded(masses, "primary_mass", "half_mass", "double_mass")
 
 
 @query("a38_alias_by_regime", f"""WITH {ALIAS}
@@ -267,21 +285,23 @@ wr AS (SELECT p.object_id, p.param, sum(CASE WHEN value < truth THEN w ELSE 0 EN
        FROM pairs p JOIN wt ON wt.object_id = p.object_id AND wt.draw = p.draw GROUP BY 1, 2)"""
 
 
-def weighted_pairs(spark, sf):
-    """Hold-one-out pairs with a weight per draw."""
+def weighted_pairs(spark, sf, work):
+    """``work`` on the hold-one-out pairs with a weight per draw."""
     from curvelake.operators import reweight as rw
 
     gap = F.col("l_discount") - s.lit(0.05)
-    draws = b.numbered_lines(spark, sf).filter("draw >= 2").select(
-        "object_id", "draw", (-(gap * gap) / s.lit(2 * 0.02 * 0.02)).alias("loglik"),
-        s.lit(0.0).alias("logprior"), s.lit(0.0).alias("logq"))
-    weights = rw.importance_weights(draws).select("object_id", "draw", "w")
-    return b.hold_one_out(spark, sf).join(weights, ["object_id", "draw"])
+    terms = {"loglik": -(gap * gap) / s.lit(2 * 0.02 * 0.02), "logprior": s.lit(0.0), "logq": s.lit(0.0)}
+
+    def weighed(lines, short):
+        weights = rw.importance_weights(lines.withColumns(terms), bounded=short)
+        return work(c.long_pairs(weights, b.SAMPLE_PARAMS, "w"))
+
+    return b.held_lines(spark, sf, weighed)
 
 
 @query("a44_weighted_rank", f"WITH {WEIGHTED} SELECT object_id, param, {r('cdf')} AS cdf, rank, n_draws FROM wr")
 def weighted_rank(spark, sf):
-    return rounded(c.weighted_rank(weighted_pairs(spark, sf)), "cdf")
+    return rounded(weighted_pairs(spark, sf, c.weighted_rank), "cdf")
 
 
 @query("a45_corrected_sbc", f"""WITH {WEIGHTED},
@@ -289,7 +309,7 @@ def weighted_rank(spark, sf):
 mv AS (SELECT object_id, param, CAST(floor(round(cdf * 1e2, 9)) AS BIGINT) AS rank FROM wr), {chi2_sql('mv')}
 SELECT a.param, a.n, {r('a.chi2')} AS chi2_flow, {r('c.chi2')} AS chi2_corrected FROM chi_a a JOIN chi c ON a.param = c.param""")
 def corrected_sbc(spark, sf):
-    return rounded(c.corrected_sbc(c.weighted_rank(weighted_pairs(spark, sf)), 100), "chi2_flow", "chi2_corrected")
+    return rounded(c.corrected_sbc(g.pinned(weighted_pairs(spark, sf, c.weighted_rank)), 100), "chi2_flow", "chi2_corrected")
 
 
 @query("a46_slab_probability", f"""SELECT l_partkey AS object_id, {r('avg(CASE WHEN l_discount > 4.5e-2 THEN 1e0 ELSE 0e0 END)')} AS p_detect, count(*) AS n

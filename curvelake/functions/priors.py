@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,16 +42,19 @@ def prior_table(spark: SparkSession, ranges) -> DataFrame:
     """
     rows = [(r.param, float(r.low), float(r.high), r.log) for r in ranges]
     table = spark.createDataFrame(rows, "param string, low double, high double, is_log boolean")
-    low, high = (physical_to_u(F.col(c), F.col("is_log")) for c in ("low", "high"))
-    table = table.withColumns({"u_low": low, "u_high": high})
-    table = table.withColumns({
-        "u_mean": F.lit(0.5) * (F.col("u_low") + F.col("u_high")),
-        "u_std": (F.col("u_high") - F.col("u_low")) / F.sqrt(F.lit(12.0)),
-    })
-    return table.withColumns({
-        "z_low": (F.col("u_low") - F.col("u_mean")) / F.col("u_std"),
-        "z_high": (F.col("u_high") - F.col("u_mean")) / F.col("u_std"),
-    })
+    return table.withColumns(_derived(F.col("low"), F.col("high"), F.col("is_log")))
+
+
+def constants(r: Range) -> dict[str, Column]:
+    """The columns of ``prior_table`` for one parameter as expressions, where its values stand in a column of their own."""
+    low, high, is_log = F.lit(float(r.low)), F.lit(float(r.high)), F.lit(r.log)
+    return {"low": low, "high": high, "is_log": is_log, **_derived(low, high, is_log)}
+
+
+def _derived(low: Column, high: Column, is_log: Column) -> dict[str, Column]:
+    u_low, u_high = physical_to_u(low, is_log), physical_to_u(high, is_log)
+    mean, std = F.lit(0.5) * (u_low + u_high), (u_high - u_low) / F.sqrt(F.lit(12.0))
+    return {"u_low": u_low, "u_high": u_high, "u_mean": mean, "u_std": std, "z_low": (u_low - mean) / std, "z_high": (u_high - mean) / std}
 
 
 def with_prior(samples: DataFrame, ranges) -> DataFrame:
@@ -66,16 +70,22 @@ def u_to_physical(u: Column, is_log: Column) -> Column:
     return F.when(is_log, F.exp(u)).otherwise(u)
 
 
-def physical_to_std(value: Column) -> Column:
-    """Standardised value; expects the ``with_prior`` columns."""
-    return (physical_to_u(value, F.col("is_log")) - F.col("u_mean")) / F.col("u_std")
+def _given(prior: Mapping[str, Column] | None) -> Mapping[str, Column]:
+    return prior or {c: F.col(c) for c in ("is_log", "u_low", "u_high", "u_mean", "u_std")}
+
+
+def physical_to_std(value: Column, prior: Mapping[str, Column] | None = None) -> Column:
+    """Standardised value; expects the ``with_prior`` columns, or ``constants``."""
+    p = _given(prior)
+    return (physical_to_u(value, p["is_log"]) - p["u_mean"]) / p["u_std"]
 
 
-def std_to_physical(z: Column, clip: bool = True) -> Column:
-    u = z * F.col("u_std") + F.col("u_mean")
+def std_to_physical(z: Column, clip: bool = True, prior: Mapping[str, Column] | None = None) -> Column:
+    p = _given(prior)
+    u = z * p["u_std"] + p["u_mean"]
     if clip:
-        u = F.greatest(F.col("u_low"), F.least(u, F.col("u_high")))
-    return u_to_physical(u, F.col("is_log"))
+        u = F.greatest(p["u_low"], F.least(u, p["u_high"]))
+    return u_to_physical(u, p["is_log"])
 
 
 def in_support(value: Column) -> Column:

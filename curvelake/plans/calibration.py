@@ -144,7 +144,6 @@ def calibration_error(spark, sf):
 @query("a27_contraction", f"""WITH {PAIRS}, pst AS (SELECT param, stddev_pop(value) AS s FROM long GROUP BY 1)
 SELECT object_id, param, {r('1 - var_pop(value) / (any_value(s) * any_value(s))')} AS contraction FROM pairs JOIN pst USING (param) GROUP BY 1, 2""")
 def contraction(spark, sf):
-    samples = b.hold_one_out(spark, sf)
     everything = b.long_samples(b.line_samples(spark, sf).select("object_id", *b.SAMPLE_PARAMS), ["object_id"])
     prior = everything.groupBy("param").agg(F.stddev_pop("value").alias("prior_std"))
     return rounded(b.held_pairs(spark, sf, lambda pairs, _: c.contraction(pairs, prior)), "contraction")
@@ -445,18 +444,22 @@ def quadratic_to_kipping(spark, sf):
     return rounded(rows.select("object_id", q1.alias("q1"), q2.alias("q2")), "q1", "q2")
 
 
-def _by_param(rows, column):
-    return rounded(rows.groupBy("object_id", "param").agg(F.sum(column).alias(column), F.count("*").alias("n")), column)
+def _sums_by_param(spark, sf, column, one, digits=6):
+    """Sum of ``one(value, prior)`` for each part and parameter; the parameters of a part are added up side by side in one row."""
+    sums = [F.struct(F.lit(x.param).alias("param"), F.round(F.sum(one(F.col(x.param), pr.constants(x))), digits).alias(column),
+                     F.count(x.param).alias("n")) for x in b.LINE_RANGES]
+    rows = b.line_samples(spark, sf).groupBy("object_id").agg(F.array(*sums).alias("_sums"))
+    return rows.select("object_id", F.inline("_sums")).filter("n > 0")
 
 
 @query("f07_physical_to_u", f"WITH {LONG}, {PRIOR} SELECT object_id, param, {r(f'sum({U})')} AS u, count(*) AS n FROM long JOIN prior USING (param) GROUP BY 1, 2")
 def physical_to_u(spark, sf):
-    return _by_param(long_with_prior(spark, sf).withColumn("u", pr.physical_to_u(F.col("value"), F.col("is_log"))), "u")
+    return _sums_by_param(spark, sf, "u", lambda value, prior: pr.physical_to_u(value, prior["is_log"]))
 
 
 @query("f09_physical_to_std", f"WITH {LONG}, {PRIOR} SELECT object_id, param, {r(f'sum(({U} - u_mean) / u_std)')} AS z, count(*) AS n FROM long JOIN prior USING (param) GROUP BY 1, 2")
 def physical_to_std(spark, sf):
-    return _by_param(long_with_prior(spark, sf).withColumn("z", pr.physical_to_std(F.col("value"))), "z")
+    return _sums_by_param(spark, sf, "z", pr.physical_to_std)
 
 
 CLIPPED = "greatest(u_low, least(u_high, 3 * ((" + U + ") - u_mean) + u_mean))"
@@ -466,6 +469,7 @@ CLIPPED = "greatest(u_low, least(u_high, 3 * ((" + U + ") - u_mean) + u_mean))"
 SELECT object_id, param, {r(f'sum(CASE WHEN is_log THEN exp({CLIPPED}) ELSE {CLIPPED} END)', 4)} AS back, count(*) AS n FROM long JOIN prior USING (param) GROUP BY 1, 2""")
 def std_to_physical(spark, sf):
     """Standardised values stretched threefold, so that clipping to the prior box takes effect."""
-    z = pr.physical_to_std(F.col("value")) * b.lit(3.0)
-    rows = long_with_prior(spark, sf).withColumn("back", pr.std_to_physical(z))
-    return rows.groupBy("object_id", "param").agg(F.round(F.sum("back"), 4).alias("back"), F.count("*").alias("n"))
+    def stretched(value, prior):
+        return pr.std_to_physical(pr.physical_to_std(value, prior) * b.lit(3.0), prior=prior)
+
+    return _sums_by_param(spark, sf, "back", stretched, digits=4)

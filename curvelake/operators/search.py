@@ -23,11 +23,11 @@ def linear_grid(low: float, high: float, n: int) -> Column:
     return s.lit(low) + F.col("pid") * s.lit((high - low) / (n - 1))
 
 
-def _centred(cadence: DataFrame) -> DataFrame:
+def _centred(cadence: DataFrame, bounded: bool = False) -> DataFrame:
     """Flux about the object's median, with the robust scale of that."""
-    rows = g.attach_stats(cadence, ID, quantiles={"_med": (F.col("flux"), 0.5)})
+    rows = g.attach_stats(cadence, ID, quantiles={"_med": (F.col("flux"), 0.5)}, bounded=bounded)
     rows = rows.withColumn("f", F.col("flux") - F.col("_med"))
-    rows = g.attach_stats(rows, ID, quantiles={"_mad": (F.abs("f"), 0.5)})
+    rows = g.attach_stats(rows, ID, quantiles={"_mad": (F.abs("f"), 0.5)}, bounded=bounded)
     return rows.select(*ID, "t", "f", (s.lit(s.MAD_TO_SIGMA) * F.col("_mad") + s.lit(1e-6)).alias("sigma"))
 
 
@@ -38,14 +38,19 @@ def box_periodogram(
 
     An empty phase bin scores 0, so a period with one never scores below 0.
 
-    ``engine="pandas"`` folds in Arrow batches: ranges of rows in order of object add up the sums and counts of
-    their objects; an object that may go on in the next range hands its sums over, the others their scores.
-    ``engine="sql"`` folds every cadence at every period and lets partial aggregation shrink the rows.
+    ``engine="pandas"`` folds in Arrow batches, an object of ordinary length whole. Ranges of the rows of long objects add up
+    sums and counts; an object that may go on in the next range hands its sums over, the others their scores.
+    ``engine="sql"`` makes a row of every cadence and period; partial aggregation shrinks them only where an object
+    has many more cadences than phase bins, so it is for few periods.
     Both give the same scores, whatever the length of an object.
     """
-    rows = _centred(cadence)
-    fold = {"sql": _periodogram_sql, "pandas": _periodogram_arrow}[engine]
-    return fold(rows, low, high, n_periods, n_phase)
+    if engine == "sql":
+        return _periodogram_sql(_centred(cadence), low, high, n_periods, n_phase)
+
+    def fold(rows: DataFrame, bounded: bool) -> DataFrame:
+        return _periodogram_arrow(_centred(rows, bounded), low, high, n_periods, n_phase, bounded)
+
+    return g.by_length(cadence.filter("object_id IS NOT NULL"), ID, fold)
 
 
 def _periodogram_sql(rows: DataFrame, low, high, n_periods, n_phase) -> DataFrame:
@@ -78,8 +83,9 @@ class Folded:
         first_bin = np.arange(len(self.periods)) * self.n_phase
         for at in range(0, len(t), self.RUN):
             turns = np.divide.outer(t[at : at + self.RUN], self.periods)
-            inside = np.floor((turns - np.floor(turns)) * self.n_phase).astype(np.int64)
-            slots = (np.minimum(inside, self.n_phase - 1) + first_bin).ravel()
+            inside = np.floor((turns - np.floor(turns)) * self.n_phase)
+            # A missing time falls into the last bin, as in SQL, where the least of it and the last bin is that bin.
+            slots = (np.fmin(inside, self.n_phase - 1).astype(np.int64) + first_bin).ravel()
             self.sums += np.bincount(slots, np.repeat(f[at : at + self.RUN], len(self.periods)), len(self.sums))
             self.counts += np.bincount(slots, minlength=len(self.counts))
 
@@ -89,7 +95,7 @@ class Folded:
         return dips.reshape(-1, self.n_phase).max(1) + 0.0
 
 
-def _periodogram_arrow(rows: DataFrame, low, high, n_periods, n_phase) -> DataFrame:
+def _periodogram_arrow(rows: DataFrame, low, high, n_periods, n_phase, bounded: bool) -> DataFrame:
     periods = low * np.power(high / low, np.arange(n_periods) / float(n_periods - 1))
 
     def fold_ranges(frames):
@@ -99,7 +105,7 @@ def _periodogram_arrow(rows: DataFrame, low, high, n_periods, n_phase) -> DataFr
         def close(last: bool) -> None:
             nonlocal held, first
             object_id, sigma, part = held
-            open_end = first or last
+            open_end = not bounded and (first or last)
             done.append({
                 "object_id": object_id, "sigma": sigma, "scores": None if open_end else part.scores(sigma),
                 "sums": part.sums if open_end else None, "counts": part.counts if open_end else None,
@@ -112,7 +118,7 @@ def _periodogram_arrow(rows: DataFrame, low, high, n_periods, n_phase) -> DataFr
                     close(False)
                 if held is None:
                     held = (object_id, float(run["sigma"].iloc[0]), Folded(periods, n_phase))
-                held[2].add(run["t"].to_numpy(float), run["f"].to_numpy(float))
+                held[2].add(run["t"].to_numpy(float), np.nan_to_num(run["f"].to_numpy(float)))
             if done:
                 yield pd.DataFrame(done)
                 done = []
@@ -120,10 +126,13 @@ def _periodogram_arrow(rows: DataFrame, low, high, n_periods, n_phase) -> DataFr
             close(True)
             yield pd.DataFrame(done)
 
-    ranged = rows.filter("object_id IS NOT NULL").repartitionByRange(F.col("object_id").asc(), F.xxhash64("t", "f").asc()).sortWithinPartitions("object_id")
-    parts = ranged.select("object_id", "t", "f", "sigma").mapInPandas(
+    ranged = rows if bounded else rows.repartitionByRange(F.col("object_id").asc(), F.xxhash64("t", "f").asc())
+    parts = ranged.sortWithinPartitions("object_id").select("object_id", "t", "f", "sigma").mapInPandas(
         fold_ranges, "object_id long, sigma double, scores array<double>, sums array<double>, counts array<bigint>"
     )
+    if bounded:
+        scored = parts.select(*ID, F.posexplode("scores").alias("pid", "score"))
+        return scored.select(*ID, "pid", log_grid(low, high, n_periods).alias("period"), "score")
     # Folding costs far more than dealing out its few results once for both branches.
     parts = g.pinned(parts.repartition(F.col("object_id")))
     whole = parts.filter("scores IS NOT NULL").select(*ID, F.posexplode("scores").alias("pid", "score"))
@@ -162,25 +171,37 @@ def box_least_squares(
     cadence names the centres it falls in, and the out-of-box side is the object's total minus the
     box. No cadence-centre pairs are formed beyond those.
 
-    ``engine="sql"`` makes a row of every cadence, period, duration and box. ``engine="pandas"`` adds them up in
-    Arrow batches, a block of periods at a time, and hands over like ``box_periodogram``; it is meant for long grids.
-    Both give the same scores.
+    ``engine="sql"`` makes a row of every cadence, period, duration and box, which is for few of them. ``engine="pandas"`` adds
+    them up in Arrow batches, a block of periods at a time: objects of ordinary length whole, long ones in ranges that hand
+    over like those of ``box_periodogram``. Both give the same scores.
     """
-    rows = g.attach_stats(
+    if engine == "sql":
+        found = _boxes_sql(_with_totals(cadence), low, high, n_periods, durations)
+        grid = cadence.select(*ID).distinct().withColumn("pid", F.explode(F.sequence(F.lit(0), F.lit(n_periods - 1))))
+        scored = grid.join(found, [*ID, "pid"], "left")
+    else:
+        def search(rows: DataFrame, bounded: bool) -> DataFrame:
+            return _boxes_arrow(_with_totals(rows, bounded), low, high, n_periods, list(durations), bounded)
+
+        known = g.by_length(cadence.filter("object_id IS NOT NULL"), ID, search)
+        unknown = cadence.filter("object_id IS NULL").select(*ID).distinct().withColumn("scores", F.array_repeat(s.lit(0.0), n_periods))
+        scored = known.unionByName(unknown).select(*ID, F.posexplode("scores").alias("pid", "_m"))
+    return scored.select(
+        *ID, "pid", linear_grid(low, high, n_periods).alias("period"),
+        F.greatest(F.coalesce("_m", s.lit(0.0)), s.lit(0.0)).alias("score"),
+    )
+
+
+def _with_totals(cadence: DataFrame, bounded: bool = False) -> DataFrame:
+    """Flux about the object's median, with the object's spread, count and total of that."""
+    return g.attach_stats(
         cadence, ID,
         quantiles={"_med": (F.col("flux"), 0.5)},
-        aggs={"_sd": F.stddev_pop("flux"), "_n": F.count(F.lit(1)), "_sum": F.sum("flux")},
+        aggs={"_sd": F.stddev_pop("flux"), "_n": F.count(F.lit(1)), "_sum": F.sum("flux")}, bounded=bounded,
     ).select(
         *ID, "t", (F.col("flux") - F.col("_med")).alias("f"), "_sd", "_n",
         (F.col("_sum") - F.col("_n") * F.col("_med")).alias("_total"),
     )
-    search = {"sql": _boxes_sql, "pandas": _boxes_arrow}[engine]
-    found = search(rows, low, high, n_periods, durations)
-    grid = cadence.select(*ID).distinct().withColumn("pid", F.explode(F.sequence(F.lit(0), F.lit(n_periods - 1))))
-    return grid.join(found, [*ID, "pid"], "left").select(
-        *ID, "pid", linear_grid(low, high, n_periods).alias("period"),
-        F.greatest(F.coalesce("_m", s.lit(0.0)), s.lit(0.0)).alias("score"),
-    )
 
 
 def _box_snr() -> Column:
@@ -220,37 +241,52 @@ class Boxed:
     RUN = 2_048
 
     def __init__(self, periods: np.ndarray, durations):
-        self.periods, self.shapes, at = periods, [], 0
+        self.periods, self.shapes, at, owners = periods, [], 0, []
         for duration in durations:
             w = duration / periods
-            steps = np.maximum(np.floor(1.0 / np.maximum(w, 1e-3)), 4).astype(np.int64)
+            steps = np.maximum(np.floor(1.0 / np.maximum(w, 1e-3)), 4)
             first_box = at + np.cumsum(steps) - steps
             at += int(steps.sum())
+            owners.append(np.repeat(np.arange(len(periods)), steps.astype(np.int64)))
             self.shapes.append((w / 2, steps, first_box))
+        #: Trial period of every box.
+        self.owners = np.concatenate(owners)
         self.sums, self.counts = np.zeros(at), np.zeros(at, np.int64)
 
+    def clear(self) -> None:
+        self.sums.fill(0.0)
+        self.counts.fill(0)
+
     def add(self, t: np.ndarray, f: np.ndarray) -> None:
+        spare = len(self.sums)  # takes the cadences that lie in no box
         for at in range(0, len(t), self.RUN):
             turns = np.divide.outer(t[at : at + self.RUN], self.periods)
             turns -= np.floor(turns)
-            weights = np.broadcast_to(f[at : at + self.RUN, None], turns.shape)
+            weights = np.repeat(f[at : at + self.RUN], len(self.periods))
             for half, steps, first_box in self.shapes:
-                first = (np.floor(steps * (turns - half)) + 1).astype(np.int64)
-                last = (np.ceil(steps * (turns + half)) - 1).astype(np.int64)
-                last = np.minimum(last, first + steps - 1)
+                first = np.floor(steps * (turns - half)) + 1
+                last = np.ceil(steps * (turns + half)) - 1
+                np.minimum(last, first + (steps - 1), out=last)
                 for more in range(int((last - first).max(initial=-1)) + 1):
-                    inside = first + more <= last
-                    slots = ((first + more) % steps + first_box)[inside]
-                    self.sums += np.bincount(slots, weights[inside], len(self.sums))
-                    self.counts += np.bincount(slots, minlength=len(self.counts))
+                    box = first + more if more else first
+                    slots = box + first_box
+                    wrapped = np.flatnonzero((box < 0) | (box >= steps))
+                    column = wrapped % len(self.periods)
+                    slots.flat[wrapped] = np.mod(box.flat[wrapped], steps[column]) + first_box[column]
+                    np.copyto(slots, spare, where=box > last)
+                    slots = slots.astype(np.int64).ravel()
+                    self.sums += np.bincount(slots, weights, spare + 1)[:spare]
+                    self.counts += np.bincount(slots, minlength=spare + 1)[:spare]
 
     def scores(self, sd: float, n: int, total: float) -> np.ndarray:
         """Best box of every period, 0 where none counts."""
-        k, valid = self.counts, (self.counts >= 3) & (n - self.counts >= 3)
+        used = np.flatnonzero((self.counts >= 3) & (n - self.counts >= 3))
+        k, inside = self.counts[used], self.sums[used]
         with np.errstate(divide="ignore", invalid="ignore"):
-            snr = ((total - self.sums) / (n - k) - self.sums / k) / (sd / np.sqrt(k) + 1e-9)
-        snr = np.where(valid & (snr > 0), snr, 0.0)
-        return np.max([np.maximum.reduceat(snr[: first_box[-1] + steps[-1]], first_box) for _, steps, first_box in self.shapes], axis=0)
+            snr = ((total - inside) / (n - k) - inside / k) / (sd / np.sqrt(k) + 1e-9)
+        best = np.zeros(len(self.periods))
+        np.maximum.at(best, self.owners[used], np.where(snr > 0, snr, 0.0))
+        return best
 
 
 class BoxGrid:
@@ -275,15 +311,68 @@ class BoxGrid:
         return np.concatenate([block.scores(sd, n, total) for block in self.blocks])
 
 
-def _boxes_arrow(rows: DataFrame, low, high, n_periods, durations) -> DataFrame:
-    """Each cadence is dealt out once; a task holds the boxes of one object at all periods."""
+class BoxSearch:
+    """Scores of whole objects one after the other, a block of trial periods at a time in the same arrays.
+
+    A block has the more periods the fewer cadences an object has, so that one call of numpy always has work for its cost.
+    """
+
+    #: Cadences times trial periods that are found at once.
+    TRIALS = 32_768
+
+    def __init__(self, periods: np.ndarray, durations):
+        self.periods, self.durations = periods, durations
+        self.blocks: dict[int, list[Boxed]] = {}
+
+    def _blocks(self, rows: int) -> list[Boxed]:
+        wanted = max(1, self.TRIALS // max(1, min(rows, Boxed.RUN)))
+        size = min(1 << wanted.bit_length() - 1, len(self.periods))
+        if size not in self.blocks:
+            self.blocks[size] = [Boxed(self.periods[i : i + size], self.durations) for i in range(0, len(self.periods), size)]
+        return self.blocks[size]
+
+    def scores(self, t: np.ndarray, f: np.ndarray, sd: float, n: int, total: float) -> np.ndarray:
+        found = []
+        for block in self._blocks(len(t)):
+            block.clear()
+            block.add(t, f)
+            found.append(block.scores(sd, n, total))
+        return np.concatenate(found)
+
+
+def _boxes_arrow(rows: DataFrame, low, high, n_periods, durations, bounded: bool) -> DataFrame:
+    """Scores of every object at all periods. Each cadence is dealt out once; of a long object a task holds the boxes at all periods."""
     periods = low + np.arange(n_periods) * ((high - low) / (n_periods - 1))
-    durations = list(durations)
     stats = ["_sd", "_n", "_total"]
 
     def number(value) -> float:
         return float("nan") if pd.isna(value) else value
 
+    def search_whole(frames):
+        """Objects arrive in order, whole; an object may go on in the next frame."""
+        search, held, rest = BoxSearch(periods, durations), None, []
+
+        def done(object_id, pieces):
+            known = [number(v) for v in pieces[0][stats].iloc[0]]
+            run = pd.concat(pieces) if len(pieces) > 1 else pieces[0]
+            run = run[run["t"].notna()]
+            scores = search.scores(run["t"].to_numpy(float), np.nan_to_num(run["f"].to_numpy(float)), *known)
+            return {"object_id": object_id, "scores": scores}
+
+        for frame in frames:
+            found = []
+            for object_id, run in frame.groupby("object_id", sort=False):
+                if rest and held != object_id:
+                    found.append(done(held, rest))
+                    rest = []
+                held = object_id
+                rest.append(run)
+            # The scores of an object at a long grid are many.
+            for i in range(0, len(found), 256):
+                yield pd.DataFrame(found[i : i + 256])
+        if rest:
+            yield pd.DataFrame([done(held, rest)])
+
     def fold_ranges(frames):
         """Objects arrive in order. The first and the last of a range may lie in others too."""
         held, done, first = None, [], True
@@ -334,8 +423,10 @@ def _boxes_arrow(rows: DataFrame, low, high, n_periods, durations) -> DataFrame:
         if held is not None:
             yield done()
 
-    known = rows.filter("object_id IS NOT NULL AND t IS NOT NULL")
-    ranged = known.repartitionByRange(F.col("object_id").asc(), F.xxhash64("t", "f").asc())
+    scores = "object_id long, scores array<double>"
+    if bounded:
+        return rows.sortWithinPartitions("object_id").select(*ID, "t", "f", *stats).mapInPandas(search_whole, scores)
+    ranged = rows.filter("t IS NOT NULL").repartitionByRange(F.col("object_id").asc(), F.xxhash64("t", "f").asc())
     parts = ranged.sortWithinPartitions("object_id").select(*ID, "t", "f", *stats).mapInPandas(
         fold_ranges,
         "object_id long, _sd double, _n long, _total double, scores array<double>, boxes array<int>, "
@@ -344,8 +435,10 @@ def _boxes_arrow(rows: DataFrame, low, high, n_periods, durations) -> DataFrame:
     parts = g.pinned(parts.repartition(F.col("object_id")))
     # At most two objects of each range come in parts, each in one row.
     pieces = parts.filter("scores IS NULL").drop("scores").repartition("object_id").sortWithinPartitions("object_id")
-    scored = parts.filter("scores IS NOT NULL").select(*ID, "scores").unionByName(pieces.mapInPandas(add_parts, "object_id long, scores array<double>"))
-    return scored.select(*ID, F.posexplode("scores").alias("pid", "_m"))
+    scored = parts.filter("scores IS NOT NULL").select(*ID, "scores").unionByName(pieces.mapInPandas(add_parts, scores))
+    # An object without any time has no box.
+    none = F.array_repeat(s.lit(0.0), n_periods)
+    return rows.select(*ID).distinct().join(scored, ID, "left").select(*ID, F.coalesce("scores", none).alias("scores"))
 
 
 def refine_epoch(cadence: DataFrame, periods: DataFrame, n_centres: int = 512, *, digits: int = 9) -> DataFrame:

@@ -25,7 +25,7 @@ pm AS (SELECT object_id, pid, max(-(s / n) * sqrt(n) / sigma) AS m, count(*) AS
 pg AS (SELECT object_id, pid, {low} * pow({ratio}, pid / {n - 1}e0) AS period, CASE WHEN used < 64 THEN greatest(m, 0) ELSE m END AS score FROM pm)"""
 
 
-def periodogram(spark, sf, n=N, engine="sql"):
+def periodogram(spark, sf, n=N, engine="pandas"):
     return se.box_periodogram(b.sparse_cadence(spark, sf), 0.5, 13.0, n, engine=engine)
 
 
@@ -130,7 +130,7 @@ BLS = box_sql()
 
 @query("a08_box_least_squares", f"WITH {BLS} SELECT object_id, pid, {r('period')} AS period, {r('score')} AS score FROM pw")
 def box_least_squares(spark, sf):
-    out = se.box_least_squares(b.sparse_cadence(spark, sf), 2.0, 12.0, NB, [0.2, 0.4, 0.8])
+    out = se.box_least_squares(b.sparse_cadence(spark, sf), 2.0, 12.0, NB, [0.2, 0.4, 0.8], engine="pandas")
     return rounded(out, "period", "score")
 
 

@@ -1,15 +1,17 @@
 """Short groups dealt out whole, longer ones cut: same results, whichever side a group falls on."""
 
+import numpy as np
 import pytest
 
 from compare import difference, duck
 from curvelake.operators import grouped as g
+from curvelake.operators.search import BoxGrid, BoxSearch
 from curvelake.plans import load_registry
 
 SF = "/root/testdata/sf0.001"
 REGISTRY = load_registry()
 SPLIT = ("a25_interval_coverage", "a32_posterior_summary", "a45_corrected_sbc", "a44_weighted_rank", "a33_per_param_summary",
-         "a35_stratified_characterization", "a37_period_strata", "a21_sbc_ranks")
+         "a35_stratified_characterization", "a37_period_strata", "a21_sbc_ranks", "a05_box_periodogram", "a08_box_least_squares")
 
 
 @pytest.mark.parametrize("longest", [0, 30])
@@ -42,3 +44,21 @@ def test_posterior_queries_deal_lines_out_once(spark, name):
     """Every line is shuffled once and its part's count once, besides rows of parts; pairs and quantile cells are not."""
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert shuffled_rows(spark, lambda: REGISTRY[name].build(spark, SF)) < 3 * lines
+
+
+@pytest.mark.parametrize("name", ["a05_box_periodogram", "a05_periodogram_256", "a07_best_period", "a39_harmonic_match", "a08_box_least_squares", "a08_box_least_squares_2000"])
+def test_searches_deal_cadences_out_once(spark, name):
+    """No row of a cadence and a trial period is shuffled."""
+    rows = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert shuffled_rows(spark, lambda: REGISTRY[name].build(spark, SF)) < 3 * rows
+
+
+def test_whole_objects_of_any_length_have_the_scores_of_all_boxes():
+    """Blocks of periods of any size, objects of no cadence up to several runs, and boxes wider than their spacing."""
+    rng, periods = np.random.default_rng(4), np.linspace(0.5, 13.0, 301)
+    search = BoxSearch(periods, [0.05, 0.2, 0.7])
+    for n in (0, 1, 5, 66, 3000, 7):
+        t, f = np.round(rng.random(n) * 40, 3), rng.normal(0, 1, n)
+        grid = BoxGrid(periods, [0.05, 0.2, 0.7])
+        grid.add(t, f)
+        assert np.allclose(search.scores(t, f, 1.0, n, f.sum()), grid.scores(1.0, n, f.sum()), rtol=1e-9, atol=1e-9)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.functions import scalars as s
@@ -19,42 +19,46 @@ def merge_sides(a: DataFrame, b: DataFrame, keys: Sequence[str] = PAIR) -> DataF
     return a.select(*cols, F.lit("a").alias("side")).unionByName(b.select(*cols, F.lit("b").alias("side")))
 
 
-def wasserstein(sides: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
-    """Area between the two empirical distribution functions, per group.
-
-    Equal values fold to one row with a count per side first; then one ordered pass.
-    """
-    keys = list(keys)
-    counts = sides.groupBy(*keys, "value").agg(
-        F.count_if(F.col("side") == "a").alias("_a"), F.count_if(F.col("side") == "b").alias("_b")
-    )
-    order = [F.col("value").asc()]
-    rows = g.sliding(counts, keys, order, {"_next": lambda w: F.lead("value").over(w)}, after=1)
-    rows = g.running(
-        rows, keys, order, {"_ca": F.col("_a"), "_cb": F.col("_b")},
-        totals={"n_a": F.col("_a"), "n_b": F.col("_b")},
-    )
+def _steps(sides: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
+    """Rows in order of value with ``_step``, the area up to the next one, and the sizes ``n_a`` and ``n_b`` of the sides."""
+    order, sums, totals = [F.col("value").asc()], {"_ca": F.col("_a"), "_cb": F.col("_b")}, {"n_a": F.col("_a"), "n_b": F.col("_b")}
+    following = {"_next": lambda w: F.lead("value").over(w)}
+    if bounded:
+        # Of equal values the last has seen all of them, and the others are no step away from the next.
+        rows = sides.withColumns({f"_{side}": F.when(F.col("side") == side, 1).otherwise(0).cast("long") for side in "ab"})
+    else:
+        # Equal values fold to one row with a count per side.
+        rows = sides.groupBy(*keys, "value").agg(*[F.count_if(F.col("side") == side).alias(f"_{side}") for side in "ab"])
+    rows = g.sliding(rows, keys, order, following, after=1, bounded=bounded)
+    rows = g.running(rows, keys, order, sums, totals=totals, bounded=bounded)
     gap = F.abs(F.col("_ca") / F.col("n_a").cast("double") - F.col("_cb") / F.col("n_b").cast("double"))
     step = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), gap * F.coalesce(F.col("_next") - F.col("value"), s.lit(0.0)))
-    return rows.groupBy(*keys).agg(
-        F.sum(step).alias("wasserstein"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")
-    )
+    return rows.withColumn("_step", step)
 
 
-def normalized_wasserstein(sides: DataFrame, ranges: DataFrame) -> DataFrame:
+def _area() -> dict[str, Column]:
+    return {"wasserstein": F.sum("_step"), "n_a": F.max("n_a"), "n_b": F.max("n_b")}
+
+
+def wasserstein(sides: DataFrame, keys: Sequence[str] = PAIR, *, bounded: bool = False) -> DataFrame:
+    """Area between the two empirical distribution functions, per group, in one ordered pass."""
+    return g.group_stats(_steps(sides, list(keys), bounded), list(keys), aggs=_area())
+
+
+def normalized_wasserstein(sides: DataFrame, ranges: DataFrame, *, bounded: bool = False) -> DataFrame:
     """Distance as a fraction of the prior range and of the wider 68% interval.
 
     ``ranges``: (param, prior_range), one row per parameter.
     """
-    far = wasserstein(sides, PAIR)
     on = {side: F.when(F.col("side") == side, F.col("value")) for side in "ab"}
-    widths = g.group_stats(
-        sides, PAIR,
-        quantiles={f"_{side}{q}": (on[side], q / 100) for side in "ab" for q in (16, 84)},
-    )
+    wanted = {f"_{side}{q}": (on[side], q / 100) for side in "ab" for q in (16, 84)}
+    if bounded:
+        found = g.group_stats(_steps(sides, PAIR, True), PAIR, quantiles=wanted, aggs=_area(), bounded=True)
+    else:
+        found = wasserstein(sides, PAIR).join(g.group_stats(sides, PAIR, quantiles=wanted), PAIR)
     width = F.greatest(F.col("_a84") - F.col("_a16"), F.col("_b84") - F.col("_b16"), s.lit(1e-12))
     return (
-        far.join(widths, PAIR).join(F.broadcast(ranges), "param")
+        found.join(F.broadcast(ranges), "param")
         .filter(F.col("wasserstein").isNotNull())
         .select(
             *PAIR, "wasserstein",

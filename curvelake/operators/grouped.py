@@ -122,7 +122,9 @@ def by_length(df: DataFrame, keys: Sequence[str], work: Callable[[DataFrame, boo
     keys = list(keys)
     long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > LONG_ROWS)
     long = F.broadcast(long.select(*keys))
-    short_rows = safe_join(df, long, keys, "left_anti").repartition(*keys)
+    # With a number Spark does not merge small parts: work such as a period search costs far more than its rows weigh.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short_rows = safe_join(df, long, keys, "left_anti").repartition(n, *keys)
     return work(short_rows, True).unionByName(work(safe_join(df, long, keys, "left_semi"), False))
 
 

@@ -270,11 +270,12 @@ class Boxed:
                 for more in range(int((last - first).max(initial=-1)) + 1):
                     box = first + more if more else first
                     slots = box + first_box
+                    # Few lie so near the end of a turn that their box is counted from the other end.
                     wrapped = np.flatnonzero((box < 0) | (box >= steps))
                     column = wrapped % len(self.periods)
-                    slots.flat[wrapped] = np.mod(box.flat[wrapped], steps[column]) + first_box[column]
+                    slots.ravel()[wrapped] = np.mod(box.ravel()[wrapped], steps[column]) + first_box[column]
                     np.copyto(slots, spare, where=box > last)
-                    slots = slots.astype(np.int64).ravel()
+                    slots = slots.ravel().astype(np.int64)
                     self.sums += np.bincount(slots, weights, spare + 1)[:spare]
                     self.counts += np.bincount(slots, minlength=spare + 1)[:spare]
 
@@ -318,7 +319,7 @@ class BoxSearch:
     """
 
     #: Cadences times trial periods that are found at once.
-    TRIALS = 32_768
+    TRIALS = 16_384
 
     def __init__(self, periods: np.ndarray, durations):
         self.periods, self.durations = periods, durations

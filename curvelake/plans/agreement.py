@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from curvelake.functions import scalars as s
 from curvelake.operators import agreement as a
+from curvelake.operators import grouped as g
 from curvelake.operators import reduce as red
 from curvelake.operators import reweight as rw
 from curvelake.plans.calibration import NUMBERED, PARAMS, STRATA_SQL, dbl, label_sql
@@ -33,7 +34,7 @@ def two_sides(spark, sf):
 
 @query("a28_wasserstein", f"WITH {WASS} SELECT object_id, param, {r('wasserstein')} AS wasserstein, n_a, n_b FROM ws")
 def wasserstein(spark, sf):
-    return rounded(a.wasserstein(b.two_sides(spark, sf)), "wasserstein")
+    return rounded(b.each_supplier(spark, sf, lambda sides, short: a.wasserstein(sides, bounded=short)), "wasserstein")
 
 
 NORMED = f"""{WASS},
@@ -48,7 +49,7 @@ dist AS (SELECT object_id, param, wasserstein, wasserstein / nullif(prior_range,
 def distances(spark, sf):
     sides = b.two_sides(spark, sf)
     ranges = sides.groupBy("param").agg((F.max("value") - F.min("value")).alias("prior_range"))
-    return a.normalized_wasserstein(sides, ranges)
+    return b.each_supplier(spark, sf, lambda sides, short: a.normalized_wasserstein(sides, ranges, bounded=short))
 
 
 @query("a29_wasserstein_normalised", f"""WITH {NORMED}
@@ -73,7 +74,7 @@ def jensen_shannon(spark, sf):
 SELECT param, {r('median(wasserstein)')} AS median_wasserstein, {r('median(prior_fraction)')} AS median_prior_fraction,
  {r('median(width_fraction)')} AS median_width_fraction, count(*) AS n FROM dist GROUP BY 1""")
 def agreement_summary(spark, sf):
-    out = a.agreement_summary(distances(spark, sf))
+    out = a.agreement_summary(g.pinned(distances(spark, sf)))
     return rounded(out, "median_wasserstein", "median_prior_fraction", "median_width_fraction")
 
 
@@ -91,7 +92,7 @@ def conditioning_summary(spark, sf):
 SELECT spec, label, param, count(*) AS n, {r('median(prior_fraction)')} AS median_prior_fraction, {r('median(width_fraction)')} AS median_width_fraction
 FROM dist JOIN strata USING (object_id) GROUP BY 1, 2, 3""")
 def stratified_agreement(spark, sf):
-    out = a.stratified_agreement(distances(spark, sf), b.part_strata(spark, sf))
+    out = a.stratified_agreement(g.pinned(distances(spark, sf)), b.part_strata(spark, sf))
     return rounded(out, "median_prior_fraction", "median_width_fraction")
 
 
@@ -102,7 +103,7 @@ SELECT rec.object_id, score, {r('wasserstein')} AS wasserstein FROM rec LEFT JOI
 def records_with_results(spark, sf):
     records = b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("object_id"), F.col("s_acctbal").alias("score"))
     compared = records.filter("score >= 5000").select("object_id")
-    results = a.wasserstein(b.two_sides(spark, sf).filter("param = 'l_quantity'")).select("object_id", "wasserstein")
+    results = b.each_supplier(spark, sf, lambda sides, short: a.wasserstein(sides.filter("param = 'l_quantity'"), bounded=short)).select("object_id", "wasserstein")
     return rounded(records.join(results.join(compared, "object_id"), "object_id", "left"), "wasserstein")
 
 

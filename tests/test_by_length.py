@@ -11,7 +11,8 @@ from curvelake.plans import load_registry
 SF = "/root/testdata/sf0.001"
 REGISTRY = load_registry()
 SPLIT = ("a25_interval_coverage", "a32_posterior_summary", "a45_corrected_sbc", "a44_weighted_rank", "a33_per_param_summary",
-         "a35_stratified_characterization", "a37_period_strata", "a21_sbc_ranks", "a05_box_periodogram", "a08_box_least_squares")
+         "a35_stratified_characterization", "a37_period_strata", "a21_sbc_ranks", "a05_box_periodogram", "a08_box_least_squares",
+         "a28_wasserstein", "a29_wasserstein_normalised", "a34_agreement_summary", "a36_stratified_agreement")
 
 
 @pytest.mark.parametrize("longest", [0, 30])
@@ -39,9 +40,9 @@ def shuffled_rows(spark, build):
     return sum(n for stage, n in stages().items() if stage not in before)
 
 
-@pytest.mark.parametrize("name", ["a25_interval_coverage", "a32_posterior_summary", "a35_stratified_characterization", "a45_corrected_sbc"])
-def test_posterior_queries_deal_lines_out_once(spark, name):
-    """Every line is shuffled once and its part's count once, besides rows of parts; pairs and quantile cells are not."""
+@pytest.mark.parametrize("name", ["a25_interval_coverage", "a32_posterior_summary", "a35_stratified_characterization", "a45_corrected_sbc", "a29_wasserstein_normalised", "a34_agreement_summary"])
+def test_lines_are_dealt_out_once(spark, name):
+    """Every line is shuffled once and its object's count once, besides rows of objects; pairs and quantile cells are not."""
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert shuffled_rows(spark, lambda: REGISTRY[name].build(spark, SF)) < 3 * lines
 

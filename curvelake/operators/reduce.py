@@ -54,14 +54,17 @@ def noise_segments(cadence: DataFrame, length: int, *, clip_sigma: float = 5.0)
 
     Objects whose median is within 0.1 of zero are not relative flux and are left out.
     """
-    rows = drop_nonfinite(cadence)
-    rows = g.attach_stats(rows, ID, quantiles={"_med": (F.col("flux"), 0.5)})
+    return g.by_length(drop_nonfinite(cadence), ID, lambda rows, bounded: _segments(rows, length, clip_sigma, bounded))
+
+
+def _segments(rows: DataFrame, length: int, clip_sigma: float, bounded: bool) -> DataFrame:
+    rows = g.attach_stats(rows, ID, quantiles={"_med": (F.col("flux"), 0.5)}, bounded=bounded)
     rows = rows.filter(F.abs("_med") >= 0.1).withColumn("flux", F.col("flux") / F.col("_med"))
     rows = g.attach_stats(
-        rows, ID, quantiles={"_m": (F.col("flux"), 0.5)}, aggs={"_s": F.stddev_pop("flux")}
+        rows, ID, quantiles={"_m": (F.col("flux"), 0.5)}, aggs={"_s": F.stddev_pop("flux")}, bounded=bounded
     )
     reach = F.lit(float(clip_sigma)) * F.col("_s")
-    placed = g.positions(rows, ID, by_time())
+    placed = g.positions(rows, ID, by_time(), bounded=bounded)
     pieces = F.floor(F.col("n_rows") / length)
     return (
         placed.withColumn("segment", F.floor(F.col("pos") / length))
@@ -198,12 +201,12 @@ def edge_scatter(view: DataFrame, n_bins: int, floor: float = 1e-3) -> DataFrame
     )
 
 
-def differences(cadence: DataFrame) -> DataFrame:
+def differences(cadence: DataFrame, *, bounded: bool = False) -> DataFrame:
     """Step in flux and time from the previous cadence; NULL on the first."""
     out = g.sliding(
         cadence, ID, by_time(),
         {"_pf": lambda w: F.lag("flux").over(w), "_pt": lambda w: F.lag("t").over(w)},
-        before=1,
+        before=1, bounded=bounded,
     )
     return out.withColumns({"d_flux": F.col("flux") - F.col("_pf"), "d_t": F.col("t") - F.col("_pt")}).drop("_pf", "_pt")
 
@@ -213,24 +216,26 @@ def white_sigma(cadence: DataFrame, *, centred: bool = True) -> DataFrame:
 
     ``centred`` subtracts the median step; the other estimator does not, and adds 1e-6.
     """
-    steps = differences(cadence).filter(F.col("d_flux").isNotNull()).select(*ID, "d_flux")
-    root2 = s.lit(2.0**0.5)
-    if centred:
-        steps = g.attach_stats(steps, ID, quantiles={"_m": (F.col("d_flux"), 0.5)})
-        spread = F.abs(F.col("d_flux") - F.col("_m"))
-    else:
-        spread = F.abs("d_flux")
-    found = g.group_stats(steps, ID, quantiles={"mad": (spread, 0.5)})
-    sigma = s.lit(s.MAD_TO_SIGMA) * F.col("mad") / root2
+    def level(rows: DataFrame, bounded: bool) -> DataFrame:
+        steps = differences(rows, bounded=bounded).filter(F.col("d_flux").isNotNull()).select(*ID, "d_flux")
+        if centred:
+            steps = g.attach_stats(steps, ID, quantiles={"_m": (F.col("d_flux"), 0.5)}, bounded=bounded)
+            spread = F.abs(F.col("d_flux") - F.col("_m"))
+        else:
+            spread = F.abs("d_flux")
+        return g.group_stats(steps, ID, quantiles={"mad": (spread, 0.5)}, bounded=bounded)
+
+    found = g.by_length(cadence.select(*ID, "t", "flux"), ID, level)
+    sigma = s.lit(s.MAD_TO_SIGMA) * F.col("mad") / s.lit(2.0**0.5)
     return found.select(*ID, (sigma if centred else sigma + s.lit(1e-6)).alias("sigma"))
 
 
 def median_cadence(cadence: DataFrame) -> DataFrame:
-    steps = differences(cadence).select(*ID, "d_t")
-    return g.group_stats(
-        steps, ID, quantiles={"dt": (F.col("d_t"), 0.5)},
-        aggs={"n": F.count(F.lit(1))},
-    )
+    def median(rows: DataFrame, bounded: bool) -> DataFrame:
+        steps = differences(rows, bounded=bounded).select(*ID, "d_t")
+        return g.group_stats(steps, ID, quantiles={"dt": (F.col("d_t"), 0.5)}, aggs={"n": F.count(F.lit(1))}, bounded=bounded)
+
+    return g.by_length(cadence.select(*ID, "t", "flux"), ID, median)
 
 
 def equal_count_group(k: int) -> Column:
@@ -266,21 +271,29 @@ def fold_bin(folded: DataFrame, max_cadences: int) -> DataFrame:
 
 def quality_metrics(cadence: DataFrame, objects: DataFrame, training_cadences: int) -> DataFrame:
     """Data-only quality measures. ``objects`` carries P, t0, duration, sigma, RpRs, aRs, b."""
-    rows = join_ephemeris(cadence, objects.select("object_id", "P", "t0", "duration"))
-    away = F.abs(s.centred_phase_days(F.col("t"), F.col("t0"), F.col("P")))
-    inside, outside = away < s.lit(0.5) * F.col("duration"), away > s.lit(1.5) * F.col("duration")
-    found = g.group_stats(
-        rows, ID,
-        quantiles={
-            "_in": (F.when(inside, F.col("flux")), 0.5),
-            "_out": (F.when(outside, F.col("flux")), 0.5),
-        },
-        aggs={
-            "n_cadences": F.count(F.lit(1)),
-            "n_in_transit": F.count_if(inside),
-            "_span": F.max("t") - F.min("t"),
-        },
-    ).join(objects, "object_id")
+    # The objects meet the cadences of both lengths and their results.
+    objects = g.pinned(objects)
+    ephemeris = objects.select("object_id", "P", "t0", "duration")
+
+    def measured(rows: DataFrame, bounded: bool) -> DataFrame:
+        rows = rows.join(ephemeris, "object_id") if bounded else join_ephemeris(rows, ephemeris)
+        away = F.abs(s.centred_phase_days(F.col("t"), F.col("t0"), F.col("P")))
+        inside, outside = away < s.lit(0.5) * F.col("duration"), away > s.lit(1.5) * F.col("duration")
+        return g.group_stats(
+            rows, ID,
+            quantiles={
+                "_in": (F.when(inside, F.col("flux")), 0.5),
+                "_out": (F.when(outside, F.col("flux")), 0.5),
+            },
+            aggs={
+                "n_cadences": F.count(F.lit(1)),
+                "n_in_transit": F.count_if(inside),
+                "_span": F.max("t") - F.min("t"),
+            },
+            bounded=bounded,
+        )
+
+    found = g.by_length(cadence.select(*ID, "t", "flux"), ID, measured).join(objects, "object_id")
     root_n = F.sqrt(F.greatest(F.col("n_in_transit"), F.lit(1)).cast("double"))
     sigma = s.at_least(F.col("sigma"), 1e-9)
     depth = F.col("_out") - F.col("_in")
@@ -392,8 +405,14 @@ def apply_noise(objects: DataFrame, segments: DataFrame) -> DataFrame:
 
     ``objects``: (object_id, i, model, segment_key, offset); ``segments``: (segment_key, j, noise, length).
     """
-    lengths = segments.groupBy("segment_key").agg(F.max("length").alias("length"))
-    rows = g.join_groups(objects, lengths, ["segment_key"])
+    each = F.struct("j", "noise")
+    used = segments.join(objects.select("segment_key").distinct(), "segment_key", "left_semi")
+    # A segment is one row: pieces have a fixed length.
+    stored = used.groupBy("segment_key").agg(F.max("length").alias("length"), F.sort_array(F.collect_list(each)).alias("_noise"))
+    rows = g.join_groups(objects, stored, ["segment_key"])
     rows = rows.withColumn("j", F.pmod(F.col("i") + F.col("offset"), F.col("length")).cast("int")).drop("length")
-    noise = segments.select("segment_key", "j", "noise")
-    return g.join_groups(rows, noise, ["segment_key", "j"]).withColumn("flux", F.col("model") * F.col("noise"))
+    # In a whole segment the j-th value stands at place j; in one with holes it is looked up.
+    at = F.get("_noise", F.col("j"))
+    rows = rows.withColumn("_at", F.when(at["j"] == F.col("j"), at).otherwise(F.get(F.filter("_noise", lambda x: x["j"] == F.col("j")), F.lit(0))))
+    rows = rows.filter("_at IS NOT NULL").withColumn("noise", F.col("_at.noise")).drop("_noise", "_at")
+    return rows.withColumn("flux", F.col("model") * F.col("noise"))

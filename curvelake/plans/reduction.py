@@ -449,11 +449,12 @@ JOIN one ON segment_key = (mo.object_id * 7 + 1) % (SELECT max(k) FROM lib) AND
 def noise_multiply(spark, sf):
     """Every complete piece of every object is in the library."""
     pieces = red.noise_segments(b.dense_cadence(spark, sf), 100)
-    library = g.positions(pieces.select("object_id", "segment").distinct(), [], [F.col("object_id"), F.col("segment")])
+    library = g.pinned(g.positions(pieces.select("object_id", "segment").distinct(), [], [F.col("object_id"), F.col("segment")]))
     segments = pieces.join(library, ["object_id", "segment"]).select(
         F.col("pos").alias("segment_key"), F.col("i").alias("j"), F.col("flux").alias("noise"), F.lit(100).alias("length"))
     k = library.agg(F.max("n_rows").alias("k"))
-    rows = g.positions(b.dense_cadence(spark, sf), ["object_id"], red.by_time())
+    dense = b.dense_cadence(spark, sf)
+    rows = g.by_length(dense, ["object_id"], lambda rows, short: g.positions(rows, ["object_id"], red.by_time(), bounded=short))
     objects = rows.crossJoin(F.broadcast(k)).select(
         "object_id", F.col("pos").cast("int").alias("i"), (s.lit(1.0) - F.col("flux") / s.lit(1e6)).alias("model"),
         ((F.col("object_id") * 7 + 1) % F.col("k")).alias("segment_key"), (F.col("object_id") % 13).alias("offset"))

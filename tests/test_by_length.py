@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 REGISTRY = load_registry()
 SPLIT = ("a25_interval_coverage", "a32_posterior_summary", "a45_corrected_sbc", "a44_weighted_rank", "a33_per_param_summary",
          "a35_stratified_characterization", "a37_period_strata", "a21_sbc_ranks", "a05_box_periodogram", "a08_box_least_squares",
-         "a28_wasserstein", "a29_wasserstein_normalised", "a34_agreement_summary", "a36_stratified_agreement")
+         "a28_wasserstein", "a29_wasserstein_normalised", "a34_agreement_summary", "a36_stratified_agreement", "s03_noise_segments",
+         "s04_noise_library_stats", "j11_noise_multiply", "a11_white_sigma", "a12_quality_metrics", "p04_quality_gate", "a09_refine_epoch")
 
 
 @pytest.mark.parametrize("longest", [0, 30])
@@ -63,3 +64,11 @@ def test_whole_objects_of_any_length_have_the_scores_of_all_boxes():
         grid = BoxGrid(periods, [0.05, 0.2, 0.7])
         grid.add(t, f)
         assert np.allclose(search.scores(t, f, 1.0, n, f.sum()), grid.scores(1.0, n, f.sum()), rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("name, table, most", [
+    ("a11_white_sigma", "events", 3), ("p04_quality_gate", "events", 6), ("s04_noise_library_stats", "lineitem", 6), ("j11_noise_multiply", "lineitem", 10),
+])
+def test_reductions_deal_rows_out_few_times(spark, name, table, most):
+    rows = spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert shuffled_rows(spark, lambda: REGISTRY[name].build(spark, SF)) < most * rows

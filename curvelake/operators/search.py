@@ -245,10 +245,11 @@ class Boxed:
         for duration in durations:
             w = duration / periods
             steps = np.maximum(np.floor(1.0 / np.maximum(w, 1e-3)), 4)
-            first_box = at + np.cumsum(steps) - steps
-            at += int(steps.sum())
+            first_box, boxes = np.cumsum(steps) - steps, slice(at, at + int(steps.sum()))
+            at = boxes.stop
             owners.append(np.repeat(np.arange(len(periods)), steps.astype(np.int64)))
-            self.shapes.append((w / 2, steps, first_box))
+            # Where boxes do not touch, a cadence lies in one at most.
+            self.shapes.append((w / 2, steps, first_box, boxes, bool((steps * w < 1 - 1e-9).all())))
         #: Trial period of every box.
         self.owners = np.concatenate(owners)
         self.sums, self.counts = np.zeros(at), np.zeros(at, np.int64)
@@ -258,30 +259,37 @@ class Boxed:
         self.counts.fill(0)
 
     def add(self, t: np.ndarray, f: np.ndarray) -> None:
-        spare = len(self.sums)  # takes the cadences that lie in no box
         for at in range(0, len(t), self.RUN):
             turns = np.divide.outer(t[at : at + self.RUN], self.periods)
             turns -= np.floor(turns)
             weights = np.repeat(f[at : at + self.RUN], len(self.periods))
-            for half, steps, first_box in self.shapes:
-                first = np.floor(steps * (turns - half)) + 1
-                last = np.ceil(steps * (turns + half)) - 1
-                np.minimum(last, first + (steps - 1), out=last)
+            first, end = np.empty_like(turns), np.empty_like(turns)
+            for half, steps, first_box, boxes, apart in self.shapes:
+                np.multiply(np.subtract(turns, half, out=first), steps, out=first)
+                np.add(np.floor(first, out=first), 1, out=first)
+                np.multiply(np.add(turns, half, out=end), steps, out=end)
+                if apart:
+                    outside, over = end <= first, first >= steps
+                    slots = np.add(first, first_box, out=end)
+                    np.copyto(slots, first_box, where=over)
+                    self._count(boxes, slots, outside, weights)
+                    continue
+                last = np.minimum(np.ceil(end) - 1, first + (steps - 1))
                 for more in range(int((last - first).max(initial=-1)) + 1):
-                    box = first + more if more else first
-                    slots = box + first_box
-                    # Few lie so near the end of a turn that their box is counted from the other end.
-                    wrapped = np.flatnonzero((box < 0) | (box >= steps))
-                    column = wrapped % len(self.periods)
-                    slots.ravel()[wrapped] = np.mod(box.ravel()[wrapped], steps[column]) + first_box[column]
-                    np.copyto(slots, spare, where=box > last)
-                    slots = slots.ravel().astype(np.int64)
-                    self.sums += np.bincount(slots, weights, spare + 1)[:spare]
-                    self.counts += np.bincount(slots, minlength=spare + 1)[:spare]
+                    box = first + more
+                    self._count(boxes, np.mod(box, steps) + first_box, box > last, weights)
+
+    def _count(self, boxes: slice, slots: np.ndarray, outside: np.ndarray, weights: np.ndarray) -> None:
+        spare = boxes.stop - boxes.start  # takes the cadences that lie in no box
+        np.copyto(slots, spare, where=outside)
+        slots = slots.ravel().astype(np.int64)
+        self.sums[boxes] += np.bincount(slots, weights, spare + 1)[:spare]
+        self.counts[boxes] += np.bincount(slots, minlength=spare + 1)[:spare]
 
     def scores(self, sd: float, n: int, total: float) -> np.ndarray:
         """Best box of every period, 0 where none counts."""
-        used = np.flatnonzero((self.counts >= 3) & (n - self.counts >= 3))
+        used = np.flatnonzero(self.counts >= 3)
+        used = used[n - self.counts[used] >= 3]
         k, inside = self.counts[used], self.sums[used]
         with np.errstate(divide="ignore", invalid="ignore"):
             snr = ((total - inside) / (n - k) - inside / k) / (sd / np.sqrt(k) + 1e-9)
